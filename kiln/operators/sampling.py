@@ -86,13 +86,13 @@ def balanced_shards(df: DataFrame, seed: int, id_col: str, shards: int,
 
 
 def assign_minibatches(df: DataFrame, batch_size: int, order_by: Sequence[str],
-                       shard_col: str | None = None, drop_last: bool = True,
+                       shard_col: str | Sequence[str] | None = None, drop_last: bool = True,
                        out: str = "batch", few_groups: bool = True) -> DataFrame:
     """DataLoader(batch_size, drop_last) per shard: number rows in
     ``order_by`` order inside each shard, ``batch = (rn-1) div B``; with
     ``drop_last`` the incomplete tail batch of every shard is removed.
     Adds ``batch`` and ``n_batches`` (full batches in the row's shard)."""
-    part = [shard_col] if shard_col else []
+    part = [shard_col] if isinstance(shard_col, str) else list(shard_col or [])
     ranked = row_number_distributed(df, list(order_by), part, out="_k_rn",
                                     group_size="_k_n", few_groups=few_groups)
     res = (ranked.withColumn(out, F.floor((F.col("_k_rn") - 1) / F.lit(batch_size)).cast("bigint"))
