@@ -27,6 +27,7 @@ import time
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
@@ -69,6 +70,7 @@ class TrainConfig:
     feature_dtype: str = "float"      # "float" | "double"
     tree_reduce_above: int = 32
     eval_every: int = 0               # validation loss every k steps (0 = only at the end)
+    keep_params: bool = False         # store the weights after every step in the history
 
 
 @dataclass
@@ -320,6 +322,8 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
                        "loss": loss / n if n else None,
                        "acc": correct / n if n and model.task == "classification" else None,
                        "seconds": time.time() - t0}
+                if cfg.keep_params:
+                    rec["params"] = params.copy()
                 history.append(rec)
                 step += 1
                 if cfg.eval_every and val_rows is not None and step % cfg.eval_every == 0:
@@ -352,8 +356,6 @@ def history_frame(spark, result: TrainResult) -> DataFrame:
 def predict_column(spark, model_config: dict, params: np.ndarray, features_col: str = "features"):
     """A vectorised (Arrow-batched) scoring column: class index for
     classifiers, the output for regressors.  Weights travel as a broadcast."""
-    import pandas as pd
-
     model = build_model(model_config)
     model_json = model.to_json()
     bc = spark.sparkContext.broadcast(np.asarray(params, dtype=np.float64))
