@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from kiln.functions.hashing import seeded_hash32, seeded_uniform
 from kiln.models import build_model, make_optimizer
 from kiln.operators.ranking import row_number_distributed
-from kiln.session import scratch_path
+from kiln.session import ensure_checkpoint_dir, scratch_path
 
 PARTIAL_SCHEMA = T.StructType([
     T.StructField("grad", T.ArrayType(T.DoubleType())),
@@ -71,6 +71,7 @@ class TrainConfig:
     tree_reduce_above: int = 32
     eval_every: int = 0               # validation loss every k steps (0 = only at the end)
     keep_params: bool = False         # store the weights after every step in the history
+    materialize_input: bool = True    # checkpoint (id, label, features) once before preparing
 
 
 @dataclass
@@ -213,9 +214,13 @@ class PreparedRound:
 
     def __init__(self, df: DataFrame, cfg: TrainConfig, tag: str):
         spark = df.sparkSession
-        laid_out = (df.select("id", "label", "features", "shard", "batch", "n_batches")
-                    .repartitionByRange(cfg.partitions, "shard", "batch")
-                    .sortWithinPartitions("shard", "batch", "id"))
+        rows = df.select("id", "label", "features", "shard", "batch", "n_batches")
+        if cfg.full_batch:
+            # every step reads every row: no batch order to keep, no range sampling
+            laid_out = rows.repartition(cfg.partitions, "shard")
+        else:
+            laid_out = rows.repartitionByRange(cfg.partitions, "shard", "batch")
+        laid_out = laid_out.sortWithinPartitions("shard", "batch", "id")
         self._cached = None
         if cfg.storage == "table":
             self.path = scratch_path(spark, tag)
@@ -288,6 +293,11 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
     params = np.asarray(init_params, dtype=np.float64) if init_params is not None else model.init(cfg.seed)
     opt = make_optimizer(cfg.optimizer, cfg.lr)
     base = standardize_input(df, id_col, label_col, features_col, cfg.feature_dtype)
+    if cfg.materialize_input:
+        # feature expressions run once; range sampling, every round and the
+        # validation pass read the checkpointed rows (lineage is cut here)
+        ensure_checkpoint_dir(spark)
+        base = base.checkpoint(eager=True)
     if cfg.validation_pct > 0:
         base = with_split(base, cfg.seed, cfg.validation_pct)
         train_rows = base.filter(F.col("split") == "train").drop("split")

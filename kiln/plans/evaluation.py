@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kiln.functions import arrays
+from kiln.functions.hashing import seeded_hash32
+from kiln.functions.text import token_count
 from kiln.operators import metrics, sampling
 from kiln.plans.constants import LIN_B, LIN_W, SEED, SVM_REG
-from kiln.plans.projections import SQL_SCORES, class_scores
+from kiln.plans.projections import SQL_SCORES, with_class_scores
 from kiln.plans.registry import register
 from kiln.plans.sqltext import sql_argmax, sql_dot, sql_log_softmax, sql_seeded_hash32, sql_seeded_uniform
 from kiln.sources import image_table, read_table
@@ -23,16 +25,16 @@ FIXED_SLOPE, FIXED_INTERCEPT = 0.6, 0.01
 
 def doc_xy(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", (F.size(F.split("text", " ")) / 1000.0).alias("x"),
+    return d.select("doc_id", (token_count("text", " ") / 1000.0).alias("x"),
                     (F.col("n_chars") / 10000.0).alias("y"))
 
 
 def scored_images(spark, sf_dir):
     """Fixed-weight softmax classifier over the 80/20 split of embeddings."""
     df = sampling.split_fraction(image_table(spark, sf_dir), SEED, "id", [0.8, 0.2], ["train", "test"])
-    s = class_scores(df)
-    return df.select("id", "label", "split", arrays.argmax(s).alias("prediction"),
-                     arrays.log_softmax(s).alias("logp"))
+    df = with_class_scores(df)
+    return df.select("id", "label", "split", arrays.argmax("scores").alias("prediction"),
+                     arrays.log_softmax("scores").alias("logp"))
 
 
 SQL_SCORED = f"""
@@ -174,15 +176,15 @@ FROM b GROUP BY epoch
 def q_epoch_metrics(spark, sf_dir):
     """Per-step (batch) loss/accuracy of a fixed model over reshuffled
     epochs with drop_last, reduced to per-epoch means."""
-    df = image_table(spark, sf_dir)
+    # score every row once, before the epoch expansion: only two scalars
+    # per row travel through the shuffle, not the feature array
+    df = with_class_scores(image_table(spark, sf_dir))
+    df = df.select("id", metrics.cross_entropy_expr(arrays.log_softmax("scores"), "label").alias("l"),
+                   (arrays.argmax("scores") == F.col("label")).cast("double").alias("c"))
     r = sampling.reshuffle_rounds(df, SEED, "id", EPOCHS, EPOCH_SHARDS, round_col="epoch")
-    r = r.withColumn("key", sampling.seeded_hash32(SEED, "epoch", "id"))
+    r = r.withColumn("key", seeded_hash32(SEED, "epoch", "id"))
     b = sampling.assign_minibatches(r, EPOCH_BATCH, ["key", "id"], ["epoch", "shard"], drop_last=True)
-    s = class_scores(b)
-    rows = b.select("epoch", "shard", "batch", "label",
-                    metrics.cross_entropy_expr(arrays.log_softmax(s), "label").alias("l"),
-                    (arrays.argmax(s) == F.col("label")).cast("double").alias("c"))
-    steps = (rows.groupBy("epoch", "shard", "batch")
+    steps = (b.groupBy("epoch", "shard", "batch")
              .agg(F.avg("l").alias("loss"), F.avg("c").alias("acc"), F.count(F.lit(1)).alias("n"))
              .withColumn("split", F.lit("train")))
     out = metrics.epoch_metrics(steps)

@@ -24,9 +24,9 @@ def flagship(spark, sf_dir, iters: int = 4, partitions: int = 4, batch: int = 32
     res = train(df.filter(F.col("split") == "train"), net.config(), cfg)
     p = net.unpack(res.params)
     # a linear model is small enough to score inside whole-stage codegen
-    scores = arrays.affine("features", p["W"].tolist(), p["b"].tolist())
-    scored = df.select("split", "label", arrays.argmax(scores).alias("prediction"),
-                       metrics.cross_entropy_expr(arrays.log_softmax(scores), "label").alias("ce"))
+    scored = df.withColumn("scores", arrays.affine("features", p["W"].tolist(), p["b"].tolist()))
+    scored = scored.select("split", "label", arrays.argmax("scores").alias("prediction"),
+                           metrics.cross_entropy_expr(arrays.log_softmax("scores"), "label").alias("ce"))
     return (scored.groupBy("split")
             .agg(F.round(metrics.accuracy_expr("label", "prediction"), 6).alias("accuracy"),
                  F.round(F.avg("ce"), 6).alias("loss"), F.count(F.lit(1)).alias("n")))

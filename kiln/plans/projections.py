@@ -16,6 +16,14 @@ def class_scores(df, col="features"):
     return arrays.affine(col, CLS_W, CLS_B)
 
 
+def with_class_scores(df, col="features", out="scores"):
+    """Scores as their own projected column: expressions that use the score
+    array several times (argmax, log-softmax) then reference it instead of
+    re-evaluating the affine map (Catalyst keeps the projections apart when
+    collapsing them would duplicate non-cheap work)."""
+    return df.withColumn(out, arrays.affine(col, CLS_W, CLS_B))
+
+
 SQL_SCORES = sql_affine("embedding", CLS_W, CLS_B)
 
 
@@ -101,8 +109,8 @@ WITH s AS (SELECT vec_id, {SQL_SCORES} AS scores FROM embeddings)
 SELECT vec_id AS id, {sql_argmax('scores')} AS prediction FROM s
 """)
 def q_argmax_class(spark, sf_dir):
-    df = image_table(spark, sf_dir)
-    return df.select("id", arrays.argmax(class_scores(df)).alias("prediction"))
+    df = with_class_scores(image_table(spark, sf_dir))
+    return df.select("id", arrays.argmax("scores").alias("prediction"))
 
 
 @register("log_softmax_scores", f"""
@@ -112,8 +120,8 @@ SELECT vec_id AS id, CAST(k AS BIGINT) AS class, round(lp, 6) AS logp
 FROM (SELECT vec_id, unnest(logp) AS lp, unnest(range(len(logp))) AS k FROM l)
 """)
 def q_log_softmax_scores(spark, sf_dir):
-    df = image_table(spark, sf_dir)
-    lp = arrays.log_softmax(class_scores(df))
+    df = with_class_scores(image_table(spark, sf_dir))
+    lp = arrays.log_softmax("scores")
     return (df.select("id", F.posexplode(lp).alias("class", "lp"))
             .select("id", F.col("class").cast("bigint").alias("class"), F.round("lp", 6).alias("logp")))
 

@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from kiln.functions.text import char_count, token_count
 from kiln.models import MLP, LinearNet, SmallCNN
 from kiln.operators import sampling
 from kiln.operators.estimators import MinibatchModel, MinibatchTrainer
@@ -34,11 +35,11 @@ def doc_features(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     return d.select(
         "doc_id",
-        (F.size(F.split("text", " ")) / 1000.0).alias("words"),
-        (F.size(F.split("text", "\n")) / 100.0).alias("lines"),
-        (F.length(F.regexp_replace("text", r"[^0-9]", "")) / 100.0).alias("digits"),
-        (F.length(F.regexp_replace("text", r"[^A-Z]", "")) / 100.0).alias("upper"),
-        (F.length(F.regexp_replace("text", r"[^.,;:!?]", "")) / 100.0).alias("punct"),
+        (token_count("text", " ") / 1000.0).alias("words"),
+        (token_count("text", "\n") / 100.0).alias("lines"),
+        (char_count("text", "0123456789") / 100.0).alias("digits"),
+        (char_count("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") / 100.0).alias("upper"),
+        (char_count("text", ".,;:!?") / 100.0).alias("punct"),
         (F.col("n_chars") / 10000.0).alias("target"))
 
 
@@ -67,7 +68,7 @@ def q_gd_linear_3steps(spark, sf_dir):
     """Three full-batch gradient steps of y = w x + b (MSE, SGD lr 0.1, zero
     start) run by the distributed loop on 4 shards."""
     d = read_table(spark, sf_dir, "documents").select(
-        "doc_id", F.array((F.size(F.split("text", " ")) / 1000.0)).alias("features"),
+        "doc_id", F.array(token_count("text", " ") / 1000.0).alias("features"),
         (F.col("n_chars") / 10000.0).alias("label"))
     cfg = TrainConfig(iters=3, partitions=4, lr=0.1, full_batch=True, feature_dtype="double",
                       storage="cache", keep_params=True, seed=SEED)
