@@ -37,7 +37,7 @@ class MinibatchTrainer(Estimator, _TrainerParams, MLReadable, MLWritable):
     lr = Param(Params._dummy(), "lr", "learning rate", typeConverter=TypeConverters.toFloat)
     optimizer = Param(Params._dummy(), "optimizer", "sgd|adam", typeConverter=TypeConverters.toString)
     validationPct = Param(Params._dummy(), "validationPct", "held-out share", typeConverter=TypeConverters.toFloat)
-    shardBy = Param(Params._dummy(), "shardBy", "balanced|label", typeConverter=TypeConverters.toString)
+    shardBy = Param(Params._dummy(), "shardBy", "hash|balanced|label", typeConverter=TypeConverters.toString)
     partitionShuffles = Param(Params._dummy(), "partitionShuffles", "re-deal rounds",
                               typeConverter=TypeConverters.toInt)
     fullBatch = Param(Params._dummy(), "fullBatch", "use all rows each step", typeConverter=TypeConverters.toBoolean)
@@ -46,12 +46,12 @@ class MinibatchTrainer(Estimator, _TrainerParams, MLReadable, MLWritable):
     @keyword_only
     def __init__(self, *, modelConfig=None, featuresCol="features", labelCol="label",
                  predictionCol="prediction", idCol="id", iters=10, miniBatch=64, partitions=4, lr=0.001,
-                 optimizer="sgd", validationPct=0.0, shardBy="balanced", partitionShuffles=1,
+                 optimizer="sgd", validationPct=0.0, shardBy="hash", partitionShuffles=1,
                  fullBatch=False, storage="table", seed=42):
         super().__init__()
         self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", idCol="id",
                          iters=10, miniBatch=64, partitions=4, lr=0.001, optimizer="sgd", validationPct=0.0,
-                         shardBy="balanced", partitionShuffles=1, fullBatch=False, storage="table", seed=42)
+                         shardBy="hash", partitionShuffles=1, fullBatch=False, storage="table", seed=42)
         self._set(**self._input_kwargs)
 
     def config(self) -> TrainConfig:

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from kiln.functions.hashing import seeded_hash32, seeded_uniform
 from kiln.models import build_model, make_optimizer
 from kiln.operators.ranking import row_number_distributed
-from kiln.session import ensure_checkpoint_dir, scratch_path
+from kiln.session import scratch_path
 
 PARTIAL_SCHEMA = T.StructType([
     T.StructField("grad", T.ArrayType(T.DoubleType())),
@@ -62,7 +62,7 @@ class TrainConfig:
     optimizer: str = "sgd"
     validation_pct: float = 0.0
     seed: int = 42
-    shard_by: str = "balanced"        # "balanced" | "label" (hash of label, skewed)
+    shard_by: str = "hash"            # "hash" | "balanced" | "label" (hash of label, skewed)
     partition_shuffles: int = 1       # rounds; each round re-deals rows to shards
     full_batch: bool = False          # every step uses all rows of every shard
     drop_last: bool = True
@@ -71,7 +71,8 @@ class TrainConfig:
     tree_reduce_above: int = 32
     eval_every: int = 0               # validation loss every k steps (0 = only at the end)
     keep_params: bool = False         # store the weights after every step in the history
-    materialize_input: bool = True    # checkpoint (id, label, features) once before preparing
+    materialize_input: bool = True    # persist (id, label, features) while preparing and evaluating
+    eval_at: tuple = ()               # also evaluate validation after these step counts
 
 
 @dataclass
@@ -181,7 +182,18 @@ def with_split(df: DataFrame, seed: int, validation_pct: float) -> DataFrame:
 
 
 def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int) -> DataFrame:
-    """Add ``shard``, ``batch`` and ``n_batches`` for one training round."""
+    """Add ``shard``, ``batch`` and ``n_batches`` for one training round.
+
+    * ``hash`` (default): shard = pmod(md5 key, P); one range shuffle over
+      (shard, key) numbers the rows inside each shard *and* leaves them laid
+      out by (shard, batch) in P partitions, ready to be written.
+    * ``label``: shard = Spark's hash partition of the label (the skewed
+      ``repartition(P, label)`` layout); a hot shard is spread over several
+      range partitions by the same shuffle.  Later rounds re-deal by hash.
+    * ``balanced``: round-robin over the seeded order (shard sizes within one
+      row, like ``repartition(P)``); needs a global rank, so the layout costs
+      a second shuffle.
+    """
     P, B = cfg.partitions, cfg.batch_size
     key = seeded_hash32(cfg.seed, F.lit(f"round{round_no}"), "id")
     if cfg.full_batch:
@@ -189,18 +201,21 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int)
                 .withColumn("batch", F.lit(0).cast("bigint"))
                 .withColumn("n_batches", F.lit(1).cast("bigint")))
     keyed = train.withColumn("_k_key", key)
-    if cfg.shard_by == "label" and round_no == 0:
-        # repartition(P, label): the shard is Spark's hash partition of the label
-        keyed = keyed.withColumn("shard", F.pmod(F.hash(F.col("label").cast("int")), F.lit(P)).cast("int"))
-        ranked = row_number_distributed(keyed, ["_k_key", "id"], ["shard"], out="_k_rn", group_size="_k_n")
-        idx, n_s = F.col("_k_rn") - 1, F.col("_k_n")
-    else:
-        # round-robin deal over the seeded order: sizes differ by at most one
+    if cfg.shard_by == "balanced":
         ranked = row_number_distributed(keyed, ["_k_key", "id"], out="_k_rn", group_size="_k_n")
         r0 = F.col("_k_rn") - 1
         ranked = ranked.withColumn("shard", F.pmod(r0, F.lit(P)).cast("int"))
         idx = F.floor(r0 / F.lit(P))
         n_s = F.floor((F.col("_k_n") - 1 - F.col("shard")) / F.lit(P)) + 1
+    else:
+        if cfg.shard_by == "label" and round_no == 0:
+            shard = F.pmod(F.hash(F.col("label").cast("int")), F.lit(P))
+        else:
+            shard = F.pmod(seeded_hash32(cfg.seed, F.lit(f"shard{round_no}"), "id"), F.lit(P))
+        keyed = keyed.withColumn("shard", shard.cast("int"))
+        ranked = row_number_distributed(keyed, ["_k_key", "id"], ["shard"], out="_k_rn", group_size="_k_n",
+                                        num_partitions=P)
+        idx, n_s = F.col("_k_rn") - 1, F.col("_k_n")
     out = (ranked.withColumn("batch", F.floor(idx / F.lit(B)).cast("bigint"))
            .withColumn("n_batches", (F.floor(n_s / F.lit(B)) if cfg.drop_last else F.ceil(n_s / F.lit(B)))
                        .cast("bigint")))
@@ -209,6 +224,13 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int)
     return out.drop("_k_key", "_k_rn", "_k_n")
 
 
+def _already_laid_out(cfg: TrainConfig) -> bool:
+    """The ranking shuffle of hash/label sharding already range-partitioned
+    the rows by (shard, key): rows of a shard are contiguous and batches
+    come in order, so no second shuffle is needed before writing."""
+    return not cfg.full_batch and cfg.shard_by != "balanced"
+
+
 class PreparedRound:
     """Batch-numbered training rows of one round, stored for repeated reads."""
 
@@ -217,10 +239,12 @@ class PreparedRound:
         rows = df.select("id", "label", "features", "shard", "batch", "n_batches")
         if cfg.full_batch:
             # every step reads every row: no batch order to keep, no range sampling
-            laid_out = rows.repartition(cfg.partitions, "shard")
+            laid_out = rows.repartition(cfg.partitions, "shard").sortWithinPartitions("shard", "id")
+        elif _already_laid_out(cfg):
+            laid_out = rows
         else:
-            laid_out = rows.repartitionByRange(cfg.partitions, "shard", "batch")
-        laid_out = laid_out.sortWithinPartitions("shard", "batch", "id")
+            laid_out = (rows.repartitionByRange(cfg.partitions, "shard", "batch")
+                        .sortWithinPartitions("shard", "batch", "id"))
         self._cached = None
         if cfg.storage == "table":
             self.path = scratch_path(spark, tag)
@@ -293,11 +317,13 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
     params = np.asarray(init_params, dtype=np.float64) if init_params is not None else model.init(cfg.seed)
     opt = make_optimizer(cfg.optimizer, cfg.lr)
     base = standardize_input(df, id_col, label_col, features_col, cfg.feature_dtype)
+    persisted = None
     if cfg.materialize_input:
-        # feature expressions run once; range sampling, every round and the
-        # validation pass read the checkpointed rows (lineage is cut here)
-        ensure_checkpoint_dir(spark)
-        base = base.checkpoint(eager=True)
+        # feature expressions run once: range sampling, every round and the
+        # validation pass read the persisted rows (as Spark ML persists its
+        # training instances); the prepared table written per round is what
+        # cuts lineage for the step jobs
+        persisted = base = base.persist(StorageLevel.MEMORY_AND_DISK)
     if cfg.validation_pct > 0:
         base = with_split(base, cfg.seed, cfg.validation_pct)
         train_rows = base.filter(F.col("split") == "train").drop("split")
@@ -336,14 +362,20 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
                     rec["params"] = params.copy()
                 history.append(rec)
                 step += 1
-                if cfg.eval_every and val_rows is not None and step % cfg.eval_every == 0:
+                due = (cfg.eval_every and step % cfg.eval_every == 0) or step in cfg.eval_at
+                if due and val_rows is not None:
                     v = evaluate(val_rows, model.config(), params)
                     history.append({"round": rnd, "iter": step - 1, "split": "validation", "n": v["n"],
-                                    "loss": v["loss"], "acc": v["accuracy"], "seconds": 0.0})
+                                    "loss": v["loss"], "acc": v["accuracy"],
+                                    "seconds": time.time() - t_start})
         finally:
             prepared.release()
     seconds = time.time() - t_start
-    validation = evaluate(val_rows, model.config(), params) if val_rows is not None else None
+    try:
+        validation = evaluate(val_rows, model.config(), params) if val_rows is not None else None
+    finally:
+        if persisted is not None:
+            persisted.unpersist()
     return TrainResult(model.config(), params, history, validation, seconds, asdict(cfg))
 
 

@@ -1,6 +1,6 @@
 """Named queries: importing this package registers all of them."""
 
-from kiln.plans import evaluation, flagship, projections, splits, training  # noqa: F401
+from kiln.plans import evaluation, flagship, projections, reports, scans, splits, training  # noqa: F401
 from kiln.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -191,7 +191,7 @@ def q_training_history(spark, sf_dir):
             .select(F.posexplode("h").alias("iteration", "objective")))
 
 
-def image_pipeline(partitions=4, iters=4, batch=64, shard_by="balanced", shuffles=1, lr=0.05,
+def image_pipeline(partitions=4, iters=4, batch=64, shard_by="hash", shuffles=1, lr=0.05,
                    model=None, optimizer="sgd", validation_pct=0.2, storage="table"):
     """The canonical benchmark pipeline: feature stage + distributed trainer."""
     scale = SQLTransformer(statement="SELECT *, transform(features, x -> (x - 0.0) / 0.125) AS scaled "
