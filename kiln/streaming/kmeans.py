@@ -36,7 +36,8 @@ class StreamingKMeans:
         self.counts = np.array([r["weight"] for r in rows], dtype=np.float64)
         self.last_batch = int(last)
 
-    def update(self, batch: DataFrame, batch_id: int, features: str, state_dir: str) -> None:
+    def update(self, batch: DataFrame, batch_id: int, features: str, state_dir: str,
+               id_col: str = "id") -> None:
         if batch_id <= self.last_batch:
             return  # replay of a batch already folded into the state
         k, d = self.centres.shape
@@ -44,6 +45,7 @@ class StreamingKMeans:
         sums = (assigned.select("cluster", F.posexplode(features).alias("pos", "v"))
                 .groupBy("cluster", "pos").agg(F.sum(F.col("v").cast("double")).alias("s")).collect())
         counts = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()
+        span = batch.agg(F.min(id_col), F.max(id_col)).first() if id_col in batch.columns else (None, None)
         S, M = np.zeros((k, d)), np.zeros(k)
         for r in sums:
             S[r["cluster"], r["pos"]] = r["s"]
@@ -55,7 +57,7 @@ class StreamingKMeans:
         (spark.createDataFrame(rows, "cluster int, weight double, centre array<double>")
          .write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}"))
         self.last_batch = batch_id
-        self.batches.append({"batch_id": batch_id, "rows": int(M.sum())})
+        self.batches.append({"batch_id": batch_id, "rows": int(M.sum()), "min_id": span[0], "max_id": span[1]})
 
     def run(self, spark: SparkSession, source_dir: str, schema, state_dir: str, checkpoint_dir: str,
             features: str = "features", files_per_trigger: int = 1) -> DataFrame:
