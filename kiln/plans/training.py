@@ -308,3 +308,37 @@ def q_pipeline_fit_score(spark, sf_dir):
     fitted = image_pipeline(partitions=2, iters=2, batch=32,
                             model=LinearNet(64, 10, "classification").config(), lr=0.5).fit(df)
     return fitted.transform(df).select("id", "label", "prediction")
+
+
+@register("training_report")
+def q_training_report(spark, sf_dir):
+    """The printed training summary as one row: coefficients,
+    intercept, iterations, objective history length, residual spread and
+    MSE/RMSE/r2 of the elastic-net fit (the schema print becomes the
+    ``schema`` column)."""
+    d = doc_features(spark, sf_dir)
+    data = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(d)
+    m = LinearRegression(featuresCol="features", labelCol="target", maxIter=100, regParam=0.3,
+                         elasticNetParam=0.2).fit(data)
+    s = m.summary
+    res = s.residuals.agg(F.min("residuals").alias("lo"), F.max("residuals").alias("hi")).first()
+    return spark.createDataFrame(
+        [(d.schema.simpleString(), [float(v) for v in m.coefficients], float(m.intercept), int(s.totalIterations),
+          len(s.objectiveHistory), float(res["lo"]), float(res["hi"]), float(s.meanSquaredError),
+          float(s.rootMeanSquaredError), float(s.r2))],
+        "schema string, coefficients array<double>, intercept double, iterations int, history_len int, "
+        "residual_min double, residual_max double, mse double, rmse double, r2 double")
+
+
+@register("train_mlp_builtin")
+def q_train_mlp_builtin(spark, sf_dir):
+    """Second MLP backend: Spark ML MultilayerPerceptronClassifier 64-128-10
+    (sigmoid hidden layer, L-BFGS) on the train part, accuracy on test."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    parts = mlp_splits(spark, sf_dir).select("split", F.col("label").cast("double").alias("label"),
+                                              array_to_vector("features").alias("features"))
+    model = MultilayerPerceptronClassifier(layers=[64, 128, 10], maxIter=50, seed=SEED).fit(
+        parts.filter(F.col("split") == "train"))
+    pred = model.transform(parts)
+    return (pred.groupBy("split").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
+                                      F.count(F.lit(1)).alias("n")))

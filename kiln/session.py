@@ -43,6 +43,7 @@ def get_session(app_name: str = "kiln", master: str | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -83,3 +84,31 @@ def default_parallelism(spark: SparkSession) -> int:
 
 def cpu_count() -> int:
     return os.cpu_count() or 1
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kiln`` importable in executor Python workers (the equivalent of
+    ``--py-files``): zip the package once per application and add it with
+    ``SparkContext.addPyFile``.  Spark distributes the archive itself."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="kiln-pyfiles-")
+    archive = os.path.join(out_dir, "kiln.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, dirs, files in os.walk(pkg_dir):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
