@@ -9,6 +9,7 @@ rounds so long iterations do not grow the plan.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,14 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, checkpoin
     """Power iteration ``r' = (1-d)/N + d * sum_{u->v} r_u / outdeg_u``.
     Mass of vertices without out-edges is not redistributed."""
     spark = edges.sparkSession
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    ensure_checkpoint_dir(spark)
+    # the edge and vertex tables are read every round: computed once, kept
+    # (memory, spilling to disk) for the loop, released at the end
+    nodes = (edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node")))
+             .distinct().persist(StorageLevel.MEMORY_AND_DISK))
     n = nodes.count()
     weighted = (edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src")
-                .select("src", "dst", (1.0 / F.col("deg")).alias("w")))
+                .select("src", "dst", (1.0 / F.col("deg")).alias("w")).persist(StorageLevel.MEMORY_AND_DISK))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(iters):
         contrib = (weighted.join(ranks.withColumnRenamed("node", "src"), "src")
@@ -46,6 +51,12 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, checkpoin
         if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < iters:
             ensure_checkpoint_dir(spark)
             ranks = ranks.checkpoint(eager=True)
+    # keep the result itself, so releasing the loop inputs does not make a
+    # later action recompute every round
+    ranks = ranks.persist(StorageLevel.MEMORY_AND_DISK)
+    ranks.count()
+    weighted.unpersist()
+    nodes.unpersist()
     return ranks
 
 
@@ -54,7 +65,8 @@ def connected_components(edges: DataFrame, max_iter: int = 50, checkpoint_every:
     with the component named by its smallest vertex id.  Stops when no
     label changes (one count per round)."""
     spark = edges.sparkSession
-    e = undirected(edges)
+    ensure_checkpoint_dir(spark)
+    e = undirected(edges).persist(StorageLevel.MEMORY_AND_DISK)
     labels = e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
     for i in range(max_iter):
         best = (e.join(labels.withColumnRenamed("node", "src"), "src")
@@ -69,4 +81,7 @@ def connected_components(edges: DataFrame, max_iter: int = 50, checkpoint_every:
         labels = new
         if changed == 0:
             break
+    labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
+    labels.count()
+    e.unpersist()
     return labels

@@ -16,17 +16,27 @@ range shuffle:
    (partition, group) segment; when the caller states that groups are few it
    is broadcast, otherwise AQE decides at runtime from its measured size.
 
-The order must be total inside a group (end it with a unique key); then the
-result is deterministic and survives task re-execution.
+The order must be total inside a group (end it with a unique key).
+
+Both the counting branch and the numbering branch must see the *same*
+positions.  Two independent range exchanges are not guaranteed to agree (the
+range partitioner samples with a seed derived from the RDD id), so the
+positioned rows are materialised once: a reliable ``checkpoint()`` into
+``spark.checkpoint.dir`` (default; also cuts lineage), or ``persist`` when
+the caller writes the result right away and releases it.  A recomputation
+after executor loss reuses the same partitioner, so positions are stable.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.session import ensure_checkpoint_dir
+
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
@@ -38,9 +48,14 @@ def _cols(cs) -> list[Column]:
 def row_number_distributed(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
                            out: str = "rn", group_size: str | None = None,
                            num_partitions: int | None = None,
-                           few_groups: bool = True) -> DataFrame:
+                           few_groups: bool = True, materialize: str = "checkpoint",
+                           keep: list | None = None) -> DataFrame:
     """Add ``out`` = row_number() over (partition by ``partition_by`` order by ``order_by``)
-    as BIGINT (1-based); optionally ``group_size`` = rows in the row's group."""
+    as BIGINT (1-based); optionally ``group_size`` = rows in the row's group.
+
+    ``materialize="persist"`` caches the positioned rows instead of writing
+    them and appends the cached DataFrame to ``keep`` for the caller to
+    ``unpersist()`` once the result has been written."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = list(partition_by)
@@ -51,6 +66,13 @@ def row_number_distributed(df: DataFrame, order_by: Sequence[str], partition_by:
                   .withColumn("_k_pid", F.shiftright(F.col("_k_mid"), _POS_BITS))
                   .withColumn("_k_pos", F.col("_k_mid").bitwiseAND(F.lit(_POS_MASK)))
                   .drop("_k_mid"))
+    if materialize == "persist":
+        positioned = positioned.persist(StorageLevel.MEMORY_AND_DISK)
+        if keep is not None:
+            keep.append(positioned)
+    else:
+        ensure_checkpoint_dir(spark)
+        positioned = positioned.checkpoint(eager=True)
     segments = positioned.groupBy("_k_pid", *part).agg(
         F.count(F.lit(1)).alias("_k_cnt"), F.min("_k_pos").alias("_k_first"))
     w = Window.partitionBy(*part).orderBy("_k_pid") if part else Window.orderBy("_k_pid")

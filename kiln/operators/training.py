@@ -181,7 +181,8 @@ def with_split(df: DataFrame, seed: int, validation_pct: float) -> DataFrame:
     return df.withColumn("split", F.when(u < F.lit(validation_pct), F.lit("validation")).otherwise(F.lit("train")))
 
 
-def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int) -> DataFrame:
+def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int,
+                              keep: list | None = None) -> DataFrame:
     """Add ``shard``, ``batch`` and ``n_batches`` for one training round.
 
     * ``hash`` (default): shard = pmod(md5 key, P); one range shuffle over
@@ -202,7 +203,8 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int)
                 .withColumn("n_batches", F.lit(1).cast("bigint")))
     keyed = train.withColumn("_k_key", key)
     if cfg.shard_by == "balanced":
-        ranked = row_number_distributed(keyed, ["_k_key", "id"], out="_k_rn", group_size="_k_n")
+        ranked = row_number_distributed(keyed, ["_k_key", "id"], out="_k_rn", group_size="_k_n",
+                                        materialize="persist" if keep is not None else "checkpoint", keep=keep)
         r0 = F.col("_k_rn") - 1
         ranked = ranked.withColumn("shard", F.pmod(r0, F.lit(P)).cast("int"))
         idx = F.floor(r0 / F.lit(P))
@@ -214,7 +216,8 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int)
             shard = F.pmod(seeded_hash32(cfg.seed, F.lit(f"shard{round_no}"), "id"), F.lit(P))
         keyed = keyed.withColumn("shard", shard.cast("int"))
         ranked = row_number_distributed(keyed, ["_k_key", "id"], ["shard"], out="_k_rn", group_size="_k_n",
-                                        num_partitions=P)
+                                        num_partitions=P,
+                                        materialize="persist" if keep is not None else "checkpoint", keep=keep)
         idx, n_s = F.col("_k_rn") - 1, F.col("_k_n")
     out = (ranked.withColumn("batch", F.floor(idx / F.lit(B)).cast("bigint"))
            .withColumn("n_batches", (F.floor(n_s / F.lit(B)) if cfg.drop_last else F.ceil(n_s / F.lit(B)))
@@ -234,7 +237,7 @@ def _already_laid_out(cfg: TrainConfig) -> bool:
 class PreparedRound:
     """Batch-numbered training rows of one round, stored for repeated reads."""
 
-    def __init__(self, df: DataFrame, cfg: TrainConfig, tag: str):
+    def __init__(self, df: DataFrame, cfg: TrainConfig, tag: str, intermediates: list | None = None):
         spark = df.sparkSession
         rows = df.select("id", "label", "features", "shard", "batch", "n_batches")
         if cfg.full_batch:
@@ -255,6 +258,11 @@ class PreparedRound:
             self.path = None
             self._cached = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
             self.table = self._cached
+        if self._cached is None:
+            for cached in intermediates or []:  # written: the ranking intermediates can go
+                cached.unpersist()
+        else:
+            self._intermediates = intermediates or []
         # one row per shard: bounded by the partition count
         self.shard_batches = {int(r["shard"]): int(r["n_batches"])
                               for r in self.table.groupBy("shard").agg(F.max("n_batches").alias("n_batches"))
@@ -272,6 +280,8 @@ class PreparedRound:
     def release(self):
         if self._cached is not None:
             self._cached.unpersist()
+            for cached in self._intermediates:
+                cached.unpersist()
 
 
 def _reduce_partials(partials: DataFrame, cfg: TrainConfig):
@@ -339,7 +349,8 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
     for rnd in range(rounds):
         if step >= cfg.iters:
             break
-        prepared = PreparedRound(assign_shards_and_batches(train_rows, cfg, rnd), cfg, f"train-r{rnd}")
+        keep: list = []
+        prepared = PreparedRound(assign_shards_and_batches(train_rows, cfg, rnd, keep), cfg, f"train-r{rnd}", keep)
         try:
             for local in range(per_round):
                 if step >= cfg.iters:

@@ -59,3 +59,19 @@ def test_minibatches_are_exactly_b_rows_and_tail_dropped(spark):
     plan = {r["shard"]: r for r in sampling.batch_plan(df, 16).collect()}
     used = {r["shard"]: r["n"] for r in out.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     assert all(plan[s]["rows_used"] == used[s] for s in used)
+
+
+def test_distributed_row_number_at_sampling_scale(spark):
+    """Large enough that range-partition sampling is a real sample: the
+    numbering must still equal the window function exactly."""
+    from pyspark.sql import Window
+    df = (spark.range(200_000)
+          .withColumn("g", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 17))
+          .withColumn("k", F.xxhash64("id")))
+    got = row_number_distributed(df, ["k", "id"], ["g"], out="rn", num_partitions=16)
+    want = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
+    bad = got.join(want, "id").filter(F.col("rn") != F.col("rn2")).count()
+    assert bad == 0
+    glob = row_number_distributed(df, ["k", "id"], out="rn", num_partitions=16)
+    r = glob.agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first()
+    assert tuple(r) == (1, 200_000, 200_000)
