@@ -73,6 +73,8 @@ class TrainConfig:
     keep_params: bool = False         # store the weights after every step in the history
     materialize_input: bool = True    # persist (id, label, features) while preparing and evaluating
     eval_at: tuple = ()               # also evaluate validation after these step counts
+    layout_partitions: int = 0        # range partitions of the prepared table (0: max(P, shuffle partitions))
+    batches_per_folder: int = 64      # prepared table folders: bgroup = batch div this
 
 
 @dataclass
@@ -196,6 +198,7 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int,
       a second shuffle.
     """
     P, B = cfg.partitions, cfg.batch_size
+    M = layout_partitions(train.sparkSession, cfg)
     key = seeded_hash32(cfg.seed, F.lit(f"round{round_no}"), "id")
     if cfg.full_batch:
         return (train.withColumn("shard", F.pmod(key, F.lit(P)).cast("int"))
@@ -216,7 +219,7 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int,
             shard = F.pmod(seeded_hash32(cfg.seed, F.lit(f"shard{round_no}"), "id"), F.lit(P))
         keyed = keyed.withColumn("shard", shard.cast("int"))
         ranked = row_number_distributed(keyed, ["_k_key", "id"], ["shard"], out="_k_rn", group_size="_k_n",
-                                        num_partitions=P,
+                                        num_partitions=M,
                                         materialize="persist" if keep is not None else "checkpoint", keep=keep)
         idx, n_s = F.col("_k_rn") - 1, F.col("_k_n")
     out = (ranked.withColumn("batch", F.floor(idx / F.lit(B)).cast("bigint"))
@@ -227,6 +230,15 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int,
     return out.drop("_k_key", "_k_rn", "_k_n")
 
 
+def layout_partitions(spark, cfg: TrainConfig) -> int:
+    """Range partitions of the prepared table: at least one per shard, and
+    at least the session's shuffle partitions, so that a shard of a large
+    table spans several right-sized files instead of one huge task."""
+    if cfg.layout_partitions:
+        return max(cfg.partitions, cfg.layout_partitions)
+    return max(cfg.partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _already_laid_out(cfg: TrainConfig) -> bool:
     """The ranking shuffle of hash/label sharding already range-partitioned
     the rows by (shard, key): rows of a shard are contiguous and batches
@@ -239,20 +251,24 @@ class PreparedRound:
 
     def __init__(self, df: DataFrame, cfg: TrainConfig, tag: str, intermediates: list | None = None):
         spark = df.sparkSession
-        rows = df.select("id", "label", "features", "shard", "batch", "n_batches")
+        self.per_folder = cfg.batches_per_folder
+        rows = df.select("id", "label", "features", "shard", "batch", "n_batches",
+                         F.floor(F.col("batch") / F.lit(self.per_folder)).cast("bigint").alias("bgroup"))
+        M = layout_partitions(spark, cfg)
         if cfg.full_batch:
             # every step reads every row: no batch order to keep, no range sampling
-            laid_out = rows.repartition(cfg.partitions, "shard").sortWithinPartitions("shard", "id")
+            laid_out = rows.repartition(M, "shard").sortWithinPartitions("shard", "id")
         elif _already_laid_out(cfg):
             laid_out = rows
         else:
-            laid_out = (rows.repartitionByRange(cfg.partitions, "shard", "batch")
-                        .sortWithinPartitions("shard", "batch", "id"))
+            laid_out = rows.repartitionByRange(M, "shard", "batch").sortWithinPartitions("shard", "batch", "id")
         self._cached = None
         if cfg.storage == "table":
             self.path = scratch_path(spark, tag)
+            # folders by batch group (pruned while planning a step), files
+            # sorted by (shard, batch) (row groups pruned by batch statistics)
             (laid_out.write.mode("overwrite").option("parquet.block.size", 8 * 1024 * 1024)
-             .parquet(self.path))
+             .partitionBy("bgroup").parquet(self.path))
             self.table = spark.read.parquet(self.path)
         else:
             self.path = None
@@ -273,6 +289,9 @@ class PreparedRound:
         if not wanted:
             return self.table.limit(0)
         rows = self.table
+        groups = sorted({w // self.per_folder for w in wanted})
+        if len(groups) <= 64:
+            rows = rows.filter(F.col("bgroup").isin(groups))  # folder pruning at planning time
         if len(wanted) <= 64:
             rows = rows.filter(F.col("batch").isin(wanted))  # pushed into the parquet scan
         return rows.filter(F.col("batch") == F.pmod(F.lit(local_step), F.col("n_batches")))
@@ -358,7 +377,7 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
                 t0 = time.time()
                 bc = sc.broadcast(params)
                 try:
-                    partials = prepared.step_rows(local).mapInArrow(
+                    partials = prepared.step_rows(local).select("id", "label", "features").mapInArrow(
                         _gradient_fn(model.to_json(), bc, step, cfg.seed), PARTIAL_SCHEMA)
                     g, loss, correct, n = _reduce_partials(partials, cfg)
                 finally:
