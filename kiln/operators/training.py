@@ -92,6 +92,14 @@ def _features_matrix(col: pa.Array, n: int) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
+CHUNK_ROWS = 2048  # rows per model call inside a task: bounds im2col/activation memory
+
+
+def _chunks(m: int):
+    for start in range(0, m, CHUNK_ROWS):
+        yield slice(start, min(m, start + CHUNK_ROWS))
+
+
 def _list_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.float64()))
 
@@ -112,10 +120,11 @@ def _gradient_fn(model_json: str, bc, step: int, seed: int):
             y = b.column("label").to_numpy(zero_copy_only=False)
             ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             row_seeds = (np.int64(seed) * 1_000_003 + np.int64(step) * 7_919 + ids) & 0x7FFFFFFF
-            l_, g_, c_ = model.loss_grad(params, X, y, True, row_seeds)
-            grad += g_
-            loss += l_
-            correct += c_
+            for sl in _chunks(m):
+                l_, g_, c_ = model.loss_grad(params, X[sl], y[sl], True, row_seeds[sl])
+                grad += g_
+                loss += l_
+                correct += c_
             n += m
         yield pa.RecordBatch.from_arrays(
             [_list_column(grad), pa.array([loss]), pa.array([correct], pa.int64()), pa.array([n], pa.int64())],
@@ -156,8 +165,10 @@ def _eval_fn(model_json: str, bc):
                 continue
             X = _features_matrix(b.column("features"), m)
             y = b.column("label").to_numpy(zero_copy_only=False)
-            l_, _, c_ = model.loss_grad(params, X, y, False, None)
-            loss, correct, n = loss + l_, correct + c_, n + m
+            for sl in _chunks(m):
+                l_, _, c_ = model.loss_grad(params, X[sl], y[sl], False, None)
+                loss, correct = loss + l_, correct + c_
+            n += m
         yield pa.RecordBatch.from_pydict({"loss": [loss], "correct": [correct], "n": [n]},
                                          schema=pa.schema([("loss", pa.float64()), ("correct", pa.int64()),
                                                            ("n", pa.int64())]))
@@ -438,8 +449,10 @@ def predict_column(spark, model_config: dict, params: np.ndarray, features_col:
         if len(feats) == 0:
             return pd.Series([], dtype="float64")
         X = np.stack(feats.to_numpy()).astype(np.float64)
-        S = m.scores(bc.value, X)
-        out = S.argmax(axis=1).astype(np.float64) if m.task == "classification" else S[:, 0]
+        out = np.empty(len(X))
+        for sl in _chunks(len(X)):
+            S = m.scores(bc.value, X[sl])
+            out[sl] = S.argmax(axis=1) if m.task == "classification" else S[:, 0]
         return pd.Series(out)
 
     return _predict(F.col(features_col)), bc

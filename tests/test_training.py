@@ -82,3 +82,26 @@ def test_loss_falls_below_log_k(spark):
     assert res.history[0]["loss"] == pytest.approx(np.log(10))
     assert np.mean([h["loss"] for h in res.history[-3:]]) < np.log(10)
     assert res.validation["n"] > 0
+
+
+def test_chunked_model_calls_equal_one_call(spark, monkeypatch):
+    import kiln.operators.training as tr
+    df = image_table(spark, SF01)
+    cfg = TrainConfig(iters=2, batch_size=32, partitions=2, lr=0.5, storage="cache")
+    model = LinearNet(64, 10, "classification").config()
+    a = train(df, model, cfg)
+    monkeypatch.setattr(tr, "CHUNK_ROWS", 5)
+    b = train(df, model, cfg)
+    assert np.allclose(a.params, b.params, atol=1e-12)
+
+
+def test_empty_partials_leave_the_update_unchanged(spark):
+    from kiln.operators.training import PARTIAL_SCHEMA, _reduce_partials
+    rows = [([1.0, 2.0], 3.0, 1, 2), ([0.5, 0.5], 1.0, 0, 1)]
+    base = spark.createDataFrame(rows, PARTIAL_SCHEMA)
+    with_empty = base.union(spark.createDataFrame([([0.0, 0.0], 0.0, 0, 0)], PARTIAL_SCHEMA))
+    g1, l1, c1, n1 = _reduce_partials(base, TrainConfig())
+    g2, l2, c2, n2 = _reduce_partials(with_empty, TrainConfig())
+    assert np.allclose(g1, g2) and (l1, c1, n1) == (l2, c2, n2)
+    g3, *_ = _reduce_partials(with_empty.repartition(40), TrainConfig(tree_reduce_above=4))
+    assert np.allclose(g1, g3)
