@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 
 def baskets(df: DataFrame, basket_col: str, item_col: str) -> DataFrame:
-    """One row per basket with its distinct items (partial aggregation:
-    each basket is small, bounded by its own line count)."""
-    return df.groupBy(basket_col).agg(F.array_distinct(F.collect_list(item_col)).alias("items"))
+    """One row per basket with its set of items.  ``collect_set`` dedups on
+    the map side, so even a basket holding a third of all lines carries a
+    buffer bounded by the number of distinct items, never by its lines."""
+    return df.groupBy(basket_col).agg(F.collect_set(item_col).alias("items"))
 
 
 def frequent_itemsets(b: DataFrame, min_support: float, min_confidence: float = 0.5,
