@@ -56,6 +56,7 @@ EVAL_SCHEMA = T.StructType([
 @dataclass
 class TrainConfig:
     iters: int = 10
+    epochs: int = 0                   # > 0: iters = epochs x (largest shard's batch count)
     batch_size: int = 64
     partitions: int = 4
     lr: float = 0.001
@@ -372,18 +373,23 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
         train_rows, val_rows = base, None
 
     rounds = max(1, cfg.partition_shuffles)
-    per_round = int(math.ceil(cfg.iters / rounds))
+    total_iters = cfg.iters
+    per_round = int(math.ceil(total_iters / rounds))
     history: list[dict] = []
     t_start = time.time()
     step = 0
     for rnd in range(rounds):
-        if step >= cfg.iters:
+        if step >= total_iters:
             break
         keep: list = []
         prepared = PreparedRound(assign_shards_and_batches(train_rows, cfg, rnd, keep), cfg, f"train-r{rnd}", keep)
+        if cfg.epochs and rnd == 0:
+            # an epoch = one pass over the largest shard's batches
+            total_iters = cfg.epochs * max([1] + list(prepared.shard_batches.values()))
+            per_round = int(math.ceil(total_iters / rounds))
         try:
             for local in range(per_round):
-                if step >= cfg.iters:
+                if step >= total_iters:
                     break
                 t0 = time.time()
                 bc = sc.broadcast(params)

@@ -17,27 +17,33 @@ from kiln.session import scratch_path
 from kiln.sources import eventlog, image_table
 
 CNN = SmallCNN(side=IMAGE_SIDE).config()
-BASE = TrainConfig(iters=3, batch_size=64, partitions=4, lr=0.05, validation_pct=0.2, seed=SEED)
+BASE = TrainConfig(iters=3, batch_size=64, partitions=4, lr=0.001, validation_pct=0.2, seed=SEED)
+
+
+# fixed values: the batch sizes and partition counts of the benchmark scripts
+BATCH_GRID = (1, 8, 16, 32, 256, 512, 1024, 2048)
+PARTITION_GRID = (2, 6, 12, 16)
 
 
 @register("sweep_batch")
 def q_sweep_batch(spark, sf_dir):
-    """B1: batch size 8/32/128 at a fixed step count and 4 shards."""
-    grid = [{"batch_size": b} for b in (8, 32, 128)]
+    """B1: the benchmark's batch sizes on 4 shards.  A batch larger than a
+    shard uses the whole shard (the tail is kept: ``drop_last=False``)."""
+    grid = [{"batch_size": b, "drop_last": False} for b in BATCH_GRID]
     return sweep(image_table(spark, sf_dir), CNN, grid, BASE)
 
 
 @register("sweep_iters")
 def q_sweep_iters(spark, sf_dir):
     """B2: iteration sweep at batch 64 on 3 shards, one run cut at 2/4/6."""
-    base = TrainConfig(batch_size=64, partitions=3, lr=0.05, validation_pct=0.2, seed=SEED)
+    base = TrainConfig(batch_size=64, partitions=3, lr=0.001, validation_pct=0.2, seed=SEED)
     return sweep_iterations(image_table(spark, sf_dir), CNN, [2, 4, 6], base)
 
 
 @register("sweep_partitions")
 def q_sweep_partitions(spark, sf_dir):
-    """Shard count 2/4/6 at batch 32."""
-    grid = [{"partitions": p, "batch_size": 32} for p in (2, 4, 6)]
+    """The benchmark's shard counts at batch 32."""
+    grid = [{"partitions": p, "batch_size": 32} for p in PARTITION_GRID]
     return sweep(image_table(spark, sf_dir), CNN, grid, BASE)
 
 
