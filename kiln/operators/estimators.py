@@ -42,16 +42,19 @@ class MinibatchTrainer(Estimator, _TrainerParams, MLReadable, MLWritable):
                               typeConverter=TypeConverters.toInt)
     fullBatch = Param(Params._dummy(), "fullBatch", "use all rows each step", typeConverter=TypeConverters.toBoolean)
     storage = Param(Params._dummy(), "storage", "table|cache", typeConverter=TypeConverters.toString)
+    localSteps = Param(Params._dummy(), "localSteps", "minibatches per shard per job (local SGD); 1 = synchronous",
+                       typeConverter=TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, *, modelConfig=None, featuresCol="features", labelCol="label",
                  predictionCol="prediction", idCol="id", iters=10, miniBatch=64, partitions=4, lr=0.001,
                  optimizer="sgd", validationPct=0.0, shardBy="hash", partitionShuffles=1,
-                 fullBatch=False, storage="table", seed=42):
+                 fullBatch=False, storage="table", localSteps=1, seed=42):
         super().__init__()
         self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", idCol="id",
                          iters=10, miniBatch=64, partitions=4, lr=0.001, optimizer="sgd", validationPct=0.0,
-                         shardBy="hash", partitionShuffles=1, fullBatch=False, storage="table", seed=42)
+                         shardBy="hash", partitionShuffles=1, fullBatch=False, storage="table", localSteps=1,
+                         seed=42)
         self._set(**self._input_kwargs)
 
     def config(self) -> TrainConfig:
@@ -60,7 +63,7 @@ class MinibatchTrainer(Estimator, _TrainerParams, MLReadable, MLWritable):
                            lr=g(self.lr), optimizer=g(self.optimizer), validation_pct=g(self.validationPct),
                            seed=g(self.seed), shard_by=g(self.shardBy),
                            partition_shuffles=g(self.partitionShuffles), full_batch=g(self.fullBatch),
-                           storage=g(self.storage))
+                           storage=g(self.storage), local_steps=g(self.localSteps))
 
     def _fit(self, dataset: DataFrame) -> "MinibatchModel":
         id_col = self.getOrDefault(self.idCol)

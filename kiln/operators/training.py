@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -74,6 +74,8 @@ class TrainConfig:
     keep_params: bool = False         # store the weights after every step in the history
     materialize_input: bool = True    # persist (id, label, features) while preparing and evaluating
     eval_at: tuple = ()               # also evaluate validation after these step counts
+    eval_per_epoch: bool = False      # with ``epochs``: validate at the end of every epoch
+    local_steps: int = 1              # > 1: local SGD, k minibatches per shard per job, deltas averaged
     layout_partitions: int = 0        # range partitions of the prepared table (0: max(P, shuffle partitions))
     batches_per_folder: int = 64      # prepared table folders: bgroup = batch div this
 
@@ -127,6 +129,8 @@ def _gradient_fn(model_json: str, bc, step: int, seed: int):
                 loss += l_
                 correct += c_
             n += m
+        if n == 0:
+            return  # nothing read for this step: no partial row at all
         yield pa.RecordBatch.from_arrays(
             [_list_column(grad), pa.array([loss]), pa.array([correct], pa.int64()), pa.array([n], pa.int64())],
             schema=pa.schema([("grad", pa.list_(pa.float64())), ("loss", pa.float64()),
@@ -135,6 +139,43 @@ def _gradient_fn(model_json: str, bc, step: int, seed: int):
     return run
 
 
+def _local_sgd_fn(model_json: str, bc, first_local: int, first_step: int, k: int, lr: float, seed: int):
+    """``groupBy(shard).applyInArrow`` body for ``local_steps = k``: the
+    shard runs k SGD steps from the broadcast weights on its minibatches
+    ``(first_local + i) mod n_batches`` and returns its weight delta times
+    its row count (``grad`` field); the driver divides the sum by all rows.
+    With k = 1 this is one synchronous SGD step.  The group is k minibatches
+    of one shard: bounded by k x B rows."""
+
+    def run(tbl: pa.Table) -> pa.Table:
+        model = build_model(model_json)
+        params = bc.value
+        w, loss, correct, m = params.copy(), 0.0, 0, 0
+        if tbl.num_rows:
+            X = _features_matrix(pa.concat_arrays(tbl.column("features").chunks), tbl.num_rows)
+            y = tbl.column("label").to_numpy()
+            ids = tbl.column("id").to_numpy().astype(np.int64)
+            batch = tbl.column("batch").to_numpy()
+            nb = int(tbl.column("n_batches").to_numpy()[0])
+            for i in range(k):
+                sel = batch == (first_local + i) % nb
+                rows = int(sel.sum())
+                if rows == 0:
+                    continue
+                step = first_step + i
+                seeds = (np.int64(seed) * 1_000_003 + np.int64(step) * 7_919 + ids[sel]) & 0x7FFFFFFF
+                l_, g_, c_ = model.loss_grad(w, X[sel], y[sel], True, seeds)
+                w = w - lr * g_ / rows
+                loss, correct, m = loss + l_, correct + c_, m + rows
+        return pa.Table.from_arrays(
+            [_list_column((w - params) * m), pa.array([loss]), pa.array([correct], pa.int64()),
+             pa.array([m], pa.int64())],
+            schema=pa.schema([("grad", pa.list_(pa.float64())), ("loss", pa.float64()),
+                              ("correct", pa.int64()), ("n", pa.int64())]))
+
+    return run
+
+
 def _sum_partials_fn():
     def run(batches):
         total, loss, correct, n = None, 0.0, 0, 0
@@ -242,15 +283,31 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int,
     return out.drop("_k_key", "_k_rn", "_k_n")
 
 
+LAYOUT_TARGET_BYTES = 128 * 1024 * 1024
+
+
 def layout_partitions(spark, cfg: TrainConfig) -> int:
-    """Range partitions of the prepared table: at least one per shard, and
-    at least the session's shuffle partitions, so that a shard of a large
-    table spans several right-sized files instead of one huge task."""
+    """Range partitions of the prepared table: at least one per shard, at
+    most the session's shuffle partitions (``train`` sizes it from the data:
+    about 128 MB per file), so a shard of a large table spans several
+    right-sized files and a small table keeps one file per shard."""
     if cfg.layout_partitions:
         return max(cfg.partitions, cfg.layout_partitions)
     return max(cfg.partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def sized_layout(train_rows: DataFrame, cfg: TrainConfig) -> int:
+    """Files needed for ~128 MB each (rows x estimated row width), clamped
+    to [shards, shuffle partitions].  One count over the persisted input."""
+    spark = train_rows.sparkSession
+    n = train_rows.count()
+    first = train_rows.select(F.size("features").alias("d")).first()
+    width = 4 * (first["d"] if first else 1) * (2 if cfg.feature_dtype == "double" else 1) + 48
+    want = int(math.ceil(n * width / LAYOUT_TARGET_BYTES))
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(cfg.partitions, min(cap, want))
+
+
 def _already_laid_out(cfg: TrainConfig) -> bool:
     """The ranking shuffle of hash/label sharding already range-partitioned
     the rows by (shard, key): rows of a shard are contiguous and batches
@@ -296,6 +353,20 @@ class PreparedRound:
                               for r in self.table.groupBy("shard").agg(F.max("n_batches").alias("n_batches"))
                               .collect()}
 
+    def window_rows(self, first: int, k: int) -> DataFrame:
+        """Rows of minibatches ``first .. first+k-1`` (mod each shard's count)."""
+        wanted = sorted({(first + i) % nb for nb in self.shard_batches.values() if nb > 0 for i in range(k)})
+        if not wanted:
+            return self.table.limit(0)
+        rows = self.table
+        groups = sorted({w // self.per_folder for w in wanted})
+        if len(groups) <= 64:
+            rows = rows.filter(F.col("bgroup").isin(groups))
+        if len(wanted) <= 256:
+            rows = rows.filter(F.col("batch").isin(wanted))
+        offset = F.pmod(F.col("batch") - F.lit(first), F.col("n_batches"))
+        return rows.filter(offset < F.least(F.lit(k), F.col("n_batches")))
+
     def step_rows(self, local_step: int) -> DataFrame:
         wanted = sorted({local_step % nb for nb in self.shard_batches.values() if nb > 0})
         if not wanted:
@@ -316,19 +387,19 @@ class PreparedRound:
 
 
 def _reduce_partials(partials: DataFrame, cfg: TrainConfig):
-    parts = partials.collect() if partials.rdd.getNumPartitions() <= cfg.tree_reduce_above else \
-        partials.repartition(int(math.ceil(math.sqrt(partials.rdd.getNumPartitions()))))\
-        .mapInArrow(_sum_partials_fn(), PARTIAL_SCHEMA).collect()
-    total, loss, correct, n = None, 0.0, 0, 0
-    for r in parts:
-        if r["n"] == 0:
-            continue
-        g = np.asarray(r["grad"], dtype=np.float64)
-        total = g if total is None else total + g
-        loss += r["loss"]
-        correct += r["correct"]
-        n += r["n"]
-    return total, loss, correct, n
+    """Sum the per-task partial rows (model-sized each).  Up to
+    ``tree_reduce_above`` tasks the rows come to the driver as Arrow; beyond
+    that one more Spark level sums them in about sqrt(#tasks) groups first."""
+    n_tasks = partials.rdd.getNumPartitions()
+    if n_tasks > cfg.tree_reduce_above:
+        partials = (partials.repartition(int(math.ceil(math.sqrt(n_tasks))))
+                    .mapInArrow(_sum_partials_fn(), PARTIAL_SCHEMA))
+    tbl = partials.toArrow()
+    if tbl.num_rows == 0:
+        return None, 0.0, 0, 0
+    G = _features_matrix(pa.concat_arrays(tbl.column("grad").chunks), tbl.num_rows)
+    return (G.sum(axis=0), float(pc.sum(tbl.column("loss")).as_py() or 0.0),
+            int(pc.sum(tbl.column("correct")).as_py() or 0), int(pc.sum(tbl.column("n")).as_py() or 0))
 
 
 def evaluate(df: DataFrame, model_config: dict, params: np.ndarray) -> dict:
@@ -372,8 +443,13 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
     else:
         train_rows, val_rows = base, None
 
+    if cfg.local_steps > 1 and cfg.optimizer != "sgd":
+        raise ValueError("local_steps > 1 averages plain SGD runs; use optimizer='sgd'")
+    if not cfg.layout_partitions:
+        cfg = replace(cfg, layout_partitions=sized_layout(train_rows, cfg))
     rounds = max(1, cfg.partition_shuffles)
     total_iters = cfg.iters
+    eval_every = cfg.eval_every
     per_round = int(math.ceil(total_iters / rounds))
     history: list[dict] = []
     t_start = time.time()
@@ -385,22 +461,32 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
         prepared = PreparedRound(assign_shards_and_batches(train_rows, cfg, rnd, keep), cfg, f"train-r{rnd}", keep)
         if cfg.epochs and rnd == 0:
             # an epoch = one pass over the largest shard's batches
-            total_iters = cfg.epochs * max([1] + list(prepared.shard_batches.values()))
+            per_epoch = max([1] + list(prepared.shard_batches.values()))
+            total_iters = cfg.epochs * per_epoch
             per_round = int(math.ceil(total_iters / rounds))
+            if cfg.eval_per_epoch:
+                eval_every = per_epoch
         try:
-            for local in range(per_round):
-                if step >= total_iters:
-                    break
+            local = 0
+            while local < per_round and step < total_iters:
+                k = min(cfg.local_steps, per_round - local, total_iters - step)
                 t0 = time.time()
                 bc = sc.broadcast(params)
                 try:
-                    partials = prepared.step_rows(local).select("id", "label", "features").mapInArrow(
-                        _gradient_fn(model.to_json(), bc, step, cfg.seed), PARTIAL_SCHEMA)
+                    if cfg.local_steps > 1:
+                        partials = (prepared.window_rows(local, k)
+                                    .select("id", "label", "features", "shard", "batch", "n_batches")
+                                    .groupBy("shard")
+                                    .applyInArrow(_local_sgd_fn(model.to_json(), bc, local, step, k, cfg.lr,
+                                                                cfg.seed), PARTIAL_SCHEMA))
+                    else:
+                        partials = prepared.step_rows(local).select("id", "label", "features").mapInArrow(
+                            _gradient_fn(model.to_json(), bc, step, cfg.seed), PARTIAL_SCHEMA)
                     g, loss, correct, n = _reduce_partials(partials, cfg)
                 finally:
                     bc.destroy()
                 if n > 0:
-                    params = opt.step(params, g / n)
+                    params = params + g / n if cfg.local_steps > 1 else opt.step(params, g / n)
                 rec = {"round": rnd, "iter": step, "split": "train", "n": n,
                        "loss": loss / n if n else None,
                        "acc": correct / n if n and model.task == "classification" else None,
@@ -408,8 +494,9 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
                 if cfg.keep_params:
                     rec["params"] = params.copy()
                 history.append(rec)
-                step += 1
-                due = (cfg.eval_every and step % cfg.eval_every == 0) or step in cfg.eval_at
+                step += k
+                local += k
+                due = (eval_every and step % eval_every == 0) or step in cfg.eval_at
                 if due and val_rows is not None:
                     v = evaluate(val_rows, model.config(), params)
                     history.append({"round": rnd, "iter": step - 1, "split": "validation", "n": v["n"],

@@ -192,7 +192,7 @@ def q_training_history(spark, sf_dir):
 
 
 def image_pipeline(partitions=4, iters=4, batch=64, shard_by="hash", shuffles=1, lr=0.001,
-                   model=None, optimizer="sgd", validation_pct=0.2, storage="table"):
+                   model=None, optimizer="sgd", validation_pct=0.2, storage="table", local_steps=1):
     """The canonical benchmark pipeline: feature stage + distributed trainer."""
     scale = SQLTransformer(statement="SELECT *, transform(features, x -> (x - 0.0) / 0.125) AS scaled "
                                      "FROM __THIS__")
@@ -200,7 +200,7 @@ def image_pipeline(partitions=4, iters=4, batch=64, shard_by="hash", shuffles=1,
                                featuresCol="scaled", labelCol="label", predictionCol="prediction",
                                idCol="id", iters=iters, miniBatch=batch, partitions=partitions, lr=lr,
                                optimizer=optimizer, validationPct=validation_pct, shardBy=shard_by,
-                               partitionShuffles=shuffles, storage=storage, seed=SEED)
+                               partitionShuffles=shuffles, storage=storage, localSteps=local_steps, seed=SEED)
     return Pipeline(stages=[scale, trainer])
 
 
@@ -237,6 +237,14 @@ def q_train_cnn(spark, sf_dir):
     return spark.createDataFrame([row], REPORT_SCHEMA)
 
 
+@register("train_local_sgd")
+def q_train_local_sgd(spark, sf_dir):
+    """The canonical CNN pipeline with local SGD: 8 steps as 2 jobs of 4
+    minibatches per shard, weight deltas averaged by rows."""
+    row = run_image_benchmark(spark, image_table(spark, sf_dir), partitions=4, iters=8, batch=64, local_steps=4)
+    return spark.createDataFrame([row], REPORT_SCHEMA)
+
+
 @register("train_skewed")
 def q_train_skewed(spark, sf_dir):
     """Same, rows dealt to shards by hash of label, 4 re-deal rounds."""
@@ -257,7 +265,7 @@ def q_train_mlp(spark, sf_dir):
     step (loss, accuracy)."""
     parts = mlp_splits(spark, sf_dir)
     cfg = TrainConfig(epochs=3, batch_size=64, partitions=1, lr=1e-3, optimizer="adam", validation_pct=0.2,
-                      seed=SEED, eval_every=5)
+                      seed=SEED, eval_per_epoch=True)
     res = train(parts.filter(F.col("split") == "train"), MLP([64, 128, 256, 10]).config(), cfg)
     return history_frame(spark, res)
 

@@ -105,3 +105,57 @@ def test_empty_partials_leave_the_update_unchanged(spark):
     assert np.allclose(g1, g2) and (l1, c1, n1) == (l2, c2, n2)
     g3, *_ = _reduce_partials(with_empty.repartition(40), TrainConfig(tree_reduce_above=4))
     assert np.allclose(g1, g3)
+
+
+def _replay_local_sgd(spark, df, model_cfg, cfg):
+    model = build_model(model_cfg)
+    base = standardize_input(df, "id", "label", "features", cfg.feature_dtype)
+    plan = assign_shards_and_batches(base, cfg, 0).toPandas()
+    params = model.init(cfg.seed)
+    for j in range(0, cfg.iters, cfg.local_steps):
+        k = min(cfg.local_steps, cfg.iters - j)
+        total, rows_all = np.zeros_like(params), 0
+        for _, sh in plan.groupby("shard"):
+            nb = int(sh.n_batches.iloc[0])
+            w, m = params.copy(), 0
+            for i in range(k):
+                rows = sh[sh.batch == (j + i) % nb]
+                X = np.stack(rows.features.to_numpy()).astype(np.float64)
+                seeds = (np.int64(cfg.seed) * 1_000_003 + np.int64(j + i) * 7_919
+                         + rows.id.to_numpy().astype(np.int64)) & 0x7FFFFFFF
+                _, g, _ = model.loss_grad(w, X, rows.label.to_numpy(), True, seeds)
+                w = w - cfg.lr * g / len(rows)
+                m += len(rows)
+            total += (w - params) * m
+            rows_all += m
+        params = params + total / rows_all
+    return params
+
+
+@pytest.mark.parametrize("local_steps", [2, 3])
+def test_local_sgd_equals_replay_and_cuts_jobs(spark, local_steps):
+    df = image_table(spark, SF01)
+    cfg = TrainConfig(iters=6, batch_size=16, partitions=3, lr=0.5, storage="table", local_steps=local_steps)
+    model = SmallCNN(side=8, c1=2, c2=4).config()
+    res = train(df, model, cfg)
+    assert len(res.history) == 6 // local_steps
+    assert np.allclose(res.params, _replay_local_sgd(spark, df, model, cfg), atol=1e-10)
+
+
+def test_one_local_step_is_synchronous_sgd(spark):
+    from kiln.operators import training as tr
+    df = image_table(spark, SF01)
+    model = LinearNet(64, 10, "classification").config()
+    cfg = TrainConfig(iters=1, batch_size=16, partitions=3, lr=0.5, storage="cache")
+    sync = train(df, model, cfg)
+    base = standardize_input(df, "id", "label", "features")
+    keep = []
+    prep = tr.PreparedRound(assign_shards_and_batches(base, cfg, 0, keep), cfg, "t-one", keep)
+    m = build_model(model)
+    bc = spark.sparkContext.broadcast(m.init(cfg.seed))
+    parts = (prep.window_rows(0, 1).select("id", "label", "features", "shard", "batch", "n_batches")
+             .groupBy("shard").applyInArrow(tr._local_sgd_fn(m.to_json(), bc, 0, 0, 1, cfg.lr, cfg.seed),
+                                            tr.PARTIAL_SCHEMA))
+    g, _, _, n = tr._reduce_partials(parts, cfg)
+    prep.release()
+    assert np.allclose(m.init(cfg.seed) + g / n, sync.params, atol=1e-12)
