@@ -152,14 +152,18 @@ def q_linreg_elastic(spark, sf_dir):
     0.2) with its training report (S10): coefficients, intercept,
     iterations, MSE, RMSE, r2."""
     d = doc_features(spark, sf_dir)
-    data = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(d)
-    m = LinearRegression(featuresCol="features", labelCol="target", maxIter=100, regParam=0.3,
-                         elasticNetParam=0.2).fit(data)
-    s = m.summary
+    # the fit and its summary both read the assembled rows: text features once
+    data = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(d).persist()
+    try:
+        m = LinearRegression(featuresCol="features", labelCol="target", maxIter=100, regParam=0.3,
+                             elasticNetParam=0.2).fit(data)
+        s = m.summary
+        row = ([float(v) for v in m.coefficients], float(m.intercept), int(s.totalIterations),
+               float(s.meanSquaredError), float(s.rootMeanSquaredError), float(s.r2))
+    finally:
+        data.unpersist()
     return spark.createDataFrame(
-        [([float(v) for v in m.coefficients], float(m.intercept), int(s.totalIterations),
-          float(s.meanSquaredError), float(s.rootMeanSquaredError), float(s.r2))],
-        "coefficients array<double>, intercept double, iterations int, mse double, rmse double, r2 double")
+        [row], "coefficients array<double>, intercept double, iterations int, mse double, rmse double, r2 double")
 
 
 def svm_input(spark, sf_dir):
@@ -326,15 +330,19 @@ def q_training_report(spark, sf_dir):
     MSE/RMSE/r2 of the elastic-net fit (the schema print becomes the
     ``schema`` column)."""
     d = doc_features(spark, sf_dir)
-    data = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(d)
-    m = LinearRegression(featuresCol="features", labelCol="target", maxIter=100, regParam=0.3,
-                         elasticNetParam=0.2).fit(data)
-    s = m.summary
-    res = s.residuals.agg(F.min("residuals").alias("lo"), F.max("residuals").alias("hi")).first()
+    data = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(d).persist()
+    try:
+        m = LinearRegression(featuresCol="features", labelCol="target", maxIter=100, regParam=0.3,
+                             elasticNetParam=0.2).fit(data)
+        s = m.summary
+        res = s.residuals.agg(F.min("residuals").alias("lo"), F.max("residuals").alias("hi")).first()
+        row = (d.schema.simpleString(), [float(v) for v in m.coefficients], float(m.intercept),
+               int(s.totalIterations), len(s.objectiveHistory), float(res["lo"]), float(res["hi"]),
+               float(s.meanSquaredError), float(s.rootMeanSquaredError), float(s.r2))
+    finally:
+        data.unpersist()
     return spark.createDataFrame(
-        [(d.schema.simpleString(), [float(v) for v in m.coefficients], float(m.intercept), int(s.totalIterations),
-          len(s.objectiveHistory), float(res["lo"]), float(res["hi"]), float(s.meanSquaredError),
-          float(s.rootMeanSquaredError), float(s.r2))],
+        [row],
         "schema string, coefficients array<double>, intercept double, iterations int, history_len int, "
         "residual_min double, residual_max double, mse double, rmse double, r2 double")
 
