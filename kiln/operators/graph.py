@@ -76,10 +76,10 @@ def connected_components(edges: DataFrame, max_iter: int = 50, checkpoint_every:
         if checkpoint_every and (i + 1) % checkpoint_every == 0:
             ensure_checkpoint_dir(spark)
             new = new.checkpoint(eager=True)
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node") \
-            .filter(F.col("component") != F.col("old")).limit(1).count()
+        stable = (new.join(labels.withColumnRenamed("component", "old"), "node")
+                  .filter(F.col("component") != F.col("old")).isEmpty())
         labels = new
-        if changed == 0:
+        if stable:
             break
     labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
     labels.count()

@@ -35,9 +35,14 @@ def als_fit(ratings: DataFrame, user: str = "user", item: str = "item", rating:
                ratingCol=rating, coldStartStrategy="drop", seed=seed).fit(ratings)
 
 
-def top_k_items(model, k: int, user: str = "user") -> DataFrame:
-    """``recommendForAllUsers(k)`` flattened to ``(user, rank, item, score)``."""
-    recs = model.recommendForAllUsers(k)
-    return (recs.select(user, F.posexplode("recommendations").alias("pos", "r"))
-            .select(user, (F.col("pos") + 1).alias("rank"), F.col("r")[model.getItemCol()].alias("item"),
-                    F.col("r.rating").alias("score")))
+def evaluate_fit(model, ratings: DataFrame, user: str = "user", item: str = "item",
+                 rating: str = "rating") -> DataFrame:
+    """Per user: the purchased item with the highest predicted score
+    (``max_by``: a bounded buffer per group, partial aggregation) and the
+    squared error on the user's observed ratings.  Scoring is restricted to
+    observed pairs: no user x item product is formed."""
+    pred = model.transform(ratings)
+    return (pred.groupBy(user)
+            .agg(F.max_by(item, "prediction").alias("best_item"), F.max("prediction").alias("best_score"),
+                 F.sum(F.pow(F.col(rating) - F.col("prediction"), 2)).alias("sse"),
+                 F.count(F.lit(1)).alias("n")))
