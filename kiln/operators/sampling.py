@@ -50,12 +50,22 @@ def split_fraction(df: DataFrame, seed: int, id_col: str, weights: Sequence[floa
 def split_exact(df: DataFrame, seed: int, id_col: str, holdout: int,
                 names: Sequence[str] = ("train", "validation"), out: str = "split") -> DataFrame:
     """``random_split(ds, [n - v, v])``: exactly ``holdout`` rows (the first in
-    the seeded order) go to ``names[1]``."""
-    keyed = df.withColumn("_k_key", seeded_hash32(seed, F.lit("split"), id_col))
-    ranked = row_number_distributed(keyed, ["_k_key", id_col], out="_k_rn")
-    return (ranked.withColumn(out, F.when(F.col("_k_rn") <= holdout, F.lit(names[1]))
-                              .otherwise(F.lit(names[0])))
-            .drop("_k_key", "_k_rn"))
+    the seeded order) go to ``names[1]``.
+
+    Only the narrow (key, id) pairs are ranked, to find the ``holdout``-th
+    pair (one row to the driver); the split itself is then a projection of
+    the original rows, so wide rows are never shuffled."""
+    key = seeded_hash32(seed, F.lit("split"), id_col)
+    keyed = df.withColumn("_k_key", key)
+    if holdout <= 0:
+        return df.withColumn(out, F.lit(names[0]))
+    ranked = row_number_distributed(keyed.select("_k_key", id_col), ["_k_key", id_col], out="_k_rn")
+    t = ranked.filter(F.col("_k_rn") == holdout).select("_k_key", id_col).first()
+    if t is None:  # fewer rows than the hold-out: every row is held out
+        return df.withColumn(out, F.lit(names[1]))
+    k, i = t["_k_key"], t[id_col]
+    held = (F.col("_k_key") < F.lit(k)) | ((F.col("_k_key") == F.lit(k)) & (F.col(id_col) <= F.lit(i)))
+    return keyed.withColumn(out, F.when(held, F.lit(names[1])).otherwise(F.lit(names[0]))).drop("_k_key")
 
 
 def hash_shard(df: DataFrame, seed: int, id_col: str, shards: int, out: str = "shard",
