@@ -106,9 +106,13 @@ class MinibatchModel(Model, _TrainerParams, MLReadable, MLWritable):
         if isinstance(dataset.schema[fcol].dataType, VectorUDT):
             feats = vector_to_array(feats, "float64")
         staged = dataset.withColumn("__kiln_features", feats.cast("array<double>"))
-        pred, _bc = predict_column(spark, json.loads(self.getOrDefault(self.modelConfig)), self.weights,
-                                   "__kiln_features")
-        return staged.withColumn(self.getPredictionCol(), pred).drop("__kiln_features")
+        app = spark.sparkContext.applicationId
+        if getattr(self, "_scorer", None) is None or self._scorer[0] != app:
+            # one weights broadcast per model and application, reused by every transform
+            pred_fn, _ = predict_column(spark, json.loads(self.getOrDefault(self.modelConfig)), self.weights,
+                                        "__kiln_features")
+            self._scorer = (app, pred_fn)
+        return staged.withColumn(self.getPredictionCol(), self._scorer[1]).drop("__kiln_features")
 
     def evaluate(self, dataset: DataFrame) -> dict:
         df = standardize_input(dataset, self.getOrDefault(self.idCol), self.getLabelCol(), self.getFeaturesCol())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.operators.joins import join_small
+from kiln.session import ensure_checkpoint_dir
 
 TOKEN_SPLIT = r"[^\p{L}]+"   # a token is a maximal run of letters
 
@@ -47,8 +48,12 @@ def derive_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     stats = present.groupBy("term").agg(F.sum("_flag").alias("pos"), F.count(F.lit(1)).alias("df"))
     odds = F.log(((F.col("pos") + 1) / (F.col("df") - F.col("pos") + 1)) * F.lit((n_neg + 1) / (n_pos + 1)))
     score = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.round(odds, 0).cast("int")))
-    return (stats.filter(F.col("df") >= min_docs).select("term", score.alias("score"))
-            .filter(F.col("score") != 0))
+    lexicon = (stats.filter(F.col("df") >= min_docs).select("term", score.alias("score"))
+               .filter(F.col("score") != 0))
+    # a derived model table: written once (size check, broadcast and any
+    # later use read the materialised rows instead of re-aggregating)
+    ensure_checkpoint_dir(docs.sparkSession)
+    return lexicon.checkpoint(eager=True)
 
 
 def score_documents(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
