@@ -35,16 +35,46 @@ def read_lexicon(spark, path: str) -> DataFrame:
             .withColumn("term", F.lower("term")))
 
 
+def _grams(toks: Column, n: int) -> Column:
+    """``struct(pos, n, key)`` for every run of ``n`` consecutive tokens
+    (1-based start ``pos``; ``key`` = the tokens joined by one space)."""
+    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)) \
+        .otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"),
+                                                  F.array_join(F.slice(toks, i, n), " ").alias("key")))
+
+
+def ngrams(toks: Column, lengths) -> Column:
+    """Keys of all runs of 1..n consecutive tokens, n in ``lengths``."""
+    return F.concat(*[F.transform(_grams(toks, n), lambda g: g["key"]) for n in sorted(lengths)])
+
+
+def lexicon_keys(lexicon: DataFrame, term_col: str = "term", score_col: str = "score") -> DataFrame:
+    """Lexicon entries in token form: ``key`` = the entry's tokens joined by
+    one space, ``n`` = its token count.  ``cover-up`` and ``can't stand``
+    become the phrases ``cover up`` and ``can t stand``, so an entry matches
+    exactly where the document tokenizer produces its words.  Entries that
+    normalise to the same key keep the score of the smallest original text."""
+    toks = lexicon.select(tokens(term_col).alias("_toks"), F.col(score_col).cast("bigint").alias("score"),
+                          F.col(term_col).alias("_term"))
+    return (toks.select(F.array_join("_toks", " ").alias("key"), F.size("_toks").alias("n"), "score", "_term")
+            .filter(F.col("n") > 0)
+            .groupBy("key", "n").agg(F.min_by("score", "_term").alias("score")))
+
+
 def derive_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   flag_col: str = "toxic", min_docs: int = 3, clip: int = 5) -> DataFrame:
+                   flag_col: str = "toxic", min_docs: int = 3, clip: int = 5, max_words: int = 1) -> DataFrame:
     """Integer term scores in [-clip, clip] from labelled documents: rounded
     log-odds of a term occurring in flagged vs. unflagged documents
     (add-one smoothed); terms in fewer than ``min_docs`` labelled documents
-    and zero scores are dropped."""
+    and zero scores are dropped.  A term is a run of 1..``max_words``
+    consecutive tokens (``max_words`` > 1 adds phrases)."""
     lab = docs.join(labels.select(id_col, F.col(flag_col).alias("_flag")), id_col)
     totals = lab.agg(F.sum("_flag").alias("n_pos"), F.count(F.lit(1)).alias("n_all")).first()
     n_pos, n_neg = int(totals["n_pos"] or 0), int(totals["n_all"] - (totals["n_pos"] or 0))
-    present = lab.select(id_col, "_flag", F.explode(F.array_distinct(tokens(text_col))).alias("term"))
+    lab = lab.select(id_col, "_flag", tokens(text_col).alias("_toks"))
+    terms = F.col("_toks") if max_words == 1 else ngrams(F.col("_toks"), range(1, max_words + 1))
+    present = lab.select(id_col, "_flag", F.explode(F.array_distinct(terms)).alias("term"))
     stats = present.groupBy("term").agg(F.sum("_flag").alias("pos"), F.count(F.lit(1)).alias("df"))
     odds = F.log(((F.col("pos") + 1) / (F.col("df") - F.col("pos") + 1)) * F.lit((n_neg + 1) / (n_pos + 1)))
     score = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.round(odds, 0).cast("int")))
@@ -58,12 +88,36 @@ def derive_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def score_documents(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """Sum of lexicon scores over every token occurrence of every whole
-    document; documents without a match score 0."""
-    toks = explode_tokens(docs, id_col, text_col)
-    hits = join_small(toks, lexicon, "term")
-    per_doc = hits.groupBy(id_col).agg(F.sum("score").cast("bigint").alias("score"),
-                                       F.count(F.lit(1)).alias("n_matched"))
+    """Lexicon score of every whole document: ``score`` = sum of the matched
+    entries' scores, ``n_matched`` = number of matches; documents without a
+    match score 0.
+
+    Entries may be phrases.  The text is read left to right; at each token
+    the longest entry starting there matches and its tokens are consumed,
+    so ``not good`` is scored as the phrase, never also as ``good``.  With
+    single-word entries only this is the plain sum over token occurrences."""
+    lex = lexicon_keys(lexicon)
+    lengths = sorted(int(r["n"]) for r in lex.select("n").distinct().collect())  # <= longest entry
+    toks = docs.select(id_col, tokens(text_col).alias("_toks"))
+    if lengths in ([], [1]):
+        hits = join_small(toks.select(id_col, F.explode("_toks").alias("key")), lex.select("key", "score"), "key")
+        # partial aggregation before the shuffle: one row per document and task
+        per_doc = hits.groupBy(id_col).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_matched"))
+    else:
+        grams = toks.select(id_col, F.explode(F.concat(*[_grams(F.col("_toks"), n) for n in lengths])).alias("g"))
+        grams = grams.select(id_col, "g.pos", "g.n", "g.key")
+        hits = join_small(grams, lex.select("key", "score"), "key")
+        # one document's matches (at most lengths x its tokens) in text
+        # order, longest first at a position; a fold keeps the greedy ones
+        per_doc = hits.groupBy(id_col).agg(
+            F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("neg_n"), "score"))).alias("_m"))
+        zero = F.struct(F.lit(0).alias("next"), F.lit(0).cast("bigint").alias("score"),
+                        F.lit(0).cast("bigint").alias("n_matched"))
+        walk = F.aggregate("_m", zero, lambda acc, m: F.when(
+            m["pos"] >= acc["next"],
+            F.struct((m["pos"] - m["neg_n"]).alias("next"), (acc["score"] + m["score"]).alias("score"),
+                     (acc["n_matched"] + 1).alias("n_matched"))).otherwise(acc))
+        per_doc = per_doc.select(id_col, walk.alias("_w")).select(id_col, "_w.score", "_w.n_matched")
     return (docs.select(id_col).join(per_doc, id_col, "left")
             .select(id_col, F.coalesce("score", F.lit(0)).cast("bigint").alias("score"),
                     F.coalesce("n_matched", F.lit(0)).cast("bigint").alias("n_matched")))

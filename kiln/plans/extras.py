@@ -282,6 +282,45 @@ def q_sentiment_score(spark, sf_dir):
     return text.score_documents(read_table(spark, sf_dir, "documents"), toxic_lexicon(spark, sf_dir))
 
 
+TOKENS_SQL = r"list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda s: s <> '')"
+
+
+@register("sentiment_phrases", f"""
+WITH lab AS (SELECT d.doc_id, l.toxic AS flag, {TOKENS_SQL} AS t FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+     tot AS (SELECT sum(flag) AS n_pos, count(*) - sum(flag) AS n_neg FROM lab),
+     pres AS (SELECT DISTINCT doc_id, flag, term
+              FROM (SELECT doc_id, flag,
+                           unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))
+                           AS term FROM lab)),
+     st AS (SELECT term, sum(flag) AS pos, count(*) AS df FROM pres GROUP BY term),
+     lex AS (SELECT term AS key, greatest(-5, least(5, CAST(round(ln(((pos + 1) / (df - pos + 1))
+                                                            * ((tot.n_neg + 1) / (tot.n_pos + 1)))) AS INTEGER))) AS score
+             FROM st, tot WHERE df >= 3),
+     toks AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents),
+     grams AS (SELECT doc_id, g.pos AS pos, g.n AS n, g.key AS key
+               FROM (SELECT doc_id, unnest(list_concat(
+                         list_transform(range(1, len(t) + 1), lambda i: {{'pos': i, 'n': 1, 'key': t[i]}}),
+                         list_transform(range(1, len(t)), lambda i: {{'pos': i, 'n': 2, 'key': t[i] || ' ' || t[i + 1]}})))
+                         AS g FROM toks)),
+     hits AS (SELECT doc_id, list({{'pos': pos, 'n': n, 'score': score}} ORDER BY pos, n DESC) AS m
+              FROM grams JOIN lex USING (key) WHERE score <> 0 GROUP BY doc_id),
+     walk AS (SELECT doc_id,
+                     list_reduce(m, lambda acc, x: CASE WHEN x.pos >= acc.nx
+                                      THEN {{'nx': x.pos + x.n, 's': acc.s + x.score, 'k': acc.k + 1}} ELSE acc END,
+                                 {{'nx': 0::BIGINT, 's': 0::BIGINT, 'k': 0::BIGINT}}) AS w
+              FROM hits)
+SELECT d.doc_id, CAST(coalesce(w.w.s, 0) AS BIGINT) AS score, CAST(coalesce(w.w.k, 0) AS BIGINT) AS n_matched
+FROM documents d LEFT JOIN walk w ON d.doc_id = w.doc_id
+""")
+def q_sentiment_phrases(spark, sf_dir):
+    """Lexicon scoring with phrases: words and two-word phrases scored from
+    the toxicity labels; every whole document read left to right, the
+    longest entry at each token matched and its tokens consumed."""
+    docs = read_table(spark, sf_dir, "documents")
+    lexicon = text.derive_lexicon(docs, read_table(spark, sf_dir, "labels"), max_words=2)
+    return text.score_documents(docs, lexicon)
+
+
 @register("sentiment_stream")
 def q_sentiment_stream(spark, sf_dir):
     """The same scoring as a Structured Streaming job over document files

@@ -196,3 +196,61 @@ def test_lexicon_scores_are_bounded_integers(spark, min_docs):
     docs = read_table(spark, SF001, "documents")
     lex = text.derive_lexicon(docs, read_table(spark, SF001, "labels"), min_docs=min_docs).collect()
     assert lex and all(-5 <= r["score"] <= 5 and r["score"] != 0 for r in lex)
+
+
+# fixed values: phrase, hyphen and apostrophe entries of the sample lexicon
+# file, with two of their single words added (score 3 and 1)
+PHRASE_LEXICON = [("not good", -2), ("does not work", -3), ("can't stand", -3), ("cover-up", -3),
+                  ("once-in-a-lifetime", 3), ("good", 3), ("stand", 1)]
+
+
+def _greedy_score(tokens, lexicon):
+    """Brute force: left to right, the longest entry at each token matches."""
+    longest = max(len(k.split(" ")) for k in lexicon)
+    i, score, matched = 0, 0, 0
+    while i < len(tokens):
+        for n in range(min(longest, len(tokens) - i), 0, -1):
+            key = " ".join(tokens[i:i + n])
+            if key in lexicon:
+                score, matched, i = score + lexicon[key], matched + 1, i + n
+                break
+        else:
+            i += 1
+    return score, matched
+
+
+def _py_tokens(s):
+    import regex
+    return [t for t in regex.split(r"[^\p{L}]+", s.lower()) if t]
+
+
+def test_phrase_lexicon_longest_match(spark):
+    docs = spark.createDataFrame([
+        (1, "Not good. Not GOOD at all, good!"),
+        (2, "I can't stand a cover-up; a once-in-a-lifetime stand"),
+        (3, "It does not work, not good, not"),
+        (4, "nothing here"),
+        (5, "")], "doc_id long, text string")
+    lex = spark.createDataFrame(PHRASE_LEXICON, "term string, score int")
+    got = {r["doc_id"]: (r["score"], r["n_matched"]) for r in text.score_documents(docs, lex).collect()}
+    assert got == {1: (-1, 3), 2: (-2, 4), 3: (-5, 2), 4: (0, 0), 5: (0, 0)}
+    table = {" ".join(_py_tokens(k)): v for k, v in PHRASE_LEXICON}
+    for r in docs.collect():
+        assert got[r["doc_id"]] == _greedy_score(_py_tokens(r["text"]), table)
+
+
+def test_phrase_scoring_equals_brute_force(spark):
+    from kiln.sources import read_table
+    docs = read_table(spark, SF001, "documents").select("doc_id", "text")
+    lex = text.derive_lexicon(docs, read_table(spark, SF001, "labels"), min_docs=2, max_words=3)
+    table = {r["term"]: r["score"] for r in lex.collect()}
+    assert any(" " in k for k in table)
+    got = {r["doc_id"]: (r["score"], r["n_matched"]) for r in text.score_documents(docs, lex).collect()}
+    want = {r["doc_id"]: _greedy_score(_py_tokens(r["text"]), table) for r in docs.collect()}
+    assert got == want
+
+
+def test_single_word_lexicon_is_plain_sum(spark):
+    docs = spark.createDataFrame([(1, "good good not good stand")], "doc_id long, text string")
+    lex = spark.createDataFrame([("good", 3), ("stand", 1)], "term string, score int")
+    assert [(r["score"], r["n_matched"]) for r in text.score_documents(docs, lex).collect()] == [(10, 4)]
