@@ -47,23 +47,48 @@ def split_fraction(df: DataFrame, seed: int, id_col: str, weights: Sequence[floa
     return df.withColumn(out, expr)
 
 
+SELECT_BITS = 16  # histogram of the top 16 of the 32 key bits: at most 65,536 rows
+
+
+def kth_pair(keyed: DataFrame, key_col: str, id_col: str, k: int):
+    """The ``k``-th smallest ``(key, id)`` pair (1-based) of 32-bit keys, or
+    None if there are fewer rows.  Exact selection without sorting the
+    table: a histogram of the top key bits (partially aggregated per task,
+    at most 2^16 rows to the driver) finds the bucket holding rank ``k``;
+    only that bucket's pairs (about N / 65,536 for hashed keys) are ranked."""
+    bucket = F.shiftright(F.col(key_col), 32 - SELECT_BITS)
+    pairs = keyed.select(key_col, id_col)
+    hist = sorted((int(r["b"]), int(r["n"]))
+                  for r in pairs.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = 0
+    for b, n in hist:
+        if before + n >= k:
+            break
+        before += n
+    else:
+        return None
+    inside = pairs.filter(bucket == F.lit(b))
+    ranked = row_number_distributed(inside, [key_col, id_col], out="_k_rn")
+    t = ranked.filter(F.col("_k_rn") == k - before).select(key_col, id_col).first()
+    return t[key_col], t[id_col]
+
+
 def split_exact(df: DataFrame, seed: int, id_col: str, holdout: int,
                 names: Sequence[str] = ("train", "validation"), out: str = "split") -> DataFrame:
     """``random_split(ds, [n - v, v])``: exactly ``holdout`` rows (the first in
     the seeded order) go to ``names[1]``.
 
-    Only the narrow (key, id) pairs are ranked, to find the ``holdout``-th
-    pair (one row to the driver); the split itself is then a projection of
-    the original rows, so wide rows are never shuffled."""
+    The ``holdout``-th (key, id) pair is found by ``kth_pair`` (two narrow
+    scans of the keys, a shuffle of one histogram bucket); the split itself
+    is then a projection of the original rows, so nothing wide is shuffled."""
     key = seeded_hash32(seed, F.lit("split"), id_col)
     keyed = df.withColumn("_k_key", key)
     if holdout <= 0:
         return df.withColumn(out, F.lit(names[0]))
-    ranked = row_number_distributed(keyed.select("_k_key", id_col), ["_k_key", id_col], out="_k_rn")
-    t = ranked.filter(F.col("_k_rn") == holdout).select("_k_key", id_col).first()
+    t = kth_pair(keyed, "_k_key", id_col, holdout)
     if t is None:  # fewer rows than the hold-out: every row is held out
         return df.withColumn(out, F.lit(names[1]))
-    k, i = t["_k_key"], t[id_col]
+    k, i = t
     held = (F.col("_k_key") < F.lit(k)) | ((F.col("_k_key") == F.lit(k)) & (F.col(id_col) <= F.lit(i)))
     return keyed.withColumn(out, F.when(held, F.lit(names[1])).otherwise(F.lit(names[0]))).drop("_k_key")
 

@@ -50,6 +50,20 @@ def test_exact_split_has_exactly_the_holdout(spark):
     assert out.filter(F.col("split") == "validation").count() == 37
 
 
+def test_kth_pair_equals_sorted_selection_with_a_hot_id(spark):
+    """A third of the rows share one id (so one key): the histogram bucket
+    holding it is large, the selection must still be exact."""
+    from kiln.functions.hashing import seeded_hash32
+    df = (spark.range(30_000).withColumn("id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")))
+          .withColumn("key", seeded_hash32(5, "id")))
+    pairs = sorted((r["key"], r["id"]) for r in df.collect())
+    for k in [1, 2, 9_999, 10_000, 10_001, 17_345, 29_999, 30_000]:
+        assert sampling.kth_pair(df, "key", "id", k) == pairs[k - 1]
+    assert sampling.kth_pair(df, "key", "id", 30_001) is None
+    n = sampling.split_exact(df.select("id"), 5, "id", 10_500).filter(F.col("split") == "validation").count()
+    assert n >= 10_500  # ties on a duplicated id are held out together
+
+
 def test_minibatches_are_exactly_b_rows_and_tail_dropped(spark):
     df = sampling.hash_shard(image_table(spark, SF01).select("id"), 5, "id", 3)
     df = sampling.with_shuffle_key(df, 5, "id", "key")
