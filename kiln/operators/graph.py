@@ -1,10 +1,15 @@
 """Graph jobs on edge DataFrames: degrees, PageRank, connected components.
 
-Each iteration is a join + grouped sum.  The joins are left to AQE: a rank
-table that fits is broadcast at runtime, otherwise both sides are shuffled
-and a hub vertex's partition is split by the skew-join rule.  Lineage is
-cut with ``checkpoint()`` (reliable, in ``spark.checkpoint.dir``) every few
-rounds so long iterations do not grow the plan.
+Each iteration is a join of the edges with the vertex values on ``src``
+and a grouped sum/min by ``dst`` (partially aggregated before its shuffle,
+so a vertex with many in-edges costs one row per task).  The edges are laid
+out once (``hub_layout``): hash-partitioned by ``(src, salt)`` and kept, so
+a round shuffles only the vertex values, never the edges.  A hub vertex
+(out-degree above E / P) has its edges dealt over several salts and its
+value replicated to each, so no task holds more than about one partition's
+share of edges.  Lineage is cut with ``checkpoint()`` (reliable, in
+``spark.checkpoint.dir``) every few rounds so long iterations do not grow
+the plan.
 """
 
 from __future__ import annotations
@@ -12,10 +17,60 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kiln.operators.joins import BROADCAST_MAX_ROWS
 from kiln.session import ensure_checkpoint_dir
 
 
+def hub_layout(edges: DataFrame, degrees: DataFrame, total: int, partitions: int):
+    """Edges ``(src, dst, ...)`` laid out for repeated joins on ``src``.
+
+    ``degrees`` = ``(src, deg)`` out-degrees, ``total`` = their sum (E).
+    Returns ``(salted, hubs)``: ``salted`` = the edges plus ``salt``,
+    hash-partitioned by ``(src, salt)`` into P partitions and persisted;
+    ``hubs`` = ``(src, n_salts)`` for vertices whose out-degree exceeds
+    E / P, their edges dealt over ``ceil(deg / (E / P))`` salts by a hash
+    of ``dst``.  Degrees sum to E, so fewer than P vertices can exceed E / P:
+    ``hubs`` has a proven bound of P rows and is broadcast (None: no hub)."""
+    spark = edges.sparkSession
+    share = max(1, -(-int(total) // partitions))
+    hub_rows = (degrees.filter(F.col("deg") > F.lit(share))
+                .select("src", F.ceil(F.col("deg") / F.lit(share)).cast("int").alias("n_salts")).collect())
+    if not hub_rows:  # no hub: one salt, no replication
+        hubs = None
+        salted = edges.withColumn("salt", F.lit(0))
+    else:
+        hubs = spark.createDataFrame(hub_rows, T.StructType([edges.schema["src"],
+                                                             T.StructField("n_salts", T.IntegerType())]))
+        salted = (edges.join(F.broadcast(hubs), "src", "left")
+                  .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("n_salts")), F.lit(0)).cast("int"))
+                  .drop("n_salts"))
+    salted = salted.repartition(partitions, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    return salted, hubs
+
+
+def join_values(salted: DataFrame, values: DataFrame, n_values: int) -> DataFrame:
+    """Edges joined with per-vertex values on ``(src, salt)``.  The values
+    are broadcast only when their counted size allows it; otherwise both
+    are hash-partitioned by ``(src, salt)`` and only the values move, as the
+    edges already are laid out that way."""
+    if n_values <= BROADCAST_MAX_ROWS:
+        return salted.join(F.broadcast(values), ["src", "salt"])
+    return salted.join(values, ["src", "salt"])
+
+
+def spread_to_salts(values: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Vertex values keyed by ``src``, one copy per salt of a hub (one row
+    for every other vertex), ready to join ``hub_layout`` edges on
+    ``(src, salt)``."""
+    if hubs is None:
+        return values.withColumn("salt", F.lit(0))
+    return (values.join(F.broadcast(hubs), "src", "left")
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_salts"), F.lit(1)) - 1)))
+            .drop("n_salts"))
+
+
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
     return e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -36,26 +91,35 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, checkpoin
     ensure_checkpoint_dir(spark)
     # the edge and vertex tables are read every round: computed once, kept
     # (memory, spilling to disk) for the loop, released at the end
-    nodes = (edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node")))
-             .distinct().persist(StorageLevel.MEMORY_AND_DISK))
-    n = nodes.count()
-    weighted = (edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src")
-                .select("src", "dst", (1.0 / F.col("deg")).alias("w")).persist(StorageLevel.MEMORY_AND_DISK))
+    P = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # vertex table with its out-degree, hash-partitioned by vertex and kept:
+    # every round's rank update joins it without a shuffle of its own
+    deg = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
+    nodes = (edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+             .join(deg, "node", "left").select("node", F.coalesce("deg", F.lit(0)).alias("deg"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("deg").alias("e")).first()
+    n = stats["n"]
+    salted, hubs = hub_layout(edges.select("src", "dst"), nodes.withColumnRenamed("node", "src"),
+                              stats["e"] or 0, P)
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(iters):
-        contrib = (weighted.join(ranks.withColumnRenamed("node", "src"), "src")
-                   .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("s")))
+        # each vertex sends rank / out-degree along every out-edge
+        shares = ranks.filter(F.col("deg") > 0).select(F.col("node").alias("src"),
+                                                       (F.col("rank") / F.col("deg")).alias("share"))
+        contrib = (join_values(salted, spread_to_salts(shares, hubs), n)
+                   .groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("s")))
         ranks = (nodes.join(contrib, "node", "left")
-                 .select("node", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0)))
+                 .select("node", "deg", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0)))
                          .alias("rank")))
         if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < iters:
             ensure_checkpoint_dir(spark)
             ranks = ranks.checkpoint(eager=True)
     # keep the result itself, so releasing the loop inputs does not make a
     # later action recompute every round
-    ranks = ranks.persist(StorageLevel.MEMORY_AND_DISK)
+    ranks = ranks.select("node", "rank").persist(StorageLevel.MEMORY_AND_DISK)
     ranks.count()
-    weighted.unpersist()
+    salted.unpersist()
     nodes.unpersist()
     return ranks
 
@@ -66,10 +130,16 @@ def connected_components(edges: DataFrame, max_iter: int = 50, checkpoint_every:
     label changes (one count per round)."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = undirected(edges).persist(StorageLevel.MEMORY_AND_DISK)
-    labels = e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
+    e = undirected(edges)
+    # every vertex of the undirected graph has an out-edge: the degree table
+    # is the vertex list (hash-partitioned by vertex)
+    deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = deg.agg(F.count(F.lit(1)).alias("n"), F.sum("deg").alias("e")).first()
+    e, hubs = hub_layout(e, deg, stats["e"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    labels = deg.select(F.col("src").alias("node"), F.col("src").alias("component"))
     for i in range(max_iter):
-        best = (e.join(labels.withColumnRenamed("node", "src"), "src")
+        values = spread_to_salts(labels.withColumnRenamed("node", "src"), hubs)
+        best = (join_values(e, values, stats["n"])
                 .groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("cand")))
         new = (labels.join(best, "node", "left")
                .select("node", F.least("component", F.coalesce("cand", F.col("component"))).alias("component")))
@@ -84,4 +154,5 @@ def connected_components(edges: DataFrame, max_iter: int = 50, checkpoint_every:
     labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
     labels.count()
     e.unpersist()
+    deg.unpersist()
     return labels

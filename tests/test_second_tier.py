@@ -92,6 +92,28 @@ def test_components_and_degrees_on_follower_graph(spark):
     assert joined["BarackObama"][0] == 2 and joined["anonsys"] == (None, None)
 
 
+def test_hub_vertex_is_split_and_results_stay_exact(spark):
+    """Vertex 0 has 600 of the ~1,050 edges: its edges are dealt over
+    several salts, no partition of the layout holds far more than E / P
+    edges, and PageRank / components equal the brute-force replay."""
+    edges = [(0, d) for d in range(1, 601)] + [(d, d + 1) for d in range(1, 400)] + \
+            [(700 + i, 800 + i) for i in range(50)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    P = 8
+    deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    salted, hubs = graph.hub_layout(e, deg, len(edges), P)
+    assert {r["src"]: r["n_salts"] for r in hubs.collect()} == {0: -(-600 // -(-len(edges) // P))}
+    sizes = [r["n"] for r in salted.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 3 * len(edges) / P
+    salted.unpersist()
+    got = {r["node"]: r["rank"] for r in graph.pagerank(e, iters=4, checkpoint_every=2).collect()}
+    want = _numpy_pagerank(edges, 4)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    comp = {r["node"]: r["component"] for r in graph.connected_components(e).collect()}
+    assert all(comp[v] == 0 for v in range(0, 601)) and comp[400] == 0
+    assert all(comp[700 + i] == comp[800 + i] == 700 + i for i in range(50))
+
+
 def test_als_recovers_two_taste_blocks(spark):
     r = spark.createDataFrame(ALS_RATINGS, "user int, item int, rating float")
     model = recommend.als_fit(r, rank=2, max_iter=15, reg=0.01, seed=1)
