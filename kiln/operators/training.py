@@ -321,6 +321,7 @@ class PreparedRound:
     def __init__(self, df: DataFrame, cfg: TrainConfig, tag: str, intermediates: list | None = None):
         spark = df.sparkSession
         self.per_folder = cfg.batches_per_folder
+        self.n_tasks = None
         rows = df.select("id", "label", "features", "shard", "batch", "n_batches",
                          F.floor(F.col("batch") / F.lit(self.per_folder)).cast("bigint").alias("bgroup"))
         M = layout_partitions(spark, cfg)
@@ -386,11 +387,14 @@ class PreparedRound:
                 cached.unpersist()
 
 
-def _reduce_partials(partials: DataFrame, cfg: TrainConfig):
+def _reduce_partials(partials: DataFrame, cfg: TrainConfig, n_tasks: int | None = None):
     """Sum the per-task partial rows (model-sized each).  Up to
     ``tree_reduce_above`` tasks the rows come to the driver as Arrow; beyond
-    that one more Spark level sums them in about sqrt(#tasks) groups first."""
-    n_tasks = partials.rdd.getNumPartitions()
+    that one more Spark level sums them in about sqrt(#tasks) groups first.
+    ``n_tasks`` is the caller's known task count (planning it costs a
+    physical plan of its own)."""
+    if n_tasks is None:
+        n_tasks = partials.rdd.getNumPartitions()
     if n_tasks > cfg.tree_reduce_above:
         partials = (partials.repartition(int(math.ceil(math.sqrt(n_tasks))))
                     .mapInArrow(_sum_partials_fn(), PARTIAL_SCHEMA))
@@ -482,7 +486,11 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
                     else:
                         partials = prepared.step_rows(local).select("id", "label", "features").mapInArrow(
                             _gradient_fn(model.to_json(), bc, step, cfg.seed), PARTIAL_SCHEMA)
-                    g, loss, correct, n = _reduce_partials(partials, cfg)
+                    if prepared.n_tasks is None:
+                        # the layout is fixed for the round: every step plans
+                        # the same number of scan tasks, counted once
+                        prepared.n_tasks = partials.rdd.getNumPartitions()
+                    g, loss, correct, n = _reduce_partials(partials, cfg, prepared.n_tasks)
                 finally:
                     bc.destroy()
                 if n > 0:
