@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -141,9 +142,10 @@ class _ModelWriter(_ParamsOnlyWriter):
 
     def saveImpl(self, path: str) -> None:
         super().saveImpl(path)
-        w = [float(v) for v in np.asarray(self.instance.weights, dtype=np.float64)]
-        (self.sparkSession.createDataFrame([(w,)], "weights array<double>")
-         .coalesce(1).write.mode("overwrite").parquet(f"{path}/weights"))
+        w = np.asarray(self.instance.weights, dtype=np.float64)
+        # one Arrow row: no per-element conversion or schema check in Python
+        tbl = pa.table({"weights": pa.array([w], type=pa.list_(pa.float64()))})
+        self.sparkSession.createDataFrame(tbl).coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
 
 
 class _ModelReader(MLReader):
@@ -155,6 +157,6 @@ class _ModelReader(MLReader):
         metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
         instance = self.cls()
         DefaultParamsReader.getAndSetParams(instance, metadata)
-        row = self.sparkSession.read.parquet(f"{path}/weights").first()
-        instance.weights = np.asarray(row["weights"], dtype=np.float64)
+        tbl = self.sparkSession.read.parquet(f"{path}/weights").toArrow()
+        instance.weights = tbl.column("weights")[0].values.to_numpy().astype(np.float64)
         return instance
