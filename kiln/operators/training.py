@@ -27,7 +27,6 @@ import time
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
@@ -538,22 +537,25 @@ def history_frame(spark, result: TrainResult) -> DataFrame:
 
 
 def predict_column(spark, model_config: dict, params: np.ndarray, features_col: str = "features"):
-    """A vectorised (Arrow-batched) scoring column: class index for
-    classifiers, the output for regressors.  Weights travel as a broadcast."""
+    """A vectorised (Arrow-batched, ``arrow_udf``) scoring column: class
+    index for classifiers, the output for regressors.  Weights travel as a
+    broadcast."""
     model = build_model(model_config)
     model_json = model.to_json()
     bc = spark.sparkContext.broadcast(np.asarray(params, dtype=np.float64))
 
-    @F.pandas_udf(T.DoubleType())
-    def _predict(feats: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def _predict(feats: pa.Array) -> pa.Array:
+        # the batch's list column as one flat buffer: no per-row objects
         m = build_model(model_json)
-        if len(feats) == 0:
-            return pd.Series([], dtype="float64")
-        X = np.stack(feats.to_numpy()).astype(np.float64)
-        out = np.empty(len(X))
-        for sl in _chunks(len(X)):
+        n = len(feats)
+        if n == 0:
+            return pa.array([], pa.float64())
+        X = _features_matrix(feats, n)
+        out = np.empty(n)
+        for sl in _chunks(n):
             S = m.scores(bc.value, X[sl])
             out[sl] = S.argmax(axis=1) if m.task == "classification" else S[:, 0]
-        return pd.Series(out)
+        return pa.array(out, pa.float64())
 
     return _predict(F.col(features_col)), bc

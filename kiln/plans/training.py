@@ -94,7 +94,7 @@ WITH h AS (SELECT vec_id, {sql_relu(sql_affine('embedding', MLP_W1, MLP_B1))} AS
 SELECT vec_id AS id, CAST({sql_argmax('scores')} AS DOUBLE) AS prediction FROM s
 """)
 def q_score_mlp(spark, sf_dir):
-    """Batch scoring with a model object (Arrow-batched pandas UDF, weights
+    """Batch scoring with a model object (Arrow UDF, weights
     broadcast), persisted while metrics are taken (O11)."""
     scored = fixed_mlp_model().transform(image_table(spark, sf_dir))
     return scored.select("id", "prediction")
