@@ -208,13 +208,35 @@ def q_fpgrowth_itemsets(spark, sf_dir):
     return fi.select(itemsets.itemset_key("items").alias("items"), F.size("items").alias("size"), "freq")
 
 
-@register("association_rules")
+@register("association_rules", f"""
+WITH b AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
+     tot AS (SELECT count(DISTINCT l_orderkey) AS n, ceil({MIN_SUPPORT} * count(DISTINCT l_orderkey)) AS m FROM b),
+     f1 AS (SELECT p_brand AS a, count(*) AS freq FROM b GROUP BY 1 HAVING count(*) >= (SELECT m FROM tot)),
+     f2 AS (SELECT x.p_brand AS a, y.p_brand AS b, count(*) AS freq
+            FROM b x JOIN b y ON x.l_orderkey = y.l_orderkey AND x.p_brand < y.p_brand
+            GROUP BY 1, 2 HAVING count(*) >= (SELECT m FROM tot)),
+     f3 AS (SELECT x.p_brand AS a, y.p_brand AS b, z.p_brand AS c, count(*) AS freq
+            FROM b x JOIN b y ON x.l_orderkey = y.l_orderkey AND x.p_brand < y.p_brand
+                     JOIN b z ON z.l_orderkey = x.l_orderkey AND y.p_brand < z.p_brand
+            GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT m FROM tot)),
+     r AS (SELECT f2.a AS antecedent, f2.b AS consequent, f2.freq AS f, f1.freq AS fa FROM f2 JOIN f1 ON f1.a = f2.a
+           UNION ALL SELECT f2.b, f2.a, f2.freq, f1.freq FROM f2 JOIN f1 ON f1.a = f2.b
+           UNION ALL SELECT f3.a || ',' || f3.b, f3.c, f3.freq, p.freq FROM f3 JOIN f2 p ON p.a = f3.a AND p.b = f3.b
+           UNION ALL SELECT f3.a || ',' || f3.c, f3.b, f3.freq, p.freq FROM f3 JOIN f2 p ON p.a = f3.a AND p.b = f3.c
+           UNION ALL SELECT f3.b || ',' || f3.c, f3.a, f3.freq, p.freq FROM f3 JOIN f2 p ON p.a = f3.b AND p.b = f3.c)
+SELECT antecedent, consequent, round(f / fa, 6) AS confidence,
+       round((f / fa) / (fc.freq / tot.n), 6) AS lift, round(f / tot.n, 6) AS support
+FROM r JOIN f1 fc ON fc.a = r.consequent, tot
+WHERE f / fa >= 0.1
+""")
 def q_association_rules(spark, sf_dir):
-    """Rules from the same FP-growth model (confidence >= 0.1)."""
+    """Rules from the same FP-growth model (confidence >= 0.1); the
+    antecedent is written in sorted item order."""
     model = itemsets.frequent_itemsets(brand_baskets(spark, sf_dir), MIN_SUPPORT, min_confidence=0.1)
-    return model.associationRules.select(F.array_join("antecedent", ",").alias("antecedent"),
+    return model.associationRules.select(itemsets.itemset_key("antecedent").alias("antecedent"),
                                          F.array_join("consequent", ",").alias("consequent"),
-                                         "confidence", "lift", "support")
+                                         F.round("confidence", 6).alias("confidence"),
+                                         F.round("lift", 6).alias("lift"), F.round("support", 6).alias("support"))
 
 
 # ---------------------------------------------------------------- F7 isotonic
@@ -261,7 +283,7 @@ def toxic_lexicon(spark, sf_dir):
     return text.derive_lexicon(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-@register("sentiment_score", f"""
+SENTIMENT_SQL = f"""
 WITH lab AS (SELECT d.doc_id, d.text, l.toxic AS flag FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
      tot AS (SELECT sum(flag) AS n_pos, count(*) - sum(flag) AS n_neg FROM lab),
      pres AS (SELECT DISTINCT doc_id, flag, term
@@ -275,7 +297,10 @@ WITH lab AS (SELECT d.doc_id, d.text, l.toxic AS flag FROM documents d JOIN labe
               WHERE score <> 0 GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(h.s, 0) AS BIGINT) AS score, CAST(coalesce(h.m, 0) AS BIGINT) AS n_matched
 FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id
-""")
+"""
+
+
+@register("sentiment_score", SENTIMENT_SQL)
 def q_sentiment_score(spark, sf_dir):
     """Lexicon scoring of every whole document; the lexicon (word -> integer
     score in -5..5) is derived from the toxicity labels."""
@@ -321,7 +346,7 @@ def q_sentiment_phrases(spark, sf_dir):
     return text.score_documents(docs, lexicon)
 
 
-@register("sentiment_stream")
+@register("sentiment_stream", SENTIMENT_SQL)  # the stream must equal the batch job
 def q_sentiment_stream(spark, sf_dir):
     """The same scoring as a Structured Streaming job over document files
     (availableNow trigger, one file per micro-batch, idempotent sink)."""
