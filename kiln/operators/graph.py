@@ -146,12 +146,19 @@ def connected_components(edges: DataFrame, max_iter: int = 50, checkpoint_every:
         if checkpoint_every and (i + 1) % checkpoint_every == 0:
             ensure_checkpoint_dir(spark)
             new = new.checkpoint(eager=True)
+        else:
+            # kept for the change test and the next round: each round is
+            # computed once, not again by every later round's test
+            new = new.persist(StorageLevel.MEMORY_AND_DISK)
         stable = (new.join(labels.withColumnRenamed("component", "old"), "node")
                   .filter(F.col("component") != F.col("old")).isEmpty())
+        if labels.is_cached:
+            labels.unpersist()
         labels = new
         if stable:
             break
-    labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
+    if not labels.is_cached:
+        labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
     labels.count()
     e.unpersist()
     deg.unpersist()

@@ -171,7 +171,18 @@ def q_graph_degrees(spark, sf_dir):
     return c.unionByName(s)
 
 
-@register("connected_components")
+@register("connected_components", """
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey * 2 + 1 AS src, l_partkey * 2 AS dst FROM lineitem),
+     u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+     cc(node, comp) USING KEY (node) AS (
+         SELECT DISTINCT src AS node, src AS comp FROM u
+         UNION
+         (SELECT u.dst AS node, min(cc.comp) AS comp
+          FROM cc JOIN u ON u.src = cc.node JOIN recurring.cc AS cur ON cur.node = u.dst
+          GROUP BY u.dst, cur.comp
+          HAVING min(cc.comp) < cur.comp))
+SELECT comp AS component, count(*) AS n FROM cc GROUP BY comp
+""")
 def q_connected_components(spark, sf_dir):
     """Components of the supplier-part graph (min-label propagation): sizes."""
     comp = graph.connected_components(supply_edges(spark, sf_dir))
