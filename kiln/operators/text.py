@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators.joins import join_small
+from kiln.operators.joins import BROADCAST_MAX_ROWS
 from kiln.session import ensure_checkpoint_dir
 
 TOKEN_SPLIT = r"[^\p{L}]+"   # a token is a maximal run of letters
@@ -35,18 +35,24 @@ def read_lexicon(spark, path: str) -> DataFrame:
             .withColumn("term", F.lower("term")))
 
 
-def _grams(toks: Column, n: int) -> Column:
-    """``struct(pos, n, key)`` for every run of ``n`` consecutive tokens
-    (1-based start ``pos``; ``key`` = the tokens joined by one space)."""
-    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)) \
-        .otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"),
-                                                  F.array_join(F.slice(toks, i, n), " ").alias("key")))
+def _gram_pattern(n: int) -> str:
+    """Regex over the space-joined tokens: at every token start, capture
+    (in a lookahead, so matches overlap) the run of ``n`` tokens there."""
+    return r"(?<!\S)(?=(\S+" + (r"(?: \S+){%d}" % (n - 1) if n > 1 else "") + "))"
 
 
-def ngrams(toks: Column, lengths) -> Column:
-    """Keys of all runs of 1..n consecutive tokens, n in ``lengths``."""
-    return F.concat(*[F.transform(_grams(toks, n), lambda g: g["key"]) for n in sorted(lengths)])
+def gram_arrays(toks: str, joined: str, lengths) -> list[Column]:
+    """Per length n (sorted): the keys of all runs of n consecutive tokens in
+    text order (tokens joined by one space), as plain array/regex
+    expressions inside whole-stage code generation (no lambda per token).
+    ``joined`` = ``array_join(toks, ' ')``, projected once by the caller."""
+    return [F.col(toks) if n == 1 else F.regexp_extract_all(F.col(joined), F.lit(_gram_pattern(n)), 1)
+            for n in sorted(lengths)]
+
+
+def ngrams(toks: str, joined: str, lengths) -> Column:
+    """Keys of all runs of n consecutive tokens, n in ``lengths``."""
+    return F.concat(*gram_arrays(toks, joined, lengths))
 
 
 def lexicon_keys(lexicon: DataFrame, term_col: str = "term", score_col: str = "score") -> DataFrame:
@@ -73,7 +79,9 @@ def derive_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     totals = lab.agg(F.sum("_flag").alias("n_pos"), F.count(F.lit(1)).alias("n_all")).first()
     n_pos, n_neg = int(totals["n_pos"] or 0), int(totals["n_all"] - (totals["n_pos"] or 0))
     lab = lab.select(id_col, "_flag", tokens(text_col).alias("_toks"))
-    terms = F.col("_toks") if max_words == 1 else ngrams(F.col("_toks"), range(1, max_words + 1))
+    if max_words > 1:
+        lab = lab.withColumn("_joined", F.array_join("_toks", " "))
+    terms = F.col("_toks") if max_words == 1 else ngrams("_toks", "_joined", range(1, max_words + 1))
     present = lab.select(id_col, "_flag", F.explode(F.array_distinct(terms)).alias("term"))
     stats = present.groupBy("term").agg(F.sum("_flag").alias("pos"), F.count(F.lit(1)).alias("df"))
     odds = F.log(((F.col("pos") + 1) / (F.col("df") - F.col("pos") + 1)) * F.lit((n_neg + 1) / (n_pos + 1)))
@@ -97,16 +105,30 @@ def score_documents(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
     so ``not good`` is scored as the phrase, never also as ``good``.  With
     single-word entries only this is the plain sum over token occurrences."""
     lex = lexicon_keys(lexicon)
-    lengths = sorted(int(r["n"]) for r in lex.select("n").distinct().collect())  # <= longest entry
+    # one job for the size check and the entry lengths (a handful of values)
+    st = lex.agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
+    lengths = [int(v) for v in st["lengths"]]
+    entries = lex.select("key", "score")
+    if st["rows"] <= BROADCAST_MAX_ROWS:
+        entries = F.broadcast(entries)
     toks = docs.select(id_col, tokens(text_col).alias("_toks"))
     if lengths in ([], [1]):
-        hits = join_small(toks.select(id_col, F.explode("_toks").alias("key")), lex.select("key", "score"), "key")
+        hits = toks.select(id_col, F.explode("_toks").alias("key")).join(entries, "key")
         # partial aggregation before the shuffle: one row per document and task
         per_doc = hits.groupBy(id_col).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_matched"))
     else:
-        grams = toks.select(id_col, F.explode(F.concat(*[_grams(F.col("_toks"), n) for n in lengths])).alias("g"))
-        grams = grams.select(id_col, "g.pos", "g.n", "g.key")
-        hits = join_small(grams, lex.select("key", "score"), "key")
+        # one pass per document: all keys of every length in one array; a
+        # key's length is its word count, its start follows from the offsets
+        # of the concatenation (len(tokens) - m + 1 keys of each length m)
+        toks = toks.select(id_col, "_toks", F.array_join("_toks", " ").alias("_joined"))
+        grams = toks.select(id_col, F.size("_toks").alias("_nt"),
+                            F.posexplode(ngrams("_toks", "_joined", lengths)).alias("_p", "key"))
+        n = F.length("key") - F.length(F.translate("key", " ", "")) + 1
+        offset = F.lit(0)
+        for m in lengths[:-1]:
+            offset = offset + F.when(n > m, F.greatest(F.col("_nt") - m + 1, F.lit(0))).otherwise(0)
+        grams = grams.select(id_col, (F.col("_p") - offset + 1).alias("pos"), n.alias("n"), "key")
+        hits = grams.join(entries, "key")
         # one document's matches (at most lengths x its tokens) in text
         # order, longest first at a position; a fold keeps the greedy ones
         per_doc = hits.groupBy(id_col).agg(
