@@ -37,16 +37,23 @@ def hub_layout(edges: DataFrame, degrees: DataFrame, total: int, partitions: int
     share = max(1, -(-int(total) // partitions))
     hub_rows = (degrees.filter(F.col("deg") > F.lit(share))
                 .select("src", F.ceil(F.col("deg") / F.lit(share)).cast("int").alias("n_salts")).collect())
-    if not hub_rows:  # no hub: one salt, no replication
+    if not hub_rows:
+        # no hub: one salt (a constant the optimizer drops from the join
+        # keys), so the layout is by src alone
         hubs = None
-        salted = edges.withColumn("salt", F.lit(0))
+        salted = edges.withColumn("salt", F.lit(0)).repartition(partitions, "src")
     else:
         hubs = spark.createDataFrame(hub_rows, T.StructType([edges.schema["src"],
                                                              T.StructField("n_salts", T.IntegerType())]))
         salted = (edges.join(F.broadcast(hubs), "src", "left")
                   .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("n_salts")), F.lit(0)).cast("int"))
-                  .drop("n_salts"))
-    salted = salted.repartition(partitions, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+                  .drop("n_salts")
+                  .repartition(partitions, "src", "salt"))
+    salted = salted.persist(StorageLevel.MEMORY_AND_DISK)
+    # materialised now: a cached plan's partitioning is known to the
+    # planner (AQE re-plans cached plans) only once it has run, and every
+    # round is planned against it
+    salted.count()
     return salted, hubs
 
 

@@ -114,6 +114,19 @@ def test_hub_vertex_is_split_and_results_stay_exact(spark):
     assert all(comp[700 + i] == comp[800 + i] == 700 + i for i in range(50))
 
 
+def test_graph_loops_without_broadcast_equal_replay(spark, monkeypatch):
+    """Vertex values above the broadcast limit: the rounds shuffle them to
+    the edges' (src, salt) layout; results are unchanged."""
+    monkeypatch.setattr(graph, "BROADCAST_MAX_ROWS", 0)
+    edges = [(0, d) for d in range(1, 301)] + [(d, d + 1) for d in range(1, 200)] + [(500, 501), (501, 500)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    got = {r["node"]: r["rank"] for r in graph.pagerank(e, iters=3).collect()}
+    want = _numpy_pagerank(edges, 3)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    comp = {r["node"]: r["component"] for r in graph.connected_components(e).collect()}
+    assert {comp[v] for v in range(0, 301)} == {0} and comp[500] == comp[501] == 500
+
+
 def test_als_recovers_two_taste_blocks(spark):
     r = spark.createDataFrame(ALS_RATINGS, "user int, item int, rating float")
     model = recommend.als_fit(r, rank=2, max_iter=15, reg=0.01, seed=1)
