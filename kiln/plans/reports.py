@@ -52,14 +52,16 @@ def q_run_log_summary(spark, sf_dir):
     """Per-operation stage count, tasks and milliseconds from a Spark
     event log.  Reads this application's log when event logging is on;
     otherwise runs the flagship job as a separate logged application over
-    ``sf_dir`` and reads that log."""
+    ``sf_dir`` on the same master and reads that log."""
     path = eventlog.current_log_path(spark)
     if path is None:
         log_dir = scratch_path(spark, "eventlog")
         spark.createDataFrame([], "x int").write.mode("overwrite").parquet(log_dir)  # creates the folder
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         env = dict(os.environ, PYTHONPATH=root + os.pathsep + os.environ.get("PYTHONPATH", ""))
-        subprocess.run([sys.executable, "-m", "kiln.sources.eventlog", sf_dir, log_dir], check=True,
+        master = spark.sparkContext.master
+        parts = spark.conf.get("spark.sql.shuffle.partitions")
+        subprocess.run([sys.executable, "-m", "kiln.sources.eventlog", sf_dir, log_dir, master, parts], check=True,
                        cwd=root, env=env, timeout=600, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
         path = f"{log_dir}/*"
     stages = eventlog.stage_summary(spark, path)
