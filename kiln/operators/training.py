@@ -371,13 +371,15 @@ class PreparedRound:
         wanted = sorted({local_step % nb for nb in self.shard_batches.values() if nb > 0})
         if not wanted:
             return self.table.limit(0)
-        rows = self.table
         groups = sorted({w // self.per_folder for w in wanted})
-        if len(groups) <= 64:
-            rows = rows.filter(F.col("bgroup").isin(groups))  # folder pruning at planning time
+        # one filter (one analysis per step): the folder condition prunes at
+        # planning time, the batch list is pushed into the parquet scan
+        cond = F.col("batch") == F.pmod(F.lit(local_step), F.col("n_batches"))
         if len(wanted) <= 64:
-            rows = rows.filter(F.col("batch").isin(wanted))  # pushed into the parquet scan
-        return rows.filter(F.col("batch") == F.pmod(F.lit(local_step), F.col("n_batches")))
+            cond = F.col("batch").isin(wanted) & cond
+        if len(groups) <= 64:
+            cond = F.col("bgroup").isin(groups) & cond
+        return self.table.filter(cond)
 
     def release(self):
         if self._cached is not None:
