@@ -103,20 +103,38 @@ def score_documents(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
     Entries may be phrases.  The text is read left to right; at each token
     the longest entry starting there matches and its tokens are consumed,
     so ``not good`` is scored as the phrase, never also as ``good``.  With
-    single-word entries only this is the plain sum over token occurrences."""
+    single-word entries only this is the plain sum over token occurrences.
+
+    Which phrases the scan takes depends on the phrase matches alone (a
+    single word never blocks a later phrase), and a word counts unless a
+    taken phrase covers it.  So single words are summed by partial
+    aggregation; only a document's phrase matches go through the
+    left-to-right fold, each carrying the score and count of the lexicon
+    words inside it (``inner``, computed once per lexicon entry), which the
+    fold takes back when it takes the phrase."""
     lex = lexicon_keys(lexicon)
     # one job for the size check and the entry lengths (a handful of values)
     st = lex.agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
     lengths = [int(v) for v in st["lengths"]]
-    entries = lex.select("key", "score")
-    if st["rows"] <= BROADCAST_MAX_ROWS:
-        entries = F.broadcast(entries)
     toks = docs.select(id_col, tokens(text_col).alias("_toks"))
     if lengths in ([], [1]):
+        entries = lex.select("key", "score")
+        if st["rows"] <= BROADCAST_MAX_ROWS:
+            entries = F.broadcast(entries)
         hits = toks.select(id_col, F.explode("_toks").alias("key")).join(entries, "key")
         # partial aggregation before the shuffle: one row per document and task
         per_doc = hits.groupBy(id_col).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_matched"))
     else:
+        words = lex.filter(F.col("n") == 1).select(F.col("key").alias("_w"), F.col("score").alias("_ws"))
+        inner = (lex.filter(F.col("n") > 1).select("key", F.explode(F.split("key", " ")).alias("_w"))
+                 .join(words, "_w", "left")
+                 .groupBy("key").agg(F.sum(F.coalesce("_ws", F.lit(0))).alias("in_score"),
+                                     F.count("_ws").alias("in_count")))
+        entries = (lex.join(inner, "key", "left")
+                   .select("key", "score", F.coalesce("in_score", F.lit(0)).cast("bigint").alias("in_score"),
+                           F.coalesce("in_count", F.lit(0)).cast("bigint").alias("in_count")))
+        if st["rows"] <= BROADCAST_MAX_ROWS:
+            entries = F.broadcast(entries)
         # one pass per document: all keys of every length in one array; a
         # key's length is its word count, its start follows from the offsets
         # of the concatenation (len(tokens) - m + 1 keys of each length m)
@@ -129,17 +147,24 @@ def score_documents(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
             offset = offset + F.when(n > m, F.greatest(F.col("_nt") - m + 1, F.lit(0))).otherwise(0)
         grams = grams.select(id_col, (F.col("_p") - offset + 1).alias("pos"), n.alias("n"), "key")
         hits = grams.join(entries, "key")
-        # one document's matches (at most lengths x its tokens) in text
-        # order, longest first at a position; a fold keeps the greedy ones
+        word = F.col("n") == 1
+        # per document: the word sums, and its phrase matches (at most
+        # lengths x its tokens) in text order, longest first at a position
         per_doc = hits.groupBy(id_col).agg(
-            F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("neg_n"), "score"))).alias("_m"))
+            F.sum(F.when(word, F.col("score"))).alias("_ws"),
+            F.count(F.when(word, F.lit(1))).alias("_wc"),
+            F.collect_list(F.when(~word, F.struct("pos", (-F.col("n")).alias("neg_n"), "score", "in_score",
+                                                 "in_count"))).alias("_m"))
         zero = F.struct(F.lit(0).alias("next"), F.lit(0).cast("bigint").alias("score"),
                         F.lit(0).cast("bigint").alias("n_matched"))
-        walk = F.aggregate("_m", zero, lambda acc, m: F.when(
+        walk = F.aggregate(F.array_sort("_m"), zero, lambda acc, m: F.when(
             m["pos"] >= acc["next"],
-            F.struct((m["pos"] - m["neg_n"]).alias("next"), (acc["score"] + m["score"]).alias("score"),
-                     (acc["n_matched"] + 1).alias("n_matched"))).otherwise(acc))
-        per_doc = per_doc.select(id_col, walk.alias("_w")).select(id_col, "_w.score", "_w.n_matched")
+            F.struct((m["pos"] - m["neg_n"]).alias("next"),
+                     (acc["score"] + m["score"] - m["in_score"]).alias("score"),
+                     (acc["n_matched"] + 1 - m["in_count"]).alias("n_matched"))).otherwise(acc))
+        per_doc = per_doc.select(id_col, "_ws", "_wc", walk.alias("_w")).select(
+            id_col, (F.coalesce("_ws", F.lit(0)) + F.col("_w.score")).alias("score"),
+            (F.col("_wc") + F.col("_w.n_matched")).alias("n_matched"))
     return (docs.select(id_col).join(per_doc, id_col, "left")
             .select(id_col, F.coalesce("score", F.lit(0)).cast("bigint").alias("score"),
                     F.coalesce("n_matched", F.lit(0)).cast("bigint").alias("n_matched")))
