@@ -289,3 +289,28 @@ def test_single_word_lexicon_is_plain_sum(spark):
     docs = spark.createDataFrame([(1, "good good not good stand")], "doc_id long, text string")
     lex = spark.createDataFrame([("good", 3), ("stand", 1)], "term string, score int")
     assert [(r["score"], r["n_matched"]) for r in text.score_documents(docs, lex).collect()] == [(10, 4)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_phrase_scoring_on_dense_overlaps_equals_brute_force(spark, seed):
+    """Random texts over six words and a random lexicon of 1-3 word entries
+    (some written with hyphens): overlapping phrase matches everywhere; every
+    document equals the brute-force left-to-right longest match."""
+    rng = np.random.default_rng(seed)
+    vocab = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    entries = {}
+    while len(entries) < 14:
+        n = int(rng.integers(1, 4))
+        words = [vocab[i] for i in rng.integers(0, len(vocab), n)]
+        sep = "-" if rng.random() < 0.3 else " "
+        entries.setdefault(sep.join(words), int(rng.integers(-5, 6)))
+    # entries normalising to one key keep the score of the smallest text
+    table = {}
+    for term in sorted(entries):
+        table.setdefault(" ".join(_py_tokens(term)), entries[term])
+    docs = [(i, " ".join(vocab[j] for j in rng.integers(0, len(vocab), int(rng.integers(0, 40)))))
+            for i in range(300)]
+    ddf = spark.createDataFrame(docs, "doc_id long, text string")
+    ldf = spark.createDataFrame(list(entries.items()), "term string, score int")
+    got = {r["doc_id"]: (r["score"], r["n_matched"]) for r in text.score_documents(ddf, ldf).collect()}
+    assert got == {i: _greedy_score(_py_tokens(t), table) for i, t in docs}
