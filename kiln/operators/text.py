@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +96,47 @@ def derive_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return lexicon.checkpoint(eager=True)
 
 
-def score_documents(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
+@dataclass
+class PreparedLexicon:
+    """A lexicon ready for scoring: ``entries`` = ``(key, score)`` plus, when
+    it holds phrases, ``(in_score, in_count)`` of the lexicon words inside
+    each entry; ``lengths`` = the entry lengths; ``rows`` = its size."""
+    entries: DataFrame
+    lengths: list
+    rows: int
+
+    def persist(self) -> "PreparedLexicon":
+        """Kept and materialised, for a stream that scores every micro-batch
+        with it (release with ``unpersist``)."""
+        self.entries = self.entries.persist()
+        self.entries.count()
+        return self
+
+    def unpersist(self) -> None:
+        self.entries.unpersist()
+
+
+def prepare_lexicon(lexicon: DataFrame) -> PreparedLexicon:
+    """Normalised entries, their lengths and size (one job), and for phrase
+    lexicons the score and count of the lexicon words inside each phrase
+    (computed once per entry, not per document)."""
+    lex = lexicon_keys(lexicon)
+    st = lex.agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
+    lengths = [int(v) for v in st["lengths"]]
+    if lengths in ([], [1]):
+        return PreparedLexicon(lex.select("key", "score"), lengths, int(st["rows"]))
+    words = lex.filter(F.col("n") == 1).select(F.col("key").alias("_w"), F.col("score").alias("_ws"))
+    inner = (lex.filter(F.col("n") > 1).select("key", F.explode(F.split("key", " ")).alias("_w"))
+             .join(words, "_w", "left")
+             .groupBy("key").agg(F.sum(F.coalesce("_ws", F.lit(0))).alias("in_score"),
+                                 F.count("_ws").alias("in_count")))
+    entries = (lex.join(inner, "key", "left")
+               .select("key", "score", F.coalesce("in_score", F.lit(0)).cast("bigint").alias("in_score"),
+                       F.coalesce("in_count", F.lit(0)).cast("bigint").alias("in_count")))
+    return PreparedLexicon(entries, lengths, int(st["rows"]))
+
+
+def score_documents(docs: DataFrame, lexicon: DataFrame | PreparedLexicon, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Lexicon score of every whole document: ``score`` = sum of the matched
     entries' scores, ``n_matched`` = number of matches; documents without a
@@ -110,31 +152,17 @@ def score_documents(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
     taken phrase covers it.  So single words are summed by partial
     aggregation; only a document's phrase matches go through the
     left-to-right fold, each carrying the score and count of the lexicon
-    words inside it (``inner``, computed once per lexicon entry), which the
-    fold takes back when it takes the phrase."""
-    lex = lexicon_keys(lexicon)
-    # one job for the size check and the entry lengths (a handful of values)
-    st = lex.agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
-    lengths = [int(v) for v in st["lengths"]]
+    words inside it, which the fold takes back when it takes the phrase."""
+    prep = lexicon if isinstance(lexicon, PreparedLexicon) else prepare_lexicon(lexicon)
+    lengths = prep.lengths
+    # broadcast only behind the counted size; beyond it a shuffle join
+    entries = F.broadcast(prep.entries) if prep.rows <= BROADCAST_MAX_ROWS else prep.entries
     toks = docs.select(id_col, tokens(text_col).alias("_toks"))
     if lengths in ([], [1]):
-        entries = lex.select("key", "score")
-        if st["rows"] <= BROADCAST_MAX_ROWS:
-            entries = F.broadcast(entries)
         hits = toks.select(id_col, F.explode("_toks").alias("key")).join(entries, "key")
         # partial aggregation before the shuffle: one row per document and task
         per_doc = hits.groupBy(id_col).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_matched"))
     else:
-        words = lex.filter(F.col("n") == 1).select(F.col("key").alias("_w"), F.col("score").alias("_ws"))
-        inner = (lex.filter(F.col("n") > 1).select("key", F.explode(F.split("key", " ")).alias("_w"))
-                 .join(words, "_w", "left")
-                 .groupBy("key").agg(F.sum(F.coalesce("_ws", F.lit(0))).alias("in_score"),
-                                     F.count("_ws").alias("in_count")))
-        entries = (lex.join(inner, "key", "left")
-                   .select("key", "score", F.coalesce("in_score", F.lit(0)).cast("bigint").alias("in_score"),
-                           F.coalesce("in_count", F.lit(0)).cast("bigint").alias("in_count")))
-        if st["rows"] <= BROADCAST_MAX_ROWS:
-            entries = F.broadcast(entries)
         # one pass per document: all keys of every length in one array; a
         # key's length is its word count, its start follows from the offsets
         # of the concatenation (len(tokens) - m + 1 keys of each length m)

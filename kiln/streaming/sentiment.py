@@ -9,17 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.operators.text import score_documents
+from kiln.operators.text import prepare_lexicon, score_documents
 
 
 def run_sentiment_stream(spark: SparkSession, source_dir: str, schema, lexicon: DataFrame, sink_dir: str,
                          checkpoint_dir: str, files_per_trigger: int = 1, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    lexicon = lexicon.persist()
-    lexicon.count()
+    # normalised, sized and (for phrases) inner-scored once, kept for every
+    # micro-batch
+    prepared = prepare_lexicon(lexicon).persist()
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = score_documents(batch, lexicon, id_col, text_col)
+        scored = score_documents(batch, prepared, id_col, text_col)
         scored.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
@@ -28,5 +29,5 @@ def run_sentiment_stream(spark: SparkSession, source_dir: str, schema, lexicon:
     try:
         q.awaitTermination()
     finally:
-        lexicon.unpersist()
+        prepared.unpersist()
     return spark.read.parquet(sink_dir).select(id_col, "score", "n_matched", F.col("batch_id"))

@@ -174,11 +174,12 @@ def test_streaming_kmeans_equals_numpy_replay(spark):
     assert np.allclose(c2, [[1.0, 1.0], [2.0, 3.0]]) and np.allclose(n2, [1.0, 2.0])
 
 
-def test_sentiment_stream_equals_batch(spark):
+@pytest.mark.parametrize("max_words", [1, 2])
+def test_sentiment_stream_equals_batch(spark, max_words):
     from kiln.sources import read_table
     from kiln.streaming.sentiment import run_sentiment_stream
     docs = read_table(spark, SF001, "documents").select("doc_id", "text")
-    lex = text.derive_lexicon(docs, read_table(spark, SF001, "labels"), min_docs=2)
+    lex = text.derive_lexicon(docs, read_table(spark, SF001, "labels"), min_docs=2, max_words=max_words)
     batch = {(r["doc_id"], r["score"], r["n_matched"]) for r in text.score_documents(docs, lex).collect()}
     src = scratch_path(spark, "t-docs")
     docs.repartitionByRange(3, "doc_id").write.parquet(src)
