@@ -42,15 +42,25 @@ class StreamingKMeans:
             return  # replay of a batch already folded into the state
         k, d = self.centres.shape
         assigned = assign_nearest(batch, self.centres, features, out="cluster", dist_out=None)
-        sums = (assigned.select("cluster", F.posexplode(features).alias("pos", "v"))
-                .groupBy("cluster", "pos").agg(F.sum(F.col("v").cast("double")).alias("s")).collect())
-        counts = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()
-        span = batch.agg(F.min(id_col), F.max(id_col)).first() if id_col in batch.columns else (None, None)
+        has_id = id_col in batch.columns
+        ids = [F.col(id_col).alias("_id")] if has_id else [F.lit(None).cast("long").alias("_id")]
+        # one pass: per (centre, position) the sum, the points (the same for
+        # every position of a centre) and the id span; partially aggregated,
+        # k x d rows reach the driver
+        cells = (assigned.select("cluster", *ids, F.posexplode(features).alias("pos", "v"))
+                 .groupBy("cluster", "pos")
+                 .agg(F.sum(F.col("v").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"),
+                      F.min("_id").alias("lo"), F.max("_id").alias("hi"))
+                 .collect())
         S, M = np.zeros((k, d)), np.zeros(k)
-        for r in sums:
+        los, his = [], []
+        for r in cells:
             S[r["cluster"], r["pos"]] = r["s"]
-        for r in counts:
             M[r["cluster"]] = r["n"]
+            if r["lo"] is not None:
+                los.append(r["lo"])
+                his.append(r["hi"])
+        span = (min(los), max(his)) if los else (None, None)
         self.centres, self.counts = streaming_update(self.centres, self.counts, S, M, self.decay)
         spark = batch.sparkSession
         rows = [(i, float(self.counts[i]), [float(v) for v in self.centres[i]]) for i in range(k)]
