@@ -297,11 +297,11 @@ def layout_partitions(spark, cfg: TrainConfig) -> int:
 
 def sized_layout(train_rows: DataFrame, cfg: TrainConfig) -> int:
     """Files needed for ~128 MB each (rows x estimated row width), clamped
-    to [shards, shuffle partitions].  One count over the persisted input."""
+    to [shards, shuffle partitions].  One aggregate over the persisted input."""
     spark = train_rows.sparkSession
-    n = train_rows.count()
-    first = train_rows.select(F.size("features").alias("d")).first()
-    width = 4 * (first["d"] if first else 1) * (2 if cfg.feature_dtype == "double" else 1) + 48
+    r = train_rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
+    n = r["n"]
+    width = 4 * (r["d"] or 1) * (2 if cfg.feature_dtype == "double" else 1) + 48
     want = int(math.ceil(n * width / LAYOUT_TARGET_BYTES))
     cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(cfg.partitions, min(cap, want))
