@@ -101,7 +101,24 @@ def q_label_skew_buckets(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-@register("label_skew")
+# Spark's hash partitioner: partition = pmod(murmur3_x86_32(label, seed 42), n).
+# fixed values: the public Murmur3 x86_32 constants (c1, c2, the h1 step
+# addend, the two finaliser multipliers) and Spark's hash seed 42
+LABEL_SKEW_SQL = """
+WITH s0 AS (SELECT label, ((CAST(label AS HUGEINT) & 4294967295) * 3432918353) & 4294967295 AS k FROM embeddings),
+     s1 AS (SELECT label, ((((k << 15) | (k >> 17)) & 4294967295) * 461845907) & 4294967295 AS k FROM s0),
+     s2 AS (SELECT label, xor(CAST(42 AS HUGEINT), k) AS h FROM s1),
+     s3 AS (SELECT label, ((((h << 13) | (h >> 19)) & 4294967295) * 5 + 3864292196) & 4294967295 AS h FROM s2),
+     s4 AS (SELECT label, xor(h, CAST(4 AS HUGEINT)) AS h FROM s3),
+     s5 AS (SELECT label, (xor(h, h >> 16) * 2246822507) & 4294967295 AS h FROM s4),
+     s6 AS (SELECT label, (xor(h, h >> 13) * 3266489909) & 4294967295 AS h FROM s5),
+     s7 AS (SELECT label, xor(h, h >> 16) AS h FROM s6),
+     p AS (SELECT label, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS sh FROM s7)
+SELECT CAST(((sh % 4) + 4) % 4 AS INTEGER) AS partition, label, count(*) AS n FROM p GROUP BY 1, 2
+"""
+
+
+@register("label_skew", LABEL_SKEW_SQL)
 def q_label_skew(spark, sf_dir):
     """The reference's skewed layout, ``repartition(4, label)``: label
     histogram per physical partition (empty partitions are legal)."""
