@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kiln.operators import clustering, graph, itemsets, recommend, text
 from kiln.plans.constants import SEED
 from kiln.plans.registry import register
+from kiln.plans.training import SQL_X, SQL_Y
 from kiln.session import scratch_path
 from kiln.sources import image_table, read_table
 
@@ -252,7 +253,33 @@ def q_association_rules(spark, sf_dir):
 
 # ---------------------------------------------------------------- F7 isotonic
 
-@register("isotonic_fit")
+# The isotonic fit at the i-th distinct x is max over j <= i of min over
+# k >= i of mean(y over x_j .. x_k) (prefix sums over distinct x, a suffix
+# minimum per j); a pooled block keeps both end points as boundaries, a
+# single point one.  Fits of one block computed from different (j, k) pairs
+# agree to rounding, hence the relative tolerance when finding blocks.
+ISOTONIC_SQL = f"""
+WITH d AS (SELECT CAST({SQL_X} AS DOUBLE) AS x, CAST({SQL_Y} AS DOUBLE) AS y FROM documents),
+     u AS (SELECT x, sum(y) AS sy, count(*) AS w FROM d GROUP BY x),
+     o AS (SELECT x, sy, w, row_number() OVER (ORDER BY x) AS i,
+                  sum(sy) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw FROM u),
+     pr AS (SELECT a.i AS j, b.i AS k, (b.cs - a.cs + a.sy) / (b.cw - a.cw + a.w) AS m
+            FROM o a JOIN o b ON b.i >= a.i),
+     sm AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM pr),
+     f AS (SELECT k AS i, max(s) AS fit FROM sm GROUP BY k),
+     g AS (SELECT o.i, o.x, f.fit,
+                  CASE WHEN abs(lag(f.fit) OVER (ORDER BY o.i) - f.fit) <= 1e-9 * greatest(1.0, abs(f.fit))
+                       THEN 0 ELSE 1 END AS starts
+           FROM o JOIN f USING (i)),
+     b AS (SELECT i, sum(starts) OVER (ORDER BY i) AS blk FROM g),
+     bs AS (SELECT blk, count(*) AS c FROM b GROUP BY blk)
+SELECT (SELECT CAST(sum(CASE WHEN c = 1 THEN 1 ELSE 2 END) AS INTEGER) FROM bs) AS n_boundaries,
+       (SELECT round(avg((d.y - g.fit) * (d.y - g.fit)), 6) FROM d JOIN g ON d.x = g.x) AS mse
+"""
+
+
+@register("isotonic_fit", ISOTONIC_SQL)
 def q_isotonic_fit(spark, sf_dir):
     """Isotonic regression of document length on word count: boundaries and
     fit quality."""
@@ -262,7 +289,7 @@ def q_isotonic_fit(spark, sf_dir):
     model = IsotonicRegression().fit(d)
     pred = model.transform(d)
     m = pred.agg(F.avg(F.pow(F.col("label") - F.col("prediction"), 2)).alias("mse")).first()
-    return spark.createDataFrame([(len(model.boundaries), float(m["mse"]))], "n_boundaries int, mse double")
+    return spark.createDataFrame([(len(model.boundaries), round(float(m["mse"]), 6))], "n_boundaries int, mse double")
 
 
 # ---------------------------------------------------------------- F8 terms and topics
