@@ -107,6 +107,10 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, checkpoin
              .persist(StorageLevel.MEMORY_AND_DISK))
     stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("deg").alias("e")).first()
     n = stats["n"]
+    if n == 0:  # no edges: no vertices to rank
+        nodes.unpersist()
+        return spark.createDataFrame([], T.StructType([T.StructField("node", edges.schema["src"].dataType),
+                                                       T.StructField("rank", T.DoubleType())]))
     salted, hubs = hub_layout(edges.select("src", "dst"), nodes.withColumnRenamed("node", "src"),
                               stats["e"] or 0, P)
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))

@@ -127,6 +127,12 @@ def test_graph_loops_without_broadcast_equal_replay(spark, monkeypatch):
     assert {comp[v] for v in range(0, 301)} == {0} and comp[500] == comp[501] == 500
 
 
+def test_graph_jobs_on_an_empty_edge_table(spark):
+    e = spark.createDataFrame([], "src long, dst long")
+    assert graph.pagerank(e, iters=2).collect() == []
+    assert graph.connected_components(e).collect() == []
+
+
 def test_als_recovers_two_taste_blocks(spark):
     r = spark.createDataFrame(ALS_RATINGS, "user int, item int, rating float")
     model = recommend.als_fit(r, rank=2, max_iter=15, reg=0.01, seed=1)
