@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from kiln.operators.training import TrainConfig, train
+from kiln.operators.training import TrainConfig, standardize_input, train
 
 SWEEP_SCHEMA = T.StructType([
     T.StructField("run", T.IntegerType()), T.StructField("iters", T.IntegerType()),
@@ -29,17 +30,25 @@ def sweep(df: DataFrame, model_config: dict, grid: list[dict], base: TrainConfig
     """One training run per grid point (runs are sequential; each is a
     distributed job).  Reports train loss/accuracy (mean of the last steps),
     validation metrics and fit seconds (B5: fit only, not load or test)."""
+    # the input is read and standardised once and kept for every run (each
+    # run would otherwise scan and persist it again)
+    std = standardize_input(df, cols.get("id_col", "id"), cols.get("label_col", "label"),
+                            cols.get("features_col", "features"), base.feature_dtype)
+    std = std.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
-    for i, point in enumerate(grid):
-        cfg = replace(base, **point)
-        res = train(df, model_config, cfg, **cols)
-        tr = [h for h in res.history if h["split"] == "train"]
-        seen = sum(int(h["n"]) for h in tr)
-        v = res.validation or {}
-        rows.append((i, cfg.iters, cfg.batch_size, cfg.partitions, cfg.shard_by,
-                     _tail_mean([h["loss"] for h in tr]), _tail_mean([h["acc"] for h in tr]),
-                     v.get("loss"), v.get("accuracy"), seen, res.seconds,
-                     seen / res.seconds if res.seconds else None))
+    try:
+        for i, point in enumerate(grid):
+            cfg = replace(base, **{"materialize_input": False, **point})
+            res = train(std, model_config, cfg)
+            tr = [h for h in res.history if h["split"] == "train"]
+            seen = sum(int(h["n"]) for h in tr)
+            v = res.validation or {}
+            rows.append((i, cfg.iters, cfg.batch_size, cfg.partitions, cfg.shard_by,
+                         _tail_mean([h["loss"] for h in tr]), _tail_mean([h["acc"] for h in tr]),
+                         v.get("loss"), v.get("accuracy"), seen, res.seconds,
+                         seen / res.seconds if res.seconds else None))
+    finally:
+        std.unpersist()
     return df.sparkSession.createDataFrame(rows, SWEEP_SCHEMA)
 
 
