@@ -135,10 +135,13 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, checkpoin
     return ranks
 
 
-def connected_components(edges: DataFrame, max_iter: int = 50, checkpoint_every: int = 5) -> DataFrame:
+def connected_components(edges: DataFrame, max_iter: int | None = None, checkpoint_every: int = 5) -> DataFrame:
     """Min-label propagation on the undirected graph: ``(node, component)``
-    with the component named by its smallest vertex id.  Stops when no
-    label changes (one count per round)."""
+    with the component named by its smallest vertex id.  Runs until no
+    label changes (one test per round; the rounds needed grow with the
+    graph's diameter).  ``max_iter`` is a guard, not a truncation: reaching
+    it before the labels are stable raises instead of returning unfinished
+    components."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = undirected(edges)
@@ -148,7 +151,8 @@ def connected_components(edges: DataFrame, max_iter: int = 50, checkpoint_every:
     stats = deg.agg(F.count(F.lit(1)).alias("n"), F.sum("deg").alias("e")).first()
     e, hubs = hub_layout(e, deg, stats["e"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
     labels = deg.select(F.col("src").alias("node"), F.col("src").alias("component"))
-    for i in range(max_iter):
+    i, stable = 0, False
+    while max_iter is None or i < max_iter:
         values = spread_to_salts(labels.withColumnRenamed("node", "src"), hubs)
         best = (join_values(e, values, stats["n"])
                 .groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("cand")))
@@ -166,8 +170,13 @@ def connected_components(edges: DataFrame, max_iter: int = 50, checkpoint_every:
         if labels.is_cached:
             labels.unpersist()
         labels = new
+        i += 1
         if stable:
             break
+    if not stable:
+        for kept in (labels, e, deg):
+            kept.unpersist()
+        raise RuntimeError(f"components not stable after max_iter={max_iter} rounds")
     if not labels.is_cached:
         labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
     labels.count()

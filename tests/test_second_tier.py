@@ -133,6 +133,15 @@ def test_graph_jobs_on_an_empty_edge_table(spark):
     assert graph.connected_components(e).collect() == []
 
 
+def test_components_run_to_convergence_and_a_cap_never_truncates(spark):
+    path = [(i, i + 1) for i in range(12)]  # diameter 12: needs about 12 rounds
+    e = spark.createDataFrame(path, "src long, dst long")
+    comp = {r["node"]: r["component"] for r in graph.connected_components(e, checkpoint_every=4).collect()}
+    assert comp == {v: 0 for v in range(13)}
+    with pytest.raises(RuntimeError, match="not stable"):
+        graph.connected_components(e, max_iter=3)
+
+
 def test_als_recovers_two_taste_blocks(spark):
     r = spark.createDataFrame(ALS_RATINGS, "user int, item int, rating float")
     model = recommend.als_fit(r, rank=2, max_iter=15, reg=0.01, seed=1)
