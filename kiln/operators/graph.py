@@ -135,51 +135,52 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, checkpoin
     return ranks
 
 
-def connected_components(edges: DataFrame, max_iter: int | None = None, checkpoint_every: int = 5) -> DataFrame:
-    """Min-label propagation on the undirected graph: ``(node, component)``
-    with the component named by its smallest vertex id.  Runs until no
-    label changes (one test per round; the rounds needed grow with the
-    graph's diameter).  ``max_iter`` is a guard, not a truncation: reaching
-    it before the labels are stable raises instead of returning unfinished
-    components."""
+def connected_components(edges: DataFrame, max_iter: int | None = None, checkpoint_every: int = 1) -> DataFrame:
+    """Components of the undirected graph: ``(node, component)`` with the
+    component named by its smallest vertex id.
+
+    Large-star and small-star rounds: every vertex first links its larger
+    neighbours, then its smaller ones, to the smallest vertex it knows, so
+    paths halve and the rounds grow with the logarithm of the vertices, not
+    with the diameter.  The smallest neighbour is a partially aggregated
+    minimum, joined back by vertex (a hub is split by the adaptive skew
+    join).  A round's edges go through a reliable checkpoint; the fixed point
+    is found by an order-free checksum of the edges.  ``max_iter`` is a
+    guard: reaching it before the fixed point raises."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = undirected(edges)
-    # every vertex of the undirected graph has an out-edge: the degree table
-    # is the vertex list (hash-partitioned by vertex)
-    deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = deg.agg(F.count(F.lit(1)).alias("n"), F.sum("deg").alias("e")).first()
-    e, hubs = hub_layout(e, deg, stats["e"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    labels = deg.select(F.col("src").alias("node"), F.col("src").alias("component"))
-    i, stable = 0, False
-    while max_iter is None or i < max_iter:
-        values = spread_to_salts(labels.withColumnRenamed("node", "src"), hubs)
-        best = (join_values(e, values, stats["n"])
-                .groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("cand")))
-        new = (labels.join(best, "node", "left")
-               .select("node", F.least("component", F.coalesce("cand", F.col("component"))).alias("component")))
-        if checkpoint_every and (i + 1) % checkpoint_every == 0:
-            ensure_checkpoint_dir(spark)
-            new = new.checkpoint(eager=True)
-        else:
-            # kept for the change test and the next round: each round is
-            # computed once, not again by every later round's test
-            new = new.persist(StorageLevel.MEMORY_AND_DISK)
-        stable = (new.join(labels.withColumnRenamed("component", "old"), "node")
-                  .filter(F.col("component") != F.col("old")).isEmpty())
-        if labels.is_cached:
-            labels.unpersist()
-        labels = new
+    pairs = edges.select("src", "dst").filter("src is not null and dst is not null")
+    nodes = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
+    star = (pairs.filter("src <> dst")
+            .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+            .distinct().checkpoint(eager=True))
+    before, i = _checksum(star), 0
+    while before[0]:
+        if max_iter is not None and i >= max_iter:
+            raise RuntimeError(f"components not stable after max_iter={max_iter} rounds")
+        both = star.union(star.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
+        large = (both.join(low, "src").filter(F.col("dst") > F.col("src"))
+                 .select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct())
+        low = large.groupBy("src").agg(F.min("dst").alias("low"))
+        small = large.join(low, "src")
+        star = (small.select(F.explode(F.array(F.struct(F.col("src"), F.col("low").alias("dst")),
+                                               F.struct(F.col("dst").alias("src"), F.col("low").alias("dst"))))
+                             .alias("e")).select("e.src", "e.dst")
+                .filter("src <> dst").distinct())
         i += 1
-        if stable:
+        star = star.persist(StorageLevel.MEMORY_AND_DISK) if i % checkpoint_every else star.checkpoint(eager=True)
+        after = _checksum(star)
+        if after == before:
             break
-    if not stable:
-        for kept in (labels, e, deg):
-            kept.unpersist()
-        raise RuntimeError(f"components not stable after max_iter={max_iter} rounds")
-    if not labels.is_cached:
-        labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
-    labels.count()
-    e.unpersist()
-    deg.unpersist()
-    return labels
+        before = after
+    # at the fixed point every vertex but a component's smallest has one edge
+    return (nodes.join(star.withColumnRenamed("src", "node"), "node", "left")
+            .select("node", F.coalesce("dst", "node").alias("component")))
+
+
+def _checksum(edges: DataFrame) -> tuple:
+    """(count, order-free checksum) of an edge table."""
+    r = edges.agg(F.count(F.lit(1)).alias("n"),
+                  F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
+    return r["n"], r["h"]
