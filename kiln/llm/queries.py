@@ -1,6 +1,7 @@
 """Importing this module registers the subpackage's queries."""
 
-from kiln.llm import decontaminate, exact_dedup, jaccard, langid, lines, quality, urls  # noqa: F401
+from kiln.llm import (decontaminate, exact_dedup, jaccard, langid, lines, packing, phrase_dedup,  # noqa: F401
+                      quality, suffix_dedup, urls)
 from kiln.llm.registry import LLM_ORACLES, LLM_QUERIES
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]

@@ -3,6 +3,7 @@
 import pytest
 
 from conftest import SF001
+import __spark_entry__
 from kiln.llm.queries import LLM_ORACLES, LLM_QUERIES
 from oracle_harness import compare
 
@@ -15,4 +16,4 @@ def test_query_matches_duckdb(spark, name):
 
 def test_ten_operators_and_the_pipeline():
     numbers = sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in LLM_QUERIES
+    assert numbers == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
