@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm.registry import register
-from kiln.llm.tables import SPACES, documents, text_of, written
+from kiln.llm.tables import SPACES, documents, join_counted, text_of, written
 
 MAX_SLOTS = 1 << 26  # bits of a slot family: 2^20 words of 64 bits at most
 SLOTS_PER_ROW = 16
@@ -57,7 +57,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     read, so their names cannot clash.  An empty table gives no rows."""
     digests = written(text_digests(docs, id_col, text_col), "digests")
     slots = 64
-    while slots < min(MAX_SLOTS, SLOTS_PER_ROW * digests.count()):
+    total = digests.count()
+    while slots < min(MAX_SLOTS, SLOTS_PER_ROW * total):
         slots *= 2
     # each at most 2 * MAX_SLOTS / 64 words: broadcast within a proven bound
     words = written(repeated_filter(digests, slots), "bloom")
@@ -79,7 +80,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = (probe.filter("hit").groupBy("text_sha256")
               .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     first = F.expr("copy = 0 and doc_id <=> keep_id")
-    shuffled = (rows.join(groups, "text_sha256")
+    shuffled = (join_counted(rows, written(groups, "groups"), ["text_sha256"], "group_size", total)
                 .select("doc_id", "keep_id", "group_size", "text_sha256",
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
                 .select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256"))

@@ -58,3 +58,21 @@ def total_bytes(df: DataFrame, column: str = "text") -> tuple[int, int]:
     """(rows, text bytes) of a table in one aggregate."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_of(column))).alias("b")).first()
     return int(row["n"]), int(row["b"] or 0)
+
+
+HEAVY_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (unique on ``on``), whose column
+    ``weight`` says how many of the ``total`` rows a key has.
+
+    Keys with more than a HEAVY_KEYS-th of the rows are at most HEAVY_KEYS:
+    they are broadcast, so their rows stay where they are.  The others shuffle
+    in groups that no longer stand out.  ``rows`` is read twice."""
+    heavy = F.col(weight) * HEAVY_KEYS > total
+    hot = F.broadcast(table.filter(heavy))
+    columns = rows.columns + [c for c in table.columns if c not in on]
+    return (rows.join(hot, on).select(*columns)
+            .unionByName(rows.join(F.broadcast(table.filter(heavy).select(*on)), on, "left_anti")
+                         .join(table.filter(~heavy), on).select(*columns)))
