@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kiln.llm import grams as G
 from kiln.llm.registry import register
-from kiln.llm.tables import documents, fresh, text_of, written
+from kiln.llm.tables import documents, fresh, join_counted, text_of, written
 from kiln.operators.graph import connected_components
 
 SHINGLE, NUM, DEN = 4, 85, 100
@@ -389,11 +389,12 @@ def jaccard_join(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE, n
     component but never names one (all ids null: the component is null).
     Only the id and text columns are read.  An empty table gives no rows."""
     rows, comp = jaccard_components(docs, id_col, text_col, k, num, den)
-    named = (rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"))
+    named = (rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
              .join(comp, "set_key", "left").withColumn("c", F.coalesce("component", "set_key")))
     lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
-    by_set = named.join(lowest, "c").select("set_key", "component_id")
-    linked = rows.filter("n > 0").join(by_set, "set_key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    by_set = written(named.join(lowest, "c").select("set_key", "copies", "component_id"), "by_set")
+    linked = (join_counted(rows.filter("n > 0"), by_set, ["set_key"], "copies", rows.count())
+              .select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 

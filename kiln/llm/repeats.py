@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import grams as G
-from kiln.llm.tables import text_of, written
+from kiln.llm.tables import join_counted, text_of, written
 
 FILTER_BITS = 1 << 24
 CROWD = 2000
@@ -135,7 +135,8 @@ def repeated_contexts(rows: DataFrame, kind: str, w: int, k: int):
         F.first("len").alias("len"), F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "contexts")
     of_anchor = (counted.groupBy("fp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("others"))
                  .filter("total > 1").select("fp", "others"))
-    return places, counted.join(of_anchor, "fp")
+    of_anchor = written(of_anchor, "of_anchor")
+    return places, join_counted(counted, of_anchor, ["fp"], "others", counted.count())
 
 
 def _cut(kind, w):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kiln.llm import grams as G
 from kiln.llm import repeats as R
 from kiln.llm.registry import register
-from kiln.llm.tables import documents, written
+from kiln.llm.tables import documents, join_counted, written
 
 WINDOW = 400
 GRAM = 32
@@ -117,8 +117,9 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", window=WIN
     rows = R.keyed(docs, id_col, text_col)
     places, contexts = R.repeated_contexts(rows, "bytes", window, gram)
     contexts = written(contexts, "contexts")
-    runs = written(repeated_runs(contexts, rows, window).filter(F.size("runs") > 0), "runs")
-    marked = places.join(runs, R.CONTEXT)
+    runs = written(repeated_runs(contexts, rows, window).filter(F.size("runs") > 0)
+                   .join(contexts.select(*R.CONTEXT, "n"), R.CONTEXT), "runs")
+    marked = join_counted(places, runs, R.CONTEXT, "n", places.count())
     if keep_first:
         firsts = contexts.select(*R.CONTEXT, F.col("first.row_key").alias("fk"), F.col("first.start").alias("fs"))
         marked = marked.join(firsts, R.CONTEXT).withColumn(
