@@ -46,16 +46,19 @@ class MinibatchTrainer(Estimator, _TrainerParams, MLReadable, MLWritable):
     localSteps = Param(Params._dummy(), "localSteps", "minibatches per shard per job (local SGD); 1 = synchronous",
                        typeConverter=TypeConverters.toInt)
 
+    dropLast = Param(Params._dummy(), "dropLast", "leave the incomplete last batch of a shard out of an epoch",
+                     typeConverter=TypeConverters.toBoolean)
+
     @keyword_only
     def __init__(self, *, modelConfig=None, featuresCol="features", labelCol="label",
                  predictionCol="prediction", idCol="id", iters=10, miniBatch=64, partitions=4, lr=0.001,
                  optimizer="sgd", validationPct=0.0, shardBy="hash", partitionShuffles=1,
-                 fullBatch=False, storage="table", localSteps=1, seed=42):
+                 fullBatch=False, storage="table", localSteps=1, dropLast=False, seed=42):
         super().__init__()
         self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", idCol="id",
                          iters=10, miniBatch=64, partitions=4, lr=0.001, optimizer="sgd", validationPct=0.0,
                          shardBy="hash", partitionShuffles=1, fullBatch=False, storage="table", localSteps=1,
-                         seed=42)
+                         dropLast=False, seed=42)
         self._set(**self._input_kwargs)
 
     def config(self) -> TrainConfig:
@@ -64,7 +67,8 @@ class MinibatchTrainer(Estimator, _TrainerParams, MLReadable, MLWritable):
                            lr=g(self.lr), optimizer=g(self.optimizer), validation_pct=g(self.validationPct),
                            seed=g(self.seed), shard_by=g(self.shardBy),
                            partition_shuffles=g(self.partitionShuffles), full_batch=g(self.fullBatch),
-                           storage=g(self.storage), local_steps=g(self.localSteps))
+                           storage=g(self.storage), local_steps=g(self.localSteps),
+                           drop_last=g(self.dropLast))
 
     def _fit(self, dataset: DataFrame) -> "MinibatchModel":
         id_col = self.getOrDefault(self.idCol)

@@ -93,3 +93,14 @@ def apply_minmax(df: DataFrame, col: str, mins: Sequence[float], maxs: Sequence[
 
 def cast_float32(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.col(col).cast("array<float>"))
+
+
+def recode_binary(df: DataFrame, label_col: str, out: str | None = None) -> DataFrame:
+    """Two distinct labels, in sorted order, recoded to 0.0 and 1.0 (one
+    aggregate finds them); any other number of labels raises.  A null label
+    stays null."""
+    r = df.agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).first()
+    between = (F.col(label_col) != F.lit(r["lo"])) & (F.col(label_col) != F.lit(r["hi"]))
+    if r["lo"] is None or r["lo"] == r["hi"] or not df.filter(between).isEmpty():
+        raise ValueError(f"{label_col} does not have exactly two labels")
+    return df.withColumn(out or label_col, (F.col(label_col) == F.lit(r["hi"])).cast("double"))

@@ -61,7 +61,7 @@ def sweep_iterations(df: DataFrame, model_config: dict, cuts: list[int], base: T
     tr = [h for h in res.history if h["split"] == "train"]
     rows = []
     for i, cut in enumerate(sorted(cuts)):
-        upto = tr[:cut]
+        upto = [h for h in tr if h["iter"] < cut]
         val = [h for h in res.history if h["split"] == "validation" and h["iter"] == cut - 1]
         seen = sum(int(h["n"]) for h in upto)
         secs = val[0]["seconds"] if val else sum(h["seconds"] for h in upto)

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from kiln.functions.hashing import seeded_hash32, seeded_uniform
 from kiln.models import build_model, make_optimizer
 from kiln.operators.ranking import row_number_distributed
-from kiln.session import scratch_path
+from kiln.session import delete_scratch, scratch_path
 
 PARTIAL_SCHEMA = T.StructType([
     T.StructField("grad", T.ArrayType(T.DoubleType())),
@@ -65,7 +65,8 @@ class TrainConfig:
     shard_by: str = "hash"            # "hash" | "balanced" | "label" (hash of label, skewed)
     partition_shuffles: int = 1       # rounds; each round re-deals rows to shards
     full_batch: bool = False          # every step uses all rows of every shard
-    drop_last: bool = True
+    drop_last: bool = False           # True: the tail of every shard stays out of an epoch
+    redeal: bool = True               # rows change batches every epoch (within blocks of batches_per_folder)
     storage: str = "table"            # "table" (parquet in checkpoint dir) | "cache"
     feature_dtype: str = "float"      # "float" | "double"
     tree_reduce_above: int = 32
@@ -79,6 +80,10 @@ class TrainConfig:
     batches_per_folder: int = 64      # prepared table folders: bgroup = batch div this
 
 
+# fixed values: the largest primes below 2^31, multipliers of the re-deal
+REDEAL_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543)
+
+
 @dataclass
 class TrainResult:
     model_config: dict
@@ -255,7 +260,9 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int,
     if cfg.full_batch:
         return (train.withColumn("shard", F.pmod(key, F.lit(P)).cast("int"))
                 .withColumn("batch", F.lit(0).cast("bigint"))
-                .withColumn("n_batches", F.lit(1).cast("bigint")))
+                .withColumn("n_batches", F.lit(1).cast("bigint"))
+                .withColumn("pos", F.lit(0).cast("bigint"))
+                .withColumn("n_rows", F.lit(1).cast("bigint")))
     keyed = train.withColumn("_k_key", key)
     if cfg.shard_by == "balanced":
         ranked = row_number_distributed(keyed, ["_k_key", "id"], out="_k_rn", group_size="_k_n",
@@ -276,35 +283,54 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int,
         idx, n_s = F.col("_k_rn") - 1, F.col("_k_n")
     out = (ranked.withColumn("batch", F.floor(idx / F.lit(B)).cast("bigint"))
            .withColumn("n_batches", (F.floor(n_s / F.lit(B)) if cfg.drop_last else F.ceil(n_s / F.lit(B)))
-                       .cast("bigint")))
-    if cfg.drop_last:
+                       .cast("bigint"))
+           .withColumn("pos", idx.cast("bigint")).withColumn("n_rows", n_s.cast("bigint")))
+    if cfg.drop_last and not cfg.redeal:
         out = out.filter(F.col("batch") < F.col("n_batches"))
     return out.drop("_k_key", "_k_rn", "_k_n")
 
 
+def redealt_batch(step: int, cfg: TrainConfig):
+    """The batch a row is in at ``step``.  Epoch ``step div n_batches`` of a
+    shard permutes the positions of each block of ``batches_per_folder``
+    batches (``a r + c mod rows``, with a prime ``a``, so it is one to one):
+    batches keep their sizes, a dropped tail changes, and the rows of a step
+    stay in one folder of the layout."""
+    if not cfg.redeal:
+        return F.col("batch")
+    block = cfg.batches_per_folder * cfg.batch_size
+    epoch = F.floor(F.lit(step) / F.col("n_batches"))
+    base = F.floor(F.col("pos") / F.lit(block)) * F.lit(block)
+    rows = F.least(F.lit(block), F.col("n_rows") - base)
+    a = F.element_at(F.array(*[F.lit(p) for p in REDEAL_PRIMES]),
+                     (F.pmod(epoch, F.lit(len(REDEAL_PRIMES))) + 1).cast("int"))
+    c = F.xxhash64(F.lit(cfg.seed), epoch, base)
+    moved = F.pmod(F.pmod(F.pmod(F.col("pos") - base, rows) * a, rows) + F.pmod(c, rows), rows)
+    return F.when(epoch == 0, F.col("batch")).otherwise(
+        F.floor((base + moved) / F.lit(cfg.batch_size)).cast("bigint"))
+
+
 LAYOUT_TARGET_BYTES = 128 * 1024 * 1024
 
 
 def layout_partitions(spark, cfg: TrainConfig) -> int:
-    """Range partitions of the prepared table: at least one per shard, at
-    most the session's shuffle partitions (``train`` sizes it from the data:
-    about 128 MB per file), so a shard of a large table spans several
-    right-sized files and a small table keeps one file per shard."""
+    """Range partitions of the prepared table: at least one per shard
+    (``train`` sizes it from the data: about 128 MB per file), so a shard of
+    a large table spans several right-sized files and a small table keeps
+    one file per shard."""
     if cfg.layout_partitions:
         return max(cfg.partitions, cfg.layout_partitions)
     return max(cfg.partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def sized_layout(train_rows: DataFrame, cfg: TrainConfig) -> int:
-    """Files needed for ~128 MB each (rows x estimated row width), clamped
-    to [shards, shuffle partitions].  One aggregate over the persisted input."""
-    spark = train_rows.sparkSession
+    """Files needed for ~128 MB each (rows x estimated row width), at least
+    one per shard.  One aggregate over the persisted input."""
     r = train_rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
     n = r["n"]
     width = 4 * (r["d"] or 1) * (2 if cfg.feature_dtype == "double" else 1) + 48
     want = int(math.ceil(n * width / LAYOUT_TARGET_BYTES))
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(cfg.partitions, min(cap, want))
+    return max(cfg.partitions, want)
 
 
 def _already_laid_out(cfg: TrainConfig) -> bool:
@@ -319,15 +345,15 @@ class PreparedRound:
 
     def __init__(self, df: DataFrame, cfg: TrainConfig, tag: str, intermediates: list | None = None):
         spark = df.sparkSession
+        self.cfg = cfg
         self.per_folder = cfg.batches_per_folder
         self.n_tasks = None
-        rows = df.select("id", "label", "features", "shard", "batch", "n_batches",
+        rows = df.select("id", "label", "features", "shard", "batch", "n_batches", "pos", "n_rows",
                          F.floor(F.col("batch") / F.lit(self.per_folder)).cast("bigint").alias("bgroup"))
         M = layout_partitions(spark, cfg)
-        if cfg.full_batch:
-            # every step reads every row: no batch order to keep, no range sampling
-            laid_out = rows.repartition(M, "shard").sortWithinPartitions("shard", "id")
-        elif _already_laid_out(cfg):
+        if cfg.full_batch or _already_laid_out(cfg):
+            # full batch: every step reads every row where the input split
+            # put it, no shuffle; else the ranking shuffle left them in order
             laid_out = rows
         else:
             laid_out = rows.repartitionByRange(M, "shard", "batch").sortWithinPartitions("shard", "batch", "id")
@@ -338,54 +364,59 @@ class PreparedRound:
             # sorted by (shard, batch) (row groups pruned by batch statistics)
             (laid_out.write.mode("overwrite").option("parquet.block.size", 8 * 1024 * 1024)
              .partitionBy("bgroup").parquet(self.path))
-            self.table = spark.read.parquet(self.path)
+            self.table = spark.read.schema(rows.schema).parquet(self.path)
         else:
             self.path = None
             self._cached = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
             self.table = self._cached
+        self._intermediates = intermediates or []
         if self._cached is None:
-            for cached in intermediates or []:  # written: the ranking intermediates can go
+            for cached in self._intermediates:  # written: the ranking intermediates can go
                 cached.unpersist()
-        else:
-            self._intermediates = intermediates or []
         # one row per shard: bounded by the partition count
         self.shard_batches = {int(r["shard"]): int(r["n_batches"])
                               for r in self.table.groupBy("shard").agg(F.max("n_batches").alias("n_batches"))
                               .collect()}
+        if not any(self.shard_batches.values()):
+            self.release()
+            raise ValueError("no training rows" if not self.shard_batches else
+                             f"no shard has a full batch of {cfg.batch_size} rows and drop_last is set")
+
+    def _wanted(self, first: int, k: int) -> list[int]:
+        """Batches of some shard among steps first .. first+k-1: at most one
+        a step and distinct shard size."""
+        return sorted({(first + i) % nb for nb in set(self.shard_batches.values()) if nb > 0 for i in range(k)})
 
     def window_rows(self, first: int, k: int) -> DataFrame:
-        """Rows of minibatches ``first .. first+k-1`` (mod each shard's count)."""
-        wanted = sorted({(first + i) % nb for nb in self.shard_batches.values() if nb > 0 for i in range(k)})
-        if not wanted:
-            return self.table.limit(0)
-        rows = self.table
-        groups = sorted({w // self.per_folder for w in wanted})
-        if len(groups) <= 64:
-            rows = rows.filter(F.col("bgroup").isin(groups))
-        if len(wanted) <= 256:
-            rows = rows.filter(F.col("batch").isin(wanted))
+        """Rows of minibatches ``first .. first+k-1`` (mod each shard's
+        count), ``batch`` being the one of the epoch of step ``first``."""
+        wanted = self._wanted(first, k)
+        rows = self.table.filter(F.col("bgroup").isin(sorted({w // self.per_folder for w in wanted})))
+        if first + k <= min(nb for nb in self.shard_batches.values() if nb > 0):
+            rows = rows.filter(F.col("batch").isin(wanted))  # first epoch of all shards: pushed into the scan
+        rows = rows.withColumn("batch", redealt_batch(first, self.cfg))
         offset = F.pmod(F.col("batch") - F.lit(first), F.col("n_batches"))
-        return rows.filter(offset < F.least(F.lit(k), F.col("n_batches")))
+        return rows.filter((F.col("batch") < F.col("n_batches")) & (offset < F.least(F.lit(k), F.col("n_batches"))))
 
     def step_rows(self, local_step: int) -> DataFrame:
-        wanted = sorted({local_step % nb for nb in self.shard_batches.values() if nb > 0})
-        if not wanted:
-            return self.table.limit(0)
-        groups = sorted({w // self.per_folder for w in wanted})
-        # one filter (one analysis per step): the folder condition prunes at
-        # planning time, the batch list is pushed into the parquet scan
-        cond = F.col("batch") == F.pmod(F.lit(local_step), F.col("n_batches"))
-        if len(wanted) <= 64:
-            cond = F.col("batch").isin(wanted) & cond
-        if len(groups) <= 64:
-            cond = F.col("bgroup").isin(groups) & cond
-        return self.table.filter(cond)
+        """Rows of one step.  The folder condition prunes at planning time;
+        where all shards are in their first epoch, or rows keep their
+        batches, the batch list is pushed into the parquet scan too."""
+        wanted = self._wanted(local_step, 1)
+        cond = redealt_batch(local_step, self.cfg) == F.pmod(F.lit(local_step), F.col("n_batches"))
+        first_epoch = local_step < min(nb for nb in self.shard_batches.values() if nb > 0)
+        if first_epoch or not self.cfg.redeal:
+            cond = F.col("batch").isin(wanted) & (F.col("batch") == F.pmod(F.lit(local_step), F.col("n_batches")))
+        return self.table.filter(F.col("bgroup").isin(sorted({w // self.per_folder for w in wanted})) & cond)
 
     def release(self):
+        """Free what the round kept; its table is deleted."""
         if self._cached is not None:
             self._cached.unpersist()
             for cached in self._intermediates:
                 cached.unpersist()
+        if self.path is not None:
+            delete_scratch(self.table.sparkSession, self.path)
 
 
 def _reduce_partials(partials: DataFrame, cfg: TrainConfig, n_tasks: int | None = None):
@@ -426,8 +457,17 @@ def evaluate(df: DataFrame, model_config: dict, params: np.ndarray) -> dict:
 
 
 def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id",
-          label_col: str = "label", features_col: str = "features", init_params=None) -> TrainResult:
-    """Synchronous data-parallel training; returns weights and history."""
+          label_col: str = "label", features_col: str = "features", init_params=None,
+          validation: DataFrame | None = None, eval_per_epoch: bool | None = None) -> TrainResult:
+    """Synchronous data-parallel training; returns weights and history.
+    ``validation``: rows to evaluate on (same columns) instead of a share of
+    ``df``."""
+    if eval_per_epoch is not None:
+        cfg = replace(cfg, eval_per_epoch=eval_per_epoch)
+    if validation is not None and cfg.validation_pct > 0:
+        raise ValueError("give validation rows or validation_pct, not both")
+    if cfg.local_steps > 1 and cfg.optimizer != "sgd":
+        raise ValueError("local_steps > 1 averages plain SGD runs; use optimizer='sgd'")
     spark = df.sparkSession
     sc = spark.sparkContext
     model = build_model(model_config)
@@ -447,74 +487,75 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
         val_rows = base.filter(F.col("split") == "validation").drop("split")
     else:
         train_rows, val_rows = base, None
+        if validation is not None:
+            val_rows = standardize_input(validation, id_col, label_col, features_col, cfg.feature_dtype)
 
-    if cfg.local_steps > 1 and cfg.optimizer != "sgd":
-        raise ValueError("local_steps > 1 averages plain SGD runs; use optimizer='sgd'")
-    if not cfg.layout_partitions:
-        cfg = replace(cfg, layout_partitions=sized_layout(train_rows, cfg))
-    rounds = max(1, cfg.partition_shuffles)
-    total_iters = cfg.iters
-    eval_every = cfg.eval_every
-    per_round = int(math.ceil(total_iters / rounds))
-    history: list[dict] = []
-    t_start = time.time()
-    step = 0
-    for rnd in range(rounds):
-        if step >= total_iters:
-            break
-        keep: list = []
-        prepared = PreparedRound(assign_shards_and_batches(train_rows, cfg, rnd, keep), cfg, f"train-r{rnd}", keep)
-        if cfg.epochs and rnd == 0:
-            # an epoch = one pass over the largest shard's batches
-            per_epoch = max([1] + list(prepared.shard_batches.values()))
-            total_iters = cfg.epochs * per_epoch
-            per_round = int(math.ceil(total_iters / rounds))
-            if cfg.eval_per_epoch:
-                eval_every = per_epoch
-        try:
-            local = 0
-            while local < per_round and step < total_iters:
-                k = min(cfg.local_steps, per_round - local, total_iters - step)
-                t0 = time.time()
-                bc = sc.broadcast(params)
-                try:
-                    if cfg.local_steps > 1:
-                        partials = (prepared.window_rows(local, k)
-                                    .select("id", "label", "features", "shard", "batch", "n_batches")
-                                    .groupBy("shard")
-                                    .applyInArrow(_local_sgd_fn(model.to_json(), bc, local, step, k, cfg.lr,
-                                                                cfg.seed), PARTIAL_SCHEMA))
-                    else:
-                        partials = prepared.step_rows(local).select("id", "label", "features").mapInArrow(
-                            _gradient_fn(model.to_json(), bc, step, cfg.seed), PARTIAL_SCHEMA)
-                    if prepared.n_tasks is None:
-                        # the layout is fixed for the round: every step plans
-                        # the same number of scan tasks, counted once
-                        prepared.n_tasks = partials.rdd.getNumPartitions()
-                    g, loss, correct, n = _reduce_partials(partials, cfg, prepared.n_tasks)
-                finally:
-                    bc.destroy()
-                if n > 0:
-                    params = params + g / n if cfg.local_steps > 1 else opt.step(params, g / n)
-                rec = {"round": rnd, "iter": step, "split": "train", "n": n,
-                       "loss": loss / n if n else None,
-                       "acc": correct / n if n and model.task == "classification" else None,
-                       "seconds": time.time() - t0}
-                if cfg.keep_params:
-                    rec["params"] = params.copy()
-                history.append(rec)
-                step += k
-                local += k
-                due = (eval_every and step % eval_every == 0) or step in cfg.eval_at
-                if due and val_rows is not None:
-                    v = evaluate(val_rows, model.config(), params)
-                    history.append({"round": rnd, "iter": step - 1, "split": "validation", "n": v["n"],
-                                    "loss": v["loss"], "acc": v["accuracy"],
-                                    "seconds": time.time() - t_start})
-        finally:
-            prepared.release()
-    seconds = time.time() - t_start
     try:
+        if not cfg.layout_partitions:
+            cfg = replace(cfg, layout_partitions=sized_layout(train_rows, cfg))
+        rounds = max(1, cfg.partition_shuffles)
+        total_iters = cfg.iters
+        eval_every = cfg.eval_every
+        per_round = int(math.ceil(total_iters / rounds))
+        history: list[dict] = []
+        t_start = time.time()
+        step = 0
+        for rnd in range(rounds):
+            if step >= total_iters:
+                break
+            keep: list = []
+            prepared = PreparedRound(assign_shards_and_batches(train_rows, cfg, rnd, keep), cfg, f"train-r{rnd}", keep)
+            if cfg.epochs and rnd == 0:
+                # an epoch = one pass over the largest shard's batches
+                per_epoch = max([1] + list(prepared.shard_batches.values()))
+                total_iters = cfg.epochs * per_epoch
+                per_round = int(math.ceil(total_iters / rounds))
+                if cfg.eval_per_epoch:
+                    eval_every = per_epoch
+            try:
+                local = 0
+                while local < per_round and step < total_iters:
+                    k = min(cfg.local_steps, per_round - local, total_iters - step)
+                    t0 = time.time()
+                    bc = sc.broadcast(params)
+                    try:
+                        if cfg.local_steps > 1:
+                            partials = (prepared.window_rows(local, k)
+                                        .select("id", "label", "features", "shard", "batch", "n_batches")
+                                        .groupBy("shard")
+                                        .applyInArrow(_local_sgd_fn(model.to_json(), bc, local, step, k, cfg.lr,
+                                                                    cfg.seed), PARTIAL_SCHEMA))
+                        else:
+                            partials = prepared.step_rows(local).select("id", "label", "features").mapInArrow(
+                                _gradient_fn(model.to_json(), bc, step, cfg.seed), PARTIAL_SCHEMA)
+                        if prepared.n_tasks is None:
+                            # the layout is fixed for the round: every step plans
+                            # the same number of scan tasks, counted once
+                            prepared.n_tasks = partials.rdd.getNumPartitions()
+                        g, loss, correct, n = _reduce_partials(partials, cfg, prepared.n_tasks)
+                    finally:
+                        bc.destroy()
+                    if n == 0:
+                        raise RuntimeError(f"step {step} of round {rnd} read no rows")
+                    params = params + g / n if cfg.local_steps > 1 else opt.step(params, g / n)
+                    rec = {"round": rnd, "iter": step, "split": "train", "n": n,
+                           "loss": loss / n,
+                           "acc": correct / n if model.task == "classification" else None,
+                           "seconds": time.time() - t0}
+                    if cfg.keep_params:
+                        rec["params"] = params.copy()
+                    history.append(rec)
+                    step += k
+                    local += k
+                    due = (eval_every and step % eval_every == 0) or step in cfg.eval_at
+                    if due and val_rows is not None:
+                        v = evaluate(val_rows, model.config(), params)
+                        history.append({"round": rnd, "iter": step - 1, "split": "validation", "n": v["n"],
+                                        "loss": v["loss"], "acc": v["accuracy"],
+                                        "seconds": time.time() - t_start})
+            finally:
+                prepared.release()
+        seconds = time.time() - t_start
         validation = evaluate(val_rows, model.config(), params) if val_rows is not None else None
     finally:
         if persisted is not None:

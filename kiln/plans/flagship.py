@@ -15,15 +15,14 @@ from kiln.plans.registry import register
 from kiln.sources import image_table
 
 
-def flagship(spark, sf_dir, iters: int = 4, partitions: int = 4, batch: int = 32):
+def flagship(spark, sf_dir, epochs: int = 1, partitions: int = 4, batch: int = 64):
     df = features.normalize(image_table(spark, sf_dir), "features", 0.0, 0.125)
     df = sampling.split_fraction(df, SEED, "id", [0.8, 0.2], ["train", "test"])
     net = LinearNet(DIM, N_CLASSES, "classification")
-    cfg = TrainConfig(iters=iters, batch_size=batch, partitions=partitions, lr=0.5, validation_pct=0.0,
-                      seed=SEED, storage="cache")
+    cfg = TrainConfig(epochs=epochs, batch_size=batch, partitions=partitions, lr=0.5, validation_pct=0.0, seed=SEED)
     res = train(df.filter(F.col("split") == "train"), net.config(), cfg)
     p = net.unpack(res.params)
-    # a linear model is small enough to score inside whole-stage codegen
+    # a linear model is small enough to score with column expressions
     scored = df.withColumn("scores", arrays.affine("features", p["W"].tolist(), p["b"].tolist()))
     scored = scored.select("split", "label", arrays.argmax("scores").alias("prediction"),
                            metrics.cross_entropy_expr(arrays.log_softmax("scores"), "label").alias("ce"))

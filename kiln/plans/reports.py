@@ -17,33 +17,36 @@ from kiln.session import scratch_path
 from kiln.sources import eventlog, image_table
 
 CNN = SmallCNN(side=IMAGE_SIDE).config()
-BASE = TrainConfig(iters=3, batch_size=64, partitions=4, lr=0.001, validation_pct=0.2, seed=SEED)
+BASE = TrainConfig(iters=50, batch_size=64, partitions=4, lr=0.001, validation_pct=0.2, seed=SEED)
 
 
-# fixed values: the batch sizes and partition counts of the benchmark scripts
+# fixed values: batch sizes, iteration and partition counts of the benchmark
 BATCH_GRID = (1, 8, 16, 32, 256, 512, 1024, 2048)
-PARTITION_GRID = (2, 6, 12, 16)
+ITER_GRID = (25, 50, 75, 100, 150, 200, 250, 300)
+PARTITION_GRID = ((2, 300), (6, 300), (12, 300), (16, 50))  # (partitions, iterations)
 
 
 @register("sweep_batch")
 def q_sweep_batch(spark, sf_dir):
-    """B1: the benchmark's batch sizes on 4 shards.  A batch larger than a
-    shard uses the whole shard (the tail is kept: ``drop_last=False``)."""
-    grid = [{"batch_size": b, "drop_last": False} for b in BATCH_GRID]
+    """B1: the benchmark's batch sizes on 4 shards, 50 iterations each, ten
+    minibatches a job.  A batch larger than a shard is the whole shard."""
+    grid = [{"batch_size": b, "local_steps": 10} for b in BATCH_GRID]
     return sweep(image_table(spark, sf_dir), CNN, grid, BASE)
 
 
 @register("sweep_iters")
 def q_sweep_iters(spark, sf_dir):
-    """B2: iteration sweep at batch 64 on 3 shards, one run cut at 2/4/6."""
-    base = TrainConfig(batch_size=64, partitions=3, lr=0.001, validation_pct=0.2, seed=SEED)
-    return sweep_iterations(image_table(spark, sf_dir), CNN, [2, 4, 6], base)
+    """B2: iteration sweep at batch 64 on 3 shards, one run cut at the
+    benchmark's counts; 25 minibatches a job (local SGD), which divides all."""
+    base = TrainConfig(batch_size=64, partitions=3, lr=0.001, validation_pct=0.2, seed=SEED, local_steps=25)
+    return sweep_iterations(image_table(spark, sf_dir), CNN, list(ITER_GRID), base)
 
 
 @register("sweep_partitions")
 def q_sweep_partitions(spark, sf_dir):
-    """The benchmark's shard counts at batch 32."""
-    grid = [{"partitions": p, "batch_size": 32} for p in PARTITION_GRID]
+    """The benchmark's shard counts at batch 256 with its iteration
+    counts, 25 minibatches a job."""
+    grid = [{"partitions": p, "batch_size": 256, "iters": n, "local_steps": 25} for p, n in PARTITION_GRID]
     return sweep(image_table(spark, sf_dir), CNN, grid, BASE)
 
 

@@ -14,11 +14,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from kiln.functions.hashing import sql_seeded_hash32, sql_seeded_uniform
 from kiln.functions.text import char_count, token_count
 from kiln.models import MLP, LinearNet, SmallCNN
 from kiln.operators import sampling
 from kiln.operators.estimators import MinibatchModel, MinibatchTrainer
-from kiln.operators.training import TrainConfig, evaluate, history_frame, standardize_input, train
+from kiln.operators.features import recode_binary
+from kiln.operators.training import (PreparedRound, TrainConfig, assign_shards_and_batches, evaluate, history_frame,
+                                     standardize_input, train, with_split)
 from kiln.plans.constants import IMAGE_SIDE, MLP_B1, MLP_B2, MLP_W1, MLP_W2, SEED
 from kiln.plans.registry import register
 from kiln.plans.sqltext import sql_affine, sql_argmax, sql_relu
@@ -146,30 +149,87 @@ def q_ridge_2x2(spark, sf_dir):
 
 # ---------------------------------------------------------------- R queries (Spark ML, iterative)
 
-@register("linreg_elastic")
-def q_linreg_elastic(spark, sf_dir):
-    """Elastic-net regression (maxIter 100, regParam 0.3, elasticNetParam
-    0.2) with its training report (S10): coefficients, intercept,
-    iterations, MSE, RMSE, r2."""
-    d = doc_features(spark, sf_dir)
+def elastic_net(spark, sf_dir, fit_on: str = "train"):
+    """The 70/30 split of the documents and the elastic net (maxIter 100,
+    regParam 0.3, elasticNetParam 0.2) fitted on ``fit_on``: "train" (the 70 %
+    part) or "all".  Returns (assembled rows with ``split``, model); the rows
+    are persisted, the caller releases them."""
+    if fit_on not in ("train", "all"):
+        raise ValueError("fit_on is 'train' or 'all'")
+    d = sampling.split_fraction(doc_features(spark, sf_dir), SEED, "doc_id", [0.7, 0.3], ["train", "test"])
     # the fit and its summary both read the assembled rows: text features once
     data = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(d).persist()
     try:
+        part = data if fit_on == "all" else data.filter(F.col("split") == "train")
         m = LinearRegression(featuresCol="features", labelCol="target", maxIter=100, regParam=0.3,
-                             elasticNetParam=0.2).fit(data)
-        s = m.summary
-        row = ([float(v) for v in m.coefficients], float(m.intercept), int(s.totalIterations),
-               float(s.meanSquaredError), float(s.rootMeanSquaredError), float(s.r2))
-    finally:
+                             elasticNetParam=0.2).fit(part)
+    except BaseException:
         data.unpersist()
+        raise
+    return data, m
+
+
+@register("linreg_elastic")
+def q_linreg_elastic(spark, sf_dir):
+    """Elastic-net regression with its training report (S10), fitted on the
+    70 % part and on all rows: coefficients, intercept, iterations, MSE,
+    RMSE, r2, and the MSE on the 30 % part."""
+    rows = []
+    for fit_on in ("train", "all"):
+        data, m = elastic_net(spark, sf_dir, fit_on)
+        try:
+            s = m.summary
+            test = m.transform(data.filter(F.col("split") == "test"))
+            t = test.agg(F.avg(F.pow(F.col("prediction") - F.col("target"), 2)).alias("mse")).first()
+            rows.append((fit_on, [float(v) for v in m.coefficients], float(m.intercept), int(s.totalIterations),
+                         float(s.meanSquaredError), float(s.rootMeanSquaredError), float(s.r2), t["mse"]))
+        finally:
+            data.unpersist()
     return spark.createDataFrame(
-        [row], "coefficients array<double>, intercept double, iterations int, mse double, rmse double, r2 double")
+        rows, "fit_on string, coefficients array<double>, intercept double, iterations int, mse double, "
+              "rmse double, r2 double, test_mse double")
+
+
+@register("linreg_split", f"""
+SELECT CASE WHEN {sql_seeded_uniform(SEED, "'split'", 'doc_id')} < 0.7 THEN 'train' ELSE 'test' END AS split,
+       count(*) AS n, round(avg({SQL_Y}), 6) AS mean_target
+FROM documents GROUP BY 1
+""")
+def q_linreg_split(spark, sf_dir):
+    """Rows and mean target of the regression's 70/30 split."""
+    d = sampling.split_fraction(doc_features(spark, sf_dir), SEED, "doc_id", [0.7, 0.3], ["train", "test"])
+    return d.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("target"), 6).alias("mean_target"))
+
+
+@register("linreg_history")
+def q_linreg_history(spark, sf_dir):
+    """Objective history of the elastic-net fit as rows."""
+    data, m = elastic_net(spark, sf_dir)
+    try:
+        hist = [float(v) for v in m.summary.objectiveHistory]
+    finally:
+        data.unpersist()
+    return (spark.createDataFrame([(hist,)], "h array<double>")
+            .select(F.posexplode("h").alias("iteration", "objective")))
 
 
 def svm_input(spark, sf_dir):
+    """The two label groups (below 5, from 5 on) under their original codes,
+    recoded to 0 / 1."""
     df = image_table(spark, sf_dir)
-    return df.select("id", (F.col("label") < 5).cast("double").alias("label"),
-                     array_to_vector("features").alias("features"))
+    grouped = df.select("id", F.when(F.col("label") < 5, 1).otherwise(2).alias("label"), "features")
+    return recode_binary(grouped, "label").select("id", "label", array_to_vector("features").alias("features"))
+
+
+@register("label_recode", """
+SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE 2 END AS code,
+       CASE WHEN label < 5 THEN 0.0 ELSE 1.0 END::DOUBLE AS label
+FROM embeddings
+""")
+def q_label_recode(spark, sf_dir):
+    """Two sorted distinct labels recoded to 0 / 1."""
+    df = image_table(spark, sf_dir).select("id", F.when(F.col("label") < 5, 1).otherwise(2).alias("code"))
+    return recode_binary(df.withColumn("label", F.col("code")), "label").select("id", "code", "label")
 
 
 @register("linear_svm")
@@ -221,38 +281,84 @@ def run_image_benchmark(spark, df, **kw):
         acc = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction",
                                                 metricName="accuracy").evaluate(preds)
         n = preds.count()
+        # the trainer's own split, a function of seed and id
+        held = with_split(preds, SEED, kw.get("validation_pct", 0.2)).filter(F.col("split") == "train")
+        train_acc = held.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()["a"]
     finally:
         preds.unpersist()
     res = fitted.stages[-1].result
-    last = [h for h in res.history if h["split"] == "train"][-1]
-    return (kw.get("iters", 4), kw.get("batch", 64), kw.get("partitions", 4), float(last["loss"]),
-            float(acc), n, res.validation["accuracy"] if res.validation else None, fit_seconds)
+    steps = [h for h in res.history if h["split"] == "train"]
+    return (kw.get("iters", 4), kw.get("batch", 64), kw.get("partitions", 4), float(steps[-1]["loss"]),
+            float(acc), n, train_acc, res.validation["accuracy"] if res.validation else None,
+            sum(int(h["n"]) for h in steps), fit_seconds)
 
 
 REPORT_SCHEMA = ("iters int, batch int, partitions int, last_loss double, accuracy_all double, n long, "
-                 "accuracy_validation double, fit_seconds double")
+                 "accuracy_train double, accuracy_validation double, rows_seen long, fit_seconds double")
 
 
 @register("train_cnn")
 def q_train_cnn(spark, sf_dir):
     """T1 + T7 + S8/S9 + T8 + A1: CNN trained with minibatch SGD on 4 shards,
     pipeline saved, reloaded, scored and evaluated."""
-    row = run_image_benchmark(spark, image_table(spark, sf_dir), partitions=4, iters=4, batch=64)
+    row = run_image_benchmark(spark, image_table(spark, sf_dir), partitions=4, iters=50, batch=64)
     return spark.createDataFrame([row], REPORT_SCHEMA)
 
 
+PICTURE_SIDE = 28
+
+
+def picture_csv(spark, sf_dir) -> str:
+    """A headerless CSV of 785 columns (label, 28 x 28 pixels of 0..255) in
+    the scratch folder.  Pixel ``p`` of a row is its embedding value ``p mod
+    64``, from [-0.5, 0.5] to 0..255 (values beyond are clipped)."""
+    df = image_table(spark, sf_dir)
+    pixel = [F.greatest(F.lit(0), F.least(F.lit(255), F.round((F.col("features")[p % 64] + 0.5) * 255)))
+             .cast("int").alias(f"_c{p + 1}") for p in range(PICTURE_SIDE * PICTURE_SIDE)]
+    path = scratch_path(spark, "pictures")
+    df.select(F.col("label").alias("_c0"), *pixel).write.csv(path)
+    return path
+
+
+@register("train_cnn_csv")
+def q_train_cnn_csv(spark, sf_dir):
+    """The canonical job: headerless 785-column CSV, VectorAssembler over
+    columns 1..784, 28 x 28 CNN (50 iterations, batch 64, 3 shards), save,
+    load, score; accuracy on train, validation and all rows."""
+    path = picture_csv(spark, sf_dir)
+    names = [f"_c{i}" for i in range(1, PICTURE_SIDE * PICTURE_SIDE + 1)]
+    raw = spark.read.schema(", ".join(f"{c} int" for c in ["_c0", *names])).csv(path)
+    keyed = raw.withColumn("id", F.xxhash64(*raw.columns)).withColumnRenamed("_c0", "label")
+    rows = VectorAssembler(inputCols=names, outputCol="pixels").transform(keyed).select("id", "label", "pixels")
+    trainer = MinibatchTrainer(modelConfig=json.dumps(SmallCNN(side=PICTURE_SIDE).config()), featuresCol="pixels",
+                               labelCol="label", predictionCol="prediction", idCol="id", iters=50, miniBatch=64,
+                               partitions=3, lr=0.001, validationPct=0.2, seed=SEED)
+    t0 = time.time()
+    fitted = Pipeline(stages=[trainer]).fit(rows)
+    seconds = time.time() - t0
+    saved = scratch_path(spark, "pipeline")
+    fitted.write().overwrite().save(saved)
+    preds = with_split(PipelineModel.load(saved).transform(rows), SEED, 0.2)
+    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    parts = preds.groupBy("split").agg(right.alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    both = preds.agg(F.lit("all").alias("split"), right.alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    seen = sum(int(h["n"]) for h in fitted.stages[-1].result.history if h["split"] == "train")
+    return (parts.unionByName(both).withColumn("rows_seen", F.lit(seen).cast("long"))
+            .withColumn("fit_seconds", F.lit(seconds)))
+
+
 @register("train_local_sgd")
 def q_train_local_sgd(spark, sf_dir):
-    """The canonical CNN pipeline with local SGD: 8 steps as 2 jobs of 4
+    """The canonical CNN pipeline with local SGD: 50 steps as 5 jobs of 10
     minibatches per shard, weight deltas averaged by rows."""
-    row = run_image_benchmark(spark, image_table(spark, sf_dir), partitions=4, iters=8, batch=64, local_steps=4)
+    row = run_image_benchmark(spark, image_table(spark, sf_dir), partitions=4, iters=50, batch=64, local_steps=10)
     return spark.createDataFrame([row], REPORT_SCHEMA)
 
 
 @register("train_skewed")
 def q_train_skewed(spark, sf_dir):
     """Same, rows dealt to shards by hash of label, 4 re-deal rounds."""
-    row = run_image_benchmark(spark, image_table(spark, sf_dir), partitions=4, iters=4, batch=64,
+    row = run_image_benchmark(spark, image_table(spark, sf_dir), partitions=4, iters=50, batch=64,
                               shard_by="label", shuffles=4)
     return spark.createDataFrame([row], REPORT_SCHEMA)
 
@@ -262,30 +368,98 @@ def mlp_splits(spark, sf_dir):
     return sampling.split_fraction(image_table(spark, sf_dir), SEED, "id", [5, 1], ["train", "test"])
 
 
+def mlp_config(workers: int, validation_pct: float = 0.0, **more) -> TrainConfig:
+    """3 epochs of batches of 64, Adam, the rows dealt to ``workers`` shards
+    and re-dealt to batches every epoch."""
+    return TrainConfig(epochs=3, batch_size=64, partitions=workers, lr=1e-3, optimizer="adam",
+                       validation_pct=validation_pct, seed=SEED, **more)
+
+
+def run_mlp(spark, sf_dir, workers: int = 1):
+    """The MLP job (64-128-256-10, ReLU, log-softmax) with an exact-count
+    hold-out of a fifth of the training part, validated every epoch."""
+    parts = mlp_splits(spark, sf_dir).filter(F.col("split") == "train").drop("split")
+    hold = parts.count() // 5
+    held = sampling.split_exact(parts, SEED, "id", hold).persist()
+    try:
+        return train(held.filter(F.col("split") == "train"), MLP([64, 128, 256, 10]).config(), mlp_config(workers),
+                     validation=held.filter(F.col("split") == "validation"), eval_per_epoch=True)
+    finally:
+        held.unpersist()
+
+
 @register("train_mlp")
 def q_train_mlp(spark, sf_dir):
-    """MLP 64-128-256-10 (ReLU, log-softmax), Adam lr 1e-3, batch 64,
-    1 worker, 3 epochs, 20 % held out (validated every epoch); history per
-    step (loss, accuracy)."""
-    parts = mlp_splits(spark, sf_dir)
-    cfg = TrainConfig(epochs=3, batch_size=64, partitions=1, lr=1e-3, optimizer="adam", validation_pct=0.2,
-                      seed=SEED, eval_per_epoch=True)
-    res = train(parts.filter(F.col("split") == "train"), MLP([64, 128, 256, 10]).config(), cfg)
-    return history_frame(spark, res)
+    """The MLP job with one worker; history per step (loss, accuracy)
+    and a validation row per epoch."""
+    return history_frame(spark, run_mlp(spark, sf_dir))
+
+
+@register("train_mlp_workers")
+def q_train_mlp_workers(spark, sf_dir):
+    """T3 with the number of workers as a parameter: 1, 2 and 4."""
+    out = None
+    for workers in (1, 2, 4):
+        h = history_frame(spark, run_mlp(spark, sf_dir, workers)).withColumn("workers", F.lit(workers))
+        out = h if out is None else out.unionByName(h)
+    return out.groupBy("workers", "split").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("rows_seen"),
+                                               F.max_by("loss", "iter").alias("last_loss"),
+                                               F.max_by("acc", "iter").alias("last_accuracy"))
 
 
 @register("test_report")
 def q_test_report(spark, sf_dir):
     """The trained MLP evaluated on the test part (loss, accuracy)."""
     parts = mlp_splits(spark, sf_dir)
-    cfg = TrainConfig(epochs=3, batch_size=64, partitions=1, lr=1e-3, optimizer="adam", seed=SEED)
-    res = train(parts.filter(F.col("split") == "train"), MLP([64, 128, 256, 10]).config(), cfg)
+    res = train(parts.filter(F.col("split") == "train"), MLP([64, 128, 256, 10]).config(), mlp_config(1))
     test = standardize_input(parts.filter(F.col("split") == "test"), "id", "label", "features")
     ev = evaluate(test, res.model_config, res.params)
     return spark.createDataFrame([("test", ev["loss"], ev["accuracy"], ev["n"])],
                                  "split string, loss double, accuracy double, n long")
 
 
+# shards and batch sizes of the rows-seen proof: the smallest and largest
+# of the benchmark
+SEEN_SHARDS, SEEN_BATCHES, SEEN_EPOCHS = (1, 4, 12, 16), (32, 2048), 2
+
+
+@register("train_rows_seen", "\nUNION ALL\n".join(f"""
+SELECT {p} AS partitions, {b} AS batch_size, shard, n AS n_rows, nb AS n_batches,
+       CAST((t // nb) * n + least(n, (t % nb) * {b}) AS BIGINT) AS rows_seen
+FROM (SELECT *, {SEEN_EPOCHS} * max(nb) OVER () AS t
+      FROM (SELECT CAST({sql_seeded_hash32(SEED, "'shard0'", 'vec_id')} % {p} AS INTEGER) AS shard, count(*) AS n,
+                   CAST(ceil(count(*) / {b}.0) AS BIGINT) AS nb
+            FROM embeddings WHERE {sql_seeded_uniform(SEED, "'split'", 'vec_id')} >= 0.2 GROUP BY 1))
+""" for p in SEEN_SHARDS for b in SEEN_BATCHES))
+def q_train_rows_seen(spark, sf_dir):
+    """Rows that the trainer's steps read over two epochs of the largest
+    shard, per shard: every row of every shard is reached, the tail too, and
+    a batch larger than a shard is the whole shard."""
+    base = with_split(standardize_input(image_table(spark, sf_dir), "id", "label", "features"), SEED, 0.2)
+    rows = base.filter(F.col("split") == "train").drop("split").persist()
+    found = []
+    try:
+        for p in SEEN_SHARDS:
+            for b in SEEN_BATCHES:
+                cfg = TrainConfig(batch_size=b, partitions=p, validation_pct=0.2, seed=SEED, layout_partitions=p)
+                prepared = PreparedRound(assign_shards_and_batches(rows, cfg, 0), cfg, "seen")
+                try:
+                    steps = SEEN_EPOCHS * max(prepared.shard_batches.values())
+                    # window_rows and step_rows share the re-deal; one step at a time, as the trainer reads
+                    read = None
+                    for t in range(steps):
+                        one = prepared.step_rows(t).select("shard", "n_rows", "n_batches")
+                        read = one if read is None else read.unionByName(one)
+                    found += [(p, b, r["shard"], r["n_rows"], r["n_batches"], r["seen"]) for r in
+                              read.groupBy("shard", "n_rows", "n_batches").agg(F.count(F.lit(1)).alias("seen")).collect()]
+                finally:
+                    prepared.release()
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame(found, "partitions int, batch_size int, shard int, n_rows long, n_batches long, "
+                                        "rows_seen long")
+
+
 @register("train_mlp_regression")
 def q_train_mlp_regression(spark, sf_dir):
     """T4: MLP 5-10-1 regression, full batch, MSE, SGD lr 0.1, 6 epochs."""
@@ -296,13 +470,13 @@ def q_train_mlp_regression(spark, sf_dir):
     return history_frame(spark, res).select("iter", "n", "loss")
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", "SELECT count(*) AS n, CAST(count(*) AS BIGINT) AS n_equal FROM embeddings")
 def q_model_roundtrip(spark, sf_dir):
     """Save a trained model, load it, and check that predictions are
     unchanged on every row."""
     df = image_table(spark, sf_dir)
     trainer = MinibatchTrainer(modelConfig=json.dumps(LinearNet(64, 10, "classification").config()),
-                               iters=2, miniBatch=32, partitions=2, lr=0.5, seed=SEED)
+                               iters=50, miniBatch=64, partitions=2, lr=0.5, localSteps=10, seed=SEED)
     model = trainer.fit(df)
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
@@ -318,7 +492,7 @@ def q_pipeline_fit_score(spark, sf_dir):
     """Pipeline(feature stage, trainer).fit then transform: predictions
     for every input row."""
     df = image_table(spark, sf_dir)
-    fitted = image_pipeline(partitions=2, iters=2, batch=32,
+    fitted = image_pipeline(partitions=2, iters=50, batch=64, local_steps=10,
                             model=LinearNet(64, 10, "classification").config(), lr=0.5).fit(df)
     return fitted.transform(df).select("id", "label", "prediction")
 

@@ -78,12 +78,12 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{base}/kiln-{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.sparkContext.defaultParallelism)
-
-
-def cpu_count() -> int:
-    return os.cpu_count() or 1
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch_path`` named."""
+    if not path.startswith(f"{ensure_checkpoint_dir(spark).rstrip('/')}/kiln-"):
+        raise ValueError(f"not a scratch folder: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _SHIPPED: set[str] = set()

@@ -53,7 +53,7 @@ def test_cnn_with_dropout_is_partitioning_independent(spark):
 @pytest.mark.parametrize("shard_by", ["hash", "balanced"])
 def test_batches_are_full_and_disjoint(spark, shard_by):
     df = standardize_input(image_table(spark, SF01), "id", "label", "features")
-    cfg = TrainConfig(batch_size=16, partitions=3, shard_by=shard_by)
+    cfg = TrainConfig(batch_size=16, partitions=3, shard_by=shard_by, drop_last=True, redeal=False)
     plan = assign_shards_and_batches(df, cfg, 0)
     sizes = plan.groupBy("shard", "batch").count().select(F.min("count"), F.max("count")).first()
     assert sizes[0] == sizes[1] == 16
@@ -159,3 +159,89 @@ def test_one_local_step_is_synchronous_sgd(spark):
     g, _, _, n = tr._reduce_partials(parts, cfg)
     prep.release()
     assert np.allclose(m.init(cfg.seed) + g / n, sync.params, atol=1e-12)
+
+
+def test_no_row_is_lost_and_batches_change_every_epoch(spark):
+    """Each epoch reads every row of every shard once, in batches of the same
+    sizes; from epoch to epoch rows change batches."""
+    from kiln.operators.training import PreparedRound
+    df = standardize_input(image_table(spark, SF01), "id", "label", "features")
+    cfg = TrainConfig(batch_size=16, partitions=3, batches_per_folder=4, layout_partitions=3)
+    prep = PreparedRound(assign_shards_and_batches(df, cfg, 0), cfg, "t-epochs")
+    nb = prep.shard_batches
+    read = None
+    for t in range(3 * max(nb.values())):
+        one = prep.step_rows(t).select(F.lit(t).alias("t"), "shard", "id")
+        read = one if read is None else read.unionByName(one)
+    pdf = read.toPandas()
+    prep.release()
+    n = df.count()
+    batches = {}
+    for (shard, t), g in pdf.groupby(["shard", "t"]):
+        batches.setdefault((shard, t // nb[shard]), []).append(frozenset(g.id))
+    full = {k: b for k, b in batches.items() if len(b) == nb[k[0]]}
+    for (shard, epoch), b in full.items():
+        assert len(frozenset().union(*b)) == sum(map(len, b))
+        assert sorted(map(len, b)) == sorted(map(len, full[(shard, 0)]))
+        if epoch:
+            assert set(b) != set(full[(shard, epoch - 1)])
+    assert sum(len(x) for (s, e), b in full.items() if e == 0 for x in b) == n
+
+
+def test_batch_larger_than_a_shard_trains_on_all_rows(spark):
+    df = image_table(spark, SF01)
+    cfg = TrainConfig(iters=2, batch_size=2048, partitions=4, lr=0.5)
+    res = train(df, LinearNet(64, 10, "classification").config(), cfg)
+    assert [h["n"] for h in res.history] == [df.count()] * 2
+
+
+def test_training_without_rows_or_full_batches_raises(spark):
+    df = image_table(spark, SF01)
+    net = LinearNet(64, 10, "classification").config()
+    with pytest.raises(ValueError, match="no training rows"):
+        train(df.limit(0), net, TrainConfig(iters=1))
+    with pytest.raises(ValueError, match="full batch"):
+        train(df, net, TrainConfig(iters=1, batch_size=2048, drop_last=True))
+
+
+def test_full_batch_tasks_follow_the_input_splits(spark):
+    from kiln.operators.training import PreparedRound
+    df = standardize_input(image_table(spark, SF01), "id", "label", "features").repartition(6).persist()
+    cfg = TrainConfig(partitions=2, full_batch=True, storage="cache")
+    prep = PreparedRound(assign_shards_and_batches(df, cfg, 0), cfg, "t-full")
+    sizes = prep.step_rows(0).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == 6 and sum(r["count"] for r in sizes) == df.count()
+    assert "Exchange" not in prep.step_rows(0)._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    prep.release()
+    df.unpersist()
+
+
+def test_batch_filter_is_pushed_down_with_many_shards(spark):
+    from kiln.operators.training import PreparedRound
+    df = standardize_input(image_table(spark, SF01), "id", "label", "features")
+    cfg = TrainConfig(batch_size=2, partitions=80, redeal=False)
+    prep = PreparedRound(assign_shards_and_batches(df, cfg, 0), cfg, "t-push")
+    plan = prep.step_rows(7)._jdf.queryExecution().executedPlan().toString()
+    prep.release()
+    pushed = plan[plan.index("PushedFilters"):].split("ReadSchema")[0]
+    assert "batch" in pushed
+
+
+def test_scratch_tables_of_a_fit_are_deleted(spark):
+    import glob
+    from kiln.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    before = set(glob.glob(f"{base}/kiln-train-*"))
+    train(image_table(spark, SF01), LinearNet(64, 10, "classification").config(),
+          TrainConfig(iters=4, partitions=2, partition_shuffles=2, lr=0.1))
+    assert set(glob.glob(f"{base}/kiln-train-*")) == before
+
+
+def test_recode_binary(spark):
+    from kiln.operators.features import recode_binary
+    df = spark.createDataFrame([(2,), (7,), (2,), (None,)], "label int")
+    assert [r["label"] for r in recode_binary(df, "label").collect()] == [0.0, 1.0, 0.0, None]
+    with pytest.raises(ValueError):
+        recode_binary(df.filter("label = 2"), "label")
+    with pytest.raises(ValueError):
+        recode_binary(df.union(spark.createDataFrame([(3,)], "label int")), "label")
