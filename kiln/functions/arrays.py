@@ -1,5 +1,7 @@
 """Tensor maths on ``ARRAY<FLOAT|DOUBLE>`` columns with higher-order
-functions, so it stays inside the JVM and whole-stage codegen."""
+functions.  They stay in the JVM, but Spark interprets the lambdas element by
+element (no code generation): right for small fixed models, while trained
+models score in Arrow batches (``predict_column``)."""
 
 from __future__ import annotations
 

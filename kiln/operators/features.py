@@ -91,10 +91,6 @@ def apply_minmax(df: DataFrame, col: str, mins: Sequence[float], maxs: Sequence[
     return df.withColumn(out or col, scaled)
 
 
-def cast_float32(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, F.col(col).cast("array<float>"))
-
-
 def recode_binary(df: DataFrame, label_col: str, out: str | None = None) -> DataFrame:
     """Two distinct labels, in sorted order, recoded to 0.0 and 1.0 (one
     aggregate finds them); any other number of labels raises.  A null label

@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kiln.operators.joins import BROADCAST_MAX_ROWS
+from kiln.operators.joins import BROADCAST_MAX_BYTES
 from kiln.session import ensure_checkpoint_dir
 
+BROADCAST_MAX_ROWS = BROADCAST_MAX_BYTES // 32  # vertex values are fixed-width rows of three numbers
+
 
 def hub_layout(edges: DataFrame, degrees: DataFrame, total: int, partitions: int):
     """Edges ``(src, dst, ...)`` laid out for repeated joins on ``src``.

@@ -1,18 +1,4 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""Size bound of explicit broadcasts."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` only after counting it (one cheap job); above
-    ``max_rows`` fall back to a shuffle join and let AQE re-plan (including
-    skew splitting) at runtime."""
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+# a side is broadcast only when its measured (or fixed-width) size is below
+BROADCAST_MAX_BYTES = 64 << 20

@@ -48,7 +48,7 @@ def _cols(cs) -> list[Column]:
 def row_number_distributed(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
                            out: str = "rn", group_size: str | None = None,
                            num_partitions: int | None = None,
-                           few_groups: bool = True, materialize: str = "checkpoint",
+                           few_groups: bool = False, materialize: str = "checkpoint",
                            keep: list | None = None) -> DataFrame:
     """Add ``out`` = row_number() over (partition by ``partition_by`` order by ``order_by``)
     as BIGINT (1-based); optionally ``group_size`` = rows in the row's group.

@@ -122,7 +122,7 @@ def balanced_shards(df: DataFrame, seed: int, id_col: str, shards: int,
 
 def assign_minibatches(df: DataFrame, batch_size: int, order_by: Sequence[str],
                        shard_col: str | Sequence[str] | None = None, drop_last: bool = True,
-                       out: str = "batch", few_groups: bool = True) -> DataFrame:
+                       out: str = "batch", few_groups: bool = False) -> DataFrame:
     """DataLoader(batch_size, drop_last) per shard: number rows in
     ``order_by`` order inside each shard, ``batch = (rn-1) div B``; with
     ``drop_last`` the incomplete tail batch of every shard is removed.

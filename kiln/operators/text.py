@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators.joins import BROADCAST_MAX_ROWS
+from kiln.operators.joins import BROADCAST_MAX_BYTES
 from kiln.session import ensure_checkpoint_dir
 
+ENTRY_BYTES = 64     # of a lexicon entry besides its key
 TOKEN_SPLIT = r"[^\p{L}]+"   # a token is a maximal run of letters
 
 
@@ -24,11 +25,14 @@ def explode_tokens(df: DataFrame, id_col: str, text_col: str, out: str = "term")
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per term: documents containing it and total occurrences.  Partial
-    aggregation runs before the shuffle, so a very frequent term costs one
-    row per task, not one per occurrence."""
-    per_doc = explode_tokens(df, id_col, text_col).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"))
-    return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_total"))
+    """Per term: documents (rows) containing it and total occurrences.  A
+    document's tokens are sorted inside its row, so the first of each term
+    marks it; one partially aggregated exchange, by term, does the rest."""
+    ordered = df.select(F.array_sort(tokens(text_col)).alias("_t"))
+    marked = F.transform("_t", lambda t, i: F.struct(
+        t.alias("term"), F.when(i == 0, 1).otherwise((F.get("_t", i - 1) != t).cast("int")).alias("first")))
+    return (ordered.select(F.inline(marked))
+            .groupBy("term").agg(F.sum("first").alias("n_docs"), F.count(F.lit(1)).alias("n_total")))
 
 
 def read_lexicon(spark, path: str) -> DataFrame:
@@ -100,10 +104,10 @@ def derive_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 class PreparedLexicon:
     """A lexicon ready for scoring: ``entries`` = ``(key, score)`` plus, when
     it holds phrases, ``(in_score, in_count)`` of the lexicon words inside
-    each entry; ``lengths`` = the entry lengths; ``rows`` = its size."""
+    each entry; ``lengths`` = the entry lengths; ``size`` = its bytes."""
     entries: DataFrame
     lengths: list
-    rows: int
+    size: int
 
     def persist(self) -> "PreparedLexicon":
         """Kept and materialised, for a stream that scores every micro-batch
@@ -121,10 +125,11 @@ def prepare_lexicon(lexicon: DataFrame) -> PreparedLexicon:
     lexicons the score and count of the lexicon words inside each phrase
     (computed once per entry, not per document)."""
     lex = lexicon_keys(lexicon)
-    st = lex.agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
+    st = lex.agg(F.sum(F.octet_length("key") + ENTRY_BYTES).alias("size"),
+                 F.array_sort(F.collect_set("n")).alias("lengths")).first()
     lengths = [int(v) for v in st["lengths"]]
     if lengths in ([], [1]):
-        return PreparedLexicon(lex.select("key", "score"), lengths, int(st["rows"]))
+        return PreparedLexicon(lex.select("key", "score"), lengths, int(st["size"] or 0))
     words = lex.filter(F.col("n") == 1).select(F.col("key").alias("_w"), F.col("score").alias("_ws"))
     inner = (lex.filter(F.col("n") > 1).select("key", F.explode(F.split("key", " ")).alias("_w"))
              .join(words, "_w", "left")
@@ -133,7 +138,7 @@ def prepare_lexicon(lexicon: DataFrame) -> PreparedLexicon:
     entries = (lex.join(inner, "key", "left")
                .select("key", "score", F.coalesce("in_score", F.lit(0)).cast("bigint").alias("in_score"),
                        F.coalesce("in_count", F.lit(0)).cast("bigint").alias("in_count")))
-    return PreparedLexicon(entries, lengths, int(st["rows"]))
+    return PreparedLexicon(entries, lengths, int(st["size"] or 0))
 
 
 def score_documents(docs: DataFrame, lexicon: DataFrame | PreparedLexicon, id_col: str = "doc_id",
@@ -155,8 +160,8 @@ def score_documents(docs: DataFrame, lexicon: DataFrame | PreparedLexicon, id_co
     words inside it, which the fold takes back when it takes the phrase."""
     prep = lexicon if isinstance(lexicon, PreparedLexicon) else prepare_lexicon(lexicon)
     lengths = prep.lengths
-    # broadcast only behind the counted size; beyond it a shuffle join
-    entries = F.broadcast(prep.entries) if prep.rows <= BROADCAST_MAX_ROWS else prep.entries
+    # broadcast only behind the measured bytes; beyond them a shuffle join
+    entries = F.broadcast(prep.entries) if prep.size <= BROADCAST_MAX_BYTES else prep.entries
     toks = docs.select(id_col, tokens(text_col).alias("_toks"))
     if lengths in ([], [1]):
         hits = toks.select(id_col, F.explode("_toks").alias("key")).join(entries, "key")

@@ -265,7 +265,7 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int,
                 .withColumn("n_rows", F.lit(1).cast("bigint")))
     keyed = train.withColumn("_k_key", key)
     if cfg.shard_by == "balanced":
-        ranked = row_number_distributed(keyed, ["_k_key", "id"], out="_k_rn", group_size="_k_n",
+        ranked = row_number_distributed(keyed, ["_k_key", "id"], out="_k_rn", group_size="_k_n", few_groups=True,
                                         materialize="persist" if keep is not None else "checkpoint", keep=keep)
         r0 = F.col("_k_rn") - 1
         ranked = ranked.withColumn("shard", F.pmod(r0, F.lit(P)).cast("int"))
@@ -278,7 +278,7 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int,
             shard = F.pmod(seeded_hash32(cfg.seed, F.lit(f"shard{round_no}"), "id"), F.lit(P))
         keyed = keyed.withColumn("shard", shard.cast("int"))
         ranked = row_number_distributed(keyed, ["_k_key", "id"], ["shard"], out="_k_rn", group_size="_k_n",
-                                        num_partitions=M,
+                                        num_partitions=M, few_groups=True,  # P groups
                                         materialize="persist" if keep is not None else "checkpoint", keep=keep)
         idx, n_s = F.col("_k_rn") - 1, F.col("_k_n")
     out = (ranked.withColumn("batch", F.floor(idx / F.lit(B)).cast("bigint"))

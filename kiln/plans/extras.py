@@ -42,7 +42,7 @@ def purchase_ratings(spark, sf_dir):
 
 
 @register("ratings_parse", """
-SELECT CAST(o_custkey AS INTEGER) AS "user", CAST(l_partkey AS INTEGER) AS item,
+SELECT CAST(o_custkey AS BIGINT) AS "user", CAST(l_partkey AS BIGINT) AS item,
        CAST(count(*) AS FLOAT) AS rating,
        max(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS ts
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
@@ -284,9 +284,13 @@ def q_isotonic_fit(spark, sf_dir):
     """Isotonic regression of document length on word count: boundaries and
     fit quality."""
     from kiln.plans.training import doc_features
-    d = doc_features(spark, sf_dir).select(array_to_vector(F.array("words")).alias("features"),
+    d = doc_features(spark, sf_dir).select("words", array_to_vector(F.array("words")).alias("features"),
                                            F.col("target").alias("label"))
-    model = IsotonicRegression().fit(d)
+    # one weighted point for each distinct x before the fit: what the fit
+    # pools on the driver is bounded by the distinct word counts
+    points = d.groupBy("words").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+    points = points.select(array_to_vector(F.array("words")).alias("features"), "label", "w")
+    model = IsotonicRegression(weightCol="w").fit(points)
     pred = model.transform(d)
     m = pred.agg(F.avg(F.pow(F.col("label") - F.col("prediction"), 2)).alias("mse")).first()
     return spark.createDataFrame([(len(model.boundaries), round(float(m["mse"]), 6))], "n_boundaries int, mse double")
@@ -305,14 +309,16 @@ def q_term_counts(spark, sf_dir):
 
 @register("lda_topics")
 def q_lda_topics(spark, sf_dir):
-    """CountVectorizer + LDA (k = 5): top 5 terms per topic."""
+    """CountVectorizer + LDA (k = 5) over every document and term: every
+    iteration samples all documents, no vocabulary cap; top 5 terms per
+    topic."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", text.tokens("text").alias("tokens"))
-    cv = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=2000, minDF=3.0).fit(docs)
-    lda = LDA(k=5, maxIter=5, featuresCol="counts", seed=SEED, optimizer="online").fit(cv.transform(docs))
-    vocab = F.array(*[F.lit(t) for t in cv.vocabulary])
-    return (lda.describeTopics(5)
-            .select("topic", F.transform("termIndices", lambda i: F.element_at(vocab, i + 1)).alias("terms"),
-                    "termWeights"))
+    cv = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=1 << 30, minDF=1.0).fit(docs)
+    lda = LDA(k=5, maxIter=5, featuresCol="counts", seed=SEED, optimizer="online", subsamplingRate=1.0).fit(cv.transform(docs))
+    vocabulary = cv.vocabulary
+    rows = [(r["topic"], [vocabulary[i] for i in r["termIndices"]], [float(w) for w in r["termWeights"]])
+            for r in lda.describeTopics(5).collect()]  # 5 topics of 5 terms
+    return spark.createDataFrame(rows, "topic int, terms array<string>, termWeights array<double>")
 
 
 # ---------------------------------------------------------------- F11 sentiment

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import subprocess
-import sys
-
 from pyspark.sql import functions as F
 
-from kiln.models import SmallCNN
+from kiln.models import LinearNet, SmallCNN
 from kiln.operators.sweep import sweep, sweep_iterations
-from kiln.operators.training import TrainConfig
+from kiln.operators.training import HISTORY_SCHEMA, TrainConfig, history_frame, train
 from kiln.plans.constants import IMAGE_SIDE, SEED
 from kiln.plans.registry import register
 from kiln.session import scratch_path
-from kiln.sources import eventlog, image_table
+from kiln.sources import image_table
 
 CNN = SmallCNN(side=IMAGE_SIDE).config()
 BASE = TrainConfig(iters=50, batch_size=64, partitions=4, lr=0.001, validation_pct=0.2, seed=SEED)
@@ -52,22 +48,16 @@ def q_sweep_partitions(spark, sf_dir):
 
 @register("run_log_summary")
 def q_run_log_summary(spark, sf_dir):
-    """Per-operation stage count, tasks and milliseconds from a Spark
-    event log.  Reads this application's log when event logging is on;
-    otherwise runs the flagship job as a separate logged application over
-    ``sf_dir`` on the same master and reads that log."""
-    path = eventlog.current_log_path(spark)
-    if path is None:
-        log_dir = scratch_path(spark, "eventlog")
-        spark.createDataFrame([], "x int").write.mode("overwrite").parquet(log_dir)  # creates the folder
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        env = dict(os.environ, PYTHONPATH=root + os.pathsep + os.environ.get("PYTHONPATH", ""))
-        master = spark.sparkContext.master
-        parts = spark.conf.get("spark.sql.shuffle.partitions")
-        subprocess.run([sys.executable, "-m", "kiln.sources.eventlog", sf_dir, log_dir, master, parts], check=True,
-                       cwd=root, env=env, timeout=600, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
-        path = f"{log_dir}/*"
-    stages = eventlog.stage_summary(spark, path)
-    return stages.groupBy("operation").agg(F.count(F.lit(1)).alias("stages"),
-                                           F.sum("tasks").alias("tasks"),
-                                           F.sum("duration_ms").alias("duration_ms"))
+    """The log of a training run over the given table (one JSON line a
+    step and validation, as the run wrote them), read back and summarised:
+    records, rows and milliseconds by operation.  (Event logs of whole
+    applications: ``sources.eventlog``.)"""
+    cfg = TrainConfig(epochs=2, batch_size=64, partitions=4, lr=0.1, validation_pct=0.2, seed=SEED,
+                      eval_per_epoch=True)
+    res = train(image_table(spark, sf_dir), LinearNet(IMAGE_SIDE * IMAGE_SIDE, 10, "classification").config(), cfg)
+    path = scratch_path(spark, "runlog")
+    history_frame(spark, res).write.json(path)
+    log = spark.read.schema(HISTORY_SCHEMA).json(path)
+    return log.groupBy(F.col("split").alias("operation")).agg(
+        F.count(F.lit(1)).alias("records"), F.sum("n").alias("rows"),
+        F.round(F.sum("seconds") * 1000).cast("long").alias("duration_ms"))

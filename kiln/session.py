@@ -112,22 +112,3 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(archive)
     _SHIPPED.add(app)
-
-
-def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
-                 target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
-    """Partition sizing for a cluster run (pass to ``get_session(conf=...)``
-    or spark-submit).  Shuffles start with enough partitions that each holds
-    about ``target_partition_bytes`` of the input, at least 2 per core; AQE
-    then coalesces small ones and splits skewed ones.  File splits match the
-    same target so a scan task's input fits in executor memory."""
-    slots = max(1, executors * cores_per_executor)
-    shuffle = max(2 * slots, -(-int(input_bytes) // target_partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(shuffle),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
-        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-    }

@@ -51,27 +51,5 @@ def current_log_path(spark: SparkSession) -> str | None:
     conf = spark.sparkContext.getConf()
     if conf.get("spark.eventLog.enabled", "false").lower() != "true":
         return None
-    base = conf.get("spark.eventLog.dir", "file:/tmp/spark-events").rstrip("/")
+    base = conf.get("spark.eventLog.dir").rstrip("/")
     return f"{base}/{spark.sparkContext.applicationId}*"
-
-
-def run_logged_job(sf_dir: str, log_dir: str, master: str, shuffle_partitions: int, iters: int = 3) -> None:
-    """A separate Spark application with event logging into ``log_dir``: the
-    flagship training job on ``sf_dir`` (used when the calling session does
-    not log events itself).  It runs on the caller's ``master`` (the same
-    cluster) with the caller's shuffle partitions."""
-    from kiln.plans.flagship import flagship
-    from kiln.session import get_session
-
-    spark = get_session("kiln-logged-run", master=master, shuffle_partitions=shuffle_partitions,
-                        conf={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir})
-    try:
-        flagship(spark, sf_dir, iters=iters).collect()
-    finally:
-        spark.stop()
-
-
-if __name__ == "__main__":
-    import sys
-
-    run_logged_job(sys.argv[1], sys.argv[2], sys.argv[3], int(sys.argv[4]))

@@ -4,7 +4,9 @@ Per micro-batch: points are assigned to the current centres JVM-side,
 summed per (centre, position) by Spark, and the k x d sums come to the
 driver (model-sized) for the decayed update.  The centres after every batch
 are written to ``state/batch_id=<id>``; a restarted query resumes from the
-latest state and a replayed batch id is skipped."""
+latest state and a replayed batch is skipped.  A new checkpoint numbers its
+batches from 0 again, so state ids are the query's batch ids plus a base: a
+run that resumes old state with a new checkpoint counts on from there."""
 
 from __future__ import annotations
 
@@ -15,19 +17,25 @@ from pyspark.sql import functions as F
 from kiln.operators.clustering import assign_nearest, streaming_update
 
 
+def _has_files(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(path) and len(fs.listStatus(path)) > 0
+
+
 class StreamingKMeans:
     def __init__(self, centres: np.ndarray, decay: float = 1.0):
         self.centres = np.asarray(centres, dtype=np.float64)
         self.counts = np.zeros(len(self.centres))
         self.decay = decay
         self.last_batch = -1
+        self.base = 0
         self.batches: list[dict] = []
 
-    def _load_state(self, spark: SparkSession, state_dir: str) -> None:
-        try:
-            st = spark.read.parquet(state_dir)
-        except Exception:  # noqa: BLE001 - no state written yet
-            return
+    def _load_state(self, spark: SparkSession, state_dir: str, checkpoint_dir: str) -> None:
+        if not _has_files(spark, state_dir):
+            return  # nothing written yet; any other failure to read it rises
+        st = spark.read.parquet(state_dir)
         last = st.agg(F.max("batch_id")).first()[0]
         if last is None:
             return
@@ -35,9 +43,12 @@ class StreamingKMeans:
         self.centres = np.array([r["centre"] for r in rows], dtype=np.float64)
         self.counts = np.array([r["weight"] for r in rows], dtype=np.float64)
         self.last_batch = int(last)
+        resumed = _has_files(spark, f"{checkpoint_dir}/offsets")
+        self.base = int(rows[0]["base"]) if resumed else self.last_batch + 1
 
     def update(self, batch: DataFrame, batch_id: int, features: str, state_dir: str,
                id_col: str = "id") -> None:
+        batch_id += self.base
         if batch_id <= self.last_batch:
             return  # replay of a batch already folded into the state
         k, d = self.centres.shape
@@ -63,15 +74,15 @@ class StreamingKMeans:
         span = (min(los), max(his)) if los else (None, None)
         self.centres, self.counts = streaming_update(self.centres, self.counts, S, M, self.decay)
         spark = batch.sparkSession
-        rows = [(i, float(self.counts[i]), [float(v) for v in self.centres[i]]) for i in range(k)]
-        (spark.createDataFrame(rows, "cluster int, weight double, centre array<double>")
+        rows = [(i, float(self.counts[i]), [float(v) for v in self.centres[i]], self.base) for i in range(k)]
+        (spark.createDataFrame(rows, "cluster int, weight double, centre array<double>, base long")
          .write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}"))
         self.last_batch = batch_id
         self.batches.append({"batch_id": batch_id, "rows": int(M.sum()), "min_id": span[0], "max_id": span[1]})
 
     def run(self, spark: SparkSession, source_dir: str, schema, state_dir: str, checkpoint_dir: str,
             features: str = "features", files_per_trigger: int = 1) -> DataFrame:
-        self._load_state(spark, state_dir)
+        self._load_state(spark, state_dir, checkpoint_dir)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
         q = (stream.writeStream
              .foreachBatch(lambda df, bid: self.update(df, bid, features, state_dir))
