@@ -6,12 +6,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from kiln.functions import arrays
+from pyspark.sql import types as T
 
 
 def group_centroids(df: DataFrame, group_col: str, features: str = "features") -> DataFrame:
@@ -33,20 +33,44 @@ def collect_centroids(centroids: DataFrame, group_col: str) -> tuple[list, np.nd
     return keys, mat
 
 
+ROWS_AT_ONCE = 256  # rows x centres x dimensions held by a task
+
+
 def assign_nearest(df: DataFrame, centres: np.ndarray, features: str = "features", names: Sequence | None = None,
                    out: str = "cluster", dist_out: str | None = "distance") -> DataFrame:
-    """Nearest centre by squared Euclidean distance (first centre wins ties),
-    evaluated JVM-side with the centres as literals."""
+    """Nearest centre by squared Euclidean distance (first centre wins ties).
+    The centres travel as a broadcast and batches are scored as Arrow
+    buffers, so the plan does not grow with them."""
     names = list(names) if names is not None else list(range(len(centres)))
-    d2 = F.array(*[arrays.array_sum(F.zip_with(F.col(features), arrays.lit_array(c),
-                                               lambda x, m: F.pow(x.cast("double") - m, 2)))
-                   for c in centres])
-    staged = df.withColumn("_k_d2", d2)
-    idx = F.array_position("_k_d2", F.array_min("_k_d2")) - 1
-    res = staged.withColumn(out, F.element_at(F.array(*[F.lit(n) for n in names]), (idx + 1).cast("int")))
+    shared = df.sparkSession.sparkContext.broadcast(np.asarray(centres, dtype=np.float64))
+    kind = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("d2", T.DoubleType())])
+
+    @F.arrow_udf(kind)
+    def nearest(col: pa.Array) -> pa.Array:
+        c, n = shared.value, len(col)
+        x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, c.shape[1])
+        at, d2 = np.zeros(n, np.int32), np.zeros(n)
+        for lo in range(0, n, ROWS_AT_ONCE):
+            d = ((x[lo:lo + ROWS_AT_ONCE, None, :] - c) ** 2).sum(axis=2)
+            at[lo:lo + ROWS_AT_ONCE] = d.argmin(axis=1)
+            d2[lo:lo + ROWS_AT_ONCE] = d.min(axis=1)
+        return pa.StructArray.from_arrays([pa.array(at), pa.array(d2)], names=["at", "d2"])
+
+    res = df.withColumn("_k_near", nearest(F.col(features)))
+    res = res.withColumn(out, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_k_near.at") + 1))
     if dist_out:
-        res = res.withColumn(dist_out, F.sqrt(F.array_min("_k_d2")))
-    return res.drop("_k_d2")
+        res = res.withColumn(dist_out, F.sqrt("_k_near.d2"))
+    return res.drop("_k_near")
+
+
+def lloyd(df: DataFrame, centres: np.ndarray, names: Sequence, rounds: int, features: str = "features"):
+    """``rounds`` of assign and average from given centres; a centre without
+    points goes.  Returns (names, centres): k x d numbers a round."""
+    names = list(names)
+    for _ in range(rounds):
+        assigned = assign_nearest(df, centres, features, names=names, dist_out=None)
+        names, centres = collect_centroids(group_centroids(assigned, "cluster", features), "cluster")
+    return names, centres
 
 
 def kmeans_fit(df: DataFrame, k: int, features: str = "features", seed: int = 42, max_iter: int = 20):

@@ -82,6 +82,32 @@ def q_kmeans_assign(spark, sf_dir):
                       F.round("distance", 6).alias("distance"))
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds of assign and average from the label centroids, unrolled."""
+    parts = ["""x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS pos
+      FROM embeddings)""", "c0 AS (SELECT label AS cluster, pos, avg(v) AS m FROM x GROUP BY 1, 2)"]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (SELECT vec_id, cluster, d2 FROM (
+      SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, cluster) AS rn FROM (
+        SELECT x.vec_id, c.cluster, sum(pow(x.v - c.m, 2)) AS d2 FROM x JOIN c{i} c ON x.pos = c.pos GROUP BY 1, 2))
+      WHERE rn = 1)""")
+        parts.append(f"""c{i + 1} AS (SELECT a.cluster, x.pos, avg(x.v) AS m
+      FROM x JOIN a{i} a USING (vec_id) GROUP BY 1, 2)""")
+    return ("WITH " + ",\n".join(parts) + f"""
+SELECT CAST(cluster AS BIGINT) AS cluster, count(*) AS n, round(sum(d2), 4) AS cost FROM a{rounds} GROUP BY cluster""")
+
+
+@register("kmeans_lloyd", _lloyd_sql(2))
+def q_kmeans_lloyd(spark, sf_dir):
+    """Two k-means rounds from the label centroids, then sizes and costs."""
+    df = image_table(spark, sf_dir)
+    keys, centres = clustering.collect_centroids(clustering.group_centroids(df, "label"), "label")
+    keys, centres = clustering.lloyd(df, centres, [int(k) for k in keys], rounds=2)
+    out = clustering.assign_nearest(df, centres, "features", names=keys)
+    return out.groupBy(F.col("cluster").cast("bigint").alias("cluster")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.pow("distance", 2)), 4).alias("cost"))
+
+
 @register("kmeans_fit")
 def q_kmeans_fit(spark, sf_dir):
     """Spark ML k-means, k = 10: cluster sizes and training cost."""

@@ -133,6 +133,19 @@ def q_partition_balance(spark, sf_dir):
     return partition_sizes(image_table(spark, sf_dir).repartition(8))
 
 
+@register("partition_balance_bounds", """
+SELECT 8 AS partitions, count(*) AS n, true AS even FROM embeddings
+""")
+def q_partition_balance_bounds(spark, sf_dir):
+    """``repartition(8)``: partitions, rows, and whether sizes differ by at
+    most one row for each input partition."""
+    df = image_table(spark, sf_dir)
+    inputs = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    sizes = partition_sizes(df.repartition(8))
+    return sizes.agg(F.count(F.lit(1)).cast("int").alias("partitions"), F.sum("n").alias("n"),
+                     (F.max("n") - F.min("n") <= inputs).alias("even"))
+
+
 @register("skew_report", """
 WITH h AS (SELECT label % 4 AS bucket, label, count(*) AS n FROM embeddings GROUP BY 1, 2)
 SELECT CAST(bucket AS BIGINT) AS bucket, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_labels,

@@ -395,6 +395,20 @@ def q_train_mlp(spark, sf_dir):
     return history_frame(spark, run_mlp(spark, sf_dir))
 
 
+@register("train_mlp_rows", f"""
+WITH p AS (SELECT count(*) AS n FROM embeddings WHERE {sql_seeded_uniform(SEED, "'split'", 'vec_id')} < 5 / 6.0),
+     h AS (SELECT n, n // 5 AS held, n - n // 5 AS used FROM p)
+SELECT 'train' AS split, CAST(3 * ceil(used / 64.0) AS BIGINT) AS records, 3 * used AS rows_seen FROM h
+UNION ALL
+SELECT 'validation', 3, 3 * held FROM h
+""")
+def q_train_mlp_rows(spark, sf_dir):
+    """Steps and rows of the MLP job: every training row in every epoch, the
+    exact-count hold-out validated after each."""
+    h = history_frame(spark, run_mlp(spark, sf_dir))
+    return h.groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("rows_seen"))
+
+
 @register("train_mlp_workers")
 def q_train_mlp_workers(spark, sf_dir):
     """T3 with the number of workers as a parameter: 1, 2 and 4."""
@@ -470,6 +484,14 @@ def q_train_mlp_regression(spark, sf_dir):
     return history_frame(spark, res).select("iter", "n", "loss")
 
 
+@register("train_mlp_regression_rows", """
+SELECT CAST(i AS INTEGER) AS iter, (SELECT count(*) FROM documents) AS n FROM range(6) t(i)
+""")
+def q_train_mlp_regression_rows(spark, sf_dir):
+    """Every full-batch step of the regression reads every row."""
+    return q_train_mlp_regression(spark, sf_dir).select("iter", "n")
+
+
 @register("model_roundtrip", "SELECT count(*) AS n, CAST(count(*) AS BIGINT) AS n_equal FROM embeddings")
 def q_model_roundtrip(spark, sf_dir):
     """Save a trained model, load it, and check that predictions are
