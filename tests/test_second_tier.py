@@ -330,3 +330,68 @@ def test_phrase_scoring_on_dense_overlaps_equals_brute_force(spark, seed):
     ldf = spark.createDataFrame(list(entries.items()), "term string, score int")
     got = {r["doc_id"]: (r["score"], r["n_matched"]) for r in text.score_documents(ddf, ldf).collect()}
     assert got == {i: _greedy_score(_py_tokens(t), table) for i, t in docs}
+
+
+def test_streaming_kmeans_resumes_with_old_and_new_checkpoints(spark):
+    """A finished stream adds nothing when restarted; a new checkpoint over
+    the same state folds its batches in again; unreadable state raises."""
+    from kiln.streaming.kmeans import StreamingKMeans
+    pts = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id long, features array<double>")
+    src, state, ck = (scratch_path(spark, t) for t in ("t-km", "t-kms", "t-kmc"))
+    pts.repartitionByRange(2, "id").write.parquet(src)
+    init = np.array([[0.0, 0.0], [5.0, 1.0]])
+    first = StreamingKMeans(init)
+    first.run(spark, src, pts.schema, state, ck)
+    again = StreamingKMeans(init)
+    again.run(spark, src, pts.schema, state, ck)
+    assert again.batches == [] and np.allclose(again.centres, first.centres)
+    fresh = StreamingKMeans(init)
+    fresh.run(spark, src, pts.schema, state, scratch_path(spark, "t-kmc"))
+    assert sum(b["rows"] for b in fresh.batches) == 6 and fresh.counts.sum() == 12
+    bad = scratch_path(spark, "t-bad")
+    spark.createDataFrame([("x",)], "v string").write.text(bad)
+    with pytest.raises(Exception):
+        StreamingKMeans(init).run(spark, src, pts.schema, bad, scratch_path(spark, "t-kmc"))
+
+
+def test_long_path_takes_few_component_rounds(spark):
+    n = 600
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    comp = graph.connected_components(e, max_iter=12).collect()
+    assert len(comp) == n + 1 and {r["component"] for r in comp} == {0}
+
+
+def test_large_ids_are_numbered_before_als(spark):
+    big = 2**40
+    df = spark.createDataFrame([(big + u, i, r) for u, i, r in ALS_RATINGS], "user long, item long, rating float")
+    with pytest.raises(ValueError, match="32 bits"):
+        recommend.als_fit(df)
+    numbered = recommend.index_ids(df, "user", "uid")
+    assert sorted({(r["user"] - big, r["uid"]) for r in numbered.collect()}) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert recommend.als_fit(numbered.drop("user").withColumnRenamed("uid", "user"), rank=2, max_iter=2) is not None
+
+
+def test_lexicon_file_scores_words_and_phrases(spark):
+    path = scratch_path(spark, "t-lex")
+    spark.createDataFrame([("good\t3",), ("not good\t-2",), ("Bad\t-3",)], "value string").coalesce(1).write.text(path)
+    docs = spark.createDataFrame([(1, "Good good, not good"), (2, "bad"), (3, "none")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["score"], r["n_matched"]) for r in
+           text.score_documents(docs, text.read_lexicon(spark, path)).collect()}
+    assert out == {1: (4, 3), 2: (-3, 1), 3: (0, 0)}
+
+
+def test_image_files_with_partitions_and_an_invalid_file(spark, tmp_path):
+    import struct
+    import zlib
+    from kiln.sources.files import read_images
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    png = (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 0, 0, 0, 0))
+           + chunk(b"IDAT", zlib.compress(b"\x00\x01\x02\x03" * 2)) + chunk(b"IEND", b""))
+    for name, body in (("cls=kittens/a.png", png), ("cls=kittens/not-image.txt", b"not an image\n"), ("cls=dogs/b.png", png)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    rows = read_images(spark, f"file:{tmp_path}").select("image.width", "image.height", "cls").collect()
+    assert sorted(tuple(r) for r in rows) == [(3, 2, "dogs"), (3, 2, "kittens")]
