@@ -12,9 +12,8 @@ from contextlib import redirect_stdout
 from kiln.plans import QUERIES
 from kiln.session import get_session
 
-SELECTED = ["minibatch_assign", "split_exact", "metric_accuracy", "term_counts", "sentiment_score",
-            "sentiment_phrases", "pagerank_k",
-            "graph_degrees", "kmeans_assign", "fpgrowth_itemsets", "feature_stats", "scale_minmax"]
+SELECTED = ["minibatch_assign", "split_exact", "metric_accuracy", "sentiment_score", "fpgrowth_itemsets",
+            "feature_stats", "scale_minmax"]
 
 
 def _shorten(text: str) -> str:
