@@ -7,30 +7,36 @@ all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kiln.llm.decontaminate import drop_contaminated
 from kiln.llm.jaccard import keep_one
 from kiln.llm.lines import drop_boilerplate
 from kiln.llm.packing import best_fit
 from kiln.llm.quality import keep_good
+from kiln.llm.tables import bound_batches
 from kiln.session import scratch_path, ship_package
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    bound_batches(spark)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    ship_package(spark)
+    _prepare(spark)
     return keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source go; every document stays, with
     ``n_chars`` of what is left."""
-    from pyspark.sql import functions as F
-    ship_package(spark)
+    _prepare(spark)
     out = drop_boilerplate(docs).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -40,19 +46,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of near duplicates stays:
     five-word shingles, similarity 0.8."""
-    ship_package(spark)
+    _prepare(spark)
     return keep_one(docs, k=5, num=80, den=100)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    ship_package(spark)
+    _prepare(spark)
     return drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents and their bins."""
-    ship_package(spark)
+    _prepare(spark)
     return best_fit(docs)
 
 

@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from kiln.llm import grams as G
 from kiln.llm import repeats as R
 from kiln.llm.registry import register
-from kiln.llm.tables import documents, total_bytes, written
+from kiln.llm.tables import documents, packed, total_bytes, written
 
 WINDOW = 35
 GRAM = 8
-SHARD_BYTES = 4 << 20
-COMPARE_BYTES = 8 << 20
+CROWD = 4000  # contexts of an anchor that one task compares: under 2 MB of word hashes
+SHARD_BYTES = 2 << 20
+COMPARE_BYTES = 4 << 20
 _U = np.uint64
 _CODES = 500_000  # code points of one alphabet; larger vocabularies take two a word
 
@@ -69,15 +70,15 @@ def recurring_passages(rows: DataFrame, w: int, k: int):
     # the only context of its anchor, at several places: recurs as a whole
     whole = contexts.filter("others = 1").select(
         *R.CONTEXT, F.array(F.struct(F.lit(0).alias("lo"), F.col("len").alias("hi"))).alias("runs"))
-    content = written(R.with_content(contexts.filter("others > 1"), rows, "words", w), "content")
     shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plain = (content.filter(F.col("others") <= R.CROWD).repartition(shards, "fp").sortWithinPartitions("fp")
+    some = contexts.filter(F.col("others").between(2, CROWD))
+    plain = (R.with_content(some, rows, "words", w).repartition(shards, "fp").sortWithinPartitions("fp")
              .select(*R.CONTEXT, "n", "content")
              .mapInArrow(R.by_anchor(_compare(w)), f"fp long, ctx long, at int, runs {R.RUNS}"))
     out = whole.unionByName(plain)
-    crowded = content.filter(F.col("others") > R.CROWD)
+    crowded = contexts.filter(F.col("others") > CROWD)
     if not crowded.isEmpty():
-        out = out.unionByName(R.crowded_runs(crowded, "words", w).drop("later"))
+        out = out.unionByName(R.crowded_runs(R.with_content(crowded, rows, "words", w, few=True), "words", w).drop("later"))
     return places, written(out.filter(F.size("runs") > 0).dropDuplicates(R.CONTEXT), "passages")
 
 
@@ -97,16 +98,23 @@ def _spell(words, vocabulary):
 def _locate(w, with_text):
     def run(key, docs: pa.Table, passages: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
-        data, offs = G.text_buffer(docs.column("text"))
+        data, offs = G.unpacked(docs.column("text").combine_chunks())
         starts, ends, woff = G.word_spans(data, offs, G.SPACE)
         words = G.word_hashes(data, starts, ends)
         row_of = {k: i for i, k in enumerate(docs.column("row_key").to_pylist())}
-        ranges = []
-        for k, runs, start in zip(passages.column("row_key").to_pylist(), passages.column("runs").to_pylist(),
-                                  passages.column("start").to_pylist()):
+        ranges, single = [], []
+        for k, runs, start, times in zip(*[passages.column(c).to_pylist() for c in ("row_key", "runs", "start", "times")]):
             if k in row_of:
-                base = woff[row_of[k]] + start
-                ranges += [(base + r["lo"], base + r["hi"]) for r in runs]
+                base = int(woff[row_of[k]]) + start
+                (single if times == 1 else ranges).extend((base + r["lo"], base + r["hi"]) for r in runs)
+        # passages that this shard holds once, where they overlap, are one
+        # longer passage: they can only be found there
+        for a, b in sorted(single):
+            if ranges and ranges[-1][2:] and a < ranges[-1][1]:
+                ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]), True)
+            else:
+                ranges.append((a, b, True))
+        ranges = [r[:2] for r in ranges]
         removed = np.zeros(len(words), bool)
         if ranges:
             vocabulary = np.unique(np.concatenate([words[a:b] for a, b in ranges]))
@@ -159,10 +167,11 @@ def phrase_dedup(docs: DataFrame, id_col="doc_id", text_col="text", window=WINDO
     shard = F.pmod(F.xxhash64("row_key"), F.lit(shards))
     # one place a shard for each context: a passage on many documents is one
     # pattern, reduced before it shuffles
-    held = (places.groupBy(shard.alias("shard"), *R.CONTEXT).agg(F.min(F.struct("row_key", "start")).alias("p"))
-            .join(passages, R.CONTEXT).select("shard", "p.row_key", "p.start", "runs"))
+    held = (places.groupBy(shard.alias("shard"), *R.CONTEXT).agg(
+        F.min(F.struct("row_key", "start")).alias("p"), F.count(F.lit(1)).alias("times"))
+            .join(passages, R.CONTEXT).select("shard", "p.row_key", "p.start", "times", "runs"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.withColumn("shard", shard).groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(
+    return packed(rows).withColumn("shard", shard).groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(
         _locate(window, with_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 

@@ -10,7 +10,8 @@ The run of windows that own one anchor is its context.  Contexts are counted
 by (anchor, content, offset), so copies collapse before anything is compared,
 and two places of a context prove all its windows repeated.  Where an anchor
 has several contexts, an operator compares their windows in tasks dealt by
-anchor; an anchor with more than CROWD contexts would be a hot group, and its
+anchor; an anchor with more than a bounded number (the operator's CROWD) of
+contexts would be a hot group, and its
 windows are counted one by one by a 128-bit hash instead, which any number of
 tasks share.
 """
@@ -23,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import grams as G
-from kiln.llm.tables import join_counted, text_of, written
+from kiln.llm.tables import forget, join_counted, packed, text_of, written
 
 FILTER_BITS = 1 << 24
-CROWD = 2000
-BROADCAST_BYTES = 16 << 20
+BROADCAST_CONTEXTS = 100_000
 _U = np.uint64
 _ANCHOR = "array<struct<fp:long,ctx:long,at:int,start:int,len:int>>"
 RUNS = "array<struct<lo:int,hi:int>>"
@@ -136,6 +136,7 @@ def repeated_contexts(rows: DataFrame, kind: str, w: int, k: int):
     of_anchor = (counted.groupBy("fp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("others"))
                  .filter("total > 1").select("fp", "others"))
     of_anchor = written(of_anchor, "of_anchor")
+    forget(anchors)
     return places, join_counted(counted, of_anchor, ["fp"], "others", counted.count())
 
 
@@ -144,7 +145,7 @@ def _cut(kind, w):
     bytes, or word hashes as bytes)."""
     def run(batches):
         for batch in batches:
-            data, offs = G.text_buffer(batch.column(0))
+            data, offs = G.unpacked(batch.column(0))
             lists = batch.column(1)
             count = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
@@ -167,16 +168,20 @@ def _cut(kind, w):
     return run
 
 
-def with_content(contexts: DataFrame, rows: DataFrame, kind: str, w: int) -> DataFrame:
-    """Contexts with the content at their first place.  The list of contexts
-    to cut goes to the texts: broadcast below BROADCAST_BYTES, else both
-    shuffle by row.  A row that occurs twice gives its contexts twice."""
+def with_content(contexts: DataFrame, rows: DataFrame, kind: str, w: int, few: bool = False) -> DataFrame:
+    """Contexts with the content at their first place: the lists of contexts
+    to cut meet the (packed) texts by row; with ``few`` they are broadcast if
+    there are at most BROADCAST_CONTEXTS.  A row that occurs twice gives its
+    contexts twice."""
     lists = contexts.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(
         *CONTEXT, "n", "others", "first", F.col("first.start").alias("start"), "len")).alias("cuts"))
-    if contexts.count() * 80 <= BROADCAST_BYTES:
-        lists = F.broadcast(lists)
     first = contexts.schema["first"].dataType.simpleString()
-    return (rows.select("row_key", "text").join(lists, "row_key").select("text", "cuts")
+    texts = rows.select("row_key", "text")
+    if few and contexts.count() <= BROADCAST_CONTEXTS:  # about 100 bytes each
+        lists = F.broadcast(lists)
+    else:
+        texts = packed(texts)
+    return (texts.join(lists, "row_key").select("text", "cuts")
             .mapInArrow(_cut(kind, w), f"fp long, ctx long, at int, n long, others long, first {first}, content binary"))
 
 
@@ -201,8 +206,8 @@ def runs_of(flags, off, w):
 
 def by_anchor(compare):
     """``mapInArrow`` function over rows sorted by anchor: whole anchors at a
-    time go to ``compare(table)``, which returns a batch; what a batch cuts
-    waits for its rest (at most CROWD contexts)."""
+    time go to ``compare(table)``, which yields batches; what a batch cuts
+    waits for its rest (a bounded number of contexts)."""
     def run(batches):
         held = None
         for batch in batches:

@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.session import scratch_path
+from kiln.llm.grams import pack_texts
+from kiln.session import delete_scratch, scratch_path
 
 # separator bytes of the word contracts, as a Java / DuckDB class body
 SPACES = r"\x20\x09-\x0D"
 
 
+ARROW_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long rows: unless the session sets its own number of rows
+    for an Arrow batch, take fewer than the default 10,000, so that the
+    batches of a task stay small beside its executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
@@ -51,7 +65,22 @@ def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for table in tables:
+        delete_scratch(table.sparkSession, table.scratch)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with its last column, a text, compressed (see
+    ``grams.unpacked``): for rows that shuffle with their texts."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(pack_texts, f"{columns}, `{rows.columns[-1]}` binary")
 
 
 def total_bytes(df: DataFrame, column: str = "text") -> tuple[int, int]:
