@@ -22,11 +22,27 @@ from pyspark.sql import functions as F
 from kiln.llm import grams as G
 from kiln.llm import repeats as R
 from kiln.llm.registry import register
-from kiln.llm.tables import documents, join_counted, written
+from kiln.llm.tables import documents, join_counted, packed, written
 
 WINDOW = 400
 GRAM = 32
-SHARD_BYTES = 2 << 20
+CROWD = 1000  # contexts of an anchor that one task compares: under 1 MB
+SHARD_BYTES = 512 << 10
+
+
+def _dense(high: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks from 1 of the values, equal values equal.  Value and position
+    share one word where they fit, so that a plain sort orders both."""
+    n = len(high)
+    if int(high.max()) >> (64 - bits):
+        return np.unique(high, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+    both = np.sort((high << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
+    value = both >> np.uint64(bits)
+    step = np.ones(n, np.uint64)
+    step[1:] = value[1:] != value[:-1]
+    rank = np.empty(n, np.uint64)
+    rank[both & np.uint64((1 << bits) - 1)] = np.cumsum(step, dtype=np.uint64)
+    return rank
 
 
 def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -34,22 +50,23 @@ def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     equal ranks mean equal prefixes.  A suffix stops at ``ends`` (one per
     position) and then sorts before its extensions."""
     n = len(data)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    bits = max(1, int(n).bit_length())
     left = ends - np.arange(n)
+    have = min(4, depth)
     key = np.zeros(n, np.uint64)
-    for i in range(7):  # seven bytes, and how many of them are there
-        inside = left > i
+    for i in range(have):  # the first bytes, and how many of them are there
         byte = np.zeros(n, np.uint64)
         byte[:n - i] = data[i:]
-        key = (key << np.uint64(8)) | np.where(inside, byte, 0).astype(np.uint64)
-    key = (key << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
-    have = 7
+        key = (key << np.uint64(8)) | np.where(left > i, byte, np.uint64(0))
+    rank = _dense((key << np.uint64(3)) | np.minimum(left, have).astype(np.uint64), bits)
     while have < depth:
         step = min(have, depth - have)
         tail = np.zeros(n, np.uint64)
-        tail[:n - step] = rank[step:]
+        tail[:max(0, n - step)] = rank[step:]
         tail[left <= step] = 0
-        rank = np.unique((rank << np.uint64(32)) | tail, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+        rank = _dense((rank << np.uint64(bits)) | tail, bits)
         have += step
     return rank.astype(np.int64)
 
@@ -100,15 +117,15 @@ def repeated_runs(contexts: DataFrame, rows: DataFrame, w: int) -> DataFrame:
     """``fp, ctx, at, runs, later``: the byte ranges of each context that are
     covered by windows occurring elsewhere, and by windows with an earlier
     occurrence than the context's first place."""
-    content = written(R.with_content(contexts, rows, "bytes", w), "content")
     shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plain = (content.filter(F.col("others") <= R.CROWD).repartition(shards, "fp").sortWithinPartitions("fp")
+    plain = (R.with_content(contexts.filter(F.col("others") <= CROWD), rows, "bytes", w)
+             .repartition(shards, "fp").sortWithinPartitions("fp")
              .select(*R.CONTEXT, "n", "first", "content")
              .mapInArrow(R.by_anchor(_compare(w)), f"fp long, ctx long, at int, runs {R.RUNS}, later {R.RUNS}"))
-    crowded = content.filter(F.col("others") > R.CROWD)
+    crowded = contexts.filter(F.col("others") > CROWD)
     if crowded.isEmpty():
         return plain
-    return plain.unionByName(R.crowded_runs(crowded, "bytes", w))
+    return plain.unionByName(R.crowded_runs(R.with_content(crowded, rows, "bytes", w, few=True), "bytes", w))
 
 
 def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", window=WINDOW, gram=GRAM, keep_first=False):
@@ -135,7 +152,7 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", window=WIN
 def _remove(with_text):
     def run(batches):
         for batch in batches:
-            data, offs = G.text_buffer(batch.column(1))
+            data, offs = G.unpacked(batch.column(1))
             spans = batch.column(2).to_pylist()
             removed, runs, sha, kept = [], [], [], []
             for i, own in enumerate(spans):
@@ -173,7 +190,7 @@ def suffix_dedup(docs: DataFrame, id_col="doc_id", text_col="text", window=WINDO
     Only the id and text columns are read.  An empty table gives no rows."""
     rows, spans = repeated_spans(docs, id_col, text_col, window, gram, keep_first)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(
+    return packed(rows).join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(
         _remove(with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from kiln.llm import exact_dedup as E
 from kiln.llm import jaccard as J
 from kiln.llm import langid, lines, packing, phrase_dedup, quality, suffix_dedup, urls
-from kiln.llm import repeats as R
 from kiln.llm.decontaminate import decontaminate, drop_contaminated
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(20000))
@@ -137,8 +136,7 @@ def repeating(seed, rows=40):
 
 @pytest.mark.parametrize("crowd", [2000, 1])
 def test_suffix_dedup(spark, make_docs, monkeypatch, crowd):
-    monkeypatch.setattr(R, "CROWD", crowd)
-    monkeypatch.setattr(R, "BROADCAST_BYTES", 0 if crowd == 1 else R.BROADCAST_BYTES)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     docs = repeating(crowd) + EDGES
     out = suffix_dedup.suffix_dedup(clashing(make_docs(docs)), window=40, gram=8)
     assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == \
@@ -148,7 +146,7 @@ def test_suffix_dedup(spark, make_docs, monkeypatch, crowd):
 
 @pytest.mark.parametrize("crowd", [2000, 1])
 def test_suffix_dedup_keeps_the_first(spark, make_docs, monkeypatch, crowd):
-    monkeypatch.setattr(R, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     docs = repeating(3)
     seen, want = set(), {}
     for d, t in sorted(docs):
@@ -174,7 +172,7 @@ def test_suffix_ranks_order_suffixes():
 
 @pytest.mark.parametrize("crowd", [2000, 1])
 def test_phrase_dedup(spark, make_docs, monkeypatch, crowd):
-    monkeypatch.setattr(R, "CROWD", crowd)
+    monkeypatch.setattr(phrase_dedup, "CROWD", crowd)
     docs = repeating(crowd + 7) + EDGES
     out = phrase_dedup.phrase_dedup(clashing(make_docs(docs)), window=7, gram=3)
     assert rows_of(out, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.phrases(docs, 7), key=repr)
