@@ -78,7 +78,8 @@ def recurring_passages(rows: DataFrame, w: int, k: int):
     out = whole.unionByName(plain)
     crowded = contexts.filter(F.col("others") > CROWD)
     if not crowded.isEmpty():
-        out = out.unionByName(R.crowded_runs(R.with_content(crowded, rows, "words", w, few=True), "words", w).drop("later"))
+        out = out.unionByName(R.crowded_runs(R.with_content(crowded, rows, "words", w, few=True), "words", w,
+                                              CROWD, _compare(w), later=False))
     return places, written(out.filter(F.size("runs") > 0).dropDuplicates(R.CONTEXT), "passages")
 
 

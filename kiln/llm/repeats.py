@@ -10,9 +10,11 @@ The run of windows that own one anchor is its context.  Contexts are counted
 by (anchor, content, offset), so copies collapse before anything is compared,
 and two places of a context prove all its windows repeated.  Where an anchor
 has several contexts, an operator compares their windows in tasks dealt by
-anchor; an anchor with more than a bounded number (the operator's CROWD) of
-contexts would be a hot group, and its
-windows are counted one by one by a 128-bit hash instead, which any number of
+anchor.  An anchor with more than a bounded number (the operator's CROWD) of
+contexts would be a hot group: its contexts are cut into blocks of windows,
+and the long core that all windows of a block share becomes their anchor, so a
+common phrase in otherwise different texts falls apart.  Where even a core is
+crowded, windows are counted one by one by a 128-bit hash, which any number of
 tasks share.
 """
 
@@ -28,6 +30,7 @@ from kiln.llm.tables import forget, join_counted, packed, text_of, written
 
 FILTER_BITS = 1 << 24
 BROADCAST_CONTEXTS = 100_000
+BLOCKS = 8
 _U = np.uint64
 _ANCHOR = "array<struct<fp:long,ctx:long,at:int,start:int,len:int>>"
 RUNS = "array<struct<lo:int,hi:int>>"
@@ -277,9 +280,82 @@ def _windows(kind, w):
     return run
 
 
-def crowded_runs(content: DataFrame, kind: str, w: int) -> DataFrame:
-    """``fp, ctx, at, runs, later`` of contexts under crowded anchors, their
-    windows counted one by one."""
+def _blocks(kind, w):
+    """Contexts with content -> their blocks of windows: with offsets a of
+    the anchor in the window, block q has q b <= a < (q + 1) b, and all its
+    windows share ``w - b + 1`` symbols, its core."""
+    b = max(1, w // BLOCKS)
+    unit = 1 if kind == "bytes" else 8
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            raw, off = content_arrays(table, kind)
+            spans = G.Spans(G.BYTE_CODE[raw] if kind == "bytes" else raw)
+            count = np.diff(off) - w + 1
+            at = table.column("at").to_numpy().astype(np.int64)
+            low, high = (at - count + 1) // b, at // b
+            each = high - low + 1
+            e = np.repeat(np.arange(len(table)), each)
+            q = np.arange(len(e)) - np.repeat(np.cumsum(each) - each, each) + low[e]
+            first, last = np.maximum(0, at[e] - (q + 1) * b + 1), np.minimum(count[e] - 1, at[e] - q * b)
+            core = off[:-1][e] + at[e] - q * b
+            start, end = off[:-1][e] + first, off[:-1][e] + last + w
+            fp = table.column("fp").to_numpy().view(_U)
+            fp2 = G.mix(spans.hash(core, core + w - b + 1) ^ G.mix(fp[e] + q.astype(_U) * _U(0x9E3779B97F4A7C15)))
+            ctx2, at2 = spans.hash(start, end), at[e] - q * b - first
+            whole, data = table.combine_chunks(), raw.tobytes()
+            take = pa.array(e)
+            yield pa.RecordBatch.from_arrays(
+                [*[whole.column(c).take(take).combine_chunks() for c in (*CONTEXT, "n", "first")],
+                 pa.array(G.as_long(fp2), pa.int64()), pa.array(G.as_long(ctx2), pa.int64()),
+                 pa.array(at2.astype(np.int32)), pa.array(first.astype(np.int32)),
+                 pa.array([data[x * unit:y * unit] for x, y in zip(start.tolist(), end.tolist())], pa.binary())],
+                names=[*CONTEXT, "n", "first", "fp2", "ctx2", "at2", "shift", "content"])
+    return run
+
+
+def crowded_runs(content: DataFrame, kind: str, w: int, crowd: int, compare, later: bool) -> DataFrame:
+    """``fp, ctx, at, runs[, later]`` of contexts under crowded anchors, by
+    blocks of their windows.  ``compare`` is the operator's, on blocks."""
+    spark = content.sparkSession
+    place = content.schema["first"].dataType.simpleString()
+    blocks = content.dropDuplicates(CONTEXT).select(*CONTEXT, "n", "first", "content").mapInArrow(
+        _blocks(kind, w), f"fp long, ctx long, at int, n long, first {place}, fp2 long, ctx2 long, at2 int, "
+                          "shift int, content binary")
+    blocks = written(blocks.withColumn("first", F.col("first").withField(
+        "start", F.col("first.start") + F.col("shift"))), "blocks")
+    segments = written(blocks.groupBy(F.col("fp2").alias("fp"), F.col("ctx2").alias("ctx"), F.col("at2").alias("at"))
+                       .agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.first("content").alias("content")),
+                       "segments")
+    total = segments.groupBy("fp").agg(F.count(F.lit(1)).alias("others"))
+    segments = segments.join(total, "fp")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = f"fp long, ctx long, at int, runs {RUNS}" + (f", later {RUNS}" if later else "")
+    found = (segments.filter(F.col("others") <= crowd).repartition(shards, "fp").sortWithinPartitions("fp")
+             .select(*CONTEXT, "n", "first", "content").mapInArrow(by_anchor(compare), schema))
+    rest = segments.filter(F.col("others") > crowd)
+    if not rest.isEmpty():
+        counted = window_runs(rest, kind, w)
+        found = found.unionByName(counted if later else counted.drop("later"))
+    found = found.join(segments.select(*CONTEXT, F.col("first").alias("least")), CONTEXT).withColumnsRenamed(
+        {c: f"{c}2" for c in CONTEXT})
+    back = blocks.select(*CONTEXT, "fp2", "ctx2", "at2", "shift", "first").join(found, ["fp2", "ctx2", "at2"])
+
+    def moved(c):
+        return F.transform(c, lambda r: F.struct((r["lo"] + F.col("shift")).alias("lo"),
+                                                 (r["hi"] + F.col("shift")).alias("hi")))
+    out = [F.flatten(F.collect_list(moved(F.col("runs")))).alias("runs")]
+    if later:
+        # of equal blocks only the one of the smallest place can be first
+        own = F.when(F.col("first") == F.col("least"), F.col("later")).otherwise(F.col("runs"))
+        out.append(F.flatten(F.collect_list(moved(own))).alias("later"))
+    return back.groupBy(*CONTEXT).agg(*out)
+
+
+def window_runs(content: DataFrame, kind: str, w: int) -> DataFrame:
+    """``fp, ctx, at, runs, later`` of contexts whose windows are counted one
+    by one."""
     first = content.schema["first"].dataType.simpleString()
     rows = content.select(*CONTEXT, "n", "first", "content").mapInArrow(
         _windows(kind, w), f"fp long, ctx long, at int, n long, first {first}, j int, h1 long, h2 long")

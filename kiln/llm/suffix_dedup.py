@@ -125,7 +125,8 @@ def repeated_runs(contexts: DataFrame, rows: DataFrame, w: int) -> DataFrame:
     crowded = contexts.filter(F.col("others") > CROWD)
     if crowded.isEmpty():
         return plain
-    return plain.unionByName(R.crowded_runs(R.with_content(crowded, rows, "bytes", w, few=True), "bytes", w))
+    return plain.unionByName(R.crowded_runs(R.with_content(crowded, rows, "bytes", w, few=True), "bytes", w,
+                                            CROWD, _compare(w), later=True))
 
 
 def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", window=WINDOW, gram=GRAM, keep_first=False):

@@ -134,7 +134,7 @@ def repeating(seed, rows=40):
     return docs + [(500, "ab " * 200), (501, docs[0][1]), (502, docs[0][1])]
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
+@pytest.mark.parametrize("crowd", [2000, 3, 1])
 def test_suffix_dedup(spark, make_docs, monkeypatch, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     docs = repeating(crowd) + EDGES
@@ -144,7 +144,7 @@ def test_suffix_dedup(spark, make_docs, monkeypatch, crowd):
     assert suffix_dedup.suffix_dedup(make_docs([])).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
+@pytest.mark.parametrize("crowd", [2000, 3, 1])
 def test_suffix_dedup_keeps_the_first(spark, make_docs, monkeypatch, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     docs = repeating(3)
@@ -170,7 +170,7 @@ def test_suffix_ranks_order_suffixes():
     assert by_rank == sorted(range(len(text)), key=lambda i: (text[i:i + 12], i))
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
+@pytest.mark.parametrize("crowd", [2000, 3, 1])
 def test_phrase_dedup(spark, make_docs, monkeypatch, crowd):
     monkeypatch.setattr(phrase_dedup, "CROWD", crowd)
     docs = repeating(crowd + 7) + EDGES
