@@ -29,7 +29,7 @@ BENCH_QUERIES = {
     # b64_itr100 as local SGD: 100 minibatch steps per shard in 10 jobs
     "cnn_b64_itr100_p3_local10": lambda spark, sf: _run(spark, sf, partitions=3, iters=100, batch=64,
                                                         local_steps=10),
-    # skew_p4_b256: label-hashed shards, 4 re-deal rounds, batch 256 (50 iterations in the original)
-    "cnn_skew_b256_p4": lambda spark, sf: _run(spark, sf, partitions=4, iters=12, batch=256,
+    # skew_p4_b256: label-hashed shards, 4 re-deal rounds, batch 256, 50 iterations
+    "cnn_skew_b256_p4": lambda spark, sf: _run(spark, sf, partitions=4, iters=50, batch=256,
                                                shard_by="label", shuffles=4),
 }
