@@ -13,24 +13,30 @@ members (distinct sets), filtered by the distance of 1,024-bit parity sketches
 (a lower bound of the symmetric difference, so nothing is lost), and verified
 on the whole sets.
 
-Pairs are never all emitted.  A list first gives a minimum spanning forest of
+Pairs are never all emitted.  A pair counts in one list only as far as the
+first FIRST listed tokens of both tell: a list leaves a pair to an earlier
+common one.  A list first gives a minimum spanning forest of
 its surviving pairs (closest first); after these are verified and the sets
 linked so far are known, it gives what survives between different components.
 Each link is thus either verified or inside a component, and what leaves a
 list is linear in its length wherever the sets are alike.  A list longer than
 LIST_BLOCK is dealt to tasks in pairs of blocks.
+
+Verification groups the pairs by the smallest set key two steps around them,
+so a set travels once to a bucket of pairs, not once for each pair.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import grams as G
 from kiln.llm.registry import register
-from kiln.llm.tables import documents, fresh, join_counted, text_of, written
+from kiln.llm.tables import documents, fresh, join_counted, packed, text_of, written
 from kiln.operators.graph import connected_components
 
 SHINGLE, NUM, DEN = 4, 85, 100
@@ -41,6 +47,9 @@ SKETCH_WORDS = 16       # 1,024 bits
 MEMBERS = 64            # members of a group entry; larger groups have several
 LIST_BLOCK = 4096
 BROADCAST_ROWS = 200_000
+TOKEN_BITS = 1 << 24    # bit table of the tokens with a list: 2 MB, whatever the corpus
+FIRST = 4
+BUCKET_SETS = 1000
 FOREST_BUFFER = 1 << 20
 _U = np.uint64
 
@@ -80,27 +89,20 @@ def set_key(tokens):
     return a.tobytes() + b.tobytes()
 
 
-def _rows_of(batch, last=True):
-    data, offs = G.text_buffer(batch.column(batch.num_columns - 1))
+def _rows_of(batch):
+    data, offs = G.unpacked(batch.column(batch.num_columns - 1))
     for lo, hi in G.chunks(offs):
         yield lo, hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
 
 
 def _hash_prefixes(k, num, den):
-    """(text) -> (set_key, prefix): prefixes in plain hash order."""
+    """(text) -> (prefix): prefixes in plain hash order."""
     def run(batches):
         for batch in batches:
             for _, _, data, offs in _rows_of(batch):
-                keys, prefixes = [], []
-                for tokens in shingle_sets(data, offs, k):
-                    if len(tokens):
-                        keys.append(set_key(tokens))
-                        prefixes.append(tokens[:prefix_length(len(tokens), num, den)])
+                prefixes = [t[:prefix_length(len(t), num, den)] for t in shingle_sets(data, offs, k) if len(t)]
                 flat = np.concatenate([np.zeros(0, _U), *prefixes])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()),
-                     G.row_lists(np.array([len(p) for p in prefixes], np.int64), pa.array(G.as_long(flat), pa.int64()))],
-                    names=["set_key", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(G.as_long(flat), pa.int64())], names=["token"])
     return run
 
 
@@ -109,6 +111,7 @@ def _ordered_prefixes(k, num, den, crowded):
     prefix in the order (crowded, hash)."""
     def run(batches):
         table = crowded.value
+        rid = TaskContext.get().partitionId() << 40  # numbers the rows; the table is written once
         for batch in batches:
             for lo, hi, data, offs in _rows_of(batch):
                 keys, sizes, groups, sketches, prefixes = [], [], [], [], []
@@ -119,29 +122,45 @@ def _ordered_prefixes(k, num, den, crowded):
                         keys.append(None), groups.append(None), sketches.append(None)
                         prefixes.append(tokens)
                         continue
-                    bit = tokens & _U(CROWD_BITS - 1)
-                    late = (table[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1
+                    late = in_table(table, tokens)
                     prefix = np.concatenate([tokens[~late], tokens[late]])[:prefix_length(n, num, den)]
                     keys.append(set_key(tokens))
                     groups.append(set_key(np.concatenate([prefix, np.array([n], _U)])))
                     sketches.append(sketch(tokens))
                     prefixes.append(prefix)
                 flat = np.concatenate([np.zeros(0, _U), *prefixes])
+                rids = np.arange(rid, rid + hi - lo)
+                rid += hi - lo
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(rids),
                      pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(groups, pa.binary()),
                      pa.array(sketches, pa.binary()),
                      G.row_lists(np.array([len(p) for p in prefixes], np.int64), pa.array(G.as_long(flat), pa.int64()))],
-                    names=["doc_id", "row_key", "set_key", "n", "gid", "sketch", "prefix"])
+                    names=["doc_id", "row_key", "rid", "set_key", "n", "gid", "sketch", "prefix"])
     return run
 
 
+def bit_table(values: DataFrame, bits: int) -> np.ndarray:
+    """A table of ``bits`` bits, set at each ``token mod bits``: at most
+    ``bits / 64`` words reach the driver, however many tokens there are."""
+    words = (values.select(F.pmod("token", F.lit(bits)).alias("bit")).distinct()
+             .groupBy(F.expr("cast(bit div 64 as int)").alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toPandas())
+    out = np.zeros(bits // 64, _U)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(_U)
+    return out
+
+
+def in_table(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    bit = tokens & _U(len(table) * 64 - 1)
+    return (table[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1
+
+
 def crowded_tokens(text: DataFrame, k, num, den) -> np.ndarray:
-    """Bit table of the tokens on the prefixes of many distinct sets.  Any
-    table gives a valid order, so one bit for several tokens loses nothing;
-    at most CROWD_BITS / 64 words reach the driver."""
-    tokens = (text.mapInArrow(_hash_prefixes(k, num, den), "set_key binary, prefix array<long>")
-              .dropDuplicates(["set_key"]).select(F.explode("prefix").alias("token"))
+    """Bit table of the tokens on the hash-order prefixes of many rows.  Any
+    table gives a valid order, so one bit for several tokens, or copies that
+    count each, lose nothing."""
+    tokens = (text.mapInArrow(_hash_prefixes(k, num, den), "token long")
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CROWDED))
     tokens = written(tokens, "tokens")
     limit = CROWDED
@@ -150,12 +169,26 @@ def crowded_tokens(text: DataFrame, k, num, den) -> np.ndarray:
         limit *= 2
         tokens = tokens.filter(F.col("n") >= limit)
         total = tokens.count()
-    words = (tokens.select(F.pmod("token", F.lit(CROWD_BITS)).alias("bit")).distinct()
-             .groupBy(F.expr("cast(bit div 64 as int)").alias("word"))
-             .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toPandas())
-    out = np.zeros(CROWD_BITS // 64, _U)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(_U)
-    return out
+    return bit_table(tokens, CROWD_BITS)
+
+
+def _listed(bits):
+    """(entry, k, prefix) -> flat (token, pos, entry, k) of the tokens that
+    may have a list."""
+    def run(batches):
+        table = bits.value
+        for batch in batches:
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy()
+            tokens = lists.flatten().to_numpy().view(_U)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            pos = np.arange(len(tokens)) - (offsets[:-1] - offsets[0])[row]
+            ok = in_table(table, tokens)
+            take = pa.array(row[ok])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(G.as_long(tokens[ok]), pa.int64()), pa.array(pos[ok].astype(np.int32)),
+                 batch.column(0).take(take), batch.column(1).take(take)], names=["token", "pos", "entry", "k"])
+    return run
 
 
 class _Forest:
@@ -192,10 +225,13 @@ class _Forest:
         return a[keep], b[keep], cost[keep]
 
 
-def _list_pairs(token, n, side, sketches, comp, num, den):
+def _list_pairs(token, n, side, sketches, comp, first, pos, num, den):
     """Surviving pairs of rows sorted by (token, n): same token, other
-    component (when given), other side of a block pair, sizes that can reach
-    the similarity, sketches close enough.  Yields index arrays and cost."""
+    component (when given), other side of a block pair, no earlier common
+    list, sizes that can reach the similarity, sketches close enough.
+    ``first`` are the first listed tokens of each row (0 where there is
+    none), ``pos`` the place of this list among them.  Yields index arrays
+    and cost."""
     idx = np.arange(len(token))
     d = 0
     while len(idx):
@@ -215,22 +251,37 @@ def _list_pairs(token, n, side, sketches, comp, num, den):
             x, y = a[lo:lo + (1 << 16)], b[lo:lo + (1 << 16)]
             ham = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
             near = ham * (den + num) <= (n[x] + n[y]) * (den - num)
-            if near.any():
-                x, y, ham = x[near], y[near], ham[near]
+            if not near.any():
+                continue
+            x, y, ham = x[near], y[near], ham[near]
+            earlier = np.zeros(len(x), bool)
+            for i in range(first.shape[1]):
+                token_x = first[x, i]
+                known = (token_x != 0) & (i < pos[x])
+                for j in range(first.shape[1]):
+                    earlier |= known & (token_x == first[y, j]) & (j < pos[y])
+            if not earlier.all():
+                x, y, ham = x[~earlier], y[~earlier], ham[~earlier]
                 yield x, y, ham / (n[x] + n[y])
 
 
 def _pairs(num, den, forest):
-    """(part, n, side, comp, members) sorted by part and n -> (a, b)."""
+    """(part, n, side, rank, first, members) sorted by part -> (a, b)."""
     def handle(table):
         members = table.column("members").combine_chunks()
         count = np.diff(members.offsets.to_numpy())
         flat = members.flatten()
         group = np.repeat(np.arange(len(table)), count)
-        token = np.unique(np.array(table.column("part").to_pylist(), dtype=object), return_inverse=True)[1]
+        token = np.unique(table.column("part").to_numpy(), return_inverse=True)[1][group]
         n = table.column("n").to_numpy()[group]
         side = table.column("side").to_numpy()[group]
-        token = token[group]
+        pos = table.column("rank").to_numpy()[group]
+        firsts = table.column("first").combine_chunks()
+        have = np.diff(firsts.offsets.to_numpy())
+        first = np.zeros((len(table), FIRST), np.int64)
+        row = np.repeat(np.arange(len(table)), have)
+        first[row, np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)] = firsts.flatten().to_numpy()
+        first = first[group]
         keys = np.array(flat.field("set_key").to_pylist(), dtype=object)
         raw = b"".join(flat.field("sketch").to_pylist())
         sketches = np.frombuffer(raw, _U).reshape(-1, SKETCH_WORDS)
@@ -239,12 +290,13 @@ def _pairs(num, den, forest):
             comp = np.unique(np.array(flat.field("comp").to_pylist(), dtype=object), return_inverse=True)[1]
         order = np.lexsort((n, token))
         token, n, side, keys, sketches = token[order], n[order], side[order], keys[order], sketches[order]
+        first, pos = first[order], pos[order]
         comp = comp[order] if comp is not None else None
         ids = np.unique(keys, return_inverse=True)[1]
         out = _Forest()
         pairs: set = set()
         span = len(ids) + 1
-        for x, y, cost in _list_pairs(token, n, side, sketches, comp, num, den):
+        for x, y, cost in _list_pairs(token, n, side, sketches, comp, first, pos, num, den):
             lo, hi = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
             distinct = lo != hi
             if forest:
@@ -288,47 +340,74 @@ def _candidates(entries: DataFrame, num, den, forest: bool) -> DataFrame:
     spark = entries.sparkSession
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (entries.repartition(shuffled, "part").sortWithinPartitions("part")
-            .select("part", "n", "side", "members")
+            .select("part", "n", "side", "rank", "first", "members")
             .mapInArrow(_pairs(num, den, forest), "a binary, b binary").distinct())
 
 
 def _set_rows(k):
+    """(buckets, text) -> the text's set, a row for each bucket."""
     def run(batches):
         for batch in batches:
-            for _, _, data, offs in _rows_of(batch):
-                sets = [t for t in shingle_sets(data, offs, k) if len(t)]
+            buckets = batch.column(0).to_pylist()
+            for lo, _, data, offs in _rows_of(batch):
+                out = [(b, set_key(t), t.tobytes()) for i, t in enumerate(shingle_sets(data, offs, k)) if len(t)
+                       for b in buckets[lo + i]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_key(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())],
-                    names=["set_key", "tokens"])
+                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()),
+                     pa.array([x[2] for x in out], pa.binary())], names=["bucket", "set_key", "tokens"])
     return run
 
 
 def _verify(num, den):
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i], _U), np.frombuffer(b[i], _U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = den * both >= num * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+    def run(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        have = {k: np.frombuffer(t, _U) for k, t in zip(sets.column("set_key").to_pylist(),
+                                                      sets.column("tokens").to_pylist())}
+        a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
+        ok = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a, b)):
+            x, y = have[x], have[y]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok[i] = den * both >= num * (len(x) + len(y) - both)
+        return pairs.select(["a", "b"]).filter(pa.array(ok))
     return run
 
 
+def _bucketed(pairs: DataFrame) -> DataFrame:
+    """``a, b, bucket``: pairs that lie close together share a bucket.  The
+    key of a pair is the smallest set key within two steps; a key with many
+    pairs is split by hash."""
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    ends = ends.union(ends.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    one = ends.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("low"))
+    near = one.withColumnRenamed("x", "y").withColumnRenamed("low", "l")
+    two = ends.join(near, "y").groupBy("x").agg(F.min("l").alias("low"))
+    low = written(two, "low")
+    keyed = (pairs.join(low.select(F.col("x").alias("a"), F.col("low").alias("la")), "a")
+             .join(low.select(F.col("x").alias("b"), F.col("low").alias("lb")), "b")
+             .select("a", "b", F.least("la", "lb").alias("key")))
+    counts = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_SETS).alias("parts"))
+    return (keyed.join(counts, "key")
+            .select("a", "b", F.xxhash64("key", F.pmod(F.xxhash64("a"), "parts")).alias("hash")))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, text: DataFrame, k, num, den) -> DataFrame:
     """The pairs whose whole sets reach the similarity.  Only the texts of
-    candidates are read again, one row for each distinct set."""
-    needed = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
-    one = written(rows.join(needed, "set_key").groupBy("set_key").agg(F.min("row_key").alias("row_key"))
-                  .select("row_key"), "needed")
-    if one.count() <= BROADCAST_ROWS:  # 16 bytes a row
+    candidates are read again, one row for each distinct set, and a set goes
+    once to each bucket of pairs that needs it."""
+    buckets = max(1, -(-pairs.count() // BUCKET_SETS))
+    dealt = written(_bucketed(pairs).select("a", "b", F.pmod("hash", F.lit(buckets)).alias("bucket")), "dealt")
+    needed = (dealt.select("bucket", F.explode(F.array("a", "b")).alias("set_key"))
+              .groupBy("set_key").agg(F.collect_set("bucket").alias("buckets")))
+    one = written(rows.filter("n > 0").groupBy("set_key").agg(F.min("row_key").alias("row_key"))
+                  .join(needed, "set_key").select("row_key", "buckets"), "needed")
+    if (one.agg(F.sum(F.size("buckets") + 4)).first()[0] or 0) <= 4 * BROADCAST_ROWS:  # at most 8 bytes each
         one = F.broadcast(one)
-    sets = written(text.join(one, "row_key", "left_semi").select("text")
-                   .mapInArrow(_set_rows(k), "set_key binary, tokens binary").dropDuplicates(["set_key"]), "sets")
-    full = (pairs.join(sets.select(F.col("set_key").alias("a"), F.col("tokens").alias("x")), "a")
-            .join(sets.select(F.col("set_key").alias("b"), F.col("tokens").alias("y")), "b"))
-    return full.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a binary, b binary")
+    else:
+        text = packed(text.select("row_key", "text"))
+    sets = (text.join(one, "row_key").select("buckets", "text")
+            .mapInArrow(_set_rows(k), "bucket long, set_key binary, tokens binary"))
+    return dealt.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(
+        _verify(num, den), "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE, num=NUM, den=DEN):
@@ -342,35 +421,54 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", k=SHIN
     kind = source.schema["doc_id"].dataType.simpleString()
     rows = written(source.mapInArrow(
         _ordered_prefixes(k, num, den, crowded),
-        f"doc_id {kind}, row_key binary, set_key binary, n long, gid binary, sketch binary, prefix array<long>"), "sets")
+        f"doc_id {kind}, row_key binary, rid long, set_key binary, n long, gid binary, sketch binary, prefix array<long>"), "sets")
     groups = (rows.filter("n > 0").groupBy("gid")
-              .agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+              .agg(F.first("n").alias("n"), F.min("rid").alias("rid"),
                    F.array_sort(F.collect_set(F.struct("set_key", "sketch"))).alias("m"))
-              .select("gid", "n", "prefix", F.explode(F.transform(
+              .select("gid", "n", "rid", F.posexplode(F.transform(
                   F.sequence(F.lit(0), F.size("m") - 1, F.lit(MEMBERS)), lambda i: F.slice("m", i + 1, MEMBERS)))
-                  .alias("members")))
-    groups = written(groups.withColumn("entry", F.xxhash64("gid", "members")), "groups")
-    tokens = groups.select(F.explode("prefix").alias("token"), "gid", "entry", F.size("members").alias("k"))
-    lists = (tokens.groupBy("token").agg(F.sum("k").alias("k")).filter("k > 1")
-             .select("token", F.ceil(F.col("k") / LIST_BLOCK).cast("int").alias("blocks")))
-    # an entry of a long list goes to each pair of blocks that holds its own
-    block = F.pmod(F.xxhash64("gid", "entry"), F.col("blocks")).cast("int")
-    listed = (tokens.join(lists, "token").withColumn("own", block)
+                  .alias("chunk", "members")))
+    # the id of an entry: should two ever share one, they only share lists
+    groups = written(groups.withColumn("entry", F.xxhash64("gid", "chunk")), "groups")
+    # each group's prefix once, from its first row
+    extra = written(rows.filter("n > 0").select("rid").join(groups, "rid", "left_anti"), "extra")
+    extra = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
+    prefixes = (rows.filter("n > 0").select("gid", "rid", "prefix").join(extra, "rid", "left_anti")
+                .select("gid", "prefix"))
+    sizes = groups.select("gid", "entry", F.size("members").alias("k"))
+    # most groups have one member and so one entry: only the others are joined
+    many = sizes.groupBy("gid").agg(F.sum("k").alias("all")).filter("all > 1").select("gid")
+    several = sizes.join(many, "gid")
+    plain = prefixes.join(many, "gid", "left_anti").select(
+        F.xxhash64("gid", F.lit(0)).alias("entry"), F.lit(1).alias("k"), "prefix")
+    tokens = plain.unionByName(prefixes.join(several, "gid").select("entry", "k", "prefix"))
+    lists = written(tokens.select(F.explode("prefix").alias("token"), "k").groupBy("token")
+                    .agg(F.sum("k").alias("size")).filter("size > 1"), "lists")
+    bits = spark.sparkContext.broadcast(bit_table(lists, TOKEN_BITS))
+    own_list = F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")
+    held = (tokens.select("entry", "k", "prefix").mapInArrow(_listed(bits), "token long, pos int, entry long, k int")
+            .join(lists.select("token", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks")), "token"))
+    # the first listed tokens of an entry, in the order of its prefix
+    held = held.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "blocks"))).alias("all"))
+    listed = (held.select("entry", F.slice(F.transform("all", lambda t: t["token"]), 1, FIRST).alias("first"),
+                          F.posexplode("all").alias("rank", "t"))
+              .select("entry", "first", "rank", "t.token", "t.blocks").withColumn("own", own_list)
+              # an entry of a long list goes to each pair of blocks that holds its own
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("gid", "entry", F.concat_ws(":", "token", F.least("own", "other"), F.greatest("own", "other"))
-                      .alias("part"),
+              .select("entry", "first", "rank",
+                      F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("part"),
                       F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side")))
     listed = written(listed, "listed")
-    entries = listed.join(groups.select("gid", "entry", "n", "members"), ["gid", "entry"])
+    entries = listed.join(groups.select("entry", "n", "members"), "entry")
     first = written(_candidates(entries, num, den, forest=True), "pairs")
     links = written(_verified(first, rows, source, k, num, den), "links")
     comp = written(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "comp")
     # what survives between components: exact, and little
-    flat = groups.select("gid", "entry", "n", F.explode("members").alias("m")).select("gid", "entry", "n", "m.*")
+    flat = groups.select("entry", "n", F.explode("members").alias("m")).select("entry", "n", "m.*")
     flat = flat.join(comp.withColumnRenamed("node", "set_key"), "set_key", "left")
-    named = flat.groupBy("gid", "entry", "n").agg(F.collect_list(F.struct(
+    named = flat.groupBy("entry", "n").agg(F.collect_list(F.struct(
         "set_key", "sketch", F.coalesce("component", "set_key").alias("comp"))).alias("members"))
-    second = written(_candidates(listed.join(named, ["gid", "entry"]), num, den, forest=False)
+    second = written(_candidates(listed.join(named, "entry"), num, den, forest=False)
                      .join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = written(_verified(second, rows, source, k, num, den), "links")
