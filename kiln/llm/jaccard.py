@@ -344,13 +344,42 @@ def _candidates(entries: DataFrame, num, den, forest: bool) -> DataFrame:
             .mapInArrow(_pairs(num, den, forest), "a binary, b binary").distinct())
 
 
-def _set_rows(k):
-    """(buckets, text) -> the text's set, a row for each bucket."""
+def long_sketch(tokens) -> bytes:
+    """Parity of the tokens on the next power of two of at least 4 bits for
+    each, after the set's size (8 bytes)."""
+    bits = 1 << max(10, int(4 * len(tokens) - 1).bit_length())
+    parity = np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.array([len(tokens)], _U).tobytes() + np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _near(num, den):
+    """Whether two long sketches allow the similarity: the larger is folded
+    to the size of the smaller, and their distance is a lower bound of the
+    symmetric difference."""
+    def near(x, y):
+        n, a, b = int(x[0]) + int(y[0]), x[1:], y[1:]
+        while len(a) > len(b):
+            a = a[:len(a) // 2] ^ a[len(a) // 2:]
+        while len(b) > len(a):
+            b = b[:len(b) // 2] ^ b[len(b) // 2:]
+        return int(np.bitwise_count(a ^ b).sum()) * (den + num) <= n * (den - num)
+    return near
+
+
+def _similar(num, den):
+    def similar(x, y):
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return den * both >= num * (len(x) + len(y) - both)
+    return similar
+
+
+def _set_rows(k, form):
+    """(buckets, text) -> ``form`` of the text's set, a row for each bucket."""
     def run(batches):
         for batch in batches:
             buckets = batch.column(0).to_pylist()
             for lo, _, data, offs in _rows_of(batch):
-                out = [(b, set_key(t), t.tobytes()) for i, t in enumerate(shingle_sets(data, offs, k)) if len(t)
+                out = [(b, set_key(t), form(t)) for i, t in enumerate(shingle_sets(data, offs, k)) if len(t)
                        for b in buckets[lo + i]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()),
@@ -358,17 +387,12 @@ def _set_rows(k):
     return run
 
 
-def _verify(num, den):
+def _verify(holds):
     def run(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
         have = {k: np.frombuffer(t, _U) for k, t in zip(sets.column("set_key").to_pylist(),
                                                       sets.column("tokens").to_pylist())}
-        a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
-        ok = np.zeros(len(a), bool)
-        for i, (x, y) in enumerate(zip(a, b)):
-            x, y = have[x], have[y]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok[i] = den * both >= num * (len(x) + len(y) - both)
-        return pairs.select(["a", "b"]).filter(pa.array(ok))
+        ok = [holds(have[x], have[y]) for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())]
+        return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
@@ -391,9 +415,17 @@ def _bucketed(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, text: DataFrame, k, num, den) -> DataFrame:
-    """The pairs whose whole sets reach the similarity.  Only the texts of
-    candidates are read again, one row for each distinct set, and a set goes
-    once to each bucket of pairs that needs it."""
+    """The pairs whose whole sets reach the similarity.  Long sketches, a
+    sixteenth of the sets, go first: the short ones of the lists are full for
+    long texts.  What they leave is verified on the sets."""
+    near = written(_held_by(pairs, rows, text, k, long_sketch, _near(num, den)), "near")
+    return _held_by(near, rows, text, k, np.ndarray.tobytes, _similar(num, den))
+
+
+def _held_by(pairs: DataFrame, rows: DataFrame, text: DataFrame, k, form, holds) -> DataFrame:
+    """The pairs that ``holds`` accepts, on ``form`` of both sets.  Only the
+    texts of candidates are read again, one row for each distinct set, and a
+    set goes once to each bucket of pairs that needs it."""
     buckets = max(1, -(-pairs.count() // BUCKET_SETS))
     dealt = written(_bucketed(pairs).select("a", "b", F.pmod("hash", F.lit(buckets)).alias("bucket")), "dealt")
     needed = (dealt.select("bucket", F.explode(F.array("a", "b")).alias("set_key"))
@@ -405,9 +437,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, text: DataFrame, k, num, den) -
     else:
         text = packed(text.select("row_key", "text"))
     sets = (text.join(one, "row_key").select("buckets", "text")
-            .mapInArrow(_set_rows(k), "bucket long, set_key binary, tokens binary"))
+            .mapInArrow(_set_rows(k, form), "bucket long, set_key binary, tokens binary"))
     return dealt.groupBy("bucket").cogroup(sets.groupBy("bucket")).applyInArrow(
-        _verify(num, den), "a binary, b binary")
+        _verify(holds), "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", k=SHINGLE, num=NUM, den=DEN):
