@@ -333,15 +333,22 @@ def q_term_counts(spark, sf_dir):
     return text.term_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def topic_model(docs):
+    """CountVectorizer + LDA (k = 5, 5 iterations) over every document and
+    term, no vocabulary cap: ``(vocabulary, model)``.  Expectation
+    maximisation reads every document in every iteration (the online
+    optimizer draws its minibatch with replacement, whatever the rate)."""
+    cv = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=1 << 30, minDF=1.0).fit(docs)
+    lda = LDA(k=5, maxIter=5, featuresCol="counts", seed=SEED, optimizer="em")
+    return cv.vocabulary, lda.fit(cv.transform(docs))
+
+
 @register("lda_topics")
 def q_lda_topics(spark, sf_dir):
-    """CountVectorizer + LDA (k = 5) over every document and term: every
-    iteration samples all documents, no vocabulary cap; top 5 terms per
+    """Topics of every document and term (``topic_model``): top 5 terms per
     topic."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", text.tokens("text").alias("tokens"))
-    cv = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=1 << 30, minDF=1.0).fit(docs)
-    lda = LDA(k=5, maxIter=5, featuresCol="counts", seed=SEED, optimizer="online", subsamplingRate=1.0).fit(cv.transform(docs))
-    vocabulary = cv.vocabulary
+    vocabulary, lda = topic_model(docs)
     rows = [(r["topic"], [vocabulary[i] for i in r["termIndices"]], [float(w) for w in r["termWeights"]])
             for r in lda.describeTopics(5).collect()]  # 5 topics of 5 terms
     return spark.createDataFrame(rows, "topic int, terms array<string>, termWeights array<double>")

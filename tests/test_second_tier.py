@@ -395,3 +395,16 @@ def test_image_files_with_partitions_and_an_invalid_file(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     rows = read_images(spark, f"file:{tmp_path}").select("image.width", "image.height", "cls").collect()
     assert sorted(tuple(r) for r in rows) == [(3, 2, "dogs"), (3, 2, "kittens")]
+
+
+def test_topics_count_every_token_of_every_document(spark):
+    """One word per document, each its own term: the topics' term counts add
+    up to the tokens and every term has its full count (a sampled iteration
+    misses documents and counts others twice)."""
+    from kiln.plans.extras import topic_model
+    docs = spark.createDataFrame([(i, [f"w{i}"] * (1 + i % 3)) for i in range(60)], "doc_id long, tokens array<string>")
+    vocabulary, model = topic_model(docs)
+    per_term = model.topicsMatrix().toArray().sum(axis=1)
+    want = [1 + int(w[1:]) % 3 for w in vocabulary]
+    assert len(vocabulary) == 60
+    np.testing.assert_allclose(per_term, want, rtol=1e-6)
