@@ -33,6 +33,8 @@ class MinibatchTrainer(Estimator, _TrainerParams, MLReadable, MLWritable):
     original benchmark scripts."""
 
     iters = Param(Params._dummy(), "iters", "training steps", typeConverter=TypeConverters.toInt)
+    minEpochs = Param(Params._dummy(), "minEpochs", "passes over the largest shard that every round makes at least",
+                      typeConverter=TypeConverters.toInt)
     miniBatch = Param(Params._dummy(), "miniBatch", "rows per shard per step", typeConverter=TypeConverters.toInt)
     partitions = Param(Params._dummy(), "partitions", "number of data shards", typeConverter=TypeConverters.toInt)
     lr = Param(Params._dummy(), "lr", "learning rate", typeConverter=TypeConverters.toFloat)
@@ -53,12 +55,12 @@ class MinibatchTrainer(Estimator, _TrainerParams, MLReadable, MLWritable):
     def __init__(self, *, modelConfig=None, featuresCol="features", labelCol="label",
                  predictionCol="prediction", idCol="id", iters=10, miniBatch=64, partitions=4, lr=0.001,
                  optimizer="sgd", validationPct=0.0, shardBy="hash", partitionShuffles=1,
-                 fullBatch=False, storage="table", localSteps=1, dropLast=False, seed=42):
+                 fullBatch=False, storage="table", localSteps=1, dropLast=False, minEpochs=0, seed=42):
         super().__init__()
         self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", idCol="id",
                          iters=10, miniBatch=64, partitions=4, lr=0.001, optimizer="sgd", validationPct=0.0,
                          shardBy="hash", partitionShuffles=1, fullBatch=False, storage="table", localSteps=1,
-                         dropLast=False, seed=42)
+                         dropLast=False, minEpochs=0, seed=42)
         self._set(**self._input_kwargs)
 
     def config(self) -> TrainConfig:
@@ -68,7 +70,7 @@ class MinibatchTrainer(Estimator, _TrainerParams, MLReadable, MLWritable):
                            seed=g(self.seed), shard_by=g(self.shardBy),
                            partition_shuffles=g(self.partitionShuffles), full_batch=g(self.fullBatch),
                            storage=g(self.storage), local_steps=g(self.localSteps),
-                           drop_last=g(self.dropLast))
+                           drop_last=g(self.dropLast), min_epochs=g(self.minEpochs))
 
     def _fit(self, dataset: DataFrame) -> "MinibatchModel":
         id_col = self.getOrDefault(self.idCol)

@@ -17,6 +17,7 @@ SWEEP_SCHEMA = T.StructType([
     T.StructField("shard_by", T.StringType()), T.StructField("train_loss", T.DoubleType()),
     T.StructField("train_acc", T.DoubleType()), T.StructField("val_loss", T.DoubleType()),
     T.StructField("val_acc", T.DoubleType()), T.StructField("rows_seen", T.LongType()),
+    T.StructField("train_rows", T.LongType()),
     T.StructField("fit_seconds", T.DoubleType()), T.StructField("rows_per_second", T.DoubleType()),
 ])
 
@@ -43,9 +44,9 @@ def sweep(df: DataFrame, model_config: dict, grid: list[dict], base: TrainConfig
             tr = [h for h in res.history if h["split"] == "train"]
             seen = sum(int(h["n"]) for h in tr)
             v = res.validation or {}
-            rows.append((i, cfg.iters, cfg.batch_size, cfg.partitions, cfg.shard_by,
+            rows.append((i, res.steps, cfg.batch_size, cfg.partitions, cfg.shard_by,
                          _tail_mean([h["loss"] for h in tr]), _tail_mean([h["acc"] for h in tr]),
-                         v.get("loss"), v.get("accuracy"), seen, res.seconds,
+                         v.get("loss"), v.get("accuracy"), seen, res.train_rows, res.seconds,
                          seen / res.seconds if res.seconds else None))
     finally:
         std.unpersist()
@@ -54,19 +55,25 @@ def sweep(df: DataFrame, model_config: dict, grid: list[dict], base: TrainConfig
 
 def sweep_iterations(df: DataFrame, model_config: dict, cuts: list[int], base: TrainConfig, **cols) -> DataFrame:
     """Iteration sweep as ONE run to ``max(cuts)`` with a validation pass at
-    every cut (the 25/50/.../300-iteration scripts share their prefix)."""
+    every cut (the 25/50/.../300-iteration scripts share their prefix).  A
+    run that ``min_epochs`` takes beyond the last cut has its end as one more
+    row."""
     spark: SparkSession = df.sparkSession
     cfg = replace(base, iters=max(cuts), eval_at=tuple(cuts))
     res = train(df, model_config, cfg, **cols)
     tr = [h for h in res.history if h["split"] == "train"]
     rows = []
-    for i, cut in enumerate(sorted(cuts)):
+    ends = sorted({*cuts, res.steps})
+    for i, cut in enumerate(ends):
         upto = [h for h in tr if h["iter"] < cut]
         val = [h for h in res.history if h["split"] == "validation" and h["iter"] == cut - 1]
         seen = sum(int(h["n"]) for h in upto)
         secs = val[0]["seconds"] if val else sum(h["seconds"] for h in upto)
+        v = (val[0]["loss"], val[0]["acc"]) if val else (None, None)
+        if cut == res.steps and res.validation:
+            v = (res.validation["loss"], res.validation["accuracy"])
         rows.append((i, cut, cfg.batch_size, cfg.partitions, cfg.shard_by,
                      _tail_mean([h["loss"] for h in upto]), _tail_mean([h["acc"] for h in upto]),
-                     val[0]["loss"] if val else None, val[0]["acc"] if val else None, seen, secs,
+                     *v, seen, res.train_rows, secs,
                      seen / secs if secs else None))
     return spark.createDataFrame(rows, SWEEP_SCHEMA)

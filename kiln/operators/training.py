@@ -56,6 +56,7 @@ EVAL_SCHEMA = T.StructType([
 class TrainConfig:
     iters: int = 10
     epochs: int = 0                   # > 0: iters = epochs x (largest shard's batch count)
+    min_epochs: int = 0               # > 0: every round runs so many passes over its largest shard at least
     batch_size: int = 64
     partitions: int = 4
     lr: float = 0.001
@@ -92,6 +93,8 @@ class TrainResult:
     validation: dict | None = None
     seconds: float = 0.0
     config: dict | None = None
+    steps: int = 0                    # minibatch steps that were run
+    train_rows: int = 0               # rows to train on
 
 
 def _features_matrix(col: pa.Array, n: int) -> np.ndarray:
@@ -374,9 +377,10 @@ class PreparedRound:
             for cached in self._intermediates:  # written: the ranking intermediates can go
                 cached.unpersist()
         # one row per shard: bounded by the partition count
-        self.shard_batches = {int(r["shard"]): int(r["n_batches"])
-                              for r in self.table.groupBy("shard").agg(F.max("n_batches").alias("n_batches"))
-                              .collect()}
+        shards = self.table.groupBy("shard").agg(F.max("n_batches").alias("n_batches"),
+                                                 F.count(F.lit(1)).alias("rows")).collect()
+        self.shard_batches = {int(r["shard"]): int(r["n_batches"]) for r in shards}
+        self.rows = sum(int(r["rows"]) for r in shards)
         if not any(self.shard_batches.values()):
             self.release()
             raise ValueError("no training rows" if not self.shard_batches else
@@ -500,22 +504,25 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
         history: list[dict] = []
         t_start = time.time()
         step = 0
+        train_count = 0
         for rnd in range(rounds):
-            if step >= total_iters:
+            if rnd * per_round >= total_iters:
                 break
             keep: list = []
             prepared = PreparedRound(assign_shards_and_batches(train_rows, cfg, rnd, keep), cfg, f"train-r{rnd}", keep)
+            train_count = max(train_count, prepared.rows)
+            # an epoch = one pass over the largest shard's batches
+            per_epoch = max([1] + list(prepared.shard_batches.values()))
             if cfg.epochs and rnd == 0:
-                # an epoch = one pass over the largest shard's batches
-                per_epoch = max([1] + list(prepared.shard_batches.values()))
                 total_iters = cfg.epochs * per_epoch
                 per_round = int(math.ceil(total_iters / rounds))
                 if cfg.eval_per_epoch:
                     eval_every = per_epoch
+            round_steps = max(min(per_round, total_iters - rnd * per_round), cfg.min_epochs * per_epoch)
             try:
                 local = 0
-                while local < per_round and step < total_iters:
-                    k = min(cfg.local_steps, per_round - local, total_iters - step)
+                while local < round_steps:
+                    k = min(cfg.local_steps, round_steps - local)
                     t0 = time.time()
                     bc = sc.broadcast(params)
                     try:
@@ -560,7 +567,7 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
     finally:
         if persisted is not None:
             persisted.unpersist()
-    return TrainResult(model.config(), params, history, validation, seconds, asdict(cfg))
+    return TrainResult(model.config(), params, history, validation, seconds, asdict(cfg), step, train_count)
 
 
 HISTORY_SCHEMA = T.StructType([

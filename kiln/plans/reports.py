@@ -33,16 +33,20 @@ def q_sweep_batch(spark, sf_dir):
 @register("sweep_iters")
 def q_sweep_iters(spark, sf_dir):
     """B2: iteration sweep at batch 64 on 3 shards, one run cut at the
-    benchmark's counts; 25 minibatches a job (local SGD), which divides all."""
-    base = TrainConfig(batch_size=64, partitions=3, lr=0.001, validation_pct=0.2, seed=SEED, local_steps=25)
+    benchmark's counts and ended after one epoch of the largest shard if that
+    is later; 25 minibatches a job (local SGD), which divides all counts."""
+    base = TrainConfig(batch_size=64, partitions=3, lr=0.001, validation_pct=0.2, seed=SEED, local_steps=25,
+                       min_epochs=1)
     return sweep_iterations(image_table(spark, sf_dir), CNN, list(ITER_GRID), base)
 
 
 @register("sweep_partitions")
 def q_sweep_partitions(spark, sf_dir):
     """The benchmark's shard counts at batch 256 with its iteration
-    counts, 25 minibatches a job."""
-    grid = [{"partitions": p, "batch_size": 256, "iters": n, "local_steps": 25} for p, n in PARTITION_GRID]
+    counts, or one epoch of the largest shard if that is more, 25 minibatches
+    a job."""
+    grid = [{"partitions": p, "batch_size": 256, "iters": n, "local_steps": 25, "min_epochs": 1}
+            for p, n in PARTITION_GRID]
     return sweep(image_table(spark, sf_dir), CNN, grid, BASE)
 
 

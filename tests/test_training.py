@@ -245,3 +245,44 @@ def test_recode_binary(spark):
         recode_binary(df.filter("label = 2"), "label")
     with pytest.raises(ValueError):
         recode_binary(df.union(spark.createDataFrame([(3,)], "label int")), "label")
+
+
+@pytest.mark.parametrize("shard_by,rounds,local_steps", [("hash", 1, 1), ("label", 3, 1), ("hash", 1, 4)])
+def test_fit_runs_at_least_one_epoch_of_every_round(spark, monkeypatch, shard_by, rounds, local_steps):
+    """Few iterations on a larger table: every training row enters a gradient
+    in every round."""
+    from kiln.operators import training as tr
+    df = image_table(spark, SF01)
+    rows = df.count()
+    seen = []
+    name = "window_rows" if local_steps > 1 else "step_rows"
+    plain = getattr(tr.PreparedRound, name)
+
+    def spied(self, *a):
+        out = plain(self, *a)
+        seen.append([r["id"] for r in out.select("id").collect()])
+        return out
+
+    monkeypatch.setattr(tr.PreparedRound, name, spied)
+    cfg = TrainConfig(iters=3, batch_size=32, partitions=4, shard_by=shard_by, partition_shuffles=rounds, lr=0.1,
+                      local_steps=local_steps, min_epochs=1)
+    res = train(df, LinearNet(64, 10, "classification").config(), cfg)
+    numbers = [h["round"] for h in res.history]
+    assert set(numbers) == set(range(rounds)) and res.train_rows == rows
+    for rnd in range(rounds):
+        ids = {i for n, got in zip(numbers, seen) if n == rnd for i in got}
+        assert len(ids) == rows
+    assert sum(h["n"] for h in res.history) >= rounds * rows
+
+
+@pytest.mark.parametrize("query", ["train_local_sgd", "sweep_partitions"])
+def test_registered_fits_reach_every_training_row(spark, monkeypatch, query):
+    from kiln.plans import QUERIES, reports, training
+    few = image_table(spark, SF01)
+    many = few.crossJoin(spark.range(30).withColumnRenamed("id", "_copy"))
+    many = many.withColumn("id", F.col("id") * 30 + F.col("_copy")).drop("_copy")
+    for module in (reports, training):
+        monkeypatch.setattr(module, "image_table", lambda spark, sf_dir: many)
+    monkeypatch.setattr(reports, "PARTITION_GRID", ((2, 10),))
+    for r in QUERIES[query](spark, SF01).collect():
+        assert r["train_rows"] > 11000 and r["rows_seen"] >= r["train_rows"]
