@@ -3,7 +3,7 @@ features for the urls that no rule fits.
 
 Only DataFrame functions and Spark ML run here.  The urls that a rule judges
 are the labelled ones: the trees learn from them (at most about MAX_TRAIN
-distinct urls, chosen by hash).
+distinct urls, of each verdict by itself, chosen by hash).
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm.registry import register
-from kiln.llm.tables import written
+from kiln.llm.tables import join_counted, written
 
 # (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
 MAX_RULES = 500        # the rules are one expression
 MAX_TRAIN = 50_000
-MAX_SUFFIXES = 20_000  # distinct host suffixes with statistics; rarer ones get the prior
+BROADCAST_SUFFIXES = 20_000  # more distinct host suffixes than these are joined by suffix
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,27 +80,35 @@ def _suffix(host: Column) -> Column:
 
 
 def suffix_statistics(rows: DataFrame) -> DataFrame:
-    """``(suffix, f_suffix_n, f_suffix_hosts)`` over all pages: how common a
-    host suffix is and how many hosts share it.  MAX_SUFFIXES rows at most."""
+    """``(suffix, pages, f_suffix_n, f_suffix_hosts)`` over all pages: how
+    common a host suffix is and how many hosts share it."""
     return written(
         rows.groupBy("suffix", "host").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("suffix").agg(F.log1p(F.sum("n")).alias("f_suffix_n"),
-                               F.log1p(F.count(F.lit(1))).alias("f_suffix_hosts"))
-        .orderBy(F.desc("f_suffix_n"), "suffix").limit(MAX_SUFFIXES), "suffixes")
+        .groupBy("suffix").agg(F.sum("n").alias("pages"), F.log1p(F.sum("n")).alias("f_suffix_n"),
+                               F.log1p(F.count(F.lit(1))).alias("f_suffix_hosts")), "suffixes")
 
 
 def with_suffix(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    return (rows.join(F.broadcast(stats), "suffix", "left")  # MAX_SUFFIXES rows at most
-            .fillna(0.0, ["f_suffix_n", "f_suffix_hosts"]))
+    """``rows`` with the statistics of their suffix; ``stats`` has them all."""
+    found = stats.agg(F.count(F.lit(1)).alias("k"), F.sum("pages").alias("n")).first()
+    if found["k"] <= BROADCAST_SUFFIXES:
+        return rows.join(F.broadcast(stats.drop("pages")), "suffix")
+    return join_counted(rows, stats, ["suffix"], "pages", found["n"]).drop("pages")
 
 
 def fit_trees(judged: DataFrame, features: VectorAssembler, max_train: int):
     """Trees on the judged urls, both verdicts weighing the same; None when
-    a verdict is missing."""
+    a verdict is missing.  Beyond ``max_train`` urls each verdict is sampled
+    by itself: half of them, and what the other leaves free."""
     ruled = judged.filter(F.col("verdict").isNotNull()).dropDuplicates(["url"])
-    n = ruled.count()
+    found = {r["verdict"]: r["n"] for r in ruled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(found.values())
     if n > max_train:
-        ruled = ruled.filter(F.pmod(F.xxhash64("url"), F.lit(2**32)) < int(max_train / n * 2**32))
+        rare = min(found, key=found.get)
+        room = {v: max_train - min(found[rare], max_train // 2) for v in found}
+        room[rare] = max_train // 2 if len(found) > 1 else max_train
+        bound = F.create_map(*[F.lit(x) for v in found for x in (v, int(min(1.0, room[v] / found[v]) * 2**32))])
+        ruled = ruled.filter(F.pmod(F.xxhash64("url"), F.lit(2**32)) < bound[F.col("verdict")])
     train = written(ruled.withColumn("label", (F.col("verdict") == "block").cast("double")), "judged")
     classes = train.agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n")).first()
     if not classes["n"] or classes["b"] in (0, classes["n"]):

@@ -319,6 +319,24 @@ def test_url_trees_learn_from_letters(spark):
     assert right >= 45
 
 
+def test_url_suffix_statistics_have_every_suffix(spark, monkeypatch):
+    """More suffixes than are broadcast: all get their own statistics."""
+    rows = spark.createDataFrame([(f"h{i % 7}", f"s{i % 40}" if i % 3 else "com") for i in range(600)], "host string, suffix string")
+    plain = sorted(map(tuple, urls.with_suffix(rows, urls.suffix_statistics(rows)).collect()))
+    monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", 5, raising=False)
+    monkeypatch.setattr(urls, "MAX_SUFFIXES", 5, raising=False)
+    joined = urls.with_suffix(rows, urls.suffix_statistics(rows)).select("suffix", "host", "f_suffix_n", "f_suffix_hosts")
+    assert sorted(map(tuple, joined.collect())) == plain
+    assert len(plain) == 600 and min(r[2] for r in plain) > 0 and min(r[3] for r in plain) > 0
+
+
+def test_url_trees_keep_a_rare_verdict(spark):
+    rows = [(i, f"http://a{i}.com/{i}") for i in range(6000)] + [(i, f"http://7777b{i}.net/es/{i}") for i in range(6000, 6003)]
+    rows += [(9000, "http://q.org/")]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), max_train=200).filter("page_id = 9000").collect()
+    assert out[0]["score"] is not None
+
+
 # op10 ----------------------------------------------------------------------
 def best_fit_brute(lengths, sources, clusters, capacity, per_source):
     bins, out = [], []
