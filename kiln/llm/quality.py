@@ -124,14 +124,54 @@ def preference_pairs(sample: DataFrame, n_good: int, n_bad: int) -> DataFrame:
     return good.join(bad, "slot").select("x", "y")
 
 
+RANK_BUCKETS = 1 << 16
+BROADCAST_LABELS = 500_000  # labelled rows that meet the texts by a broadcast; more meet their scores
+
+
+def exact_quantile(values: DataFrame, share: float) -> float:
+    """The interpolated quantile of column ``r``: a histogram finds the
+    bucket of the wanted ranks, and only its distinct values are counted."""
+    ends = values.agg(F.count("r").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).first()
+    if ends["lo"] == ends["hi"]:
+        return float(ends["lo"])
+    place = share * (ends["n"] - 1)
+    low, high = math.floor(place), math.ceil(place)
+    cell = F.floor((F.col("r") - ends["lo"]) / (ends["hi"] - ends["lo"]) * (RANK_BUCKETS - 1))
+    found = {}
+    before = 0
+    for row in sorted(values.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        for rank in (low, high):
+            if before <= rank < before + row["n"]:
+                found[rank] = (row["c"], before)
+        before += row["n"]
+    at = {}
+    for rank, (c, seen) in found.items():
+        for row in sorted(values.filter(cell == c).groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()):
+            if seen <= rank < seen + row["n"]:
+                at[rank] = row["r"]
+            seen += row["n"]
+    return float(at[low] + (at[high] - at[low]) * (place - low))
+
+
+def labelled_scores(docs: DataFrame, marked: DataFrame, n: int, weights, id_col: str, text_col: str) -> DataFrame:
+    """``(quality, r)``: raw score of every row of ``marked`` (n rows)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    if n <= BROADCAST_LABELS:
+        source = source.join(F.broadcast(marked.select("id")), "id", "left_semi")
+    scored = source.mapInArrow(_scan(lambda x: pa.array(x @ weights)), f"id {kind}, out double")
+    return written(scored.join(marked, "id").select("quality", F.col("out").alias("r")), "scored")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality",
         max_labelled: int = MAX_LABELLED) -> Model:
-    """Learn from the labelled rows that are not held out (at most about
-    ``max_labelled`` of them).  With no pair of different labels nothing is
+    """Learn the weights from the labelled rows that are not held out (at
+    most about ``max_labelled`` of them); the threshold, the quantile of the
+    label share, is taken over all of them.  With no pair of different labels nothing is
     learnt: all weights are zero and every document scores ``KEEP``."""
     marked = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("quality"))
               .filter(F.col("quality").isin(0, 1) & ~held_out("id")).dropDuplicates(["id"]))
-    n = marked.count()
+    n, every = marked.count(), marked
     if n > max_labelled:
         share = int(max_labelled / n * 2**32)
         marked = marked.filter(F.pmod(F.xxhash64("id"), F.lit(2**32)) < share)
@@ -159,6 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     ranker = LogisticRegression(featuresCol="f", labelCol="label", fitIntercept=False, standardization=False,
                                 regParam=1e-3, maxIter=50).fit(both.select(array_to_vector("d").alias("f"), "label"))
     weights = np.array(ranker.coefficients.toArray()) / scale
+    if n > max_labelled:
+        scored = labelled_scores(docs, every, n, weights, id_col, text_col)
+        total = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("quality")).alias("bad")).first()
+        return Model(weights, exact_quantile(scored, total["bad"] / total["n"]))
     raw = F.aggregate(F.arrays_zip(F.col("out"), F.lit(weights.tolist()).alias("w")), F.lit(0.0),
                       lambda a, t: a + t["out"] * t["w"])
     cut = sample.select(raw.alias("r")).agg(F.percentile("r", F.lit(bad / (good + bad))).alias("c")).first()["c"]

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import SF01
 from llm import brute
@@ -387,3 +388,19 @@ def test_packing_round_trip(spark, make_docs, shard_rows):
         named = Counter(source[i] for i in ids if source[i])
         assert not named or max(named.values()) <= 3
     assert packing.best_fit(make_docs([])).count() == 0
+
+
+def test_threshold_covers_all_labelled_rows(spark, make_docs):
+    """A small sample to fit on; the cut is the quantile over every labelled
+    row that is not held out."""
+    words = ["alpha beta gamma", "x1 y2 z3!!", "One two. Three four.", "buy buy buy"]
+    docs = make_docs([(i, " ".join(words[(i + j) % 4] for j in range(1 + i % 9)), "en") for i in range(600)])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, max_labelled=60)
+    scored = (quality.score(docs, model, ["doc_id"]).join(labels, "doc_id")
+              .filter(~quality.held_out("doc_id")).collect())
+    bad = sum(r["quality"] == 0 for r in scored) / len(scored)
+    assert np.isclose(np.quantile([r["score"] for r in scored], bad), quality.KEEP, atol=2e-3)
+    values = spark.createDataFrame([(float(i * i % 97),) for i in range(500)], "r double")
+    want = np.quantile([float(i * i % 97) for i in range(500)], 0.37)
+    assert np.isclose(quality.exact_quantile(values, 0.37), want)
