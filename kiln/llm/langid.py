@@ -70,33 +70,34 @@ def infer(data, offs, table):
     like = table[buckets]
     size = np.bincount(rows, weight, minlength=n)
     single = np.stack([np.bincount(rows, weight * np.log(like[:, j]), minlength=n) for j in range(langs)], axis=1)
-    full, _ = _em(weight, like, np.full((n, langs), 1.0 / langs), rows, n)
-    # grow each row's set in the order of the full mixture's proportions
+    # grow each row's set by the language that gains most, while that pays
     first = single.argmax(axis=1)
-    order_key = full.copy()
-    order_key[np.arange(n), first] = 2.0
-    order = np.argsort(-order_key, axis=1, kind="stable")
+    chosen = np.zeros((n, langs), bool)
+    chosen[np.arange(n), first] = True
     best = np.zeros((n, langs))
     best[np.arange(n), first] = 1.0
     best_ll = single[np.arange(n), first]
     penalty = 0.5 * np.log(np.maximum(size, 2)) + 2.0
-    open_ = np.ones(n, bool)
+    open_ = size > 0
     for k in range(2, langs + 1):
-        # only rows whose next language has some weight in the full mixture
-        open_ &= full[np.arange(n), order[:, k - 1]] > 0.02
-        todo = np.flatnonzero(open_)
-        if not len(todo):
+        if not open_.any():
             break
-        local = np.full(n, -1)
-        local[todo] = np.arange(len(todo))
-        pick = local[rows] >= 0
-        start = np.zeros((len(todo), langs))
-        np.put_along_axis(start, order[todo, :k], 1.0 / k, axis=1)
-        pi, ll = _em(weight[pick], like[pick], start, local[rows[pick]], len(todo))
-        better = ll - best_ll[todo] > penalty[todo]
-        best[todo[better]] = pi[better]
-        best_ll[todo[better]] = ll[better]
-        open_[todo[~better]] = False
+        next_ll, next_pi, added = np.full(n, -np.inf), np.zeros((n, langs)), np.zeros(n, np.int64)
+        for j in range(langs):
+            todo = np.flatnonzero(open_ & ~chosen[:, j])
+            if not len(todo):
+                continue
+            local = np.full(n, -1)
+            local[todo] = np.arange(len(todo))
+            pick = local[rows] >= 0
+            start = chosen[todo] / k
+            start[:, j] = 1.0 / k
+            pi, ll = _em(weight[pick], like[pick], start, local[rows[pick]], len(todo))
+            ahead = ll > next_ll[todo]
+            next_ll[todo[ahead]], next_pi[todo[ahead]], added[todo[ahead]] = ll[ahead], pi[ahead], j
+        open_ &= next_ll - best_ll > penalty
+        best[open_], best_ll[open_] = next_pi[open_], next_ll[open_]
+        chosen[open_, added[open_]] = True
     return best, size == 0
 
 

@@ -404,3 +404,19 @@ def test_threshold_covers_all_labelled_rows(spark, make_docs):
     values = spark.createDataFrame([(float(i * i % 97),) for i in range(500)], "r double")
     want = np.quantile([float(i * i % 97) for i in range(500)], 0.37)
     assert np.isclose(quality.exact_quantile(values, 0.37), want)
+
+
+def test_small_passage_in_a_second_language_is_found():
+    """About 1.3 % of a very long text, far above the penalty."""
+    rng = np.random.default_rng(3)
+    text = ["".join(rng.choice(list("abcdefgh"), 60000)), "".join(rng.choice(list("stuvwxyz"), 800))]
+
+    def buffer(t):
+        return np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)], np.int64)
+
+    table = np.full((langid.BUCKETS, 3), 0.5)
+    for j, letters in enumerate(["abcdefgh", "stuvwxyz", "ijklmnop"]):
+        _, at, w = langid.gram_counts(*buffer("".join(rng.choice(list(letters), 40000))))
+        np.add.at(table[:, j], at, w)
+    best, _ = langid.infer(*buffer(text[0] + " " + text[1]), table / table.sum(axis=0))
+    assert 0.005 < best[0, 1] < 0.02 and best[0, 2] == 0 and best[0, 0] > 0.97
