@@ -149,7 +149,7 @@ def _gradient_fn(model_json: str, bc, step: int, seed: int):
 def _local_sgd_fn(model_json: str, bc, first_local: int, first_step: int, k: int, lr: float, seed: int):
     """``groupBy(shard).applyInArrow`` body for ``local_steps = k``: the
     shard runs k SGD steps from the broadcast weights on its minibatches
-    ``(first_local + i) mod n_batches`` and returns its weight delta times
+    (``batch`` = ``first_local + i``) and returns its weight delta times
     its row count (``grad`` field); the driver divides the sum by all rows.
     With k = 1 this is one synchronous SGD step.  The group is k minibatches
     of one shard: bounded by k x B rows."""
@@ -163,9 +163,8 @@ def _local_sgd_fn(model_json: str, bc, first_local: int, first_step: int, k: int
             y = tbl.column("label").to_numpy()
             ids = tbl.column("id").to_numpy().astype(np.int64)
             batch = tbl.column("batch").to_numpy()
-            nb = int(tbl.column("n_batches").to_numpy()[0])
             for i in range(k):
-                sel = batch == (first_local + i) % nb
+                sel = batch == first_local + i
                 rows = int(sel.sum())
                 if rows == 0:
                     continue
@@ -293,8 +292,8 @@ def assign_shards_and_batches(train: DataFrame, cfg: TrainConfig, round_no: int,
     return out.drop("_k_key", "_k_rn", "_k_n")
 
 
-def redealt_batch(step: int, cfg: TrainConfig):
-    """The batch a row is in at ``step``.  Epoch ``step div n_batches`` of a
+def redealt_batch(step: int, cfg: TrainConfig, epoch=None):
+    """The batch a row is in at ``step`` (or in ``epoch``).  Epoch ``step div n_batches`` of a
     shard permutes the positions of each block of ``batches_per_folder``
     batches (``a r + c mod rows``, with a prime ``a``, so it is one to one):
     batches keep their sizes, a dropped tail changes, and the rows of a step
@@ -302,7 +301,8 @@ def redealt_batch(step: int, cfg: TrainConfig):
     if not cfg.redeal:
         return F.col("batch")
     block = cfg.batches_per_folder * cfg.batch_size
-    epoch = F.floor(F.lit(step) / F.col("n_batches"))
+    if epoch is None:
+        epoch = F.floor(F.lit(step) / F.col("n_batches"))
     base = F.floor(F.col("pos") / F.lit(block)) * F.lit(block)
     rows = F.least(F.lit(block), F.col("n_rows") - base)
     a = F.element_at(F.array(*[F.lit(p) for p in REDEAL_PRIMES]),
@@ -392,15 +392,21 @@ class PreparedRound:
         return sorted({(first + i) % nb for nb in set(self.shard_batches.values()) if nb > 0 for i in range(k)})
 
     def window_rows(self, first: int, k: int) -> DataFrame:
-        """Rows of minibatches ``first .. first+k-1`` (mod each shard's
-        count), ``batch`` being the one of the epoch of step ``first``."""
+        """Rows of steps ``first .. first+k-1``, ``batch`` being the step: a
+        row comes once for each epoch of its shard that has it in the window,
+        dealt as in that epoch."""
         wanted = self._wanted(first, k)
         rows = self.table.filter(F.col("bgroup").isin(sorted({w // self.per_folder for w in wanted})))
         if first + k <= min(nb for nb in self.shard_batches.values() if nb > 0):
             rows = rows.filter(F.col("batch").isin(wanted))  # first epoch of all shards: pushed into the scan
-        rows = rows.withColumn("batch", redealt_batch(first, self.cfg))
-        offset = F.pmod(F.col("batch") - F.lit(first), F.col("n_batches"))
-        return rows.filter((F.col("batch") < F.col("n_batches")) & (offset < F.least(F.lit(k), F.col("n_batches"))))
+        rows = rows.filter(F.col("n_batches") > 0)
+        nb = F.greatest(F.col("n_batches"), F.lit(1))
+        rows = rows.withColumn("_k_epoch", F.explode(F.sequence(F.floor(F.lit(first) / nb),
+                                                                F.floor(F.lit(first + k - 1) / nb))))
+        rows = rows.withColumn("batch", redealt_batch(first, self.cfg, F.col("_k_epoch")))
+        rows = rows.filter(F.col("batch") < F.col("n_batches"))
+        rows = rows.withColumn("batch", F.col("_k_epoch") * F.col("n_batches") + F.col("batch")).drop("_k_epoch")
+        return rows.filter((F.col("batch") >= first) & (F.col("batch") < first + k))
 
     def step_rows(self, local_step: int) -> DataFrame:
         """Rows of one step.  The folder condition prunes at planning time;

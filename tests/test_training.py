@@ -286,3 +286,22 @@ def test_registered_fits_reach_every_training_row(spark, monkeypatch, query):
     monkeypatch.setattr(reports, "PARTITION_GRID", ((2, 10),))
     for r in QUERIES[query](spark, SF01).collect():
         assert r["train_rows"] > 11000 and r["rows_seen"] >= r["train_rows"]
+
+
+@pytest.mark.parametrize("k", [7, 25])
+def test_windows_read_what_the_steps_read(spark, k):
+    """Local SGD over epoch ends: a window's rows are those of its steps, so
+    every epoch reads every row once (k does not divide the batch counts)."""
+    from kiln.operators import training as tr
+    cfg = TrainConfig(batch_size=16, partitions=3, local_steps=k, layout_partitions=3)
+    base = standardize_input(image_table(spark, SF01), "id", "label", "features")
+    prep = tr.PreparedRound(assign_shards_and_batches(base, cfg, 0), cfg, "windows")
+    try:
+        steps = 25
+        assert all(nb % k and nb < steps for nb in prep.shard_batches.values())
+        want = sorted((t, r["shard"], r["id"]) for t in range(steps) for r in prep.step_rows(t).select("shard", "id").collect())
+        got = sorted((r["batch"], r["shard"], r["id"]) for first in range(0, steps, k) for r in
+                     prep.window_rows(first, min(k, steps - first)).select("batch", "shard", "id").collect())
+        assert got == want
+    finally:
+        prep.release()
