@@ -1,13 +1,14 @@
 """Suffix-array dedup: substrings of at least ``window`` bytes that occur
-elsewhere, by longest-previous-factor arrays.
+elsewhere, by suffix ranks cut at the window.
 
 Contexts under repeated anchors (see ``repeats``) are dealt to tasks by
 anchor.  A task concatenates the contexts of its anchors, sorts their suffixes
-by prefix doubling (capped at the window) and walks the suffix order: among
-suffixes with a common prefix of ``window`` bytes, the previous and the next
-one with a smaller place give the longest previous factor, hence whether a
-window has an earlier match; the same walk backwards gives later matches.  A
-context that occurs several times enters twice, so its own copies match.
+by prefix doubling (capped at the window) and gives equal ranks to suffixes
+with a common prefix of ``window`` bytes.  In the order of (rank, place) the
+neighbours of equal rank tell whether a window has an earlier and a later
+match.  Only this thresholded test is done: no longest-previous-factor array
+is computed, and the length of a match is not known.  A context that occurs
+several times enters twice, so its own copies match.
 """
 
 from __future__ import annotations
