@@ -2,9 +2,13 @@
 
 A batch's texts are one byte buffer with row offsets.  Words are byte runs
 between separators (all separators of the word contracts are ASCII, so UTF-8
-sequences stay whole).  Word and window hashes are polynomial, modulo 2^64,
-over pre-mixed symbols; a window hash is a difference of prefix sums, so any
-span costs O(1).  Everything here is bounded by one chunk of rows.
+sequences stay whole).  A word's hash multiplies each byte's code by a number
+drawn for its place, a long word's is xxh3.  A span's hash is a difference of
+prefix sums, so any span costs O(1).  ``Spans.hash``, which stands for the
+span's content, is a polynomial modulo the prime 2^61 - 1: modulo 2^64 every
+base gives equal values on some structured sequences (Thue-Morse).
+``Spans.rolling`` and ``hash64`` are modulo 2^64, for grams of a few symbols
+and for second opinions.  Everything here is bounded by one chunk of rows.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 
 U = np.uint64
@@ -126,38 +131,101 @@ def word_spans(data: np.ndarray, offs: np.ndarray, sep: np.ndarray):
     return starts, ends, np.searchsorted(starts, offs)
 
 
+LONG_WORD = 512
+# a number for each place in a word: no algebra connects the places
+_PLACE = mix(np.arange(1, LONG_WORD + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word; long texts go through in slices."""
     out = np.empty(len(starts), U)
     lens = ends - starts
-    upto = np.concatenate([[0], np.cumsum(lens)])
+    upto = np.concatenate([[0], np.cumsum(np.minimum(lens, LONG_WORD))])
     for lo, hi in chunks(upto):
-        ln = lens[lo:hi]
+        ln = np.diff(upto[lo:hi + 1])
         first = upto[lo:hi] - upto[lo]
         pos = np.arange(upto[hi] - upto[lo]) - np.repeat(first, ln)
-        v = BYTE_CODE[data[pos + np.repeat(starts[lo:hi], ln)]] * _powers("odd", _ODD, int(ln.max()))[pos]
+        v = BYTE_CODE[data[pos + np.repeat(starts[lo:hi], ln)]] * _PLACE[pos]
         out[lo:hi] = np.add.reduceat(v, first) + ln.astype(U)
+    for i in np.flatnonzero(lens > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]])
     return mix(out)
 
 
+P61 = U((1 << 61) - 1)
+_BASE = 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+_M30, _M31 = U((1 << 30) - 1), U((1 << 31) - 1)
+
+
+def reduce61(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo 2^61 - 1."""
+    x = (x & P61) + (x >> U(61))
+    return np.where(x >= P61, x - P61, x)
+
+
+def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of reduced numbers modulo 2^61 - 1, from 31-bit halves."""
+    a1, a0, b1, b0 = a >> U(31), a & _M31, b >> U(31), b & _M31
+    mid = a1 * b0 + a0 * b1
+    return reduce61((a1 * b1 << U(1)) + (mid >> U(30)) + ((mid & _M30) << U(31)) + a0 * b0)
+
+
+def _powers61(name: str, base: int, n: int) -> np.ndarray:
+    have = _POWERS.get(name)
+    if have is None or len(have) < n:
+        have = np.ones(1, U)
+        while len(have) < max(n, 1 << 12):
+            step = np.array([pow(base, len(have), int(P61))], U)
+            have = np.concatenate([have, mul61(have, step)])
+        _POWERS[name] = have
+    return have[:n]
+
+
 class Spans:
-    """Hashes of spans of a symbol sequence (prefix sums)."""
+    """Hashes of spans of a symbol sequence (prefix sums, made when asked for)."""
 
     def __init__(self, symbols: np.ndarray):
-        n = len(symbols)
-        self.power = _powers("odd", _ODD, n + 1)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(symbols * _powers("inv", _ODD_INV, n + 1)[:n], dtype=U, out=self.sums[1:])
+        self.symbols = symbols
+        self._sums = self._prime = None
+
+    def _wrapping(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.symbols)
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, U)
+            np.cumsum(self.symbols * _powers("inv", _ODD_INV, n + 1)[:n], dtype=U, out=self._sums[1:])
+        return self._sums, _powers("odd", _ODD, n + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.power[start] + (end - start).astype(U))
+        """Stands for the content of each span."""
+        n = len(self.symbols)
+        if self._prime is None:
+            inverse = _powers61("inv61", pow(_BASE, -1, int(P61)), n + 1)
+            value = mul61(reduce61(self.symbols), inverse[:n])
+            self._prime = [np.concatenate([np.zeros(1, U), np.cumsum(part, dtype=U)])
+                           for part in (value & _M31, value >> U(31))]
+        low, high = (reduce61(part[end] - part[start]) for part in self._prime)
+        total = reduce61(low + (((high << U(31)) & P61) | (high >> U(30))))
+        return mix(mul61(total, _powers61("pow61", _BASE, n + 1)[start]) + (end - start).astype(U) * _ODD)
+
+    def hash64(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A second hash, of another kind: not to be trusted alone."""
+        sums, power = self._wrapping()
+        return mix((sums[end] - sums[start]) * power[start] + (end - start).astype(U))
 
     def rolling(self, k: int) -> np.ndarray:
         """Hash of every k consecutive symbols (none when there are fewer)."""
-        n = len(self.sums) - 1
+        n = len(self.symbols)
         if n < k:
             return np.zeros(0, U)
-        return mix((self.sums[k:] - self.sums[:n - k + 1]) * self.power[:n - k + 1] + U(k))
+        sums, power = self._wrapping()
+        return mix((sums[k:] - sums[:n - k + 1]) * power[:n - k + 1] + U(k))
+
+
+def content_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """xxh3 of the bytes of each slice of an array."""
+    raw, size = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in
+                     zip((start * size).tolist(), (end * size).tolist())], U)
 
 
 def window_minima(values: np.ndarray, w: int) -> np.ndarray:

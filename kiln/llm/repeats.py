@@ -14,8 +14,8 @@ anchor.  An anchor with more than a bounded number (the operator's CROWD) of
 contexts would be a hot group: its contexts are cut into blocks of windows,
 and the long core that all windows of a block share becomes their anchor, so a
 common phrase in otherwise different texts falls apart.  Where even a core is
-crowded, windows are counted one by one by a 128-bit hash, which any number of
-tasks share.
+crowded, windows are counted one by one by two 64-bit hashes, one modulo a prime,
+which any number of tasks share.
 """
 
 from __future__ import annotations
@@ -45,8 +45,9 @@ def symbols_of(data, offs, kind):
     return G.word_hashes(data, starts, ends), woff
 
 
-def _contexts(symbols, off, w, k):
-    """(row, fp, ctx, at, start, len) of the contexts of a chunk."""
+def _contexts(symbols, off, w, k, plain):
+    """(row, fp, ctx, at, start, len) of the contexts of a chunk; ``plain``
+    has what is compared, the bytes or the words."""
     spans = G.Spans(symbols)
     grams = spans.rolling(k)
     owner = G.window_minima(grams, w - k + 1)
@@ -62,7 +63,7 @@ def _contexts(symbols, off, w, k):
     last = np.concatenate([first[1:], [len(start)]]) - 1
     s0, size = start[first], start[last] - start[first] + w
     row = row_of[s0]
-    return [row, grams[own[first]], spans.hash(s0, s0 + size), own[first] - s0, s0 - off[:-1][row], size]
+    return [row, grams[own[first]], G.content_hashes(plain, s0, s0 + size), own[first] - s0, s0 - off[:-1][row], size]
 
 
 def _scan(kind, w, k):
@@ -70,8 +71,10 @@ def _scan(kind, w, k):
         for batch in batches:
             data, offs = G.text_buffer(batch.column(2))
             for lo, hi in G.chunks(offs):
-                symbols, off = symbols_of(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], kind)
-                row, fp, ctx, at, start, size = _contexts(symbols, off, w, k)
+                part = data[offs[lo]:offs[hi]]
+                symbols, off = symbols_of(part, offs[lo:hi + 1] - offs[lo], kind)
+                plain = part if kind == "bytes" else symbols
+                row, fp, ctx, at, start, size = _contexts(symbols, off, w, k, plain)
                 anchors = pa.StructArray.from_arrays(
                     [pa.array(G.as_long(fp), pa.int64()), pa.array(G.as_long(ctx), pa.int64()),
                      *[pa.array(x.astype(np.int32)) for x in (at, start, size)]],
@@ -257,7 +260,7 @@ def place_order(table):
 
 
 def _windows(kind, w):
-    """Contexts with content -> one row a window: offset and 128-bit hash."""
+    """Contexts with content -> one row a window: offset and two hashes."""
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -265,7 +268,7 @@ def _windows(kind, w):
                 part = table.slice(lo, 256)
                 raw, off = content_arrays(part, kind)
                 symbols = G.BYTE_CODE[raw] if kind == "bytes" else raw
-                a, b = G.Spans(symbols), G.Spans(G.mix(symbols ^ _U(0xA0761D6478BD642F)))
+                spans = G.Spans(symbols)
                 count = np.diff(off) - w + 1
                 seg = np.repeat(np.arange(len(part)), count)
                 j = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
@@ -274,8 +277,8 @@ def _windows(kind, w):
                 whole = part.combine_chunks()
                 yield pa.RecordBatch.from_arrays(
                     [*[whole.column(c).take(take).combine_chunks() for c in ("fp", "ctx", "at", "n", "first")],
-                     pa.array(j.astype(np.int32)), pa.array(G.as_long(a.hash(s, s + w)), pa.int64()),
-                     pa.array(G.as_long(b.hash(s, s + w)), pa.int64())],
+                     pa.array(j.astype(np.int32)), pa.array(G.as_long(spans.hash(s, s + w)), pa.int64()),
+                     pa.array(G.as_long(spans.hash64(s, s + w)), pa.int64())],
                     names=["fp", "ctx", "at", "n", "first", "j", "h1", "h2"])
     return run
 
@@ -303,7 +306,7 @@ def _blocks(kind, w):
             start, end = off[:-1][e] + first, off[:-1][e] + last + w
             fp = table.column("fp").to_numpy().view(_U)
             fp2 = G.mix(spans.hash(core, core + w - b + 1) ^ G.mix(fp[e] + q.astype(_U) * _U(0x9E3779B97F4A7C15)))
-            ctx2, at2 = spans.hash(start, end), at[e] - q * b - first
+            ctx2, at2 = G.content_hashes(raw, start, end), at[e] - q * b - first
             whole, data = table.combine_chunks(), raw.tobytes()
             take = pa.array(e)
             yield pa.RecordBatch.from_arrays(
