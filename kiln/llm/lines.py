@@ -1,8 +1,10 @@
 """Line dedup by site-relative frequency.
 
 Rows are grouped by host.  A line's frequency is the number of the host's
-pages that contain it over the host's page total; lines above ``ratio`` on a
-host with enough pages are boilerplate and dropped from all its pages.
+pages that contain it over the host's page total; lines above ``ratio`` that
+``min_count`` pages have are boilerplate and dropped from all the host's
+pages.  A host has no least size: one of fewer than ``min_count`` pages has
+no such line, one of 19 loses a footer like one of 19 million.
 
 Lines are counted as 128-bit keys, once per page, with partial sums before
 the shuffle, so neither a host with a third of all pages nor a line on every
@@ -21,8 +23,8 @@ from kiln.llm.registry import register
 from kiln.llm.tables import documents, fresh, text_of, written
 
 RATIO = 0.08       # share of a host's pages beyond which a line is boilerplate
-MIN_PAGES = 20     # a smaller host has no reliable frequencies: nothing is dropped
-MIN_COUNT = 5      # and a line must be on so many pages at least
+MIN_PAGES = 1      # pages of a host whose lines are judged: all hosts
+MIN_COUNT = 5      # a line's support: it must be on so many pages at least
 BROADCAST_BYTES = 32 << 20
 
 
@@ -90,7 +92,7 @@ k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS body FROM l),
 pages AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
 freq AS (SELECT host, body, count(DISTINCT rn) AS n FROM k WHERE body <> '' GROUP BY host, body),
 bad AS (SELECT host, body FROM freq JOIN pages USING (host)
-        WHERE pages >= 20 AND n >= 5 AND n > CAST(0.08 AS DOUBLE) * pages),
+        WHERE n >= 5 AND n > CAST(0.08 AS DOUBLE) * pages),
 f AS (SELECT k.*, bad.body IS NOT NULL AS gone FROM k LEFT JOIN bad ON k.host = bad.host AND k.body = bad.body)
 SELECT doc_id, CASE WHEN bool_and(text IS NULL) THEN 0 ELSE count(*) END AS n_lines,
        count(*) FILTER (gone) AS n_removed,

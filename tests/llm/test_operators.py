@@ -241,6 +241,14 @@ def test_line_dedup(spark, make_docs):
     assert lines.drop_boilerplate(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("pages", [4, 5, 6, 19, 20])
+def test_line_dedup_has_no_least_host(spark, make_docs, pages):
+    """A footer goes as soon as five pages have it, whatever the host."""
+    docs = [(i, f"own {i}\nfooter\nmore {i}", "en", "h") for i in range(pages)] + [(99, "footer", "en", "other")]
+    out = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(make_docs(docs)).collect()}
+    assert all(("footer" in out[i]) == (pages < 5) for i in range(pages)) and out[99] == "footer"
+
+
 def test_line_dedup_without_broadcast(spark, make_docs, monkeypatch):
     docs = [(i, f"menu\nown {i}", "en", "a") for i in range(60)]
     here = rows_of(lines.drop_boilerplate(make_docs(docs)), "doc_id", "text")
