@@ -44,11 +44,11 @@ BROADCAST_ROWS = 100_000
 _TABLE = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
-def _slices(raw: bytes):
+def _slices(raw: bytes, size: int):
     """Pieces of a translated text, cut at blanks."""
     lo = 0
     while lo < len(raw):
-        hi = lo + SLICE
+        hi = lo + size
         if hi < len(raw):
             cut = raw.rfind(b" ", lo, hi)
             # a term longer than a slice is taken whole
@@ -66,36 +66,38 @@ def _emit(lang: str, source: str, count: Counter, docs: Counter):
         names=["lang", "source", "term", "n", "docs"])
 
 
-def _count_terms(batches):
+def _count_terms(flush: int = FLUSH_TERMS, piece: int = SLICE):
     """(lang, source, text) rows to partial counts.  A group that occurs has
     a row with a null term as well."""
-    held: dict[tuple, tuple[Counter, Counter]] = {}
-    size = 0
-    for batch in batches:
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            count, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            before = len(count)
-            mine = set()
-            for piece in _slices(text.as_py().translate(_TABLE)):
-                terms = piece.split()
-                count.update(terms)
-                mine.update(terms)
-            docs.update(mine)
-            size += len(count) - before
-            if size > FLUSH_TERMS:
-                for key, (c, d) in held.items():
-                    yield _emit(*key, c, d)
-                    c.clear()
-                    d.clear()
-                size = 0
-    for key, (c, d) in held.items():
-        yield _emit(*key, c, d)
-    if held:
-        langs, sources = zip(*held)
-        none = [None] * len(held)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(none, pa.string()),
-             pa.array(none, pa.int64()), pa.array(none, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+    def run(batches):
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        size = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                count, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                before = len(count)
+                mine = set()
+                for part in _slices(text.as_py().translate(_TABLE), piece):
+                    terms = part.split()
+                    count.update(terms)
+                    mine.update(terms)
+                docs.update(mine)
+                size += len(count) - before
+                if size > flush:
+                    for key, (c, d) in held.items():
+                        yield _emit(*key, c, d)
+                        c.clear()
+                        d.clear()
+                    size = 0
+        for key, (c, d) in held.items():
+            yield _emit(*key, c, d)
+        if held:
+            langs, sources = zip(*held)
+            none = [None] * len(held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(none, pa.string()),
+                 pa.array(none, pa.int64()), pa.array(none, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+    return run
 
 
 def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -103,7 +105,7 @@ def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str)
     term of every group, and a row with a null term per group."""
     rows = docs.select(text_of(lang_col).alias("lang"), text_of(source_col).alias("source"),
                        text_of(text_col).cast("binary").alias("text"))
-    return (rows.mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long")
+    return (rows.mapInArrow(_count_terms(), "lang string, source string, term string, n long, docs long")
             .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
 
@@ -119,45 +121,43 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _pair_sums(batches):
+def _pair_sums(tile: int):
     """Per block of source pairs the sums over the cells of this task.
 
-    Rows: lang, tile_a, tile_b, cell size, the positions in the tiles and the
-    frequencies of the sources with the term, and those of the two tiles'
-    sources without it."""
-    held: dict[tuple, np.ndarray] = {}
-
-    def flush():
-        for (lang, ta, tb), sums in held.items():
-            a, b = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(a), pa.string()), pa.array(ta * TILE + a), pa.array(tb * TILE + b),
-                 pa.array(sums[a, b])], names=["lang", "a", "b", "part"])
-        held.clear()
-
-    for batch in batches:
-        langs, tiles_a, tiles_b, sizes = (batch.column(i).to_pylist() for i in range(4))
-        for r in range(batch.num_rows):
-            sides = []
-            for c in (4, 5):
-                flat = batch.column(c)[r].values
-                sides.append([flat.field(k).to_numpy(zero_copy_only=False) for k in ("at", "p", "zero")])
-            (ia, pa_, za), (ib, pb, zb) = sides
-            if not len(ia) or not len(ib):
-                continue
-            key = (langs[r], tiles_a[r], tiles_b[r])
-            if key not in held:
-                if len(held) >= BLOCKS:
-                    yield from flush()
-                held[key] = np.zeros((TILE, TILE), np.int64)
-            # what the sums over single sources count wrongly for a term in both
-            both = (np.abs(pa_[:, None] - pb) - np.abs(pa_[:, None] - zb) - np.abs(za[:, None] - pb)
-                    + np.abs(za[:, None] - zb))
-            held[key][np.ix_(ia, ib)] += both * sizes[r]
-    yield from flush()
-
-
-def _pairs(counts: DataFrame, groups: DataFrame, n_tiles: int) -> DataFrame:
+    Rows: lang, the two tiles, the cell's number of terms, and per tile its
+    sources with the term: position, frequency, frequency of a missing term."""
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            for (lang, ta, tb), sums in held.items():
+                a, b = np.nonzero(sums)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(a), pa.string()), pa.array(ta * tile + a), pa.array(tb * tile + b),
+                     pa.array(sums[a, b])], names=["lang", "a", "b", "part"])
+            held.clear()
+
+        for batch in batches:
+            langs, tiles_a, tiles_b, sizes = (batch.column(i).to_pylist() for i in range(4))
+            for r in range(batch.num_rows):
+                (at_a, p_a, zero_a), (at_b, p_b, zero_b) = (
+                    [batch.column(c)[r].values.field(k).to_numpy(zero_copy_only=False) for k in range(3)] for c in (4, 5))
+                if not len(at_a) or not len(at_b):
+                    continue
+                key = (langs[r], tiles_a[r], tiles_b[r])
+                if key not in held:
+                    if len(held) >= BLOCKS:
+                        yield from flush()
+                    held[key] = np.zeros((tile, tile), np.int64)
+                # what the sums over single sources count wrongly for a term in both
+                p_a, zero_a = p_a[:, None], zero_a[:, None]
+                both = np.abs(p_a - p_b) - np.abs(p_a - zero_b) - np.abs(zero_a - p_b) + np.abs(zero_a - zero_b)
+                held[key][np.ix_(at_a, at_b)] += both * sizes[r]
+        yield from flush()
+    return run
+
+
+def _pairs(counts: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
     """``(lang, source, item, value)``: the summed differences of every two
     sources of a language.  A term in neither source differs by what their
     smoothing differs, a term in one by a function of its count, so those
@@ -176,19 +176,20 @@ def _pairs(counts: DataFrame, groups: DataFrame, n_tiles: int) -> DataFrame:
     entry = F.struct("idx", "p", "zero")
     vectors = (counts.groupBy("lang", "term").agg(F.sort_array(F.collect_list(entry)).alias("v"))
                .groupBy("lang", "v").agg(F.count(F.lit(1)).alias("m")))
-    tile = F.sequence(F.lit(0), F.lit(n_tiles - 1))
+    widest = groups.agg(F.max("idx")).first()[0] or 0
+    tiles = F.explode(F.sequence(F.lit(0), F.lit(widest // tile)))
 
     def within(t):
-        return F.transform(F.filter("v", lambda x: F.floor(x["idx"] / TILE) == F.col(t)),
-                           lambda x: F.struct((x["idx"] % TILE).cast("int").alias("at"), x["p"].alias("p"),
+        return F.transform(F.filter("v", lambda x: F.floor(x["idx"] / tile) == F.col(t)),
+                           lambda x: F.struct((x["idx"] % tile).cast("int").alias("at"), x["p"].alias("p"),
                                               x["zero"].alias("zero")))
 
-    blocks = (vectors.filter(F.size("v") > 1).withColumn("ta", F.explode(tile)).withColumn("tb", F.explode(tile))
+    blocks = (vectors.filter(F.size("v") > 1).withColumn("ta", tiles).withColumn("tb", tiles)
               .filter("ta <= tb")
               .select("lang", "ta", "tb", "m", within("ta").alias("va"), within("tb").alias("vb")))
-    both = (blocks.mapInArrow(_pair_sums, "lang string, a long, b long, part long")
+    both = (blocks.mapInArrow(_pair_sums(tile), "lang string, a long, b long, part long")
             .groupBy("lang", "a", "b").agg(F.sum("part").alias("part")).filter("a <> b"))
-    turned = both.filter(F.floor(F.col("a") / TILE) != F.floor(F.col("b") / TILE)) \
+    turned = both.filter(F.floor(F.col("a") / tile) != F.floor(F.col("b") / tile)) \
         .select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "part")
     sums = (one.unionByName(one.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "part"))
             .unionByName(both).unionByName(turned))
@@ -220,7 +221,7 @@ def _terms(counts: DataFrame, top: int) -> DataFrame:
 
 
 def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
-               min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+               min_docs: int = MIN_DOCS, top: int = TOP, tile: int = TILE) -> DataFrame:
     """``(lang, source, part, item, value, rank)``.
 
     Null text, lang and source count as empty; each (lang, source) that
@@ -251,11 +252,9 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
               .withColumn("zero", F.when(F.col("kept") > 0, smoothed("none", "total", "kept")).otherwise(F.lit(0)))
               .withColumn("idx", F.row_number().over(idx) - 1).drop("none"))
     groups = written(groups, "divergence-groups")
-    widest = groups.agg(F.max("idx")).first()[0]
-    n_tiles = 1 + (widest or 0) // TILE
     full = rows.join(_small(groups), ["lang", "source"])
     pairs = _pairs(full.withColumn("p", smoothed("n", "total", "kept")).select("lang", "term", "idx", "p", "zero"),
-                   groups, n_tiles)
+                   groups, tile)
     terms = _terms(full.select("lang", "source", "term", "n", "lang_n", "total", "lang_total", "kept"), top)
     place = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     out = ["lang", "source", "part", "item", "value", "rank"]
