@@ -15,12 +15,12 @@ the plan.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.operators.joins import BROADCAST_MAX_BYTES
-from kiln.session import ensure_checkpoint_dir
+from kiln.session import delete_scratch, ensure_checkpoint_dir, scratch_path
 
 BROADCAST_MAX_ROWS = BROADCAST_MAX_BYTES // 32  # vertex values are fixed-width rows of three numbers
 
@@ -146,17 +146,18 @@ def connected_components(edges: DataFrame, max_iter: int | None = None, checkpoi
     paths halve and the rounds grow with the logarithm of the vertices, not
     with the diameter.  The smallest neighbour is a partially aggregated
     minimum, joined back by vertex (a hub is split by the adaptive skew
-    join).  A round's edges go through a reliable checkpoint; the fixed point
-    is found by an order-free checksum of the edges.  ``max_iter`` is a
-    guard: reaching it before the fixed point raises."""
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+    join).  A round names its edges many times, so each round's edges are
+    written to the shared folder (and the last round's deleted): the plan of
+    a round starts from files, and a lost executor costs a re-read.  The
+    fixed point is found by an order-free checksum that the write observes.
+    ``max_iter`` is a guard: reaching it before the fixed point raises.
+    ``checkpoint_every`` is accepted and has no effect: every round is kept."""
     pairs = edges.select("src", "dst").filter("src is not null and dst is not null")
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
-    star = (pairs.filter("src <> dst")
-            .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-            .distinct().checkpoint(eager=True))
-    before, i = _checksum(star), 0
+    star, path, before = _round(pairs.filter("src <> dst")
+                                .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+                                .distinct())
+    i = 0
     while before[0]:
         if max_iter is not None and i >= max_iter:
             raise RuntimeError(f"components not stable after max_iter={max_iter} rounds")
@@ -166,13 +167,13 @@ def connected_components(edges: DataFrame, max_iter: int | None = None, checkpoi
                  .select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct())
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = large.join(low, "src")
-        star = (small.select(F.explode(F.array(F.struct(F.col("src"), F.col("low").alias("dst")),
-                                               F.struct(F.col("dst").alias("src"), F.col("low").alias("dst"))))
-                             .alias("e")).select("e.src", "e.dst")
-                .filter("src <> dst").distinct())
+        last = path
+        star, path, after = _round(
+            small.select(F.explode(F.array(F.struct(F.col("src"), F.col("low").alias("dst")),
+                                           F.struct(F.col("dst").alias("src"), F.col("low").alias("dst"))))
+                         .alias("e")).select("e.src", "e.dst").filter("src <> dst").distinct())
+        delete_scratch(edges.sparkSession, last)
         i += 1
-        star = star.persist(StorageLevel.MEMORY_AND_DISK) if i % checkpoint_every else star.checkpoint(eager=True)
-        after = _checksum(star)
         if after == before:
             break
         before = after
@@ -181,8 +182,11 @@ def connected_components(edges: DataFrame, max_iter: int | None = None, checkpoi
             .select("node", F.coalesce("dst", "node").alias("component")))
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    """(count, order-free checksum) of an edge table."""
-    r = edges.agg(F.count(F.lit(1)).alias("n"),
-                  F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _round(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The edges written and read back, their folder, and their count with an
+    order-free checksum."""
+    spark = edges.sparkSession
+    path, seen = scratch_path(spark, "star"), Observation()
+    (edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h"))
+     .write.parquet(path))
+    return spark.read.schema(edges.schema).parquet(path), path, (seen.get["n"], seen.get["h"])

@@ -1,6 +1,8 @@
 """Known answers on the small sample files (copied here as literals) and
 brute-force replays of the iterative jobs."""
 
+import glob
+import random
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from kiln.operators import clustering, graph, itemsets, recommend, text
-from kiln.session import scratch_path
+from kiln.session import ensure_checkpoint_dir, scratch_path
 
 # fixed values: points of the sample k-means file (two groups of three)
 KMEANS_POINTS = [[0.0, 0.0, 0.0], [0.1, 0.1, 0.1], [0.2, 0.2, 0.2],
@@ -142,6 +144,20 @@ def test_components_run_to_convergence_and_a_cap_never_truncates(spark):
         graph.connected_components(e, max_iter=3)
 
 
+def test_components_of_a_long_path_take_few_rounds_and_leave_one_table(spark):
+    """10,000 vertices in a row, ids shuffled: rounds grow with the logarithm,
+    and the rounds before the last are deleted."""
+    n = 10_000
+    ids = list(range(n))
+    random.Random(3).shuffle(ids)
+    e = spark.createDataFrame(list(zip(ids[:-1], ids[1:])), "src long, dst long").repartition(8)
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/kiln-star-*"))
+    comp = graph.connected_components(e, max_iter=25).collect()
+    assert len(comp) == n and {r["component"] for r in comp} == {0}
+    assert len(set(glob.glob(f"{base}/kiln-star-*")) - before) == 1
+
+
 def test_als_recovers_two_taste_blocks(spark):
     r = spark.createDataFrame(ALS_RATINGS, "user int, item int, rating float")
     model = recommend.als_fit(r, rank=2, max_iter=15, reg=0.01, seed=1)
