@@ -1,6 +1,7 @@
 """Named queries: importing this package registers all of them."""
 
-from kiln.plans import evaluation, extras, flagship, projections, reports, scans, splits, training  # noqa: F401
+from kiln.plans import (evaluation, event_windows, extras, flagship, projections, recommendation, reports, scans,  # noqa: F401
+                        splits, training)
 from kiln.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
