@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
-from kiln.operators import clustering, graph, itemsets, recommend, text
+from kiln.operators import clustering, graph, itemsets, recommend, text, topics
 from kiln.plans.constants import SEED
 from kiln.plans.registry import register
 from kiln.plans.training import SQL_X, SQL_Y
@@ -211,7 +211,7 @@ WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey * 2 + 1 AS src, l_partkey * 2 AS
 SELECT comp AS component, count(*) AS n FROM cc GROUP BY comp
 """)
 def q_connected_components(spark, sf_dir):
-    """Components of the supplier-part graph (min-label propagation): sizes."""
+    """Components of the supplier-part graph (star rounds): sizes."""
     comp = graph.connected_components(supply_edges(spark, sf_dir))
     return comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
@@ -343,15 +343,22 @@ def topic_model(docs):
     return cv.vocabulary, lda.fit(cv.transform(docs))
 
 
+def lda_model(spark, sf_dir):
+    return topics.lda(read_table(spark, sf_dir, "documents"), "doc_id", "text", k=5, iterations=5, seed=SEED)
+
+
 @register("lda_topics")
 def q_lda_topics(spark, sf_dir):
-    """Topics of every document and term (``topic_model``): top 5 terms per
-    topic."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", text.tokens("text").alias("tokens"))
-    vocabulary, lda = topic_model(docs)
-    rows = [(r["topic"], [vocabulary[i] for i in r["termIndices"]], [float(w) for w in r["termWeights"]])
-            for r in lda.describeTopics(5).collect()]  # 5 topics of 5 terms
-    return spark.createDataFrame(rows, "topic int, terms array<string>, termWeights array<double>")
+    """Variational topics of every document and term: top 5 terms per topic."""
+    return lda_model(spark, sf_dir).top_terms(5).select(
+        F.col("topic").cast("int").alias("topic"), "terms", F.col("weights").alias("termWeights"))
+
+
+@register("lda_bound")
+def q_lda_bound(spark, sf_dir):
+    """The likelihood bound of every iteration over all documents."""
+    bounds = lda_model(spark, sf_dir).bounds
+    return spark.createDataFrame(list(enumerate(bounds, 1)), "iteration int, bound double")
 
 
 # ---------------------------------------------------------------- F11 sentiment
