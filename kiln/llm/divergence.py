@@ -131,10 +131,13 @@ def _pair_sums(tile: int):
 
         def flush():
             for (lang, ta, tb), sums in held.items():
-                a, b = np.nonzero(sums)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(a), pa.string()), pa.array(ta * tile + a), pa.array(tb * tile + b),
-                     pa.array(sums[a, b])], names=["lang", "a", "b", "part"])
+                at_a, at_b = np.nonzero(sums)
+                a, b = at_a + ta * tile, at_b + tb * tile
+                # a block beside the diagonal stands for its mirror image too
+                for x, y in [(a, b)] + [(b, a)] * (ta != tb):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(a), pa.string()), pa.array(x), pa.array(y), pa.array(sums[at_a, at_b])],
+                        names=["lang", "a", "b", "part"])
             held.clear()
 
         for batch in batches:
@@ -189,10 +192,8 @@ def _pairs(counts: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
               .select("lang", "ta", "tb", "m", within("ta").alias("va"), within("tb").alias("vb")))
     both = (blocks.mapInArrow(_pair_sums(tile), "lang string, a long, b long, part long")
             .groupBy("lang", "a", "b").agg(F.sum("part").alias("part")).filter("a <> b"))
-    turned = both.filter(F.floor(F.col("a") / tile) != F.floor(F.col("b") / tile)) \
-        .select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "part")
     sums = (one.unionByName(one.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "part"))
-            .unionByName(both).unionByName(turned))
+            .unionByName(both))
     value = (neither.select("lang", "a", "b", "part").unionByName(sums)
              .groupBy("lang", "a", "b").agg(F.sum("part").alias("value")))
     return frame.select("lang", "source", "item", "a", "b").join(value, ["lang", "a", "b"]) \
