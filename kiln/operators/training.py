@@ -395,10 +395,13 @@ class PreparedRound:
         """Rows of steps ``first .. first+k-1``, ``batch`` being the step: a
         row comes once for each epoch of its shard that has it in the window,
         dealt as in that epoch."""
-        wanted = self._wanted(first, k)
-        rows = self.table.filter(F.col("bgroup").isin(sorted({w // self.per_folder for w in wanted})))
-        if first + k <= min(nb for nb in self.shard_batches.values() if nb > 0):
-            rows = rows.filter(F.col("batch").isin(wanted))  # first epoch of all shards: pushed into the scan
+        sizes = [nb for nb in self.shard_batches.values() if nb > 0]
+        rows = self.table
+        if k < max(sizes):  # else every batch is wanted
+            wanted = self._wanted(first, k)
+            rows = rows.filter(F.col("bgroup").isin(sorted({w // self.per_folder for w in wanted})))
+            if first + k <= min(sizes):
+                rows = rows.filter(F.col("batch").isin(wanted))  # first epoch of all shards: pushed into the scan
         rows = rows.filter(F.col("n_batches") > 0)
         nb = F.greatest(F.col("n_batches"), F.lit(1))
         rows = rows.withColumn("_k_epoch", F.explode(F.sequence(F.floor(F.lit(first) / nb),

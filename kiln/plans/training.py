@@ -20,6 +20,7 @@ from kiln.models import MLP, LinearNet, SmallCNN
 from kiln.operators import sampling
 from kiln.operators.estimators import MinibatchModel, MinibatchTrainer
 from kiln.operators.features import recode_binary
+from kiln.operators.gang import train_gang
 from kiln.operators.training import (PreparedRound, TrainConfig, assign_shards_and_batches, evaluate, history_frame,
                                      standardize_input, train, with_split)
 from kiln.plans.constants import IMAGE_SIDE, MLP_B1, MLP_B2, MLP_W1, MLP_W2, SEED
@@ -469,13 +470,10 @@ def q_train_rows_seen(spark, sf_dir):
                 prepared = PreparedRound(assign_shards_and_batches(rows, cfg, 0), cfg, "seen")
                 try:
                     steps = SEEN_EPOCHS * max(prepared.shard_batches.values())
-                    # window_rows and step_rows share the re-deal; one step at a time, as the trainer reads
-                    read = None
-                    for t in range(steps):
-                        one = prepared.step_rows(t).select("shard", "n_rows", "n_batches")
-                        read = one if read is None else read.unionByName(one)
-                    found += [(p, b, r["shard"], r["n_rows"], r["n_batches"], r["seen"]) for r in
-                              read.groupBy("shard", "n_rows", "n_batches").agg(F.count(F.lit(1)).alias("seen")).collect()]
+                    # a row comes once for each of its shard's epochs in the window: one scan, one aggregate
+                    read = prepared.window_rows(0, steps).groupBy("shard", "n_rows", "n_batches")
+                    found += [(p, b, r["shard"], r["n_rows"], r["n_batches"], r["seen"])
+                              for r in read.agg(F.count(F.lit(1)).alias("seen")).collect()]
                 finally:
                     prepared.release()
     finally:
@@ -484,6 +482,37 @@ def q_train_rows_seen(spark, sf_dir):
                                         "rows_seen long")
 
 
+GANG_SHARDS, GANG_BATCH, GANG_EPOCHS = 4, 64, 2
+
+
+def run_gang(spark, sf_dir):
+    """The CNN on 4 shards that train at the same time, 2 epochs."""
+    cfg = TrainConfig(epochs=GANG_EPOCHS, batch_size=GANG_BATCH, partitions=GANG_SHARDS, lr=0.001, seed=SEED)
+    return train_gang(image_table(spark, sf_dir), SmallCNN(side=IMAGE_SIDE).config(), cfg)
+
+
+@register("train_gang")
+def q_train_gang(spark, sf_dir):
+    """T1 gang-scheduled: a barrier job per epoch, gradients exchanged between
+    its tasks; loss and accuracy of the steps."""
+    return history_frame(spark, run_gang(spark, sf_dir))
+
+
+@register("train_gang_rows", f"""
+WITH s AS (SELECT count(*) AS n, CAST(ceil(count(*) / {GANG_BATCH}.0) AS BIGINT) AS nb FROM embeddings
+           GROUP BY {sql_seeded_hash32(SEED, "'shard0'", 'vec_id')} % {GANG_SHARDS}),
+     t AS (SELECT *, {GANG_EPOCHS} * max(nb) OVER () AS t FROM s)
+SELECT max(t) AS steps, CAST(sum((t // nb) * n + least(n, (t % nb) * {GANG_BATCH})) AS BIGINT) AS rows_seen,
+       CAST(sum(n) AS BIGINT) AS train_rows FROM t
+""")
+def q_train_gang_rows(spark, sf_dir):
+    """Steps and rows of the gang-scheduled job: every row in every epoch of
+    its shard."""
+    res = run_gang(spark, sf_dir)
+    return spark.createDataFrame([(res.steps, sum(h["n"] for h in res.history), res.train_rows)],
+                                 "steps long, rows_seen long, train_rows long")
+
+
 @register("train_mlp_regression")
 def q_train_mlp_regression(spark, sf_dir):
     """T4: MLP 5-10-1 regression, full batch, MSE, SGD lr 0.1, 6 epochs."""
