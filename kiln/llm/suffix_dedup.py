@@ -1,14 +1,16 @@
 """Suffix-array dedup: substrings of at least ``window`` bytes that occur
-elsewhere, by suffix ranks cut at the window.
+elsewhere, by longest-previous-factor arrays.
 
 Contexts under repeated anchors (see ``repeats``) are dealt to tasks by
-anchor.  A task concatenates the contexts of its anchors, sorts their suffixes
-by prefix doubling (capped at the window) and gives equal ranks to suffixes
-with a common prefix of ``window`` bytes.  In the order of (rank, place) the
-neighbours of equal rank tell whether a window has an earlier and a later
-match.  Only this thresholded test is done: no longest-previous-factor array
-is computed, and the length of a match is not known.  A context that occurs
-several times enters twice, so its own copies match.
+anchor.  A task concatenates the contexts of its anchors and sorts their
+suffixes by prefix doubling (to the window's depth).  For every window start
+in suffix order the nearest neighbours with a smaller place, the previous and
+the next one, are the earlier suffixes that share most with it; the longer of
+the two common prefixes is its longest previous factor.  A window whose
+factor reaches its length is a later copy and goes; the first of its copies is
+the one that an equal suffix follows in the order.  A context that occurs
+several times enters twice, so its own copies match.  Factors are cut at the
+window: longer matches are runs of windows.
 """
 
 from __future__ import annotations
@@ -46,13 +48,14 @@ def _dense(high: np.ndarray, bits: int) -> np.ndarray:
     return rank
 
 
-def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every suffix by its first ``depth`` bytes (prefix doubling);
-    equal ranks mean equal prefixes.  A suffix stops at ``ends`` (one per
-    position) and then sorts before its extensions."""
+def suffix_levels(data: np.ndarray, ends: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(length, rank of every suffix by its first ``length`` bytes) of each
+    doubling, up to ``depth``; equal ranks mean equal prefixes.  A suffix
+    stops at ``ends`` (one per position) and then sorts before its
+    extensions."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return [(depth, np.zeros(0, np.uint64))]
     bits = max(1, int(n).bit_length())
     left = ends - np.arange(n)
     have = min(4, depth)
@@ -62,6 +65,7 @@ def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
         byte[:n - i] = data[i:]
         key = (key << np.uint64(8)) | np.where(left > i, byte, np.uint64(0))
     rank = _dense((key << np.uint64(3)) | np.minimum(left, have).astype(np.uint64), bits)
+    levels = [(have, rank)]
     while have < depth:
         step = min(have, depth - have)
         tail = np.zeros(n, np.uint64)
@@ -69,20 +73,71 @@ def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
         tail[left <= step] = 0
         rank = _dense((rank << np.uint64(bits)) | tail, bits)
         have += step
-    return rank.astype(np.int64)
+        levels.append((have, rank))
+    return levels
+
+
+def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of every suffix by its first ``depth`` bytes."""
+    return suffix_levels(data, ends, depth)[-1][1].astype(np.int64)
+
+
+def common_prefix(data: np.ndarray, levels, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the suffixes at ``a`` and ``b``, cut at
+    the depth that both have: whole levels from the longest down, then bytes."""
+    depth, last = levels[-1]
+    length = np.zeros(len(a), np.int64)
+    same = last[a] == last[b]
+    length[same] = depth
+    rest = np.flatnonzero(~same)
+    for size, rank in reversed(levels[:-1]):
+        at = length[rest]
+        fits = at + size < depth
+        x, y = a[rest] + at, b[rest] + at
+        fits[fits] = rank[x[fits]] == rank[y[fits]]
+        length[rest[fits]] += size
+    for _ in range(min(3, depth)):
+        at = length[rest]
+        x, y = a[rest] + at, b[rest] + at
+        rest = rest[(at < depth) & (data[np.minimum(x, len(data) - 1)] == data[np.minimum(y, len(data) - 1)])]
+        length[rest] += 1
+    return length
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For every entry the nearest one before it that is smaller, or -1:
+    links that are too large are followed until none is (values differ)."""
+    link = np.arange(-1, len(values) - 1)
+    open_ = np.arange(len(values))
+    while len(open_):
+        to = link[open_]
+        open_ = open_[(to >= 0) & (values[to] > values[open_])]
+        link[open_] = link[link[open_]]
+    return link
+
 
+def longest_previous_factors(data: np.ndarray, levels, start: np.ndarray, place: np.ndarray):
+    """(order, factor): the suffixes at ``start`` in suffix order (equal ones
+    by place), and for each the length of its longest match, up to the depth,
+    with a suffix of smaller place.  All have ``depth`` bytes.
 
-def neighbour_matches(rank: np.ndarray, place: np.ndarray):
-    """(earlier, later): whether a suffix has an equal-ranked one of smaller,
-    and of larger, place.  In suffix order with equal ranks by place, the
-    previous smaller place is the neighbour before and the next larger the
-    one after."""
-    order = np.lexsort((place, rank))
-    same = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return earlier, later
+    In suffix order no earlier suffix shares more with one than the nearest
+    ones of smaller place on its two sides."""
+    depth, rank = levels[-1]
+    order = np.lexsort((place, rank[start]))
+    at, place = start[order], place[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = rank[at[1:]] == rank[at[:-1]]
+    factor = np.zeros(len(order), np.int64)
+    factor[same] = depth  # an equal suffix of smaller place stands right before
+    before = previous_smaller(place)
+    after = len(place) - 1 - previous_smaller(place[::-1])[::-1]
+    for side in (before, after):
+        some = np.flatnonzero(~same & (side >= 0) & (side < len(place)))
+        factor[some] = np.maximum(factor[some], common_prefix(data, levels, at[some], at[side[some]]))
+    out = np.zeros(len(order), np.int64)
+    out[order] = factor
+    return order, out
 
 
 def _compare(w):
@@ -97,14 +152,19 @@ def _compare(w):
             raw, off = R.content_arrays(part.take(pa.array(twice)), "bytes")
             size = np.diff(off)
             count = size - w + 1
-            ranks = suffix_ranks(raw, np.repeat(off[1:], size), w)
+            levels = suffix_levels(raw, np.repeat(off[1:], size), w)
             seg = np.repeat(np.arange(len(twice)), count)
             first = np.cumsum(count) - count
             j = np.arange(len(seg)) - first[seg]
             # places: first places in their order, windows within one by
             # position; the second copies after all of them
             place = (rank_of[twice][seg] + np.where(seg >= len(part), len(part), 0)) * np.int64(1 << 32) + j
-            earlier, later = neighbour_matches(ranks[off[:-1][seg] + j], place)
+            order, factor = longest_previous_factors(raw, levels, off[:-1][seg] + j, place)
+            earlier = factor >= w
+            # the first of a window's copies: the next in the order repeats it
+            rank = levels[-1][1][(off[:-1][seg] + j)[order]]
+            later = np.zeros(len(seg), bool)
+            later[order[:-1]] = rank[1:] == rank[:-1]
             own = seg < len(part)
             woff = np.concatenate([[0], np.cumsum(count[:len(part)])])
             yield pa.RecordBatch.from_arrays(

@@ -171,6 +171,35 @@ def test_suffix_ranks_order_suffixes():
     assert by_rank == sorted(range(len(text)), key=lambda i: (text[i:i + 12], i))
 
 
+@pytest.mark.parametrize("depth", [1, 3, 4, 6, 8, 13, 40])
+def test_longest_previous_factors(depth):
+    """Against all pairs, for places in and out of text order."""
+    rnd = random.Random(depth)
+    for text in (b"a" * 60, b"abababab" * 8, bytes(rnd.choice(b"ab") for _ in range(150)),
+                 bytes(rnd.choice(b"abcd") for _ in range(200)) * 2, b"banana_bandana_banana" * 3):
+        data = np.frombuffer(text, np.uint8)
+        levels = suffix_dedup.suffix_levels(data, np.full(len(text), len(text)), depth)
+        start = np.arange(max(0, len(text) - depth + 1))
+        for place in (start, np.array(rnd.sample(range(len(start)), len(start)))):
+            _, got = suffix_dedup.longest_previous_factors(data, levels, start, place)
+
+            def match(i, j):
+                n = 0
+                while n < depth and text[i + n] == text[j + n]:
+                    n += 1
+                return n
+            want = [max([match(i, j) for j in start if place[j] < place[i]], default=0) for i in start]
+            assert got.tolist() == want
+
+
+def test_previous_smaller():
+    rnd = random.Random(2)
+    for n in (0, 1, 2, 50, 500):
+        for values in (rnd.sample(range(10 * n + 1), n), list(range(n)), list(range(n))[::-1]):
+            want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(n)]
+            assert suffix_dedup.previous_smaller(np.array(values, np.int64)).tolist() == want
+
+
 @pytest.mark.parametrize("crowd", [2000, 3, 1])
 def test_phrase_dedup(spark, make_docs, monkeypatch, crowd):
     monkeypatch.setattr(phrase_dedup, "CROWD", crowd)
