@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
-from kiln.operators import clustering, graph, itemsets, recommend, text, topics
+from kiln.operators import clustering, graph, itemsets, pic, recommend, text, topics
 from kiln.plans.constants import SEED
 from kiln.plans.registry import register
 from kiln.plans.training import SQL_X, SQL_Y
@@ -137,6 +137,40 @@ def q_pic_clusters(spark, sf_dir):
     return pic.assignClusters(w).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+PIC_STEPS, PIC_ROUNDS = 6, 20
+
+
+def _pic_sql() -> str:
+    """The steps, then the rounds of k-means on the line, unrolled."""
+    parts = ["""e AS (SELECT l_suppkey * 2 + 1 AS a, l_partkey * 2 AS b, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY 1, 2)""",
+             "l AS (SELECT a AS src, b AS dst, w FROM e UNION ALL SELECT b, a, w FROM e)",
+             "d AS (SELECT src, sum(w) AS v FROM l GROUP BY src)",
+             "v0 AS (SELECT src, v / (SELECT sum(v) FROM d) AS x FROM d)"]
+    for i in range(PIC_STEPS):
+        parts.append(f"r{i} AS (SELECT dst AS src, sum(w * x) / any_value(d.v) AS x FROM l JOIN v{i} USING (src) "
+                     f"JOIN d ON d.src = l.dst GROUP BY dst)")
+        parts.append(f"v{i + 1} AS MATERIALIZED (SELECT src, x / (SELECT sum(abs(x)) FROM r{i}) AS x FROM r{i})")
+    parts.append(f"""c0 AS (SELECT min(x) + (max(x) - min(x)) * 0.25 AS p, min(x) + (max(x) - min(x)) * 0.75 AS q FROM v{PIC_STEPS})""")
+    for i in range(PIC_ROUNDS):
+        low = "abs(x - p) <= abs(x - q)"
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT coalesce(avg(x) FILTER ({low}), any_value(p)) AS p, "
+                     f"coalesce(avg(x) FILTER (NOT {low}), any_value(q)) AS q FROM v{PIC_STEPS}, c{i})")
+    return ("WITH " + ",\n".join(parts) + f"""
+SELECT CASE WHEN abs(x - p) <= abs(x - q) THEN 0 ELSE 1 END AS cluster, count(*) AS n
+FROM v{PIC_STEPS}, c{PIC_ROUNDS} GROUP BY 1""")
+
+
+@register("pic_steps", _pic_sql())
+def q_pic_steps(spark, sf_dir):
+    """Power iteration clustering (k = 2) of the same graph on its own
+    layout, at a fixed number of steps: cluster sizes."""
+    li = read_table(spark, sf_dir, "lineitem")
+    w = (li.groupBy((F.col("l_suppkey") * 2 + 1).alias("src"), (F.col("l_partkey") * 2).alias("dst"))
+         .agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    found = pic.power_clusters(w, 2, max_steps=PIC_STEPS, stop=None, rounds=PIC_ROUNDS)
+    return found.assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("pagerank_k", """
 WITH e0 AS (SELECT DISTINCT l_suppkey * 2 + 1 AS a, l_partkey * 2 AS b FROM lineitem),
      e AS (SELECT a AS src, b AS dst FROM e0 UNION SELECT b AS src, a AS dst FROM e0),
