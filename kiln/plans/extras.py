@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
-from kiln.operators import clustering, graph, itemsets, pic, recommend, text, topics
+from kiln.operators import clustering, graph, isotonic, itemsets, pic, recommend, text, topics
 from kiln.plans.constants import SEED
 from kiln.plans.registry import register
 from kiln.plans.training import SQL_X, SQL_Y
@@ -356,6 +356,21 @@ def q_isotonic_fit(spark, sf_dir):
     return spark.createDataFrame([(len(model.boundaries), round(float(m["mse"]), 6))], "n_boundaries int, mse double")
 
 
+ISOTONIC_BLOCKS_SQL = ISOTONIC_SQL[:ISOTONIC_SQL.index("     bs AS (")].rstrip().rstrip(",") + """
+SELECT min(x) AS x_lo, max(x) AS x_hi, CAST(sum(w) AS BIGINT) AS n, round(sum(sy) / sum(w), 6) AS value
+FROM b JOIN o USING (i) GROUP BY blk
+"""
+
+
+@register("isotonic_blocks", ISOTONIC_BLOCKS_SQL)
+def q_isotonic_blocks(spark, sf_dir):
+    """The blocks of that fit from hulls of prefix sums, joined range by
+    range: span of word counts, documents, level."""
+    from kiln.plans.training import doc_features
+    blocks = isotonic.isotonic_blocks(doc_features(spark, sf_dir), "words", "target")
+    return blocks.select("x_lo", "x_hi", F.round("weight").cast("long").alias("n"), F.round("value", 6).alias("value"))
+
+
 # ---------------------------------------------------------------- F8 terms and topics
 
 @register("term_counts", f"""
