@@ -27,6 +27,7 @@ from kiln.llm.tables import SPACES, documents, text_of, written
 CAPACITY = 2048     # words of a bin
 PER_SOURCE = 4      # pieces of one source in a bin
 SHARD_ROWS = 4000   # pieces packed together
+COPIES_RUN = 4096  # copies of one row that a task puts out
 
 
 def pack(lengths, sources, clusters, capacity=CAPACITY, per_source=PER_SOURCE) -> list[int]:
@@ -79,16 +80,26 @@ def _pack_shard(capacity, per_source):
 
 
 def pieces(docs: DataFrame, id_col, text_col, source_col, cluster, capacity) -> DataFrame:
-    """``(doc_id, source, cluster, order_key, piece, start, length)``."""
+    """``(doc_id, source, cluster, order_key, copy, piece, start, length)``."""
     words = F.regexp_replace(text_of(text_col), f"^[{SPACES}]+|[{SPACES}]+$", "")
     n = F.when(F.length(words) == 0, 0).otherwise(
         F.length(F.regexp_replace(words, f"[^{SPACES}]+[{SPACES}]*", "x"))).cast("long")
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), text_of(text_col)))
+    # rows with one key are alike in all that packing sees: they are counted,
+    # and numbered among themselves, so no number depends on the file layout
+    key = F.md5(F.concat_ws("\n", F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+                            F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("-")),
+                            F.coalesce(F.concat(F.lit("c"), cluster.cast("string")), F.lit("-")), text_of(text_col)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        cluster.alias("cluster"), key.alias("order_key"), n.alias("n")).filter("n > 0")
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows"))
+    run = COPIES_RUN  # many copies are dealt over tasks in runs
+    few, many = rows.filter(f"rows <= {run}"), rows.filter(f"rows > {run}")
+    many = (many.withColumn("run", F.explode(F.expr(f"sequence(0L, (rows - 1) div {run})"))).repartition("order_key", "run")
+            .withColumn("copy", F.explode(F.expr(f"sequence(run * {run}, least(rows, (run + 1) * {run}) - 1)"))).drop("run"))
+    rows = few.withColumn("copy", F.explode(F.expr("sequence(0L, rows - 1)"))).unionByName(many).drop("rows")
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {capacity}")))
     return rows.withColumn("piece", at).select(
-        "doc_id", "source", "cluster", "order_key", "piece", (F.col("piece") * capacity).alias("start"),
+        "doc_id", "source", "cluster", "order_key", "copy", "piece", (F.col("piece") * capacity).alias("start"),
         F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("long").alias("length"))
 
 
@@ -103,17 +114,15 @@ def best_fit(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     words have no piece; a null source conflicts with nothing; repeated rows
     are pieces each (of one cluster, so in different bins); null ids are
     packed like others.  Only the columns named are read.  An empty table
-    gives no rows."""
+    gives no rows.  The bins are a function of the rows alone: another file
+    layout gives the same ones (rows alike in all columns are exchangeable)."""
     if cluster is None:
         cluster = F.md5(F.lower(F.regexp_replace(text_of(text_col), f"[{SPACES}]+", " ")))
-    # rows that repeat both id and text are told apart by a number that only
-    # orders equals
-    all_pieces = (written(pieces(docs, id_col, text_col, source_col, cluster, capacity), "pieces")
-                  .withColumn("copy", F.monotonically_increasing_id()))
+    all_pieces = written(pieces(docs, id_col, text_col, source_col, cluster, capacity), "pieces")
     whole = all_pieces.filter(F.col("length") == capacity)
     rest = all_pieces.filter(F.col("length") < capacity)
     shards = max(1, -(-rest.count() // shard_rows))
-    own = whole.select("doc_id", "piece", "start", "length", F.concat_ws("-", F.lit("w"), "copy").alias("bin"))
+    own = whole.select("doc_id", "piece", "start", "length", F.concat_ws("-", F.lit("w"), "order_key", "copy", "piece").alias("bin"))
     dealt = rest.withColumn("shard", F.pmod(F.xxhash64("order_key", "copy"), F.lit(shards)))
     kind = rest.schema["doc_id"].dataType.simpleString()
     packed = dealt.groupBy("shard").applyInPandas(
