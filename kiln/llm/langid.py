@@ -103,6 +103,7 @@ def infer(data, offs, table):
 
 def _count_grams(batches):
     totals: dict[str, np.ndarray] = {}
+    texts: dict[str, int] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
         data, offs = G.text_buffer(batch.column(1))
@@ -112,18 +113,22 @@ def _count_grams(batches):
             for name in set(names):
                 of = np.array([x == name for x in names])
                 pick = of[rows]
+                texts[name] = texts.get(name, 0) + int(of.sum())
                 totals.setdefault(name, np.zeros(BUCKETS))
                 totals[name] += np.bincount(buckets[pick], weight[pick], minlength=BUCKETS)
     for name, counts in totals.items():
         used = np.flatnonzero(counts)
+        # the bucket -1 counts the texts
         yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(counts[used])],
-            names=["lang", "bucket", "n"])
+            [pa.array([name] * (len(used) + 1), pa.string()), pa.array(np.append(used, -1).astype(np.int32)),
+             pa.array(np.append(counts[used], float(texts[name])))], names=["lang", "bucket", "n"])
 
 
 class Model:
-    def __init__(self, langs: list[str], table: np.ndarray):
-        self.langs, self.table = langs, table
+    """``table``: gram distributions; ``shares``: of the training texts."""
+
+    def __init__(self, langs: list[str], table: np.ndarray, shares: np.ndarray):
+        self.langs, self.table, self.shares = langs, table, shares
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
@@ -133,15 +138,19 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> M
         F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
     counts = (train.mapInArrow(_count_grams, "lang string, bucket int, n double")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    rows = counts.limit(MAX_LANGS * BUCKETS + 1).collect()
+    rows = counts.limit(MAX_LANGS * (BUCKETS + 1) + 1).collect()
     langs = sorted({r["lang"] for r in rows})
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     table = np.full((BUCKETS, len(langs)), SMOOTH)
     at = {name: j for j, name in enumerate(langs)}
+    texts = np.zeros(len(langs))
     for r in rows:
-        table[r["bucket"], at[r["lang"]]] += r["n"]
-    return Model(langs, table / table.sum(axis=0))
+        if r["bucket"] < 0:
+            texts[at[r["lang"]]] += r["n"]
+        else:
+            table[r["bucket"], at[r["lang"]]] += r["n"]
+    return Model(langs, table / table.sum(axis=0), texts / max(1, texts.sum()))
 
 
 def language_mixture(docs: DataFrame, model: Model, keep: list, text_col="text") -> DataFrame:
@@ -160,6 +169,8 @@ def language_mixture(docs: DataFrame, model: Model, keep: list, text_col="text")
                 n = hi - lo
                 if m.langs:
                     pi, none = infer(part, o, m.table)
+                    # letters but no gram: no evidence, so the training shares speak
+                    pi[none] = np.where(np.arange(len(m.langs)) == m.shares.argmax(), m.shares, 0.0)
                 else:
                     pi, none = np.zeros((n, 1)), np.ones(n, bool)
                 letters = np.concatenate([[0], np.cumsum(_LETTER[part] > 0)])
@@ -185,7 +196,9 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang")
 
     ``und`` with score 0 where the text is null, empty or has no letter (a
     letter: A-Z, a-z or any character beyond ASCII that is a letter), or
-    where nothing could be learnt.  Null languages are not learnt from;
+    where nothing could be learnt.  A text with a letter but too short for a
+    gram (``ok``) gets the language of most training texts, with that
+    language's share of them as its score.  Null languages are not learnt from;
     repeated rows count as often as they occur and get equal results.  Other
     columns are not read.  An empty table gives no rows."""
     model = fit(docs, id_col, text_col, lang_col)

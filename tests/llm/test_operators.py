@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -245,6 +246,20 @@ def test_language_mixture_and_edges(spark, make_docs):
     assert [r["lang_pred"] for r in nothing] == ["und"]
 
 
+def test_texts_without_evidence_get_the_training_share(spark, make_docs):
+    train = [(i, "der die das und nicht", "de") for i in range(0, 40)] + [(i, "the and of that with", "en") for i in range(40, 240)]
+    kept = [r for r in train if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    docs = train + [(1000, "ok", "de"), (1001, "a", "de"), (1002, "No", "de"), (1003, "12", "de")]
+    kept += [r for r in docs[240:] if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    share = sum(r[2] == "en" for r in kept) / len(kept)
+    out = {r["doc_id"]: r for r in langid.identify(make_docs(docs)).filter("doc_id >= 1000").collect()}
+    for d in (1000, 1001, 1002):
+        if langid.gram_counts(np.frombuffer(docs[d - 760][1].encode(), np.uint8), np.array([0, len(docs[d - 760][1])]))[0].size == 0:
+            assert out[d]["lang_pred"] == "en" and abs(out[d]["score"] - share) < 1e-12
+            assert [x["lang"] for x in out[d]["mixture"]] == ["en"]
+    assert out[1003]["lang_pred"] == "und" and out[1003]["score"] == 0.0
+
+
 # op7 -----------------------------------------------------------------------
 def test_line_dedup(spark, make_docs):
     rnd = random.Random(5)
@@ -427,6 +442,26 @@ def test_packing_round_trip(spark, make_docs, shard_rows):
     assert packing.best_fit(make_docs([])).count() == 0
 
 
+def test_packing_does_not_depend_on_the_layout(spark, make_docs, monkeypatch):
+    """The same rows in 1, 3 and 7 partitions share all bins; repeated rows
+    are numbered among themselves, also in runs."""
+    rnd = random.Random(8)
+    docs = [(i, " ".join(f"w{rnd.randrange(50)}" for _ in range(rnd.randint(1, 700))), "en", f"s{i % 5}") for i in range(150)]
+    docs += [docs[3]] * 12 + [(docs[4][0], docs[4][1], "en", "other")] * 2 + [(None, "no id", "en", None)] * 3
+
+    def bins(parts):
+        out = defaultdict(list)
+        for r in packing.best_fit(make_docs(docs).repartition(parts), capacity=256, shard_rows=40).collect():
+            out[r["bin"]].append((r["doc_id"], r["piece"], r["start"], r["length"]))
+        return {b: sorted(v, key=repr) for b, v in out.items()}
+    first = bins(1)
+    assert all(sum(x[3] for x in v) <= 256 for v in first.values())
+    assert sum(len(v) for v in first.values()) == sum(-(-len(d[1].split()) // 256) for d in docs)
+    assert bins(3) == first and bins(7) == first
+    monkeypatch.setattr(packing, "COPIES_RUN", 5)
+    assert bins(3) == first
+
+
 def test_threshold_covers_all_labelled_rows(spark, make_docs):
     """A small sample to fit on; the cut is the quantile over every labelled
     row that is not held out."""
