@@ -25,14 +25,14 @@ def explode_tokens(df: DataFrame, id_col: str, text_col: str, out: str = "term")
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per term: documents (rows) containing it and total occurrences.  A
-    document's tokens are sorted inside its row, so the first of each term
-    marks it; one partially aggregated exchange, by term, does the rest."""
-    ordered = df.select(F.array_sort(tokens(text_col)).alias("_t"))
-    marked = F.transform("_t", lambda t, i: F.struct(
-        t.alias("term"), F.when(i == 0, 1).otherwise((F.get("_t", i - 1) != t).cast("int")).alias("first")))
-    return (ordered.select(F.inline(marked))
-            .groupBy("term").agg(F.sum("first").alias("n_docs"), F.count(F.lit(1)).alias("n_total")))
+    """Per term: documents (rows) containing it and total occurrences.  A row
+    gives its tokens and, beside them, its distinct tokens; one partially
+    aggregated exchange, by term, counts both."""
+    toks = df.select(tokens(text_col).alias("_t"))
+    both = (toks.select(F.posexplode(F.array("_t", F.array_distinct("_t"))).alias("_kind", "_terms"))
+            .select("_kind", F.explode("_terms").alias("term")))
+    return both.groupBy("term").agg(F.count(F.when(F.col("_kind") == 1, 1)).alias("n_docs"),
+                                    F.count(F.when(F.col("_kind") == 0, 1)).alias("n_total"))
 
 
 def read_lexicon(spark, path: str) -> DataFrame:
