@@ -81,9 +81,7 @@ def _pack_shard(capacity, per_source):
 
 def pieces(docs: DataFrame, id_col, text_col, source_col, cluster, capacity) -> DataFrame:
     """``(doc_id, source, cluster, order_key, copy, piece, start, length)``."""
-    words = F.regexp_replace(text_of(text_col), f"^[{SPACES}]+|[{SPACES}]+$", "")
-    n = F.when(F.length(words) == 0, 0).otherwise(
-        F.length(F.regexp_replace(words, f"[^{SPACES}]+[{SPACES}]*", "x"))).cast("long")
+    n = F.regexp_count(text_of(text_col), F.lit(f"[^{SPACES}]+")).cast("long")
     # rows with one key are alike in all that packing sees: they are counted,
     # and numbered among themselves, so no number depends on the file layout
     key = F.md5(F.concat_ws("\n", F.coalesce(F.col(id_col).cast("string"), F.lit("")),
