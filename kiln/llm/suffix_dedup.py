@@ -84,23 +84,27 @@ def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefix(data: np.ndarray, levels, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of the suffixes at ``a`` and ``b``, cut at
-    the depth that both have: whole levels from the longest down, then bytes."""
-    depth, last = levels[-1]
+    the depth that both have.  Up the levels until one differs, which leaves
+    few after the first; down again from there, beyond what is equal; then
+    bytes."""
+    depth = levels[-1][0]
     length = np.zeros(len(a), np.int64)
-    same = last[a] == last[b]
-    length[same] = depth
-    rest = np.flatnonzero(~same)
-    for size, rank in reversed(levels[:-1]):
-        at = length[rest]
-        fits = at + size < depth
-        x, y = a[rest] + at, b[rest] + at
-        fits[fits] = rank[x[fits]] == rank[y[fits]]
-        length[rest[fits]] += size
+    up = np.zeros(len(a), np.int64)  # levels that are equal
+    some = np.arange(len(a))
+    for i, (size, rank) in enumerate(levels):
+        some = some[rank[a[some]] == rank[b[some]]]
+        length[some], up[some] = size, i + 1
+    for i in range(len(levels) - 2, -1, -1):
+        size, rank = levels[i]
+        rest = np.flatnonzero((up > i) & (up < len(levels)))
+        rest = rest[length[rest] + size < depth]
+        rest = rest[rank[a[rest] + length[rest]] == rank[b[rest] + length[rest]]]
+        length[rest] += size
+    some = np.flatnonzero(up < len(levels))
     for _ in range(min(3, depth)):
-        at = length[rest]
-        x, y = a[rest] + at, b[rest] + at
-        rest = rest[(at < depth) & (data[np.minimum(x, len(data) - 1)] == data[np.minimum(y, len(data) - 1)])]
-        length[rest] += 1
+        x, y = a[some] + length[some], b[some] + length[some]
+        some = some[(length[some] < depth) & (data[np.minimum(x, len(data) - 1)] == data[np.minimum(y, len(data) - 1)])]
+        length[some] += 1
     return length
 
 
