@@ -104,7 +104,7 @@ def _epoch_fn(model_json: str, shared, optimizer: str, lr: float, first: int, co
                 y = rows.column("label").to_numpy(zero_copy_only=False)
                 ids = rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
                 seeds = (np.int64(seed) * 1_000_003 + np.int64(first_step + i) * 7_919 + ids) & 0x7FFFFFFF
-                for sl in _chunks(m):
+                for sl in _chunks(m, model):
                     loss, grad, correct = model.loss_grad(params, X[sl], y[sl], True, seeds[sl])
                     sums[:-3] += grad
                     sums[-3:] += (loss, correct, len(y[sl]))

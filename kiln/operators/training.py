@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from kiln.functions.hashing import seeded_hash32, seeded_uniform
 from kiln.models import build_model, make_optimizer
+from kiln.models.nets import head_loss
 from kiln.operators.ranking import row_number_distributed
 from kiln.session import delete_scratch, scratch_path
 
@@ -102,12 +103,18 @@ def _features_matrix(col: pa.Array, n: int) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
-CHUNK_ROWS = 2048  # rows per model call inside a task: bounds im2col/activation memory
+CHUNK_ROWS = 2048           # rows per model call inside a task, fewer where
+CHUNK_BYTES = 128 << 20     # im2col and activations of so many rows take more
 
 
-def _chunks(m: int):
-    for start in range(0, m, CHUNK_ROWS):
-        yield slice(start, min(m, start + CHUNK_ROWS))
+def chunk_rows(model) -> int:
+    return max(1, min(CHUNK_ROWS, CHUNK_BYTES // model.row_bytes))
+
+
+def _chunks(m: int, model):
+    rows = chunk_rows(model)
+    for start in range(0, m, rows):
+        yield slice(start, min(m, start + rows))
 
 
 def _list_column(values: np.ndarray) -> pa.Array:
@@ -130,7 +137,7 @@ def _gradient_fn(model_json: str, bc, step: int, seed: int):
             y = b.column("label").to_numpy(zero_copy_only=False)
             ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             row_seeds = (np.int64(seed) * 1_000_003 + np.int64(step) * 7_919 + ids) & 0x7FFFFFFF
-            for sl in _chunks(m):
+            for sl in _chunks(m, model):
                 l_, g_, c_ = model.loss_grad(params, X[sl], y[sl], True, row_seeds[sl])
                 grad += g_
                 loss += l_
@@ -213,8 +220,8 @@ def _eval_fn(model_json: str, bc):
                 continue
             X = _features_matrix(b.column("features"), m)
             y = b.column("label").to_numpy(zero_copy_only=False)
-            for sl in _chunks(m):
-                l_, _, c_ = model.loss_grad(params, X[sl], y[sl], False, None)
+            for sl in _chunks(m, model):
+                l_, _, c_ = head_loss(model.scores(params, X[sl]), y[sl], model.task)
                 loss, correct = loss + l_, correct + c_
             n += m
         yield pa.RecordBatch.from_pydict({"loss": [loss], "correct": [correct], "n": [n]},
@@ -612,7 +619,7 @@ def predict_column(spark, model_config: dict, params: np.ndarray, features_col:
             return pa.array([], pa.float64())
         X = _features_matrix(feats, n)
         out = np.empty(n)
-        for sl in _chunks(n):
+        for sl in _chunks(n, m):
             S = m.scores(bc.value, X[sl])
             out[sl] = S.argmax(axis=1) if m.task == "classification" else S[:, 0]
         return pa.array(out, pa.float64())

@@ -345,12 +345,15 @@ def q_train_cnn_csv(spark, sf_dir):
     saved = scratch_path(spark, "pipeline")
     fitted.write().overwrite().save(saved)
     preds = with_split(PipelineModel.load(saved).transform(rows), SEED, 0.2)
-    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-    parts = preds.groupBy("split").agg(right.alias("accuracy"), F.count(F.lit(1)).alias("n"))
-    both = preds.agg(F.lit("all").alias("split"), right.alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    right = (F.col("prediction") == F.col("label")).cast("double")
+    # every row is scored once: the total comes from the parts
+    parts = preds.groupBy("split").agg(F.sum(right).alias("right"), F.count(right).alias("judged"),
+                                       F.count(F.lit(1)).alias("n"))
+    both = parts.rollup("split").agg((F.sum("right") / F.sum("judged")).alias("accuracy"), F.sum("n").alias("n")) \
+        .withColumn("split", F.coalesce("split", F.lit("all")))
     res = fitted.stages[-1].result
     seen = sum(int(h["n"]) for h in res.history if h["split"] == "train")
-    return (parts.unionByName(both).withColumn("rows_seen", F.lit(seen).cast("long"))
+    return (both.withColumn("rows_seen", F.lit(seen).cast("long"))
             .withColumn("train_rows", F.lit(res.train_rows).cast("long"))
             .withColumn("fit_seconds", F.lit(seconds)))
 

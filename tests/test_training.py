@@ -305,3 +305,32 @@ def test_windows_read_what_the_steps_read(spark, k):
         assert got == want
     finally:
         prep.release()
+
+
+def test_model_calls_stay_below_their_memory():
+    """Scoring and gradients of large pictures take bounded memory whatever
+    the rows of an Arrow batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from kiln.operators import training as tr
+    net, rng, n = SmallCNN(side=28), np.random.default_rng(0), 600
+
+    class Shared:
+        value = net.init(1)
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int64()), pa.array(rng.integers(0, 10, n).astype(float)),
+         pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 784, pa.int32()), pa.array(rng.random(n * 784)))],
+        names=["id", "label", "features"])
+    tracemalloc.start()
+    try:
+        list(tr._eval_fn(net.to_json(), Shared)([batch]))
+        list(tr._gradient_fn(net.to_json(), Shared, 0, 1)([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 * tr.CHUNK_BYTES
+
+
