@@ -16,114 +16,23 @@ the last one written.
 
 from __future__ import annotations
 
-import base64
 import json
 import time
 from dataclasses import asdict, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kiln.models import build_model, make_optimizer
-from kiln.operators.training import (PreparedRound, TrainConfig, TrainResult, _chunks, _features_matrix,
-                                     assign_shards_and_batches, evaluate, sized_layout, standardize_input, with_split)
+from kiln.operators.training import (EPOCH_SCHEMA, PreparedRound, TrainConfig, TrainResult, _epoch_fn, _steps,  # noqa: F401
+                                     assign_shards_and_batches, evaluate, optimizer_state, restore_optimizer,
+                                     sized_layout, standardize_input, with_split)
 
-EPOCH_SCHEMA = T.StructType([
-    T.StructField("params", T.ArrayType(T.DoubleType())), T.StructField("optimizer", T.StringType()),
-    T.StructField("loss", T.ArrayType(T.DoubleType())), T.StructField("correct", T.ArrayType(T.LongType())),
-    T.StructField("n", T.ArrayType(T.LongType()))])
 STATE_SCHEMA = "epoch int, params array<double>, optimizer string, config string, history string"
 
 
-def _pack(values: np.ndarray) -> str:
-    return base64.b64encode(np.ascontiguousarray(values, np.float64)).decode()
-
-
-def _unpack(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), np.float64)
-
-
-def optimizer_state(opt) -> str:
-    """An optimizer's numbers as text (vectors packed)."""
-    return json.dumps({k: _pack(v) if isinstance(v, np.ndarray) else v for k, v in vars(opt).items()})
-
-
-def restore_optimizer(opt, text: str):
-    for k, v in json.loads(text).items():
-        setattr(opt, k, _unpack(v).copy() if isinstance(v, str) else v)
-    return opt
-
-
-def _steps(batches, first: int, count: int):
-    """The rows of each step, ``(ids, labels, features)``, out of Arrow
-    batches sorted by step; a step without rows is None."""
-    held, source = [], iter(batches)
-    done = False
-    for step in range(first, first + count):
-        while not done and (not held or held[-1].column("batch")[-1].as_py() <= step):
-            batch = next(source, None)
-            if batch is None:
-                done = True
-            elif batch.num_rows:
-                held.append(batch)
-        own, rest = [], []
-        for b in held:
-            cut = int(np.searchsorted(b.column("batch").to_numpy(), step, side="right"))
-            if cut:
-                own.append(b.slice(0, cut))
-            if cut < b.num_rows:
-                rest.append(b.slice(cut))
-        held = rest
-        yield pa.Table.from_batches(own).combine_chunks().to_batches()[0] if own else None
-
-
-def _epoch_fn(model_json: str, shared, optimizer: str, lr: float, first: int, count: int, first_step: int, seed: int,
-              gather=None):
-    """``mapInArrow`` body of a barrier task: ``count`` steps of one shard."""
-    def run(batches):
-        if gather is None:
-            from pyspark import BarrierTaskContext
-            context = BarrierTaskContext.get()
-            exchange, speaker = context.allGather, context.partitionId() == 0
-        else:
-            exchange, speaker = gather
-        model = build_model(model_json)
-        params, state = shared.value
-        params = params.copy()
-        opt = restore_optimizer(make_optimizer(optimizer, lr), state)
-        losses, rights, sizes = [], [], []
-        for i, rows in enumerate(_steps(batches, first, count)):
-            sums = np.zeros(model.n_params + 3)  # gradient, loss, correct, rows
-            if rows is not None:
-                m = rows.num_rows
-                X = _features_matrix(rows.column("features"), m)
-                y = rows.column("label").to_numpy(zero_copy_only=False)
-                ids = rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                seeds = (np.int64(seed) * 1_000_003 + np.int64(first_step + i) * 7_919 + ids) & 0x7FFFFFFF
-                for sl in _chunks(m, model):
-                    loss, grad, correct = model.loss_grad(params, X[sl], y[sl], True, seeds[sl])
-                    sums[:-3] += grad
-                    sums[-3:] += (loss, correct, len(y[sl]))
-            # every task adds the same numbers in the same order
-            total = sum(_unpack(text) for text in exchange(_pack(sums)))
-            n = total[-1]
-            if n:
-                params = opt.step(params, total[:-3] / n)
-            losses.append(total[-3])
-            rights.append(int(total[-2]))
-            sizes.append(int(n))
-        if speaker:
-            one = lambda v, t: pa.array([v], pa.list_(t))
-            yield pa.RecordBatch.from_arrays(
-                [one(params, pa.float64()), pa.array([optimizer_state(opt)]), one(losses, pa.float64()),
-                 one(rights, pa.int64()), one(sizes, pa.int64())], names=EPOCH_SCHEMA.names)
-    return run
-
-
 def slots(spark: SparkSession) -> int:
     """Tasks that can run at once, as the session knows it."""
     return spark.sparkContext.defaultParallelism
@@ -161,7 +70,9 @@ def train_gang(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str
     model = build_model(model_config)
     opt = make_optimizer(cfg.optimizer, cfg.lr)
     params, done, history, steps = model.init(cfg.seed), 0, [], 0
-    config = json.dumps([model.config(), asdict(replace(cfg, epochs=0, layout_partitions=0))], sort_keys=True)
+    settings = asdict(replace(cfg, epochs=0, layout_partitions=0))
+    del settings["window_work"]  # of the step-by-step trainer: states written without it stay good
+    config = json.dumps([model.config(), settings], sort_keys=True)
     saved = _resume(spark, state_dir, config)
     if saved is not None:
         params, done, history = np.array(saved["params"]), saved["epoch"], json.loads(saved["history"])

@@ -16,12 +16,18 @@ Plan (one per training round):
    their size depends on the model, never on the data.
 3. **update** - SGD/Adam on the driver, new broadcast, next step.
 
+Steps 2 and 3 of a small model take far less time than the start of a job, so
+``window_steps`` of them share one: a window's rows go to one task in the order
+of the steps, and weights and optimizer state come back once a window.
+
 Gradient rule: sum of per-row gradients / number of rows in the step, so an
 empty or short shard contributes in proportion to its rows.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import math
 import time
 from dataclasses import asdict, dataclass, field, replace
@@ -52,6 +58,10 @@ EVAL_SCHEMA = T.StructType([
     T.StructField("n", T.LongType()),
 ])
 
+EPOCH_SCHEMA = T.StructType([
+    T.StructField("params", T.ArrayType(T.DoubleType())), T.StructField("optimizer", T.StringType()),
+    T.StructField("loss", T.ArrayType(T.DoubleType())), T.StructField("correct", T.ArrayType(T.LongType())),
+    T.StructField("n", T.ArrayType(T.LongType()))])
 
 @dataclass
 class TrainConfig:
@@ -80,6 +90,7 @@ class TrainConfig:
     local_steps: int = 1              # > 1: local SGD, k minibatches per shard per job, deltas averaged
     layout_partitions: int = 0        # range partitions of the prepared table (0: max(P, shuffle partitions))
     batches_per_folder: int = 64      # prepared table folders: bgroup = batch div this
+    window_work: int = 1 << 27        # multiplications of a step up to which many steps run in one job (0: never)
 
 
 # fixed values: the largest primes below 2^31, multipliers of the re-deal
@@ -189,6 +200,93 @@ def _local_sgd_fn(model_json: str, bc, first_local: int, first_step: int, k: int
     return run
 
 
+def _pack(values: np.ndarray) -> str:
+    return base64.b64encode(np.ascontiguousarray(values, np.float64)).decode()
+
+
+def _unpack(text: str) -> np.ndarray:
+    return np.frombuffer(base64.b64decode(text), np.float64)
+
+
+def optimizer_state(opt) -> str:
+    """An optimizer's numbers as text (vectors packed)."""
+    return json.dumps({k: _pack(v) if isinstance(v, np.ndarray) else v for k, v in vars(opt).items()})
+
+
+def restore_optimizer(opt, text: str):
+    for k, v in json.loads(text).items():
+        setattr(opt, k, _unpack(v).copy() if isinstance(v, str) else v)
+    return opt
+
+
+def _steps(batches, first: int, count: int):
+    """The rows of each step, ``(ids, labels, features)``, out of Arrow
+    batches sorted by step; a step without rows is None."""
+    held, source = [], iter(batches)
+    done = False
+    for step in range(first, first + count):
+        while not done and (not held or held[-1].column("batch")[-1].as_py() <= step):
+            batch = next(source, None)
+            if batch is None:
+                done = True
+            elif batch.num_rows:
+                held.append(batch)
+        own, rest = [], []
+        for b in held:
+            cut = int(np.searchsorted(b.column("batch").to_numpy(), step, side="right"))
+            if cut:
+                own.append(b.slice(0, cut))
+            if cut < b.num_rows:
+                rest.append(b.slice(cut))
+        held = rest
+        yield pa.Table.from_batches(own).combine_chunks().to_batches()[0] if own else None
+
+
+def _epoch_fn(model_json: str, shared, optimizer: str, lr: float, first: int, count: int, first_step: int, seed: int,
+              gather=None):
+    """``mapInArrow`` body over rows in the order of the steps: ``count`` steps
+    of one shard in a barrier task, or of all shards where nothing is
+    exchanged (``gather``)."""
+    def run(batches):
+        if gather is None:
+            from pyspark import BarrierTaskContext
+            context = BarrierTaskContext.get()
+            exchange, speaker = context.allGather, context.partitionId() == 0
+        else:
+            exchange, speaker = gather
+        model = build_model(model_json)
+        params, state = shared.value
+        params = params.copy()
+        opt = restore_optimizer(make_optimizer(optimizer, lr), state)
+        losses, rights, sizes = [], [], []
+        for i, rows in enumerate(_steps(batches, first, count)):
+            sums = np.zeros(model.n_params + 3)  # gradient, loss, correct, rows
+            if rows is not None:
+                m = rows.num_rows
+                X = _features_matrix(rows.column("features"), m)
+                y = rows.column("label").to_numpy(zero_copy_only=False)
+                ids = rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                seeds = (np.int64(seed) * 1_000_003 + np.int64(first_step + i) * 7_919 + ids) & 0x7FFFFFFF
+                for sl in _chunks(m, model):
+                    loss, grad, correct = model.loss_grad(params, X[sl], y[sl], True, seeds[sl])
+                    sums[:-3] += grad
+                    sums[-3:] += (loss, correct, len(y[sl]))
+            # every task adds the same numbers in the same order
+            total = sums if exchange is None else sum(_unpack(text) for text in exchange(_pack(sums)))
+            n = total[-1]
+            if n:
+                params = opt.step(params, total[:-3] / n)
+            losses.append(total[-3])
+            rights.append(int(total[-2]))
+            sizes.append(int(n))
+        if speaker:
+            one = lambda v, t: pa.array([v], pa.list_(t))
+            yield pa.RecordBatch.from_arrays(
+                [one(params, pa.float64()), pa.array([optimizer_state(opt)]), one(losses, pa.float64()),
+                 one(rights, pa.int64()), one(sizes, pa.int64())], names=EPOCH_SCHEMA.names)
+    return run
+
+
 def _sum_partials_fn():
     def run(batches):
         total, loss, correct, n = None, 0.0, 0, 0
@@ -343,6 +441,38 @@ def sized_layout(train_rows: DataFrame, cfg: TrainConfig) -> int:
     return max(cfg.partitions, want)
 
 
+WINDOW_BYTES = 64 * 1024 * 1024
+
+
+def window_steps(model, cfg: TrainConfig) -> int:
+    """Steps that one job runs.  A step whose arithmetic takes less time than
+    the start of a job shares its job with the next ones, as far as their
+    rows stay below ``WINDOW_BYTES``; larger steps, and those whose weights
+    are kept, are jobs of their own."""
+    rows = cfg.batch_size * cfg.partitions
+    if cfg.full_batch or cfg.local_steps > 1 or cfg.keep_params or rows * model.work > cfg.window_work:
+        return 1
+    width = model.inputs * (8 if cfg.feature_dtype == "double" else 4) + 48
+    return max(1, WINDOW_BYTES // (rows * width))
+
+
+def _run_window(prepared: PreparedRound, model, params, opt, cfg: TrainConfig, local: int, step: int, k: int):
+    """``k`` synchronous steps in one job: the rows of the window go to one
+    task in the order of the steps, which adds up each step's gradient over
+    all shards and updates.  Returns (params, optimizer, losses, correct,
+    rows), the last three per step."""
+    spark = prepared.table.sparkSession
+    shared = spark.sparkContext.broadcast((params, optimizer_state(opt)))
+    try:
+        rows = (prepared.window_rows(local, k).select("id", "label", "features", "batch")
+                .repartition(1).sortWithinPartitions("batch", "id"))
+        row = rows.mapInArrow(_epoch_fn(model.to_json(), shared, cfg.optimizer, cfg.lr, local, k, step, cfg.seed,
+                                        gather=(None, True)), EPOCH_SCHEMA).toArrow().to_pylist()[0]
+    finally:
+        shared.destroy()
+    return (np.array(row["params"]), restore_optimizer(opt, row["optimizer"]), row["loss"], row["correct"], row["n"])
+
+
 def _already_laid_out(cfg: TrainConfig) -> bool:
     """The ranking shuffle of hash/label sharding already range-partitioned
     the rows by (shard, key): rows of a shard are contiguous and batches
@@ -521,6 +651,15 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
         t_start = time.time()
         step = 0
         train_count = 0
+        window = window_steps(model, cfg)
+
+        def validate_if_due(rnd: int):
+            due = (eval_every and step % eval_every == 0) or step in cfg.eval_at
+            if due and val_rows is not None:
+                v = evaluate(val_rows, model.config(), params)
+                history.append({"round": rnd, "iter": step - 1, "split": "validation", "n": v["n"],
+                                "loss": v["loss"], "acc": v["accuracy"], "seconds": time.time() - t_start})
+
         for rnd in range(rounds):
             if rnd * per_round >= total_iters:
                 break
@@ -538,8 +677,26 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
             try:
                 local = 0
                 while local < round_steps:
-                    k = min(cfg.local_steps, round_steps - local)
                     t0 = time.time()
+                    k = min(window, round_steps - local)
+                    if eval_every:  # a window ends where the weights are evaluated
+                        k = min(k, eval_every - step % eval_every)
+                    k = min([k] + [at - step for at in cfg.eval_at if at > step])
+                    if k > 1:
+                        params, opt, losses, rights, sizes = _run_window(prepared, model, params, opt, cfg, local,
+                                                                         step, k)
+                        each = (time.time() - t0) / k
+                        for i, (loss, correct, n) in enumerate(zip(losses, rights, sizes)):
+                            if n == 0:
+                                raise RuntimeError(f"step {step + i} of round {rnd} read no rows")
+                            history.append({"round": rnd, "iter": step + i, "split": "train", "n": n,
+                                            "loss": loss / n,
+                                            "acc": correct / n if model.task == "classification" else None,
+                                            "seconds": each})
+                        step, local = step + k, local + k
+                        validate_if_due(rnd)
+                        continue
+                    k = min(cfg.local_steps, round_steps - local)
                     bc = sc.broadcast(params)
                     try:
                         if cfg.local_steps > 1:
@@ -570,12 +727,7 @@ def train(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str = "id
                     history.append(rec)
                     step += k
                     local += k
-                    due = (eval_every and step % eval_every == 0) or step in cfg.eval_at
-                    if due and val_rows is not None:
-                        v = evaluate(val_rows, model.config(), params)
-                        history.append({"round": rnd, "iter": step - 1, "split": "validation", "n": v["n"],
-                                        "loss": v["loss"], "acc": v["accuracy"],
-                                        "seconds": time.time() - t_start})
+                    validate_if_due(rnd)
             finally:
                 prepared.release()
         seconds = time.time() - t_start

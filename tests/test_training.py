@@ -334,3 +334,33 @@ def test_model_calls_stay_below_their_memory():
     assert peak < 2 * tr.CHUNK_BYTES
 
 
+@pytest.mark.parametrize("more", [
+    {"epochs": 3, "optimizer": "adam", "partitions": 1}, {"epochs": 2, "partitions": 3, "drop_last": True},
+    {"iters": 13, "partitions": 4, "shard_by": "label", "partition_shuffles": 2, "min_epochs": 1, "eval_every": 3},
+    {"iters": 9, "partitions": 2, "redeal": False, "eval_at": (4, 7)}])
+def test_windows_of_steps_equal_single_steps(spark, more):
+    """Steps that share a job give the weights and the history of steps that
+    are a job each: optimizers, epochs, rounds, evaluations, small shards."""
+    df = image_table(spark, SF01)
+    net = LinearNet(64, 10, "classification").config()
+    cfg = {"batch_size": 16, "lr": 0.1, "validation_pct": 0.2, "eval_per_epoch": True, **more}
+    a, b = train(df, net, TrainConfig(**cfg)), train(df, net, TrainConfig(window_work=0, **cfg))
+    assert np.allclose(a.params, b.params, rtol=1e-9, atol=1e-12)
+    assert (a.steps, a.train_rows) == (b.steps, b.train_rows) and np.isclose(a.validation["loss"], b.validation["loss"])
+    keys = ("round", "iter", "split", "n")
+    assert [[h[k] for k in keys] for h in a.history] == [[h[k] for k in keys] for h in b.history]
+    assert np.allclose([h["loss"] for h in a.history], [h["loss"] for h in b.history])
+    assert np.allclose([h["acc"] for h in a.history], [h["acc"] for h in b.history])
+
+
+def test_jobs_do_not_grow_with_the_steps(spark, monkeypatch):
+    """The steps of a small model share jobs, as many as their rows allow."""
+    from kiln.operators import training as tr
+    jobs = []
+    real = tr._reduce_partials
+    monkeypatch.setattr(tr, "_reduce_partials", lambda *a: jobs.append(1) or real(*a))
+    df, net = image_table(spark, SF01), LinearNet(64, 10, "classification")
+    cfg = TrainConfig(epochs=4, batch_size=8, partitions=1, lr=0.1)
+    assert train(df, net.config(), cfg).steps > 50 and not jobs
+    assert tr.window_steps(SmallCNN(side=28), TrainConfig(batch_size=64, partitions=3)) == 1
+    assert tr.window_steps(net, cfg) * 8 * (64 * 4 + 48) <= tr.WINDOW_BYTES
