@@ -1,9 +1,11 @@
 """Exact top-k by inner product among the items a user has not seen.
 
 Items are numbered by falling norm and cut into blocks of bounded bytes.  One
-round scores one block for the users that still need it: by Cauchy-Schwarz no
-item of a block beats ``|user| * largest norm of the block``, so a user whose
-k-th score is above that is finished with all later blocks.  Inside a task the
+round scores one block for the users that still need it.  By Cauchy-Schwarz no
+item from there on beats ``|user| * largest norm``, and by Hoelder none beats
+``largest entry of the user * largest sum of an item's entries`` (absolute
+values; the tighter one where items have few entries); a user whose k-th score
+is above either is finished with all later items.  Inside a task the
 same bound skips parts of a block.  A user carries k candidates and nothing
 else; the user x item product is neither formed nor shuffled, and what a user
 has seen is joined block by block, so a user with very many items never brings
@@ -33,6 +35,14 @@ def _norm(vec: str):
     return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def _peak(vec: str):
+    return F.aggregate(vec, F.lit(0.0), lambda acc, x: F.greatest(acc, F.abs(x.cast("double"))))
+
+
+def _reach(vec: str):
+    return F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double")))
+
+
 def block_rows(dim: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, block_bytes // (8 * dim + 24))
 
@@ -52,6 +62,9 @@ def merge_block(vecs, norms, top, seen, items, vectors, item_norms, k):
     block.  ``seen`` = (row, position in the block), sorted by row; ``items``
     are in falling order of ``item_norms``."""
     rows = len(vecs)
+    peaks = np.abs(vecs).max(axis=1)
+    # the largest sum of entries among an item and those after it
+    reach = np.maximum.accumulate(np.abs(vectors).sum(axis=1)[::-1])[::-1]
     row, score, item = top
     seen_row, seen_at = seen
     for lo in range(0, len(items), PART):
@@ -61,7 +74,7 @@ def merge_block(vecs, norms, top, seen, items, vectors, item_norms, k):
         full = count == k
         ends = np.cumsum(count)
         bar[full] = score[ends[full] - 1]
-        need = np.flatnonzero(norms * item_norms[lo] * SLACK >= bar)
+        need = np.flatnonzero(np.minimum(norms * item_norms[lo], peaks * reach[lo]) * SLACK >= bar)
         if not len(need):
             break
         got = vecs[need] @ vectors[lo:hi].T
@@ -138,7 +151,8 @@ def top_unseen(users: DataFrame, items: DataFrame, seen: DataFrame, k: int = 10,
                                  F.floor((F.col("nth") - 1) / per_block).cast("int").alias("block")),
                    "mips-items", partition_by="block")
     # a row per block: items / per_block
-    blocks = {r["block"]: r["norm"] for r in placed.groupBy("block").agg(F.max("norm").alias("norm")).collect()}
+    blocks = {r["block"]: (r["norm"], r["reach"]) for r in placed.groupBy("block").agg(
+        F.max("norm").alias("norm"), F.max(_reach("vec")).alias("reach")).collect()}
     where = placed.select("item", "at", "block")
     if where.count() * 24 <= BROADCAST_MAX_BYTES:
         where = F.broadcast(where)
@@ -159,10 +173,13 @@ def top_unseen(users: DataFrame, items: DataFrame, seen: DataFrame, k: int = 10,
         mine = held.filter(F.col("block") == b).select("user", "seen")
         scored = state.join(mine, "user", "left").select("user", "vec", "norm", "top", "seen") \
             .mapInArrow(_score(block, k, dim), schema)
-        # the next block's bound decides who goes on
-        beyond = blocks.get(b + 1)
-        scored = scored.withColumn("open", F.lit(False) if beyond is None else (F.size("top") < k) | (
-            F.col("norm") * F.lit(beyond * SLACK) >= F.expr("get(top, size(top) - 1).score")))
+        # the bound of the blocks to come decides who goes on
+        beyond = [bound for later, bound in blocks.items() if later > b]
+        if beyond:
+            norm, reach = (max(v) for v in zip(*beyond))
+            bound = F.least(F.col("norm") * F.lit(norm * SLACK), _peak("vec") * F.lit(reach * SLACK))
+        scored = scored.withColumn("open", F.lit(False) if not beyond else (F.size("top") < k) | (
+            bound >= F.expr("get(top, size(top) - 1).score")))
         after = store(scored, "mips-users")
         drop(state)
         done.append(after.filter(~F.col("open")).select("user", "top"))

@@ -79,3 +79,39 @@ def test_als_recommendations_equal_brute_force_of_the_factors(spark):
     assert [r[:2] for r in rows] == [r[:2] for r in want] and len(rows) >= 10
     assert np.allclose([r[3] for r in rows], [r[3] for r in want], rtol=1e-9, atol=1e-12)
     ratings.unpersist()
+
+
+def test_items_of_few_entries_are_skipped_by_their_sums(monkeypatch):
+    """A user who spreads over many brands and items of one brand each: the
+    product of norms bounds nothing, that of entry and sum ends at once."""
+    n, d, calls = 50_000, 25, []
+    real = np.partition
+
+    def counted(a, *args, **kwargs):
+        calls.append(a.shape)
+        return real(a, *args, **kwargs)
+    monkeypatch.setattr(mips.np, "partition", counted)
+    sales = np.linspace(100, 50, n)
+    vectors = np.zeros((n, d))
+    vectors[np.arange(n), np.arange(n) % d] = sales
+    none = np.zeros(0, np.int64)
+    row, score, item = mips.merge_block(np.ones((1, d)), np.full(1, 5.0), (none, np.zeros(0), none), (none, none),
+                                        np.arange(n), vectors, sales, 10)
+    assert item.tolist() == list(range(10)) and len(calls) == 1
+
+
+def test_blocks_are_skipped_by_their_sums(spark, monkeypatch):
+    """The same over blocks: the first is enough, and nothing is lost when a
+    later block has the larger sums."""
+    blocks = []
+    real = mips._score
+    monkeypatch.setattr(mips, "_score", lambda *a: blocks.append(1) or real(*a))
+    users = [(u, [1.0, 1.0, 1.0, 1.0]) for u in range(5)]
+    items = [(i, [float(200 - i) if i % 4 == j else 0.0 for j in range(4)]) for i in range(80)]
+    got = mips.top_unseen(*tables(spark, users, items, [(1, 0)]), k=3, block_bytes=20 * (8 * 4 + 24))
+    assert sorted(tuple(r[c] for c in ("user", "rank", "item", "score")) for r in got.collect()) == brute(
+        users, items, [(1, 0)], 3) and len(blocks) == 1
+    blocks.clear()
+    items = items[:40] + [(100, [75.0, 75.0, 75.0, 75.0])]
+    got = mips.top_unseen(*tables(spark, users, items, []), k=1, block_bytes=20 * (8 * 4 + 24))
+    assert [r["item"] for r in got.collect()] == [100] * 5 and len(blocks) == 3
