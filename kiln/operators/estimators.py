@@ -17,7 +17,7 @@ from pyspark.ml.util import (DefaultParamsReader, DefaultParamsWriter, MLReadabl
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators.training import TrainConfig, evaluate, predict_column, standardize_input, train
+from kiln.operators.training import WINDOW_WORK, TrainConfig, evaluate, predict_column, standardize_input, train
 
 
 class _TrainerParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
@@ -65,7 +65,7 @@ class MinibatchTrainer(Estimator, _TrainerParams, MLReadable, MLWritable):
 
     def config(self) -> TrainConfig:
         g = self.getOrDefault
-        return TrainConfig(iters=g(self.iters), batch_size=g(self.miniBatch), partitions=g(self.partitions),
+        return TrainConfig(window_work=WINDOW_WORK, iters=g(self.iters), batch_size=g(self.miniBatch), partitions=g(self.partitions),
                            lr=g(self.lr), optimizer=g(self.optimizer), validation_pct=g(self.validationPct),
                            seed=g(self.seed), shard_by=g(self.shardBy),
                            partition_shuffles=g(self.partitionShuffles), full_batch=g(self.fullBatch),

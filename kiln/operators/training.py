@@ -90,7 +90,7 @@ class TrainConfig:
     local_steps: int = 1              # > 1: local SGD, k minibatches per shard per job, deltas averaged
     layout_partitions: int = 0        # range partitions of the prepared table (0: max(P, shuffle partitions))
     batches_per_folder: int = 64      # prepared table folders: bgroup = batch div this
-    window_work: int = 1 << 27        # multiplications of a step up to which many steps run in one job (0: never)
+    window_work: int = 0              # multiplications of a step up to which many steps run in one job (WINDOW_WORK)
 
 
 # fixed values: the largest primes below 2^31, multipliers of the re-deal
@@ -442,6 +442,7 @@ def sized_layout(train_rows: DataFrame, cfg: TrainConfig) -> int:
 
 
 WINDOW_BYTES = 64 * 1024 * 1024
+WINDOW_WORK = 1 << 27      # takes about as long as the start of a job
 
 
 def window_steps(model, cfg: TrainConfig) -> int:

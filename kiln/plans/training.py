@@ -21,7 +21,7 @@ from kiln.operators import sampling
 from kiln.operators.estimators import MinibatchModel, MinibatchTrainer
 from kiln.operators.features import recode_binary
 from kiln.operators.gang import train_gang
-from kiln.operators.training import (PreparedRound, TrainConfig, assign_shards_and_batches, evaluate, history_frame,
+from kiln.operators.training import (WINDOW_WORK, PreparedRound, TrainConfig, assign_shards_and_batches, evaluate, history_frame,
                                      standardize_input, train, with_split)
 from kiln.plans.constants import IMAGE_SIDE, MLP_B1, MLP_B2, MLP_W1, MLP_W2, SEED
 from kiln.plans.registry import register
@@ -386,7 +386,7 @@ def mlp_config(workers: int, validation_pct: float = 0.0, **more) -> TrainConfig
     """3 epochs of batches of 64, Adam, the rows dealt to ``workers`` shards
     and re-dealt to batches every epoch."""
     return TrainConfig(epochs=3, batch_size=64, partitions=workers, lr=1e-3, optimizer="adam",
-                       validation_pct=validation_pct, seed=SEED, **more)
+                       validation_pct=validation_pct, seed=SEED, window_work=WINDOW_WORK, **more)
 
 
 def run_mlp(spark, sf_dir, workers: int = 1):

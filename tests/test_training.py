@@ -344,7 +344,7 @@ def test_windows_of_steps_equal_single_steps(spark, more):
     df = image_table(spark, SF01)
     net = LinearNet(64, 10, "classification").config()
     cfg = {"batch_size": 16, "lr": 0.1, "validation_pct": 0.2, "eval_per_epoch": True, **more}
-    a, b = train(df, net, TrainConfig(**cfg)), train(df, net, TrainConfig(window_work=0, **cfg))
+    a, b = train(df, net, TrainConfig(window_work=1 << 27, **cfg)), train(df, net, TrainConfig(**cfg))
     assert np.allclose(a.params, b.params, rtol=1e-9, atol=1e-12)
     assert (a.steps, a.train_rows) == (b.steps, b.train_rows) and np.isclose(a.validation["loss"], b.validation["loss"])
     keys = ("round", "iter", "split", "n")
@@ -360,7 +360,7 @@ def test_jobs_do_not_grow_with_the_steps(spark, monkeypatch):
     real = tr._reduce_partials
     monkeypatch.setattr(tr, "_reduce_partials", lambda *a: jobs.append(1) or real(*a))
     df, net = image_table(spark, SF01), LinearNet(64, 10, "classification")
-    cfg = TrainConfig(epochs=4, batch_size=8, partitions=1, lr=0.1)
+    cfg = TrainConfig(epochs=4, batch_size=8, partitions=1, lr=0.1, window_work=tr.WINDOW_WORK)
     assert train(df, net.config(), cfg).steps > 50 and not jobs
-    assert tr.window_steps(SmallCNN(side=28), TrainConfig(batch_size=64, partitions=3)) == 1
+    assert tr.window_steps(SmallCNN(side=28), TrainConfig(batch_size=64, partitions=3, window_work=tr.WINDOW_WORK)) == 1
     assert tr.window_steps(net, cfg) * 8 * (64 * 4 + 48) <= tr.WINDOW_BYTES
