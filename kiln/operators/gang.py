@@ -2,9 +2,10 @@
 
 All shards train at the same time.  A task holds one shard, streams its rows
 in the order of the steps, and after each step the tasks exchange their
-gradient sums (``BarrierTaskContext.allGather``) and make the same update, so
-the number of jobs is the number of epochs whatever the number of rows.  The
-arithmetic is that of ``operators.training.train``: sum of gradients over
+gradient sums (``exchange.gatherer``: files in the shared folder, or
+``BarrierTaskContext.allGather`` at a second a step where tasks do not mount
+it) and make the same update, so the number of jobs is the number of epochs
+whatever the number of rows.  The arithmetic is that of ``operators.training.train``: sum of gradients over
 rows of the step.
 
 A barrier stage needs a slot for every shard at once; with fewer it is
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.models import build_model, make_optimizer
+from kiln.operators.exchange import mounted
 from kiln.operators.training import (EPOCH_SCHEMA, PreparedRound, TrainConfig, TrainResult, _epoch_fn, _steps,  # noqa: F401
                                      assign_shards_and_batches, evaluate, optimizer_state, restore_optimizer,
                                      sized_layout, standardize_input, with_split)
+from kiln.session import delete_scratch, scratch_path
 
 STATE_SCHEMA = "epoch int, params array<double>, optimizer string, config string, history string"
 
@@ -79,6 +82,9 @@ def train_gang(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str
         opt, steps = restore_optimizer(opt, saved["optimizer"]), len(history)
     base = standardize_input(df, id_col, label_col, features_col, cfg.feature_dtype).persist(StorageLevel.MEMORY_AND_DISK)
     start, count = time.time(), 0
+    meeting = scratch_path(spark, "gang")
+    path = spark._jvm.org.apache.hadoop.fs.Path(meeting)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     try:
         rows, held = base, None
         if cfg.validation_pct > 0:
@@ -101,7 +107,8 @@ def train_gang(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str
                               .repartitionById(cfg.partitions, F.col("shard")).sortWithinPartitions("batch", "id")
                               .select("id", "label", "features", "batch"))
                     out = shards.mapInArrow(_epoch_fn(model.to_json(), shared, cfg.optimizer, cfg.lr, first, per_epoch,
-                                                      steps, cfg.seed), EPOCH_SCHEMA, barrier=True).toArrow()
+                                                      steps, cfg.seed, folder=mounted(meeting)), EPOCH_SCHEMA,
+                                            barrier=True).toArrow()
                     shared.destroy()
                     row = out.to_pylist()[0]
                     params, opt = np.array(row["params"]), restore_optimizer(opt, row["optimizer"])
@@ -122,4 +129,5 @@ def train_gang(df: DataFrame, model_config: dict, cfg: TrainConfig, id_col: str
         validation = evaluate(held, model.config(), params) if held is not None else None
     finally:
         base.unpersist()
+        delete_scratch(spark, meeting)
     return TrainResult(model.config(), params, history, validation, seconds, asdict(cfg), steps, count)

@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 from kiln.functions.hashing import seeded_hash32, seeded_uniform
 from kiln.models import build_model, make_optimizer
 from kiln.models.nets import head_loss
+from kiln.operators.exchange import gatherer
 from kiln.operators.ranking import row_number_distributed
 from kiln.session import delete_scratch, scratch_path
 
@@ -243,15 +244,15 @@ def _steps(batches, first: int, count: int):
 
 
 def _epoch_fn(model_json: str, shared, optimizer: str, lr: float, first: int, count: int, first_step: int, seed: int,
-              gather=None):
+              gather=None, folder: str | None = None):
     """``mapInArrow`` body over rows in the order of the steps: ``count`` steps
     of one shard in a barrier task, or of all shards where nothing is
-    exchanged (``gather``)."""
+    exchanged (``gather``).  ``folder``: where barrier tasks exchange files."""
     def run(batches):
         if gather is None:
             from pyspark import BarrierTaskContext
             context = BarrierTaskContext.get()
-            exchange, speaker = context.allGather, context.partitionId() == 0
+            exchange, speaker = gatherer(context, folder), context.partitionId() == 0
         else:
             exchange, speaker = gather
         model = build_model(model_json)
