@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.operators.joins import BROADCAST_MAX_BYTES
+from kiln.operators.layout import sized_shuffles
 from kiln.session import delete_scratch, ensure_checkpoint_dir, scratch_path
 
 BROADCAST_MAX_ROWS = BROADCAST_MAX_BYTES // 32  # vertex values are fixed-width rows of three numbers
@@ -100,7 +101,6 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, checkpoin
     ensure_checkpoint_dir(spark)
     # the edge and vertex tables are read every round: computed once, kept
     # (memory, spilling to disk) for the loop, released at the end
-    P = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # vertex table with its out-degree, hash-partitioned by vertex and kept:
     # every round's rank update joins it without a shuffle of its own
     deg = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
@@ -113,25 +113,26 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, checkpoin
         nodes.unpersist()
         return spark.createDataFrame([], T.StructType([T.StructField("node", edges.schema["src"].dataType),
                                                        T.StructField("rank", T.DoubleType())]))
-    salted, hubs = hub_layout(edges.select("src", "dst"), nodes.withColumnRenamed("node", "src"),
-                              stats["e"] or 0, P)
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(iters):
-        # each vertex sends rank / out-degree along every out-edge
-        shares = ranks.filter(F.col("deg") > 0).select(F.col("node").alias("src"),
-                                                       (F.col("rank") / F.col("deg")).alias("share"))
-        contrib = (join_values(salted, spread_to_salts(shares, hubs), n)
-                   .groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("s")))
-        ranks = (nodes.join(contrib, "node", "left")
-                 .select("node", "deg", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0)))
-                         .alias("rank")))
-        if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < iters:
-            ensure_checkpoint_dir(spark)
-            ranks = ranks.checkpoint(eager=True)
-    # keep the result itself, so releasing the loop inputs does not make a
-    # later action recompute every round
-    ranks = ranks.select("node", "rank").persist(StorageLevel.MEMORY_AND_DISK)
-    ranks.count()
+    with sized_shuffles(spark, stats["e"] or 0):
+        salted, hubs = hub_layout(edges.select("src", "dst"), nodes.withColumnRenamed("node", "src"),
+                                  stats["e"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+        for i in range(iters):
+            # each vertex sends rank / out-degree along every out-edge
+            shares = ranks.filter(F.col("deg") > 0).select(F.col("node").alias("src"),
+                                                           (F.col("rank") / F.col("deg")).alias("share"))
+            contrib = (join_values(salted, spread_to_salts(shares, hubs), n)
+                       .groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("s")))
+            ranks = (nodes.join(contrib, "node", "left")
+                     .select("node", "deg", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0)))
+                             .alias("rank")))
+            if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < iters:
+                ensure_checkpoint_dir(spark)
+                ranks = ranks.checkpoint(eager=True)
+        # keep the result itself, so releasing the loop inputs does not make a
+        # later action recompute every round
+        ranks = ranks.select("node", "rank").persist(StorageLevel.MEMORY_AND_DISK)
+        ranks.count()
     salted.unpersist()
     nodes.unpersist()
     return ranks

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.operators.graph import hub_layout, join_values, spread_to_salts
+from kiln.operators.layout import sized_shuffles
 from kiln.operators.scratch import drop, store
 
 
@@ -72,24 +73,25 @@ def power_clusters(edges: DataFrame, k: int = 2, max_steps: int = 30, stop: floa
         drop(links, nodes)
         return PowerClusters(spark.createDataFrame([], f"node {edges.schema['src'].dataType.simpleString()}, value double, "
                                                        "cluster int"), 0, [])
-    salted, hubs = hub_layout(links, nodes.select("src", "deg"), size["e"], int(spark.conf.get("spark.sql.shuffle.partitions")))
-    values = store(nodes.select("src", (F.col("volume") / F.lit(float(size["v"]))).alias("value")), "pic-values")
-    last, steps = None, 0
-    for steps in range(1, max_steps + 1):
-        sent = join_values(salted, spread_to_salts(values, hubs), n)
-        taken = (sent.groupBy(F.col("dst").alias("src")).agg(F.sum(F.col("weight") * F.col("value")).alias("got"))
-                 .join(nodes, "src").select("src", (F.col("got") / F.col("volume")).alias("raw")))
-        taken = store(taken.join(values, "src"), "pic-step")
-        total = taken.agg(F.sum(F.abs("raw"))).first()[0]
-        fresh = store(taken.select("src", (F.col("raw") / F.lit(total)).alias("value"),
-                                   F.abs(F.col("raw") / F.lit(total) - F.col("value")).alias("moved")), "pic-values")
-        change = fresh.agg(F.sum("moved")).first()[0]
-        drop(values, taken)
-        values = fresh.drop("moved")
-        values.scratch = fresh.scratch
-        if stop is not None and last is not None and abs(change - last) < stop / n:
-            break
-        last = change
+    with sized_shuffles(spark, size["e"]):
+        salted, hubs = hub_layout(links, nodes.select("src", "deg"), size["e"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+        values = store(nodes.select("src", (F.col("volume") / F.lit(float(size["v"]))).alias("value")), "pic-values")
+        last, steps = None, 0
+        for steps in range(1, max_steps + 1):
+            sent = join_values(salted, spread_to_salts(values, hubs), n)
+            taken = (sent.groupBy(F.col("dst").alias("src")).agg(F.sum(F.col("weight") * F.col("value")).alias("got"))
+                     .join(nodes, "src").select("src", (F.col("got") / F.col("volume")).alias("raw")))
+            taken = store(taken.join(values, "src"), "pic-step")
+            total = taken.agg(F.sum(F.abs("raw"))).first()[0]
+            fresh = store(taken.select("src", (F.col("raw") / F.lit(total)).alias("value"),
+                                       F.abs(F.col("raw") / F.lit(total) - F.col("value")).alias("moved")), "pic-values")
+            change = fresh.agg(F.sum("moved")).first()[0]
+            drop(values, taken)
+            values = fresh.drop("moved")
+            values.scratch = fresh.scratch
+            if stop is not None and last is not None and abs(change - last) < stop / n:
+                break
+            last = change
     salted.unpersist()
     centres, _ = _centres_of(values, k, rounds)
     assigned = values.select(F.col("src").alias("node"), "value", nearest("value", centres).alias("cluster"))
