@@ -5,8 +5,10 @@ reads every document: its topic weights are fitted to the current topics in
 vectorised steps over a chunk of documents, and the expected counts per term
 are summed inside the task before the one exchange, by term, that makes the
 next topics.  The topics are a table by term.  While they are measured to fit
-a broadcast, documents stay where they are; beyond that the terms of the
-documents are joined with the table by term and come back by document.
+a broadcast, every task has them all.  Beyond that documents are dealt once to
+blocks of a bounded number of pairs and kept there, and an iteration brings
+every block the topics of its own distinct terms: what moves are the terms of
+blocks, many documents each, never the documents or their pairs.
 
 Term keys are 64-bit hashes, starting topics a function of term and topic, so
 any partitioning gives the same model up to the order of sums.
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from kiln.operators.scratch import drop, store
 from kiln.operators.text import tokens
 
 CHUNK = 1 << 18   # (document, term) pairs that are fitted at a time
+BLOCK = 1 << 23   # pairs of the documents that share the topics of their terms
 STEPS = 20        # of a document's fit, at most
 CHANGE = 1e-3     # mean change of its weights that ends it
 TINY = 1e-100
@@ -129,55 +133,68 @@ def _schema(k):
     return "key long, " + ", ".join(f"s{i} double" for i in range(k)) + ", bound double"
 
 
+def _fit(keys, beta, batches, alpha: float, k: int):
+    """(keys, n) rows under the topics of ``keys`` (sorted): one row a term
+    with its expected counts, and one without any for the bound."""
+    sums, bound = np.zeros((len(keys), k)), 0.0
+    for batch in batches:
+        lists = batch.column(0)
+        size = np.diff(lists.offsets.to_numpy())
+        off = np.concatenate([[0], np.cumsum(size[size > 0])])
+        at = np.searchsorted(keys, lists.flatten().to_numpy(zero_copy_only=False))
+        n = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        for lo, hi in _chunks(off):
+            a, b = off[lo], off[hi]
+            expected, each = fit_documents(off[lo:hi + 1] - a, n[a:b], beta[at[a:b]], alpha)
+            bound += each.sum()
+            for i in range(k):
+                sums[:, i] += np.bincount(at[a:b], weights=expected[:, i], minlength=len(keys))
+    used = np.flatnonzero(sums.any(axis=1))
+    for lo in range(0, len(used), 50_000):
+        part = used[lo:lo + 50_000]
+        yield _rows(keys[part], sums[part], np.zeros(len(part)), k, _names(k))
+    if bound:
+        yield _rows(keys[:1], np.zeros((1, k)), np.array([bound]), k, _names(k))
+
+
 def _fit_broadcast(topics, alpha: float, k: int):
-    """``mapInArrow`` over (keys, n) rows: one row a term of the task with
-    its expected counts, and one without any for the bound."""
+    """``mapInArrow`` over (keys, n) rows."""
     def run(batches):
         keys, beta = topics.value
-        sums, bound = np.zeros((len(keys), k)), 0.0
-        for batch in batches:
-            lists = batch.column(0)
-            size = np.diff(lists.offsets.to_numpy())
-            off = np.concatenate([[0], np.cumsum(size[size > 0])])
-            at = np.searchsorted(keys, lists.flatten().to_numpy(zero_copy_only=False))
-            n = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            for lo, hi in _chunks(off):
-                a, b = off[lo], off[hi]
-                expected, each = fit_documents(off[lo:hi + 1] - a, n[a:b], beta[at[a:b]], alpha)
-                bound += each.sum()
-                for i in range(k):
-                    sums[:, i] += np.bincount(at[a:b], weights=expected[:, i], minlength=len(keys))
-        used = np.flatnonzero(sums.any(axis=1))
-        for lo in range(0, len(used), 50_000):
-            part = used[lo:lo + 50_000]
-            yield _rows(keys[part], sums[part], np.zeros(len(part)), k, _names(k))
-        if bound:
-            yield _rows(np.zeros(1), np.zeros((1, k)), np.array([bound]), k, _names(k))
+        yield from _fit(keys, beta, batches, alpha, k)
     return run
 
 
-def _fit_joined(alpha: float, k: int):
-    """``mapInArrow`` over documents that bring their terms' topic rows."""
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(0)
-            off = lists.offsets.to_numpy().astype(np.int64)
-            off = off - off[0]
-            flat = lists.flatten()
-            key = flat.field("key").to_numpy(zero_copy_only=False)
-            n = flat.field("n").to_numpy(zero_copy_only=False).astype(np.float64)
-            beta = flat.field("beta").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            for lo, hi in _chunks(off):
-                a, b = off[lo], off[hi]
-                expected, each = fit_documents(off[lo:hi + 1] - a, n[a:b], beta[a:b], alpha)
-                own, at = np.unique(key[a:b], return_inverse=True)
-                sums = np.stack([np.bincount(at, weights=expected[:, i]) for i in range(k)], axis=1)
-                bound = np.zeros(len(own))
-                bound[0] = each.sum()
-                yield _rows(own, sums, bound, k, _names(k))
+def _fit_block(alpha: float, k: int):
+    """A block's (keys, n, block) rows with its terms' (home, key, topics)."""
+    names = _names(k)
+    schema = pa.schema([("key", pa.int64()), *[(name, pa.float64()) for name in names[1:]]])
+
+    def run(docs, terms):
+        key = terms.column("key").to_numpy()
+        order = np.argsort(key)
+        beta = np.stack([terms.column(f"b{i}").to_numpy()[order] for i in range(k)], axis=1)
+        return pa.Table.from_batches(list(_fit(key[order], beta, docs.to_batches(), alpha, k)), schema)
     return run
 
 
+def _blocks(rows: DataFrame):
+    """(documents ``keys, n, block``, their distinct terms ``home, key``),
+    laid out by block and by key and kept, so that neither moves again."""
+    spark = rows.sparkSession
+    pairs = rows.agg(F.sum(F.size("keys"))).first()[0]
+    count = max(-(-pairs // BLOCK), min(pairs, 2 * spark.sparkContext.defaultParallelism))
+    tasks = max(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    block = F.pmod(F.xxhash64("doc"), F.lit(count)).cast("int").alias("block")
+    docs = (rows.select("keys", "n", block).repartition(tasks, "block").sortWithinPartitions("block")
+            .persist(StorageLevel.DISK_ONLY))
+    docs.count()  # a kept plan's partitioning is known once it has run
+    terms = (docs.select(F.col("block").alias("home"), F.explode("keys").alias("key")).distinct().repartition(tasks, "key")
+             .persist(StorageLevel.DISK_ONLY))
+    terms.count()
+    return docs, terms
+
+
 def _topic_rows(k: int, totals: list, eta: float):
     """``mapInArrow`` over (key, weights): topic rows and the bound's part."""
     whole = digamma(np.array(totals))
@@ -225,12 +242,13 @@ def lda(docs: DataFrame, id_col: str, text_col: str, k: int = 5, iterations: int
     ``alpha`` and ``eta`` default to 1 / k.  Null and empty texts have no
     terms and change nothing; repeated rows count each time; a table without
     terms gives no rows.  ``broadcast_bytes`` bounds the topics that travel to
-    every task; above it they are joined by term."""
+    every task; above it every block of documents gets those of its terms."""
     spark = docs.sparkSession
     alpha, eta = alpha or 1.0 / k, eta or 1.0 / k
     hashed = F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.xxhash64(t))
     rows = store(docs.select(hashed.alias("keys")).filter(F.size("keys") > 0)
-                 .mapInArrow(_count_rows, "keys array<long>, n array<int>"), "lda-docs")
+                 .mapInArrow(_count_rows, "keys array<long>, n array<int>")
+                 .select("keys", "n", F.monotonically_increasing_id().alias("doc")), "lda-docs")
     words = (docs.select(F.explode(F.array_distinct(tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
              .groupBy("term").agg(F.count(F.lit(1)).alias("docs")))
     start = [0.5 + F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "term"), F.lit(1 << 20)) / F.lit(float(1 << 20)) for i in range(k)]
@@ -247,31 +265,31 @@ def lda(docs: DataFrame, id_col: str, text_col: str, k: int = 5, iterations: int
     totals = totals_of(weights)
     if not size:
         return TopicModel(weights, totals, [])
+    whole = size * 8 * (k + 1) <= broadcast_bytes
+    kept = [] if whole or not iterations else _blocks(rows)
     for _ in range(iterations):
-        beta = store(weights.select("key", "weights").mapInArrow(
-            _topic_rows(k, totals, eta), "key long, beta array<double>, part double"), "lda-beta")
+        beta = weights.select("key", "weights").mapInArrow(
+            _topic_rows(k, totals, eta), "key long, beta array<double>, part double")
         topic_part = beta.agg(F.sum("part")).first()[0]
         topic_part += float((log_gamma(np.array(size * eta)) - log_gamma(np.array(totals))).sum())
-        if size * 8 * (k + 1) <= broadcast_bytes:
+        if whole:
             table = beta.select("key", "beta").orderBy("key").toArrow()
             topics = spark.sparkContext.broadcast((
                 table.column("key").to_numpy(),
                 table.column("beta").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)))
-            fitted = rows.mapInArrow(_fit_broadcast(topics, alpha, k), _schema(k))
+            fitted = rows.select("keys", "n").mapInArrow(_fit_broadcast(topics, alpha, k), _schema(k))
         else:
-            pairs = rows.select(F.monotonically_increasing_id().alias("doc"), "keys", "n") \
-                .select("doc", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("n").alias("n"))))
-            fitted = (pairs.join(beta.select("key", "beta"), "key")
-                      .groupBy("doc").agg(F.collect_list(F.struct("key", "n", "beta")).alias("pairs"))
-                      .select("pairs").mapInArrow(_fit_joined(alpha, k), _schema(k)))
-        summed = store(fitted.groupBy("key").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)],
-                                                 F.sum("bound").alias("bound")), "lda-sums")
-        bounds.append(float(summed.agg(F.sum("bound")).first()[0]) + topic_part)
+            blocks, own = kept
+            each = own.join(beta.select("key", *[F.col("beta")[i].alias(f"b{i}") for i in range(k)]).hint("merge"), "key")
+            fitted = blocks.groupBy("block").cogroup(each.groupBy("home")).applyInArrow(_fit_block(alpha, k), _schema(k))
+        summed = fitted.groupBy("key").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)], F.sum("bound").alias("bound"))
         after = store(terms.join(summed, "key", "left").select("term", "key", F.array(*[
-            F.lit(eta) + F.coalesce(f"s{i}", F.lit(0.0)) for i in range(k)]).alias("weights")), "lda-topics")
-        drop(summed, beta)
+            F.lit(eta) + F.coalesce(f"s{i}", F.lit(0.0)) for i in range(k)]).alias("weights"), "bound"), "lda-topics")
+        bounds.append(float(after.agg(F.sum("bound")).first()[0]) + topic_part)
         if weights is not first:
             drop(weights)
         weights, totals = after, totals_of(after)
+    for table in kept:
+        table.unpersist()
     drop(rows, *([first] if weights is not first else []))
-    return TopicModel(weights, totals, bounds)
+    return TopicModel(weights.select("term", "key", "weights"), totals, bounds)

@@ -106,3 +106,24 @@ def test_small_chunks_change_nothing(monkeypatch):
              for lo, hi in topics._chunks(off)]
     assert np.allclose(np.concatenate([p[0] for p in parts]), whole[0], rtol=1e-12)
     assert np.allclose(np.concatenate([p[1] for p in parts]), whole[1], rtol=1e-12)
+
+
+def test_beyond_a_broadcast_the_terms_of_blocks_move(spark, monkeypatch):
+    """Not a row for each (document, term) pair."""
+    docs = [(i, "apple pear plum fig rock sand clay lime") for i in range(400)] + [(7, "apple apple"), (None, "kiwi")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = topics.lda(df, "doc_id", "text", k=3, iterations=3)
+    sizes, blocks = [], topics._blocks
+
+    def watched(rows):
+        kept, terms = blocks(rows)
+        sizes.append((kept.select("block").distinct().count(), kept.agg(F.sum(F.size("keys"))).first()[0], terms.count()))
+        return kept, terms
+    monkeypatch.setattr(topics, "_blocks", watched)
+    for bound in (topics.BLOCK, 50):
+        monkeypatch.setattr(topics, "BLOCK", bound)
+        got = topics.lda(df, "doc_id", "text", k=3, iterations=3, broadcast_bytes=0)
+        assert np.allclose(got.bounds, want.bounds, rtol=1e-10) and np.allclose(got.totals, want.totals)
+    for count, pairs, moved in sizes:
+        assert pairs == 3202 and moved <= 9 * count < pairs / 4
+    assert sizes[0][0] <= 2 * spark.sparkContext.defaultParallelism < sizes[1][0]
