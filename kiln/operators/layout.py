@@ -37,3 +37,16 @@ def sized_shuffles(spark: SparkSession, rows: int):
     finally:
         for key, value in own.items():
             spark.conf.set(key, value)
+
+
+@contextmanager
+def joins_by_some_keys(spark: SparkSession):
+    """Inside, a side that is laid out by some of the keys of a join stays,
+    and the other side is dealt the same way."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    own = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.operators.joins import BROADCAST_MAX_BYTES
+from kiln.operators.layout import joins_by_some_keys
+from kiln.operators.scratch import store
 from kiln.session import ensure_checkpoint_dir
 
 ENTRY_BYTES = 64     # of a lexicon entry besides its key
+BLOCK_BYTES = 16 << 20  # of text whose documents share the entries of their keys
 TOKEN_SPLIT = r"[^\p{L}]+"   # a token is a maximal run of letters
 
 
@@ -159,45 +163,78 @@ def score_documents(docs: DataFrame, lexicon: DataFrame | PreparedLexicon, id_co
     left-to-right fold, each carrying the score and count of the lexicon
     words inside it, which the fold takes back when it takes the phrase."""
     prep = lexicon if isinstance(lexicon, PreparedLexicon) else prepare_lexicon(lexicon)
-    lengths = prep.lengths
-    # broadcast only behind the measured bytes; beyond them a shuffle join
-    entries = F.broadcast(prep.entries) if prep.size <= BROADCAST_MAX_BYTES else prep.entries
-    toks = docs.select(id_col, tokens(text_col).alias("_toks"))
-    if lengths in ([], [1]):
-        hits = toks.select(id_col, F.explode("_toks").alias("key")).join(entries, "key")
-        # partial aggregation before the shuffle: one row per document and task
-        per_doc = hits.groupBy(id_col).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_matched"))
+    if prep.size <= BROADCAST_MAX_BYTES:  # broadcast only behind the measured bytes
+        toks = docs.select(id_col, tokens(text_col).alias("_toks"))
+        hits = _keys(toks, [id_col], prep.lengths).join(F.broadcast(prep.entries), "key")
+        per_doc = _sums(hits, [id_col], prep.lengths)
     else:
-        # one pass per document: all keys of every length in one array; a
-        # key's length is its word count, its start follows from the offsets
-        # of the concatenation (len(tokens) - m + 1 keys of each length m)
-        toks = toks.select(id_col, "_toks", F.array_join("_toks", " ").alias("_joined"))
-        grams = toks.select(id_col, F.size("_toks").alias("_nt"),
-                            F.posexplode(ngrams("_toks", "_joined", lengths)).alias("_p", "key"))
-        n = F.length("key") - F.length(F.translate("key", " ", "")) + 1
-        offset = F.lit(0)
-        for m in lengths[:-1]:
-            offset = offset + F.when(n > m, F.greatest(F.col("_nt") - m + 1, F.lit(0))).otherwise(0)
-        grams = grams.select(id_col, (F.col("_p") - offset + 1).alias("pos"), n.alias("n"), "key")
-        hits = grams.join(entries, "key")
-        word = F.col("n") == 1
-        # per document: the word sums, and its phrase matches (at most
-        # lengths x its tokens) in text order, longest first at a position
-        per_doc = hits.groupBy(id_col).agg(
-            F.sum(F.when(word, F.col("score"))).alias("_ws"),
-            F.count(F.when(word, F.lit(1))).alias("_wc"),
-            F.collect_list(F.when(~word, F.struct("pos", (-F.col("n")).alias("neg_n"), "score", "in_score",
-                                                 "in_count"))).alias("_m"))
-        zero = F.struct(F.lit(0).alias("next"), F.lit(0).cast("bigint").alias("score"),
-                        F.lit(0).cast("bigint").alias("n_matched"))
-        walk = F.aggregate(F.array_sort("_m"), zero, lambda acc, m: F.when(
-            m["pos"] >= acc["next"],
-            F.struct((m["pos"] - m["neg_n"]).alias("next"),
-                     (acc["score"] + m["score"] - m["in_score"]).alias("score"),
-                     (acc["n_matched"] + 1 - m["in_count"]).alias("n_matched"))).otherwise(acc))
-        per_doc = per_doc.select(id_col, "_ws", "_wc", walk.alias("_w")).select(
-            id_col, (F.coalesce("_ws", F.lit(0)) + F.col("_w.score")).alias("score"),
-            (F.col("_wc") + F.col("_w.n_matched")).alias("n_matched"))
+        per_doc = _sums_in_blocks(docs, prep, id_col, text_col)
     return (docs.select(id_col).join(per_doc, id_col, "left")
             .select(id_col, F.coalesce("score", F.lit(0)).cast("bigint").alias("score"),
                     F.coalesce("n_matched", F.lit(0)).cast("bigint").alias("n_matched")))
+
+
+def _keys(toks: DataFrame, by: list, lengths: list) -> DataFrame:
+    """Every key of the tokens ``_toks``, with its place where there are
+    phrases."""
+    if lengths in ([], [1]):
+        return toks.select(*by, F.explode("_toks").alias("key"))
+    # one pass per document: all keys of every length in one array; a
+    # key's length is its word count, its start follows from the offsets
+    # of the concatenation (len(tokens) - m + 1 keys of each length m)
+    toks = toks.select(*by, "_toks", F.array_join("_toks", " ").alias("_joined"))
+    grams = toks.select(*by, F.size("_toks").alias("_nt"),
+                        F.posexplode(ngrams("_toks", "_joined", lengths)).alias("_p", "key"))
+    n = F.length("key") - F.length(F.translate("key", " ", "")) + 1
+    offset = F.lit(0)
+    for m in lengths[:-1]:
+        offset = offset + F.when(n > m, F.greatest(F.col("_nt") - m + 1, F.lit(0))).otherwise(0)
+    return grams.select(*by, (F.col("_p") - offset + 1).alias("pos"), n.alias("n"), "key")
+
+
+def _sums(hits: DataFrame, by: list, lengths: list) -> DataFrame:
+    """Score and matches per document."""
+    if lengths in ([], [1]):
+        # partial aggregation before the shuffle: one row per document and task
+        return hits.groupBy(*by).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_matched"))
+    word = F.col("n") == 1
+    # per document: the word sums, and its phrase matches (at most
+    # lengths x its tokens) in text order, longest first at a position
+    per_doc = hits.groupBy(*by).agg(
+        F.sum(F.when(word, F.col("score"))).alias("_ws"),
+        F.count(F.when(word, F.lit(1))).alias("_wc"),
+        F.collect_list(F.when(~word, F.struct("pos", (-F.col("n")).alias("neg_n"), "score", "in_score",
+                                             "in_count"))).alias("_m"))
+    zero = F.struct(F.lit(0).alias("next"), F.lit(0).cast("bigint").alias("score"),
+                    F.lit(0).cast("bigint").alias("n_matched"))
+    walk = F.aggregate(F.array_sort("_m"), zero, lambda acc, m: F.when(
+        m["pos"] >= acc["next"],
+        F.struct((m["pos"] - m["neg_n"]).alias("next"),
+                 (acc["score"] + m["score"] - m["in_score"]).alias("score"),
+                 (acc["n_matched"] + 1 - m["in_count"]).alias("n_matched"))).otherwise(acc))
+    return per_doc.select(*by, "_ws", "_wc", walk.alias("_w")).select(
+        *by, (F.coalesce("_ws", F.lit(0)) + F.col("_w.score")).alias("score"),
+        (F.col("_wc") + F.col("_w.n_matched")).alias("n_matched"))
+
+
+def _sums_in_blocks(docs: DataFrame, prep: PreparedLexicon, id_col: str, text_col: str) -> DataFrame:
+    """The sums under a lexicon beyond a broadcast.  Documents are dealt once,
+    by id, to blocks of about BLOCK_BYTES of text and kept there; a block's
+    distinct keys meet the lexicon, and what they find comes back to the
+    block.  Neither the keys of single documents nor their matches move."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    count = max(1, -(-size // BLOCK_BYTES))
+    tasks = max(2 * count, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few blocks share one
+    laid = (docs.select(id_col, F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int").alias("_block"),
+                        F.array_join(tokens(text_col), " ").alias("_joined"))
+            .filter("_joined <> ''").repartition(tasks, "_block").persist(StorageLevel.DISK_ONLY))
+    laid.count()  # a kept plan's partitioning is known once it has run
+    keys = _keys(laid.select("_block", F.split("_joined", " ").alias("_toks")), ["_block"], prep.lengths)
+    found = keys.select("_block", "key").distinct().repartition(tasks, "key").join(prep.entries, "key")
+    every = _keys(laid.select("_block", id_col, F.split("_joined", " ").alias("_toks")), ["_block", id_col], prep.lengths)
+    with joins_by_some_keys(spark):
+        hits = every.join(found.hint("shuffle_hash"), ["_block", "key"])
+        per_doc = store(_sums(hits, ["_block", id_col], prep.lengths).drop("_block"), "scores")
+    laid.unpersist()
+    return per_doc

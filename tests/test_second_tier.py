@@ -424,3 +424,32 @@ def test_topics_count_every_token_of_every_document(spark):
     want = [1 + int(w[1:]) % 3 for w in vocabulary]
     assert len(vocabulary) == 60
     np.testing.assert_allclose(per_term, want, rtol=1e-6)
+
+
+@pytest.mark.parametrize("max_words", [1, 2, 3])
+def test_large_lexicon_scores_in_blocks(spark, monkeypatch, max_words):
+    """Beyond a broadcast the rows are the same, and neither the keys of a
+    document nor its matches are shuffled."""
+    rng = np.random.default_rng(max_words)
+    vocab = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    docs = [(i // 2 if i < 20 else i, " ".join(vocab[j] for j in rng.integers(0, 6, int(rng.integers(0, 30))))) for i in range(120)]
+    docs += [(None, "ab cd"), (None, "ef"), (500, None), (501, ""), (502, "1 2"), (503, "AB-cd")]
+    flags = [(i, int("ab" in t or "cd ef" in t)) for i, t in docs[20:120:2]]
+    ddf = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lex = text.derive_lexicon(ddf, spark.createDataFrame(flags, "doc_id long, toxic int"), min_docs=1, max_words=max_words)
+    want = sorted(map(tuple, text.score_documents(ddf, lex).collect()), key=str)
+    plans, store = [], text.store
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, tag)
+    monkeypatch.setattr(text, "store", seen)
+    monkeypatch.setattr(text, "BROADCAST_MAX_BYTES", 0)
+    monkeypatch.setattr(text, "BLOCK_BYTES", 300)
+    own = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    assert sorted(map(tuple, text.score_documents(ddf, lex).collect()), key=str) == want
+    assert len(want) == len(docs) and any(score for _, score, _ in want)
+    moved = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(" in line]
+    dealt = [line for line in moved if "hashpartitioning(_block" in line]  # the layout, in the kept plan, and what was found
+    assert len(plans) == 1 and not any("doc_id" in line.split("ENSURE")[0] for line in moved) and dealt
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == own
