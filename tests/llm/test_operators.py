@@ -492,3 +492,17 @@ def test_small_passage_in_a_second_language_is_found():
         np.add.at(table[:, j], at, w)
     best, _ = langid.infer(*buffer(text[0] + " " + text[1]), table / table.sum(axis=0))
     assert 0.005 < best[0, 1] < 0.02 and best[0, 2] == 0 and best[0, 0] > 0.97
+
+
+def test_suffix_dedup_compares_small_shards(spark, monkeypatch):
+    """A comparison's words stay in a cache; its size changes no row."""
+    assert suffix_dedup.SHARD_BYTES <= 64 << 10
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcde ", k=900)) for _ in range(6)]
+    docs = [(i, base[i % 6][:rng.randrange(500, 900)] + "".join(rng.choices("fgh ", k=rng.randrange(0, 300)))) for i in range(40)]
+    df = spark.createDataFrame(docs + [(99, None), (3, docs[3][1])], "doc_id long, text string")
+    want = sorted(map(tuple, suffix_dedup.suffix_dedup(df, with_text=False).drop("kept").collect()))
+    assert sum(r[2] for r in want) > 0
+    for bound in (1, 512 << 10):
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", bound)
+        assert sorted(map(tuple, suffix_dedup.suffix_dedup(df, with_text=False).drop("kept").collect())) == want
