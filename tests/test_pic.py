@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from kiln.operators import pic
+from kiln.plans import extras
 
 # fixed values: weighted edges of the sample power-iteration-clustering file
 SAMPLE = [(0, 1, 1.0), (0, 2, 1.0), (0, 3, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (3, 4, 0.1),
@@ -62,3 +63,31 @@ def test_edges_of_nothing_and_negative_weights(spark):
         pic.power_clusters(spark.createDataFrame([(1, 2, -1.0)], SCHEMA))
     two = pic.power_clusters(spark.createDataFrame([(1, 2, 1.0)], SCHEMA), 2)
     assert {r["cluster"] for r in two.assigned.collect()} == {0}
+
+
+@pytest.mark.parametrize("hub", [0, 3000])
+def test_fit_gets_the_edges_of_a_part_together(spark, tmp_path, monkeypatch, hub):
+    """Part 7 has ``hub`` more line items, beyond a partition's share: its
+    edges alone are dealt over several partitions.  Weights stay line counts."""
+    rng = np.random.default_rng(3)
+    lines = [(int(a), int(b)) for a, b in zip(rng.integers(0, 90, 4000), rng.integers(0, 300, 4000))]
+    lines += [(i % 90, 7) for i in range(hub)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen, fit = [], extras.PowerIterationClustering.assignClusters
+
+    def watch(self, edges):
+        seen.extend(edges.rdd.mapPartitionsWithIndex(lambda i, rows: [(i, *r) for r in rows]).collect())
+        return fit(self, edges)
+
+    monkeypatch.setattr(extras.PowerIterationClustering, "assignClusters", watch)
+    n = {r["cluster"]: r["n"] for r in extras.q_pic_clusters(spark, str(tmp_path)).collect()}
+    count, held = {}, {}
+    for a, b in lines:
+        count[2 * a + 1, 2 * b] = count.get((2 * a + 1, 2 * b), 0) + 1
+    for i, _, dst, _ in seen:
+        held.setdefault(dst, set()).add(i)
+    assert {(a, b): w for _, a, b, w in seen} == count and len(seen) == len(count)
+    wide = {dst for dst, at in held.items() if len(at) > 1}
+    assert wide == ({14} if hub else set())
+    assert len({i for i, *_ in seen}) > 8
+    assert sum(n.values()) == len({v for pair in count for v in pair})
